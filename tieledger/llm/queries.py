@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tieledger.llm import langid, mixing, packing, toxicity
+from tieledger.llm import annsearch, langid, licences, minhash, mixing, packing, pii, tokencount, toxicity, vecdedup
 from tieledger.sources.tables import table
 
 
@@ -22,10 +22,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.report(docs, licences.fit(docs))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_report(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annsearch.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("y"))
@@ -35,12 +44,48 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.report(docs, pii.fit(docs))
+
+
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole document before and after two edits that its own text gives."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = tokencount.counted(docs).withColumn("edits", tokencount.derived_edits(F.col("doc_id"), F.col("text")))
+    after = tokencount.recounted(edited)
+    return after.select(
+        "doc_id",
+        F.col("tree.n_chars").cast("long").alias("n_chars"),
+        F.col("tree.n_tokens").cast("long").alias("n_tokens"),
+        F.size("tree.leaf_tokens").alias("n_leaves"),
+        F.size("edits").alias("n_edits"),
+        F.col("tree_after.n_chars").cast("long").alias("n_chars_after"),
+        F.col("tree_after.n_tokens").cast("long").alias("n_tokens_after"),
+        "chars_encoded",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
         "op2_best_fit_packing": op2_best_fit_packing,
+        "op3_licence_scan": op3_licence_scan,
         "op4_source_mixing": op4_source_mixing,
+        "op5_nearest_vectors": op5_nearest_vectors,
         "op6_toxicity": op6_toxicity,
+        "op7_personal_data": op7_personal_data,
+        "op8_near_vectors": op8_near_vectors,
+        "op9_near_documents": op9_near_documents,
+        "op10_token_counts": op10_token_counts,
     }
 
 
