@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tieledger.plans import activity_queries, graph_queries, ledger_queries, rule_queries
+
+_ALL = [*ledger_queries.Q.entries, *graph_queries.Q.entries, *activity_queries.Q.entries, *rule_queries.Q.entries]
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, run, _ in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, _, sql in _ALL if sql}
