@@ -128,10 +128,14 @@ def strip_forwarded_name(name: Column, email: Column) -> Column:
     vendor_inside = _folded(F.regexp_extract(n, paren, 2)).isin(*W.VENDOR_DOMAINS)
     n = F.when(n.rlike(paren) & vendor_inside, F.trim(F.regexp_extract(n, paren, 1))).otherwise(n)
     domain = F.lower(F.regexp_extract(email, r"@([^@]*)$", 1))
-    own = [(v == _folded(n)) & _any([(domain == d) | domain.endswith("." + d) for d in ds]) for v, ds in W.VENDOR_DOMAINS.items()]
-    compact = [(F.replace(_folded(n), F.lit(" "), F.lit("")) == v) & _any([(domain == d) | domain.endswith("." + d) for d in ds]) for v, ds in W.VENDOR_DOMAINS.items() if " " not in v]
-    foreign = _folded(n).isin(*W.VENDOR_DOMAINS) & ~F.coalesce(_any(own + compact), F.lit(False))
-    return F.when(F.trim(name).rlike(r"^<.*>$") | (n == "") | foreign, F.lit(None).cast("string")).otherwise(n)
+    table = F.create_map(*[x for v, ds in W.VENDOR_DOMAINS.items() for x in (F.lit(v), F.array(*map(F.lit, ds)))])
+    none = F.array().cast("array<string>")
+    # the expressions are bound once as lambda variables, so that they are not repeated in the plan
+    checked = F.transform(F.array(F.struct(n.alias("n"), _folded(n).alias("f"))), lambda x: F.struct(
+        x["n"].alias("n"), F.coalesce(F.element_at(table, x["f"]), none).alias("own"), F.coalesce(F.element_at(table, F.replace(x["f"], F.lit(" "), F.lit(""))), none).alias("compact")))
+    kept = F.transform(checked, lambda x: F.when(
+        (x["n"] != "") & ((F.size(x["own"]) == 0) | F.exists(F.concat(x["own"], x["compact"]), lambda d: (domain == d) | domain.endswith(F.concat(F.lit("."), d)))), x["n"]))
+    return F.when(~F.coalesce(F.trim(name).rlike(r"^<.*>$"), F.lit(True)), F.get(kept, F.lit(0)))
 
 
 _MASK = r"\s.\-•∙··・"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tieledger.functions import normalize as N
 from tieledger.functions.names import fuzzy_score, name_ratio
 from tieledger.operators.components import connected_components
+from tieledger.sources.tables import cut
 
 #: Where a name comes from, best first.
 NAME_SOURCES = ("wa_contact", "google_contact", "gmail_from", "gmail_to_cc", "wa_group_sender", "wa_message_sender")
@@ -61,14 +62,14 @@ def evidence_mail(mail: DataFrame, self_emails: list[str]) -> DataFrame:
     """mail (thread_id, sent_at, headers): people on messages that are neither bulk nor from a bot."""
     kept = mail.where(~N.is_bulk_mail(F.col("headers")))
     sender = F.get(N.parse_addresses(F.element_at("headers", "from")), F.lit(0))
-    kept = kept.where(~N.is_bot_email(N.canonicalize_email(sender["email"])["canonical"]))
+    kept = cut(kept.withColumn("sender", sender["email"])).where(~N.is_bot_email(N.canonicalize_email(F.col("sender"))["canonical"]))
 
     def people(header: str, via: str) -> DataFrame:
         rows = kept.select("thread_id", "sent_at", F.explode(N.parse_addresses(F.element_at("headers", header))).alias("x"), F.lit(via).alias("via"))
         return rows.withColumn("email", N.canonicalize_email(F.col("x.email"))["canonical"])
 
     rows = people("from", "gmail_from").unionByName(people("to", "gmail_to_cc")).unionByName(people("cc", "gmail_to_cc"))
-    rows = rows.where(F.col("email").isNotNull() & ~F.col("email").isin(*self_emails) & ~N.is_bot_email(F.col("email")))
+    rows = cut(rows).where(F.col("email").isNotNull() & ~F.col("email").isin(*self_emails) & ~N.is_bot_email(F.col("email")))
     name = F.when(F.col("via") == "gmail_from", N.strip_forwarded_name(F.col("x.name"), F.col("x.email"))).otherwise(F.col("x.name"))
     return _evidence(rows, nodes=F.array(_node("email", F.col("email"))), name=name, name_source=F.col("via"), source=F.col("via"), first_at=F.col("sent_at"), last_at=F.col("sent_at"), thread_id=F.concat(F.lit("mail:"), F.col("thread_id")))
 
@@ -189,10 +190,11 @@ def merge_enriched(buckets: DataFrame, cards: DataFrame) -> DataFrame:
 
 def build_manifest(evidence: DataFrame, self_emails: list[str], self_phones: list[str], self_names: list[str], cards: DataFrame | None = None) -> DataFrame:
     """All evidence -> one row per human with ``id`` and ``min_node``; matched chat and mail buckets become one."""
-    comps = node_components(evidence)
-    bridge = cross_channel_bridge(cross_channel_candidates(summarize_buckets(evidence, comps)))
+    evidence = cut(evidence)  # read several times
+    comps = cut(node_components(evidence))
+    bridge = cross_channel_bridge(cross_channel_candidates(cut(summarize_buckets(evidence, comps))))
     own = comps.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(bridge.select(F.col("chat_node").alias("a"), F.col("mail_node").alias("b")))
-    buckets = drop_self(summarize_buckets(evidence, connected_components(own)), self_emails, self_phones, self_names)
+    buckets = drop_self(summarize_buckets(evidence, cut(connected_components(own))), self_emails, self_phones, self_names)
     if cards is not None:
         buckets = merge_enriched(buckets, cards)
     flags = F.struct(*CHAT, "gmail_from")
