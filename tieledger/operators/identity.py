@@ -117,11 +117,27 @@ def _sides(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.where(chat & ~mail), named.where(mail & ~chat)
 
 
+def _block_keys(tokens: str, side: int) -> Column:
+    """Keys under which two names meet: two long names by a pair of tokens, others by a token or its first three letters."""
+    t = F.col(tokens)
+    two = F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.concat_ws(" ", F.lit("two"), x, y))))
+    one = F.concat(t, F.transform(t, lambda x: F.concat(F.lit("^"), F.substring(x, 1, 3))))
+
+    # which side is long comes first, so that two long names never meet by one token
+    long_keys = F.concat(two, _prefixed(one, ("chat long:", "mail long:")[side]))
+    short_keys = F.concat(_prefixed(one, "both short:"), _prefixed(one, ("mail long:", "chat long:")[side]))
+    return F.array_distinct(F.when(F.size(t) >= 2, long_keys).otherwise(short_keys))
+
+
+def _prefixed(items: Column, tag: str) -> Column:
+    return F.transform(items, lambda x: F.concat(F.lit(tag), x))
+
+
 def cross_channel_candidates(buckets: DataFrame, threshold: float = 0.85, single_token_threshold: float = 0.92, exhaustive: bool = False) -> DataFrame:
     """buckets (min_node, name, flags) -> chat_node, mail_node, score of the pairs that may merge.
 
-    Names of two tokens each must share two, so a shared token loses none of them.  One-token names also meet by their first
-    three letters; a name that differs there needs ``exhaustive``, which is for tests.  Each pair of names is scored once.
+    Names of two tokens each must share two, so meeting by pairs of tokens loses none of them.  One-token names meet by a
+    token or its first three letters; a name that differs there needs ``exhaustive``, which is for tests.  Each pair of names is scored once.
     """
     chat, mail = _sides(buckets)
     a = chat.select(F.col("min_node").alias("chat_node"), F.col("name").alias("na"), F.col("tokens").alias("ta"))
@@ -129,11 +145,7 @@ def cross_channel_candidates(buckets: DataFrame, threshold: float = 0.85, single
     if exhaustive:
         pairs = a.join(b, F.lit(True))
     else:
-        def keys(t: str) -> Column:
-            return F.explode(F.array_distinct(F.concat(t, F.transform(t, lambda x: F.concat(F.lit("^"), F.substring(x, 1, 3))))))
-
-        short = (F.size("ta") == 1) | (F.size("tb") == 1)
-        pairs = a.withColumn("k", keys("ta")).join(b.withColumn("k", keys("tb")), "k").where(short | ~F.startswith("k", F.lit("^"))).drop("k").dropDuplicates(["chat_node", "mail_node"])
+        pairs = a.withColumn("k", F.explode(_block_keys("ta", 0))).join(b.withColumn("k", F.explode(_block_keys("tb", 1))), "k").drop("k").dropDuplicates(["chat_node", "mail_node"])
     enough = (F.least(F.size("ta"), F.size("tb")) < 2) | (F.size(F.array_intersect("ta", "tb")) >= 2)
     pairs = pairs.where(enough)
     names = pairs.select("na", "nb").distinct().withColumn("score", fuzzy_score(F.col("na"), F.col("nb")))

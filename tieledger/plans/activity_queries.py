@@ -259,14 +259,17 @@ def _(v):
 
 @Q.add("cross_channel_bridge")
 def _(v):
-    """Customers as chat buckets against misspelt suppliers as mail buckets."""
+    """Customers as chat buckets against some of them, with their names turned round or misspelt, as mail buckets."""
     flags = ("wa_dm", "wa_contact", "wa_group", "google_contact", "gmail_from", "gmail_to_cc")
+    key = F.col("c_custkey")
+    first, last = F.concat(F.lit("first"), (key % 97).cast("string")), F.concat(F.lit("last"), key.cast("string"))
 
-    def bucket(df, key, name, on):
-        return df.select(key.alias("min_node"), name.alias("name"), *[F.lit(f == on).alias(f) for f in flags])
+    def bucket(df, kind, name, on):
+        return df.select(F.concat(F.lit(kind), key.cast("string")).alias("min_node"), name.alias("name"), *[F.lit(f == on).alias(f) for f in flags])
 
-    chat = bucket(v("part"), F.concat(F.lit("phone:"), F.col("p_partkey").cast("string")), F.concat_ws(" ", "p_name", F.translate("p_brand", "#", " ")), "wa_dm")
-    mail = bucket(v("part").where("p_partkey % 3 = 0"), F.concat(F.lit("email:"), F.col("p_partkey").cast("string")), F.concat_ws(" ", F.initcap("p_name"), F.translate("p_brand", "#", " ")), "gmail_from")
+    chat = bucket(v("customer"), "phone:", F.concat_ws(" ", first, last), "wa_dm")
+    turned = F.when(key % 2 == 0, F.concat_ws(" ", last, first, F.lit("jr"))).otherwise(F.concat_ws(" ", first, F.concat(last, F.lit("x"))))
+    mail = bucket(v("customer").where("c_custkey % 3 = 0"), "email:", turned, "gmail_from")
     return identity.cross_channel_bridge(identity.cross_channel_candidates(chat.unionByName(mail)))
 
 
