@@ -10,7 +10,7 @@ PERSONAL_DOMAINS = (
 )
 BOT_DOMAINS = (
     "noreply.github.com", "no-reply.com", "notifications.github.com", "notifications.stripe.com", "notifications.slack.com",
-    "notifications.linear.app", "alerts.hdfcbank.bank.in", "alerts.icicibank.com", "mail.cyphersol.co.in",
+    "notifications.linear.app", "alerts.hdfcbank.bank.in", "alerts.icicibank.com",
 )
 SAAS_DOMAINS = (
     "stripe.com", "slack.com", "notion.so", "notion.com", "linear.app", "github.com", "vercel.com", "supabase.io", "supabase.co", "figma.com",

@@ -158,26 +158,24 @@ def neighbors(edges: DataFrame, ids: DataFrame, types: list[str] | None = None)
 def intro_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
     """pairs (user_id, source, target) -> hops, path, edge types and weights of the shortest path, at most ``max_hops``.
 
-    Of equal paths the smallest node list wins, of parallel edges the heaviest.  Level by level from the source; pairs that
-    have arrived leave the frontier, and a node is visited once for each pair.
+    Of equal paths the smallest node list wins, of parallel edges the heaviest.  Level by level from each distinct source, so
+    that pairs with one source share its frontier; a node is visited once for each source, and the last level keeps targets only.
     """
     best = both_ends(edges).groupBy("user_id", "x", "y").agg(F.max(F.struct("weight", "type")).alias("e")).select("user_id", "x", "y", "e.weight", "e.type")
-    key = ["user_id", "source", "target"]
-    asked = pairs.select(*key).distinct()
-    front = asked.withColumns({"at": F.col("source"), "path": F.array("source"), "types": F.array().cast("array<string>"), "weight": F.lit(0.0)})
+    step = cut(best.withColumnsRenamed({"x": "at", "y": "next", "weight": "w", "type": "t"}))
+    asked, key = pairs.select("user_id", "source", "target").distinct(), ["user_id", "source"]
+    front = asked.select(*key).distinct().withColumns({"at": F.col("source"), "path": F.array("source"), "types": F.array().cast("array<string>"), "weight": F.lit(0.0)})
     cols = [*key, "at", "path", "types", "weight"]
-    found, seen = front.where("source = target").select(*cols), front.select(*key, "at")
-    front = front.where("source <> target").select(*cols)
-    for _ in range(max_hops):
-        step = best.withColumnsRenamed({"x": "at", "y": "next", "weight": "w", "type": "t"})
+    found = front.select(*cols)
+    for hop in range(max_hops):
         onward = front.join(step, ["user_id", "at"]).select(*key, F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), F.concat("types", F.array("t")).alias("types"), (F.col("weight") + F.col("w")).alias("weight"))
-        onward = onward.join(seen, [*key, "at"], "left_anti").groupBy(*key, "at").agg(F.min(F.struct("path", "types", "weight")).alias("m")).select(*key, "at", "m.path", "m.types", "m.weight")
-        onward = cut(onward)
-        arrived = onward.where("at = target")
-        found = found.unionByName(arrived.select(*cols))
-        seen = seen.unionByName(onward.select(*key, "at"))
-        front = onward.join(arrived.select(*key), key, "left_anti").select(*cols)
-    return asked.join(found.drop("at"), key, "left").withColumn("hops", F.when(F.col("path").isNotNull(), F.size("path") - 1))
+        if hop == max_hops - 1:
+            onward = onward.join(asked.withColumnRenamed("target", "at"), [*key, "at"], "left_semi")
+        onward = onward.join(found.select(*key, "at"), [*key, "at"], "left_anti").groupBy(*key, "at").agg(F.min(F.struct("path", "types", "weight")).alias("m"))
+        front = cut(onward.select(*key, "at", "m.path", "m.types", "m.weight"))
+        found = found.unionByName(front)
+    paths = found.withColumnRenamed("at", "target")
+    return asked.join(paths, [*key, "target"], "left").withColumn("hops", F.when(F.col("path").isNotNull(), F.size("path") - 1))
 
 
 def connected_core(nodes: DataFrame, edges: DataFrame, self_ids: DataFrame, n: int = 200) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from tieledger.operators.links import handles
 from tieledger.plans.adapters import AS_OF
 from tieledger.plans.ledger_queries import _person_cards
 from tieledger.plans.registry import Registry, r6, us
+from tieledger.sources.tables import cut
 
 Q = Registry()
 
@@ -187,10 +188,11 @@ SELECT e.user_id, e.x AS source, f.y AS target, CASE WHEN e.x = f.y THEN 0 WHEN
 FROM (SELECT user_id, self_id FROM {{self_ids}}) s JOIN (SELECT DISTINCT user_id, x, y FROM both_ways) e ON e.user_id = s.user_id AND e.y = s.self_id JOIN (SELECT DISTINCT user_id, x, y FROM both_ways) f ON f.user_id = s.user_id AND f.x = s.self_id
 WHERE length(e.x) <= 3""".replace("both_ways", f"(SELECT user_id, a AS x, b AS y FROM {_EDGES} UNION ALL SELECT user_id, b, a FROM {_EDGES})"))
 def _(v):
-    own = graph.both_ends(all_edges(v)).join(v("self_ids"), "user_id")
+    edges = cut(all_edges(v))  # read for pairs and for each hop
+    own = graph.both_ends(edges).join(v("self_ids"), "user_id")
     near = own.where("y = self_id").select("user_id", F.col("x").alias("source")).where("length(source) <= 3").distinct()
     pairs = near.join(own.where("x = self_id").select("user_id", F.col("y").alias("target")).distinct(), "user_id")
-    return graph.intro_paths(all_edges(v), pairs).select("user_id", "source", "target", "hops")
+    return graph.intro_paths(edges, pairs).select("user_id", "source", "target", "hops")
 
 
 @Q.add("manifest_network", """
