@@ -38,7 +38,7 @@ def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     known = labels.where(~toxicity.held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("y"))
-    model = toxicity.fit(docs.select("doc_id", "text").join(known, "doc_id").select("text", "y"))
+    model = toxicity.fit(docs, known)
     texts = docs.select("doc_id", "text", toxicity.held_out(F.col("doc_id")).alias("held_out"))
     scored = toxicity.score(texts, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

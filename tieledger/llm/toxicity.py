@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tieledger.llm.hashing import Rolling, mixed, runs
+from tieledger.sources.tables import cut
 
 BITS = 20
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -79,24 +80,30 @@ def _train(alpha: float, beta: float, l1: float, l2: float, passes: int, start:
     return run
 
 
-def fit(labelled: DataFrame, max_docs: int = 20_000, per_shard: int = 6_000, rounds: int = 2, passes: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0) -> ToxModel:
-    """Fit on rows (text, y).  At most about ``max_docs`` of them, chosen by a hash of the text, are learnt from.
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, per_shard: int = 6_000, rounds: int = 2, passes: int = 4, alpha: float = 2.0, beta: float = 1.0, l1: float = 10.0, l2: float = 0.0) -> ToxModel:
+    """Fit on docs (doc_id, text) and their labels (doc_id, y).
 
-    A shard holds about ``per_shard`` texts at most; the driver gets the weights that L1 left, 2**20 at most.
+    At most about ``max_docs`` labels, chosen by a hash of doc_id, are learnt from.  Being so few they are broadcast, so
+    that no text is shuffled to find its label, and the texts found are written once.  A shard holds about ``per_shard``
+    of them; the driver gets the weights that L1 left, 2**20 at most.
     """
-    labelled = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "y").where("y IN (0, 1)")
-    n = labelled.count()
+    labels = labels.select("doc_id", "y").where("y IN (0, 1) AND doc_id IS NOT NULL")
+    n = labels.count()
     if not n:
         return ToxModel(-100.0, np.zeros(0, np.int64), np.zeros(0))
-    order, shards = F.xxhash64("text", "y"), -(-min(n, max_docs) // per_shard)
-    sample = labelled.withColumn("order", order).where(F.pmod(F.col("order"), F.lit(2**31)) < int(2**31 * min(1.0, max_docs / n)))
-    sample = sample.withColumn("shard", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(shards)).cast("int"))
+    shards = -(-min(n, max_docs) // per_shard)
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(2**31)) < int(2**31 * min(1.0, max_docs / n)))
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    order, shard = F.xxhash64("text", "y"), F.pmod(F.xxhash64("text", F.lit(7)), F.lit(shards)).cast("int")
+    sample = cut(sample.select("text", "y", order.alias("order"), shard.alias("shard")))
+    used = sample.select("shard").distinct().count()
+    if not used:
+        return ToxModel(-100.0, np.zeros(0, np.int64), np.zeros(0))
     model = None
     for _ in range(rounds):
         parts = sample.groupBy("shard").applyInPandas(_train(alpha, beta, l1, l2, passes, model), "id long, w double")
-        rows = parts.groupBy("id").agg(F.sum("w").alias("w"), F.max(F.lit(1)).alias("one")).collect()
-        used = sample.select("shard").distinct().count()
-        rows = sorted((r["id"], r["w"] / max(1, used)) for r in rows)
+        rows = parts.groupBy("id").agg(F.sum("w").alias("w")).collect()
+        rows = sorted((r["id"], r["w"] / used) for r in rows)
         bias = next((w for i, w in rows if i == 1 << BITS), 0.0)
         rows = [(i, w) for i, w in rows if i != 1 << BITS and w]
         model = ToxModel(bias, np.array([i for i, _ in rows], np.int64), np.array([w for _, w in rows]))
