@@ -39,7 +39,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     level of ``sum(min(most * size, level * weight))``; it is found with prefix sums over the sources in the order in
     which they fill.  Only the table of distinct sources goes through these ordered windows.
     """
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("n_rows") if "n_rows" in sized.columns else F.lit(1)).alias("n_docs"))
     everything = Window.orderBy(F.col("source").asc_nulls_last())
     s = s.withColumn("rank", F.row_number().over(everything))
     s = s.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("double"))
@@ -110,7 +110,8 @@ def rounded_copies(sized: DataFrame, seed: int = 20240101, **targets) -> DataFra
     A unit stands for its ``n_rows`` equal rows.  The same rows give the same copies however they are partitioned:
     leaves are hashes of the unit, and the order within them and the seeds depend on values only.
     """
-    units = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows"))
+    units = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_rows")))  # texts are read once
+    sized = units.select("source", (F.col("size") * F.col("n_rows")).alias("size"), "n_rows")
     sources = source_targets(sized, **targets)
     deepest = sources.agg(F.max("n_docs")).first()[0] or 0
     rate = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
