@@ -26,7 +26,7 @@ from tieledger.llm.vectors import sample, unit, usable, usual_length
 from tieledger.sources.tables import cut
 
 #: Codebooks, codewords of each, width of the beam; rows of a block of codes and of queries; candidates that are ranked exactly.
-BOOKS, WORDS, BEAM, CODES, QUERIES, SHORTLIST = 12, 256, 4, 16_384, 1024, 120
+BOOKS, WORDS, BEAM, CODES, QUERIES, SHORTLIST = 24, 256, 3, 16_384, 1024, 240
 
 
 @dataclass
@@ -41,28 +41,23 @@ class Codebooks:
     def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and the lengths of the approximations."""
         books, k, d = self.words.shape
-        flat = self.words.reshape(-1, d).astype(np.float32)
-        cross, own = flat @ flat.T, (flat * flat).sum(axis=1)
+        words = self.words.astype(np.float32)
+        own = (words * words).sum(axis=2)
         codes_out, lengths = np.empty((len(x), books), np.uint8), np.empty(len(x), np.float32)
-        for at in range(0, len(x), 1024):
-            part = x[at : at + 1024].astype(np.float32)
-            n = len(part)
-            dots = part @ flat.T
-            codes, cost = np.zeros((n, 1, 0), np.int64), np.zeros((n, 1), np.float32)
+        for at in range(0, len(x), 2048):
+            part = x[at : at + 2048].astype(np.float32)
+            rows = np.arange(len(part))[:, None]
+            left, codes = part[:, None, :], np.zeros((len(part), 1, 0), np.uint8)  # what each of the beam has yet to explain
             for m in range(books):
-                block = slice(m * k, (m + 1) * k)
-                more = (own[block] - 2 * dots[:, block])[:, None, :] + cost[:, :, None]
-                for j in range(m):
-                    more += 2 * cross[codes[:, :, j] + j * k, block]
-                more = more.reshape(n, -1)
-                width = min(beam, more.shape[1])
-                best = np.argpartition(more, width - 1, axis=1)[:, :width]
-                cost = np.take_along_axis(more, best, 1)
+                cost = (left * left).sum(axis=2)[:, :, None] + own[m] - 2 * (left.reshape(-1, d) @ words[m].T).reshape(len(part), -1, k)
+                flat = cost.reshape(len(part), -1)
+                best = np.argpartition(flat, beam - 1, axis=1)[:, :beam]
                 came, word = best // k, best % k
-                codes = np.concatenate([np.take_along_axis(codes, came[:, :, None], 1), word[:, :, None]], axis=2)
-            chosen = codes[np.arange(n), cost.argmin(axis=1)]
-            made = sum(self.words[m][chosen[:, m]] for m in range(books))
-            codes_out[at : at + n], lengths[at : at + n] = chosen, np.sqrt((made * made).sum(axis=1))
+                left = left[rows, came] - words[m][word]
+                codes = np.concatenate([codes[rows, came], word[:, :, None].astype(np.uint8)], axis=2)
+            first = (left * left).sum(axis=2).argmin(axis=1)
+            codes_out[at : at + len(part)] = codes[rows[:, 0], first]
+            lengths[at : at + len(part)] = np.sqrt(((part - left[rows[:, 0], first]) ** 2).sum(axis=1))
         return codes_out, lengths
 
 
@@ -77,7 +72,7 @@ def _means(x: np.ndarray, k: int, draw: np.random.Generator, turns: int = 8) ->
     return centres, (x @ centres.T * -2 + (centres * centres).sum(axis=1)).argmin(axis=1)
 
 
-def fit(df: DataFrame, dims: int, books: int = BOOKS, words: int = WORDS, most: int = 8000, seed: int = 5) -> Codebooks:
+def fit(df: DataFrame, dims: int, books: int = BOOKS, words: int = WORDS, most: int = 12_000, seed: int = 5) -> Codebooks:
     """Residual codebooks from a sample of about ``most`` vectors; the model is books x words x dims numbers."""
     x = sample(df, dims, most).astype(np.float32)
     draw, made = np.random.default_rng(seed), []
