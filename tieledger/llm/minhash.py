@@ -5,7 +5,7 @@
    stands for it from here on, so copies are never paired.
 2. Classes that share a band key are candidates.  In a bucket they are first compared with one centre (twice, with
    different centres), which joins a group of near copies with as many comparisons as it has members.  Then every class
-   that is not yet in a bucket's largest component is compared with all members of other components.  Nothing is capped.
+   that does not share a bucket's main label is compared with all members of other labels, in blocks.  Nothing is capped.
 3. A candidate pair goes on only if the similarity estimated from packed low bits, corrected for chance agreements of b
    bits, is no more than 4.5 standard errors below the threshold, and if the set sizes allow the threshold.
 4. What is left is confirmed by the exact similarity of the full sets.
@@ -177,33 +177,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, cent
         sizes = F.lit(100) * F.least(f"{x}.n", f"{y}.n") >= F.lit(percent) * F.greatest(f"{x}.n", f"{y}.n")
         return (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & sizes & (differing(F.col(f"{x}.sig"), F.col(f"{y}.sig")) <= sure)
 
-    links = tested = None
+    links = None
     ends = [F.col("x.doc").alias("a"), F.col("x.fp").alias("fa"), F.col("y.doc").alias("b"), F.col("y.fp").alias("fb")]
     members = held.withColumn("comp", F.col("doc"))
-    for turn in range(centres + 1):
-        mixed_up = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        todo = members.join(mixed_up, "key")
-        if turn < centres:
-            order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-            one = todo.groupBy("key").agg(F.min_by(F.struct("doc", "fp", "n", "sig", "comp"), order).alias("y"))
-            pairs = todo.alias("x").join(one, "key").where(plausible("x", "y")).select(*ends)
-        else:
-            sizes = todo.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"))
-            marked = todo.join(main, "key").withColumn("stray", F.col("comp") != F.col("main"))
-            once = ~F.col("y.stray") | (F.col("x.doc") < F.col("y.doc"))
-            pairs = marked.where("stray").alias("x").join(marked.alias("y"), "key").where(once & plausible("x", "y"))
-            pairs = pairs.select(*ends)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "fa", "b", "fb"], "left_anti")
-        pairs = cut(pairs)
+    for turn in range(centres):
+        order = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+        one = _mixed(members).groupBy("key").agg(F.min_by(F.struct("doc", "fp", "n", "sig", "comp"), order).alias("y"))
+        pairs = members.alias("x").join(one, "key").where(plausible("x", "y")).select(*ends).distinct()
         new = cut(confirmed(pairs, texts, percent, words))
         links = new if links is None else links.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if turn < centres:
-            comps = connected_components(links).select(F.col("node").alias("doc"), "component")
-            members = held.join(comps, "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
+        # a centre's label holds for all that are linked with it, and then the centre's own label for the centre's
+        to = links.groupBy("a").agg(F.min("b").alias("b"))
+        to = to.alias("p").join(to.alias("q"), F.col("p.b") == F.col("q.a"), "left").select(F.col("p.a").alias("doc"), F.least("p.a", "p.b", "q.b").alias("label"))
+        members = cut(held.join(to, "doc", "left").withColumn("comp", F.coalesce("label", "doc")).drop("label"))
+    links = links.unionByName(_strays_confirmed(members, texts, percent, words, sure))
 
     copies = can.select("doc_id", "fp", "fp2").join(classes.select("fp", "fp2", "doc"), ["fp", "fp2"]).where("doc_id <> doc")
     every = links.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("doc").alias("b")))
@@ -213,6 +200,139 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = WORDS, cent
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _mixed(members: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one label."""
+    several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    return members.join(several, "key")
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames that end where a cell ends, from rows sorted by cell."""
+    held = None
+    for rows in batches:
+        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
+        cell = rows[["key", "i", "j"]].to_numpy()
+        last = int(np.flatnonzero((cell != cell[-1]).any(axis=1)).max(initial=-1)) + 1 if len(rows) else 0
+        held = rows.iloc[last:]
+        if last:
+            yield rows.iloc[:last]
+    if held is not None and len(held):
+        yield held
+
+
+def _plausible(percent: int, sure: int, blocks: int):
+    """Cells of buckets, sorted -> pairs of a stray and a member that may be similar, packed by blocks of documents."""
+    marks = np.uint64(int("1" * (64 // BITS), 16))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _cells(batches):
+            cell, role, stray = rows[["key", "i", "j"]].to_numpy(), rows["role"].to_numpy(), rows["stray"].to_numpy(bool)
+            sig = np.array(rows["sig"].tolist(), np.int64).view(np.uint64)
+            doc, comp, n = (rows[c].to_numpy(np.int64) for c in ("doc", "comp", "n"))
+            ends = np.append(np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1, len(rows))
+            found, begin = [], 0
+            for end in ends.tolist():
+                split = begin + int((role[begin:end] == 0).sum())
+                for i in range(begin, split, 32):
+                    x, y = slice(i, min(i + 32, split)), slice(split, end)
+                    d = sig[x, None, :] ^ sig[None, y, :]
+                    folded = d
+                    for k in range(1, BITS):
+                        folded = folded | (d >> np.uint64(k))
+                    near = np.bitwise_count(folded & marks).sum(axis=2) <= sure
+                    near &= comp[x, None] != comp[None, y]
+                    near &= 100 * np.minimum(n[x, None], n[None, y]) >= percent * np.maximum(n[x, None], n[None, y])
+                    near &= ~stray[None, y] | (doc[x, None] < doc[None, y])
+                    p, q = np.nonzero(near)
+                    if len(p):
+                        found.append(np.stack([doc[x][p], doc[y][q]]))
+                begin = end
+            if found:
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+                frame = pd.DataFrame({"x": pairs[0], "y": pairs[1], "bx": pairs[0] % blocks, "by": pairs[1] % blocks})
+                packed_rows = [(bx, by, g["x"].to_numpy(np.int64).tobytes(), g["y"].to_numpy(np.int64).tobytes()) for (bx, by), g in frame.groupby(["bx", "by"])]
+                yield pd.DataFrame(packed_rows, columns=["bx", "by", "xs", "ys"])
+
+    return run
+
+
+def _once(rows: pd.DataFrame) -> pd.DataFrame:
+    """All pairs of two blocks of documents, each once, and the documents on them."""
+    pairs = np.stack([np.concatenate([np.frombuffer(b, np.int64) for b in rows[c]]) for c in ("xs", "ys")])
+    pairs = np.unique(pairs, axis=1)
+    return pd.DataFrame({"bx": rows["bx"].iloc[:1], "by": rows["by"].iloc[:1], "xs": [pairs[0].tobytes()], "ys": [pairs[1].tobytes()], "docs": [np.unique(pairs).tolist()]})
+
+
+def _exact(percent: int, words: int):
+    """The pairs of two blocks, and the texts of their documents -> links that join what is similar."""
+
+    def run(pairs: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs) or not len(texts):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        xs, ys = (np.frombuffer(pairs[c].iloc[0], np.int64) for c in ("xs", "ys"))
+        docs = texts["doc_id"].to_numpy(np.int64)
+        sets = [shingle_set(t, words) for t in texts["text"]]
+        sizes = np.array([len(own) for own in sets])
+        keep = sizes > 0
+        docs, sets, sizes = docs[keep], [own for own in sets if len(own)], sizes[keep]
+        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        begins = np.cumsum(sizes) - sizes
+        row_of: dict[int, list[int]] = {}
+        for k, d in enumerate(docs.tolist()):
+            row_of.setdefault(d, []).append(k)
+        order = np.argsort(xs, kind="stable")
+        xs, ys = xs[order], ys[order]
+        i, j = [], []
+        for part in np.split(np.arange(len(xs)), np.flatnonzero(np.diff(xs)) + 1):
+            own = ys[part].tolist()
+            for k in row_of.get(int(xs[part[0]]), ()):
+                held = np.zeros(len(known), bool)
+                held[ids[begins[k] : begins[k] + sizes[k]]] = True
+                both = np.add.reduceat(held[ids].astype(np.int64), begins)
+                same = 100 * both >= percent * (sizes + sizes[k] - both)
+                i += [d for d in own for m in row_of.get(d, ()) if same[m]]
+                j += [int(xs[part[0]])] * (len(i) - len(j))
+        ends = np.unique(np.array(i + j, np.int64))
+        if not len(ends):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        at = np.arange(len(ends))
+        p, q = np.searchsorted(ends, i), np.searchsorted(ends, j)
+        while True:  # the smallest document that links lead to
+            new = at.copy()
+            least = np.minimum(at[p], at[q])
+            np.minimum.at(new, p, least)
+            np.minimum.at(new, q, least)
+            new = new[new]
+            if (new == at).all():
+                return pd.DataFrame({"a": ends, "b": ends[at]})
+            at = new
+
+    return run
+
+
+def _strays_confirmed(members: DataFrame, texts: DataFrame, percent: int, words: int, sure: int, block: int = 2048) -> DataFrame:
+    """Links of what is not in a bucket's main label with all others of the bucket, tested exactly.
+
+    Pairs are never rows.  Cells of at most about ``block`` by ``block`` members of a bucket make packed lists of plausible
+    pairs; these are brought together by blocks of documents, each block's texts once, and tested there.
+    """
+    todo = _mixed(members)
+    sizes = todo.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("c") / block).cast("int").alias("parts"))
+    marked = todo.join(main, "key").withColumn("stray", F.col("comp") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    others = F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)
+    cols = ["key", "doc", "n", "sig", "comp", "stray"]
+    one = marked.where("stray").select(*cols, F.lit(0).alias("role"), F.col("part").alias("i"), F.explode(others).alias("j"))
+    two = marked.select(*cols, F.lit(1).alias("role"), F.explode(others).alias("i"), F.col("part").alias("j"))
+    blocks = max(1, -(-texts.count() // block))
+    cells = one.unionByName(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
+    packed_pairs = cells.mapInPandas(_plausible(percent, sure, blocks), "bx long, by long, xs binary, ys binary")
+    pairs = cut(packed_pairs.groupBy("bx", "by").applyInPandas(_once, "bx long, by long, xs binary, ys binary, docs array<long>"))
+    wanted = pairs.select(F.col("bx").alias("tx"), F.col("by").alias("ty"), F.explode("docs").alias("doc_id"))
+    with_text = wanted.join(texts.select("doc_id", "text"), "doc_id")
+    return cut(pairs.drop("docs").groupBy("bx", "by").cogroup(with_text.groupBy("tx", "ty")).applyInPandas(_exact(percent, words), "a long, b long"))
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group of near duplicates; rows of a kept doc_id all stay."""
     gone = near_duplicates(docs, **options).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
