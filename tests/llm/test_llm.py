@@ -371,6 +371,55 @@ def test_licences(spark, edge, empty):
     assert licences.report(edge, model).count() == len(EDGE) and licences.report(empty, licences.fit(empty)).count() == 0
 
 
+WRAPPED = {
+    "GPL": """ * Copyright (C) 2011 J. Doe
+ *
+ * This program is free software; you can redistribute it and/or modify it
+ * under the terms of the GNU General Public License as published by the Free
+ * Software Foundation; either version 2 of the License, or (at your option)
+ * any later version.
+ *
+ * This program is distributed in the hope that it will be useful,""",
+    "LGPL": """# frobnicate is a library.
+#
+# This library is free software; you can redistribute it and/or
+# modify it under the terms of the GNU Lesser General Public
+# License as published by the Free Software Foundation; either
+# version 2.1 of the License, or (at your option) any later version.
+#
+# import os""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */""",
+    "BSD": """// Redistribution and use in source and binary forms, with or
+// without modification, are permitted provided that the
+// following conditions are met:
+//
+// 1. Redistributions of source code must retain the above notice""",
+    "MIT": """Permission is hereby granted, free of charge, to any
+person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the
+Software without restriction, including without limitation the rights""",
+}
+
+
+def test_wrapped_licences(spark):
+    plain = [(i, " ".join(words(60, i))) for i in range(60)]
+    model = licences.fit(docs_of(spark, plain))
+    rows = [(100 + i, mark.join(WRAPPED[f].split("\n"))) for i, (f, mark) in enumerate(itertools.product(sorted(WRAPPED), ["\n", "\r\n"]))]
+    rows += [(200, "Released under MPL 2.0"), (201, "\n".join(" ".join(words(60, i)) for i in range(40)) + "\n" + WRAPPED["GPL"].replace(" *\n", "") + "\n" + " ".join(words(90, 7)))]
+    rows += [(202, "\n".join(" ".join(words(12, i)) + " under the terms of this form or the source of it" for i in range(30)))]
+    got = {r["doc_id"]: (r["families"], r["n_notices"]) for r in licences.report(docs_of(spark, rows), model).collect()}
+    assert {i: got[100 + i][0] for i in range(10)} == {i: sorted(WRAPPED)[i // 2] for i in range(10)}
+    assert got[200] == ("MPL-2.0", 1) and got[201][0] == "GPL" and got[202] == ("", 0)
+
+
+def test_no_half_of_a_template_is_without_a_gate_word():
+    for text in itertools.chain(*licences.TEMPLATES.values()):
+        pairs = licences.bigrams_of(text)
+        assert sum(not set(g.split()) & set(licences.GATE) for g in pairs) < licences.CONFIRMS * len(pairs)
+
+
 # token counts
 
 

@@ -2,15 +2,18 @@
 
 Everything that touches the corpus runs on DataFrame functions.
 
-* A paragraph is a line that is not blank.  Paragraphs with one of a few anchor words are candidates; the classifier's features
-  are only counted in those, so all others are plain text by definition.
+* A paragraph is a block of lines between blank ones; a line of comment marks alone is blank.  What is judged are its lines, and
+  windows of ``WINDOW`` words over the whole block every half window, for notices that are wrapped.  Lines with an anchor or a
+  gate word are candidates.  Gate words are chosen from all words of the templates, so that half of the bigrams of any template
+  cannot be without one: nothing that could be confirmed is passed over.
 * Features are distinct word unigrams, bigrams and trigrams that occur in the templates.  A logistic regression for each
   family, with L1, is fitted to templates, to templates with words lost, swapped or added, and to candidates of a bounded
   sample of the corpus that resemble no template.  The sparse weights become a map in the plan.
 * A candidate whose best family stays below a threshold is ``unknown``.  The threshold is calibrated: the lowest at which at
   least 99 % of held-out training paragraphs over it have their right family.
-* A prediction is confirmed if the paragraph shares enough word bigrams with a template of the family; one that is not is
-  ``unknown``, too.
+* A family is confirmed if the unit holds half of the word bigrams of one of its templates, or if half of the unit's own are
+  in a template and one of those has the family's name.  The best of the confirmed families is predicted; without one the unit
+  is ``unknown``.  A family that only windows show counts once a block.
 
 Defined cases: a null or blank text has no paragraphs; repeated rows are treated alike; an empty table gives an empty one; with
 an empty corpus the model is fitted to templates alone; other columns are not looked at.
@@ -68,6 +71,7 @@ TEMPLATES = {
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "Licensed under the LGPL.",
         "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
     ],
     "MIT": [
         "Released under the MIT License.",
@@ -87,12 +91,20 @@ TEMPLATES = {
     ],
 }
 FAMILIES = sorted(TEMPLATES)
-#: A candidate paragraph holds one of these, in lower case.
+#: A line with one of these, in lower case, is a candidate in any case.
 ANCHORS = ("licen", "copyright", "rights reserved", "redistribut", "public domain", "creative commons", "permission is", "cc0", "gpl")
 #: Share of template bigrams, or of paragraph bigrams, that confirms.
 CONFIRMS = 0.5
+#: Words of which a short notice has one, by family.
+NAMES = {"Apache-2.0": ["apache"], "BSD": ["bsd"], "CC0": ["cc0"], "GPL": ["gpl"], "LGPL": ["lesser", "lgpl"], "MIT": ["mit"], "MPL-2.0": ["mozilla", "mpl"]}
+#: Words of a window.  Half a window of running words of any template is more than half of its bigrams.
+WINDOW = 40
+#: Words of the templates that are common elsewhere, and gate words only at need.
+COMMON = frozenset("0 1 2 3 4 a all and any are as at be by can deal except for found free has in is it may met no not of or part person prior public see text that the this to under use v version with without work you".split())
 
 _SPLIT = r"[^\p{L}\p{N}]+"
+#: Ends of line with nothing between them but marks; atomic, since CR LF is one end.
+_BLANK = r"(?>\r\n|\r|\n)(?:[^\p{L}\p{N}\r\n]*+(?>\r\n|\r|\n))+"
 
 
 def words_of(text: str) -> list[str]:
@@ -113,17 +125,86 @@ def _grams(words: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
+def bigrams_of(text: str) -> set[str]:
+    return {g for g in grams_of(words_of(text), 2) if " " in g}
+
+
+def gate_words() -> list[str]:
+    """Few words such that any half of the bigrams of any template has one, and the names of families."""
+    left = [([g.split() for g in sorted(bigrams_of(t))], math.ceil(CONFIRMS * len(bigrams_of(t))) - 1) for f in FAMILIES for t in TEMPLATES[f]]
+    usable = sorted({w for f in FAMILIES for t in TEMPLATES[f] for w in words_of(t)})
+    chosen = sorted({w for ws in NAMES.values() for w in ws})
+
+    def missing(words: list[str]) -> int:
+        return sum(max(0, sum(not set(g) & set(words) for g in pairs) - most) for pairs, most in left)
+
+    while now := missing(chosen):
+        # a common one only where no other helps
+        chosen.append(min(usable, key=lambda w: (missing([*chosen, w]) >= now, w in COMMON, missing([*chosen, w]), w)))
+    return sorted(chosen)
+
+
+GATE = gate_words()
+
+
 def _holds_anchor(text: Column) -> Column:
     low = F.lower(text)
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in ANCHORS])
 
 
+def _may_hold(text: Column) -> Column:
+    """Whether a text can have a candidate: an anchor or a gate word, of which only short ones need their bounds here."""
+    low = F.lower(text)
+    long = [w for w in GATE if len(w) > 4 and not any(a in w for a in ANCHORS)]
+    short = [w for w in GATE if len(w) <= 4 and not any(a in w for a in ANCHORS)]
+    bounded = r"(?<![\p{L}\p{N}])(?:" + "|".join(short) + r")(?![\p{L}\p{N}])"
+    return reduce(lambda a, b: a | b, [_holds_anchor(text), *[F.contains(low, F.lit(w)) for w in long], low.rlike(bounded)])
+
+
+def _gated(words: Column) -> Column:
+    return F.arrays_overlap(words, F.array(*map(F.lit, GATE)))
+
+
+_UNITS = "array<struct<no:int,line:int,w:array<string>,p:string>>"
+
+
+def _lines(block: Column) -> Column:
+    return F.filter(F.split(block, r"[\r\n]+"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+
+
+def _line_units(block: Column, no: Column) -> Column:
+    each = F.transform(_lines(block), lambda x, i: F.struct(no.alias("no"), i.alias("line"), _words(x).alias("w"), x.alias("p")))
+    return F.filter(each, lambda x: _holds_anchor(x["p"]) | _gated(x["w"])).cast(_UNITS)
+
+
+def _window_units(block: Column, no: Column, lines: Column) -> Column:
+    """Windows over the words of a block; none where its only line is one window, which is judged as a line.
+
+    A line that holds a notice by itself is left out, so that it is not read again as a relative of its family.
+    """
+    def settled(i: Column) -> Column:
+        return F.exists(lines, lambda y: (y["paragraph"] == no) & (y["line"] == i) & y["confirmed"] & (y["similarity"] >= CONFIRMS))
+
+    words = F.flatten(F.transform(_lines(block), lambda x, i: F.when(settled(i), F.array(F.lit("\n"))).otherwise(_words(x))))
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
+        each = F.transform(starts, lambda i: F.struct(no.alias("no"), F.lit(None).cast("int").alias("line"), F.slice(w, i, WINDOW).alias("w"), F.lit("").alias("p")))
+        return F.filter(each, lambda x: _gated(x["w"]))
+
+    needed = (F.size(_lines(block)) > 1) | (F.size(words) > WINDOW)
+    return F.when(needed, F.element_at(F.transform(F.array(words), cut), 1)).otherwise(F.array().cast(_UNITS)).cast(_UNITS)
+
+
+def _units(text: Column, of) -> Column:
+    """Array of struct (number of the block, of the line or null, words, text); empty for most texts."""
+    blocks = F.filter(F.split(text, _BLANK), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    return F.when(_may_hold(text), F.flatten(F.transform(blocks, lambda x, i: F.when(_may_hold(x), of(x, i)).otherwise(F.array().cast(_UNITS))))).otherwise(F.array().cast(_UNITS))
+
+
 def candidate_paragraphs(text: Column) -> Column:
-    """Array of struct (paragraph, number from 0) of the lines with an anchor; empty for most texts."""
-    lines = F.filter(F.split(text, r"[\r\n]+"), lambda x: F.trim(x) != "")
-    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("p"), i.alias("no")))
-    empty = F.array().cast("array<struct<p:string,no:int>>")
-    return F.when(_holds_anchor(text), F.filter(numbered, lambda x: _holds_anchor(x["p"]))).otherwise(empty)
+    """Units that are lines."""
+    return _units(text, _line_units)
 
 
 @dataclass
@@ -184,6 +265,7 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_negatives: int = 600, seed: i
     part = texts.where(hashed < int(2**31 * min(1.0, max_docs / max(1, n))))
     found = part.select(F.explode(candidate_paragraphs(F.col("text"))).alias("x")).select(F.col("x.p").alias("p")).distinct()
     known = {t: grams_of(words_of(t), 2) for f in FAMILIES for t in TEMPLATES[f]}
+    known_pairs = [bigrams_of(t) for t in known]
 
     def draw_from(words: list[str], n: int = 60) -> list[str]:
         """A stretch of running words somewhere in a text."""
@@ -195,8 +277,9 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_negatives: int = 600, seed: i
     noise = sorted({w for ws in plain for w in ws})[:4000]
 
     def like(p: str) -> float:
-        own = grams_of(words_of(p), 2)
-        return max(len(own & t) / len(t) for t in known.values())
+        # a line of a wrapped notice resembles by its own bigrams
+        own, pairs = grams_of(words_of(p), 2), bigrams_of(p)
+        return max(max(len(own & t) / len(t) for t in known.values()), max(len(pairs & t) for t in known_pairs) / max(1, len(pairs)))
 
     negatives = [p for p in corpus if like(p) < 0.3]
     # sentences of the corpus with an anchor word put in are no notices either
@@ -233,40 +316,68 @@ def _literal_map(values: dict[str, Column]) -> Column:
     return F.create_map(*[x for k in sorted(values) for x in (F.lit(k), values[k])])
 
 
-def _judged(paragraph: Column, model: LicenceModel) -> Column:
-    """struct (family, score, similarity) of one candidate."""
-    words = _words(paragraph)
+def _judged(words: Column, model: LicenceModel) -> Column:
+    """struct (k, score, similarity, sure) of the words of one unit: the best of the families that are confirmed, or else of all."""
     weights = _literal_map({g: F.array(*map(F.lit, map(float, w))) for g, w in model.weights.items()})
     own = F.concat(_grams(words, 1), _grams(words, 2), _grams(words, 3))
     own = F.array_intersect(own, F.array(*map(F.lit, sorted(model.weights))))
     bias = F.array(*map(F.lit, map(float, model.bias)))
     sums = F.aggregate(own, bias, lambda s, g: F.zip_with(s, F.element_at(weights, g), lambda a, b: a + b))
-    scored = F.transform(sums, lambda x, i: F.struct((1 / (1 + F.exp(-x))).alias("score"), (-i).alias("first")))
-    best = F.array_max(scored)
-    pairs = _grams(words, 2)
-    likeness = []
-    for f in FAMILIES:
-        each = []
-        for t in TEMPLATES[f]:
-            grams = sorted(g for g in grams_of(words_of(t), 2) if " " in g)
-            each.append(F.size(F.array_intersect(pairs, F.array(*map(F.lit, grams)))) / F.lit(float(max(1, len(grams)))))
-        likeness.append(F.greatest(*each))
-    return F.struct((-best["first"]).alias("k"), best["score"].alias("score"), F.array(*likeness).alias("like"))
+
+    def likeness(pairs: Column) -> Column:
+        out = []
+        for f in FAMILIES:
+            each, own = [], [F.lit(0.0)]
+            for t in TEMPLATES[f]:
+                grams = sorted(bigrams_of(t))
+                shared = F.size(F.array_intersect(pairs, F.array(*map(F.lit, grams))))
+                each.append(shared / F.lit(float(max(1, len(grams)))))
+                named = [g for g in grams if set(g.split()) & set(NAMES.get(f, ()))]
+                if named:
+                    own.append(F.when(F.arrays_overlap(pairs, F.array(*map(F.lit, named))), shared / F.greatest(F.size(pairs), F.lit(1))).otherwise(0.0))
+            out.append(F.struct(F.greatest(*each).alias("like"), F.greatest(F.lit(0.0), *own).alias("own")))
+        return F.array(*out)
+
+    like = F.element_at(F.transform(F.array(_grams(words, 2)), likeness), 1)
+
+    def family(x: Column, y: Column) -> Column:
+        score = 1 / (1 + F.exp(-x))
+        sure = (score >= model.threshold) & (F.greatest(y["like"], y["own"]) >= CONFIRMS)
+        return F.struct(sure.alias("sure"), score.alias("score"), y["like"].alias("similarity"))
+
+    scored = F.transform(F.zip_with(sums, like, family), lambda x, i: F.struct(x["sure"].alias("sure"), x["score"].alias("score"), (-i).alias("first"), x["similarity"].alias("similarity")))
+    return F.array_max(scored)
+
+
+_LISTED = "array<struct<paragraph:int,line:int,family:string,score:double,similarity:double,confirmed:boolean>>"
 
 
 def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
-    """``docs`` with ``licences``: array of struct (paragraph, family, score, similarity, confirmed) of candidate paragraphs."""
+    """``docs`` with ``licences``: array of struct (paragraph, line, family, score, similarity, confirmed).
+
+    There is one for every candidate line, and one without a line for each family that only windows of a paragraph show.
+    """
     names = F.array(*map(F.lit, FAMILIES))
 
     def finished(x: Column) -> Column:
-        similar = F.element_at(x["j"]["like"], x["j"]["k"] + 1)
-        sure = (x["j"]["score"] >= model.threshold) & (similar >= CONFIRMS)
-        family = F.when(sure, F.element_at(names, x["j"]["k"] + 1)).otherwise(F.lit("unknown"))
-        return F.struct(x["no"].alias("paragraph"), family.alias("family"), x["j"]["score"].alias("score"), similar.alias("similarity"), sure.alias("confirmed"))
-
-    found = candidate_paragraphs(F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    judged = F.transform(found, lambda x: F.struct(x["no"].alias("no"), _judged(x["p"], model).alias("j")))
-    return docs.withColumn("licences", F.transform(judged, finished))
+        j = _judged(x["w"], model)
+        return F.element_at(F.transform(F.array(F.struct(x["no"].alias("no"), x["line"].alias("line"), j.alias("j"))), listed), 1)
+
+    def listed(x: Column) -> Column:
+        j = x["j"]
+        family = F.when(j["sure"], F.element_at(names, 1 - j["first"])).otherwise(F.lit("unknown"))
+        return F.struct(x["no"].alias("paragraph"), x["line"].alias("line"), family.alias("family"), j["score"].alias("score"), j["similarity"].alias("similarity"), j["sure"].alias("confirmed"))
+
+    own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    out = docs.withColumn("__lines", F.transform(candidate_paragraphs(own), finished).cast(_LISTED)).withColumn("__wide", F.transform(_units(own, lambda x, i: _window_units(x, i, F.col("__lines"))), finished).cast(_LISTED))
+
+    def known(x: Column, others: Column) -> Column:
+        return F.exists(others, lambda y: (y["paragraph"] == x["paragraph"]) & (y["family"] == x["family"]))
+
+    def add(a: Column, x: Column) -> Column:
+        return F.when(x["confirmed"] & ~known(x, a), F.concat(a, F.array(x))).otherwise(a).cast(_LISTED)
+
+    return out.withColumn("licences", F.aggregate("__wide", F.col("__lines"), add)).drop("__lines", "__wide")
 
 
 def report(docs: DataFrame, model: LicenceModel) -> DataFrame:
