@@ -56,27 +56,44 @@ def test_language(spark, edge, empty):
     assert {r["lang_pred"] for r in langid.identify(edge, none).collect()} == {"und"}
 
 
-def test_language_scores_are_the_plain_sums(spark):
-    train = [(i, " ".join(words(30, i, 60)), "s", "ab"[i % 2]) for i in range(40)]
+def test_language_scores_are_the_plain_sums(spark, monkeypatch):
+    alpha = lambda n, seed: [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in words(n, seed, 60)]
+    train = [(i, " ".join(alpha(30, i)), "s", "abc"[i % 3]) for i in range(60)]
     model = langid.fit(docs_of(spark, train))
     scorer = langid.Scorer(model)
-    scorer.PART = 50  # many parts
-    texts = [" ".join(words(40, 100 + i, 90)) + " w5x, w5xyz" for i in range(5)] + [None, "", "!!"]
+    monkeypatch.setattr(langid, "PART", 50)  # many parts
+    texts = [" ".join(alpha(40, 100 + i)) + " wfx, wfxyz" for i in range(5)] + [None, "", "!!", "wab" * 70 + " wab", "x" * 130]
     sums, _ = scorer.votes(texts)
     for text, got in zip(texts, sums, strict=True):
-        want = np.zeros(2)
+        want = np.zeros(3)
         for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
             if w in model.words:
-                want += model.votes[model.words[w]]
+                want += model.votes(model.words[w], 0)
                 continue
             padded = f" {w} "
             for n in langid.ORDERS:
-                if own := [model.votes[model.grams[g]] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in model.grams]:
+                if own := [model.votes(model.grams[g], n) for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in model.grams]:
                     want += np.mean(own, axis=0)
                     break
         assert got == pytest.approx(want, abs=1e-4)
 
 
+def test_language_letters(spark):
+    model = langid.fit(docs_of(spark, [(1, "the cat", "s", "en"), (2, "der hund", "s", "de")]))
+    texts = ["½ ² Ⅷ ①", "12 _ !", "\U00030000", "ª", "é", "\u0301"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs_of(spark, list(enumerate(texts))), model).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, False, False, False, True]
+
+
+def test_every_language_is_learnt(spark):
+    """Of 230 languages, beyond any former bound, the rarest is found as well."""
+    name = lambda i: "".join(chr(97 + d) for d in divmod(i, 16))
+    train = [(i, f"{name(i)}ki {name(i)}tu {name(i)}mo", "s", f"l{i:03d}") for i in range(230)] + [(1000 + i, "ppki pptu", "s", "l000") for i in range(20)]
+    model = langid.fit(docs_of(spark, train))
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs_of(spark, [(i, f"{name(i)}tu {name(i)}mo", "s") for i in (1, 117, 229)]), model).collect()}
+    assert len(model.langs) == 230 and got == {1: "l001", 117: "l117", 229: "l229"}
+
+
 def test_language_held_out(spark):
     got = queries.op1_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out AND lang IS NOT NULL")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
@@ -87,6 +104,7 @@ def test_language_held_out(spark):
 
 def test_packing_round_trip(spark, edge, empty):
     rows = EDGE + [(100 + i, " ".join(words(random.Random(i).randrange(1, 900), i))) for i in range(150)]
+    rows += [(300, "a <|endoftext|> b"), (301, "<|endoftext|><|endoftext|>"), (302, "x  <|endoftext|>  <|endoftext|"), (303, "<|endoftext|> end " * 900)]
     got = packing.pack(docs_of(spark, rows)).collect()
     from tokenizers import Tokenizer
     import public_tokenizers
@@ -285,6 +303,20 @@ def test_near_documents(spark, edge, empty):
     assert {r["doc_id"] for r in minhash.deduplicated(docs_of(spark, rows)).collect()} == {d for d, (_, c) in brute_documents(rows).items() if d == c}
 
 
+def test_a_large_group_and_a_very_long_text(spark, monkeypatch):
+    """Groups beyond what is compared with one copy of a centre, many blocks, and a text of 20 MB."""
+    monkeypatch.setattr(minhash, "GROUP", 16)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 16)
+    base = words(150, 1, 10**6)
+    rows = [(i, " ".join([*base[:140], *words(3, i, 10**6), *base[140:]])) for i in range(300)]
+    rows += [(1000 + i, " ".join([*words(100, 5000 + i // 3, 10**6), str(i)])) for i in range(60)]
+    long = " ".join(words(200, 3, 10**6)) * 15_000
+    rows += [(5000, long), (5001, long + " one more"), (5002, "y" * 20_000_000)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i // 3 * 3 for i in range(60))
+    assert (got[5000], got[5001], got[5002]) == (5000, 5000, 5002)
+
+
 def test_similarity_estimate():
     draw = np.random.default_rng(7)
     for share in (0.5, 0.75, 0.9):
@@ -308,6 +340,30 @@ def test_toxicity(spark, edge, empty):
     out = {r["doc_id"]: r["score"] for r in toxicity.score(docs_of(spark, [(1, " ".join(words(40, 999)) + " vile wretch"), (2, " ".join(words(40, 998))), (3, None)]), model).collect()}
     assert out[1] > 0.5 > out[2] and 0 <= out[3] < 0.5
     assert toxicity.score(edge, model).count() == len(EDGE)
+    # plain FTRL-proximal over the same shard, coordinate by coordinate
+    z, n, bias = defaultdict(float), defaultdict(float), -1
+
+    def weight(i):
+        if i != bias and abs(z[i]) <= 2.0:
+            return 0.0
+        return -(z[i] - (0 if i == bias else np.sign(z[i]) * 2.0)) / ((1.0 + np.sqrt(n[i])) / 2.0)
+
+    plain = docs_of(spark, rows).join(labels.where("y IN (0, 1) AND doc_id IS NOT NULL"), "doc_id").select("text", "y", F.xxhash64("text", "y").alias("order")).orderBy("order", "text").collect()
+    for turn in range(2):
+        if turn:  # a new round starts from weights and sums of squares of what is not zero
+            kept = {i: (weight(i), n[i]) for i in list(z) if weight(i) or i == bias}
+            z, n = defaultdict(float), defaultdict(float)
+            for i, (w, m) in kept.items():
+                n[i], z[i] = m, -(w * (1.0 + np.sqrt(m)) / 2.0 + (0 if i == bias else np.sign(w) * 2.0))
+        for r in plain * 4:
+            at = [*np.unique(toxicity.features(r["text"])).tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - r["y"]
+            for i in at:
+                z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / 2.0 * w[i]
+                n[i] += g * g
+    assert model.bias == pytest.approx(weight(bias), abs=1e-6)
+    assert dict(zip(model.ids.tolist(), model.weights.tolist())) == pytest.approx({i: weight(i) for i in list(z) if i != bias and weight(i)}, abs=1e-6)
     none = toxicity.fit(empty, labels.limit(0))
     assert all(r["score"] < 0.01 for r in toxicity.score(edge, none).collect())
 
@@ -458,6 +514,16 @@ def test_vocabularies_agree():
         assert list(np.frombuffer(ids.of(text), "<u4")) == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_hashes_of_long_words(monkeypatch):
+    monkeypatch.setattr(hashing, "PART", 7)
+    inside = np.array([b != 32 for b in range(256)])
+    for seed in range(300):
+        draw = random.Random(seed)
+        symbols = np.frombuffer(bytes(draw.choice(b"ab     " if seed % 3 else b"abab cd") for _ in range(draw.randrange(60))), np.uint8)
+        want = hashing.Rolling(symbols).spans(*hashing.runs(inside[symbols]))
+        assert hashing.word_hashes(symbols, inside).tolist() == want.tolist()
+
+
 def test_rolling_hashes():
     codes = np.array([5, 1, 2, 9, 1, 2], np.uint32)
     r = hashing.Rolling(codes)

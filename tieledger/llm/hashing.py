@@ -16,26 +16,67 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _steps(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(steps, dtype=np.uint64)
+
+
+#: Symbols hashed at a time; powers are kept for so many and no more.
+PART = 1 << 16
+_POWERS, _INVERSES = _steps(_BASE, PART + 1), _steps(_INVERSE, PART + 1)
+
+
 class Rolling:
     """Hashes of any spans of one array of symbols; equal spans hash alike in any array."""
 
-    _powers = _inverses = np.ones(1, np.uint64)
-
     def __init__(self, symbols: np.ndarray):
         n = len(symbols) + 1
-        if len(Rolling._powers) < n:
-            with np.errstate(over="ignore"):
-                for name, base in (("_powers", _BASE), ("_inverses", _INVERSE)):
-                    steps = np.full(2 * n, base, np.uint64)
-                    steps[0] = 1
-                    setattr(Rolling, name, np.cumprod(steps, dtype=np.uint64))
+        powers, self.inverses = (_POWERS, _INVERSES) if n <= len(_POWERS) else (_steps(_BASE, n), _steps(_INVERSE, n))
+        self.sums = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
-            terms = (symbols.astype(np.uint64) + np.uint64(1)) * Rolling._powers[: n - 1]
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+            terms = symbols.astype(np.uint64)
+            terms += np.uint64(1)
+            terms *= powers[: n - 1]
+            np.cumsum(terms, dtype=np.uint64, out=self.sums[1:])
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def plain(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Polynomials of spans, of which those of a span's parts make up the whole's."""
         with np.errstate(over="ignore"):
-            return mixed((self.sums[ends] - self.sums[starts]) * Rolling._inverses[starts])
+            return (self.sums[ends] - self.sums[starts]) * self.inverses[starts]
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed(self.plain(starts, ends))
+
+
+def word_hashes(symbols: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of symbols that ``inside`` (a table by symbol) admits, as ``Rolling.spans`` gives them.
+
+    The array is read in parts, so that no more than a part is held besides the hashes; a word over several parts is
+    put together from its polynomials.
+    """
+    out, open_, size = [], None, 0
+    for at in range(0, len(symbols), PART):
+        part = symbols[at : at + PART]
+        starts, ends = runs(inside[part])
+        begins = len(starts) > 0 and starts[0] == 0
+        if open_ is not None and not begins:
+            out.append(mixed(np.array([open_], np.uint64)))
+            open_ = None
+        if not len(starts):
+            continue
+        h = Rolling(part).plain(starts, ends)
+        if open_ is not None:
+            h[0] = (open_ + pow(_BASE, size, 2**64) * int(h[0])) % 2**64
+            size += int(ends[0])
+        if ends[-1] == len(part) and at + PART < len(symbols):
+            size = size if open_ is not None and len(h) == 1 else int(ends[-1] - starts[-1])
+            open_, h = int(h[-1]), h[:-1]
+        else:
+            open_ = None
+        out.append(mixed(h))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,8 @@ A known word votes with its log frequency in every language.  An unseen word fal
 n-grams of it that are known, then to shorter ones, down to single letters.  The votes of all words of the whole text
 are added.
 
+A letter is a character of Unicode's category L; number forms such as ``½`` or ``Ⅷ`` are none.
+
 Defined cases: a text that is null or has no letter is ``und`` with score 0; where nothing of a text is known the most
 frequent language of the training rows is returned; without training rows every text is ``und``; equal sums go to the
 smaller language code; repeated rows are scored alike; input columns named like the new ones are replaced.
@@ -11,10 +13,11 @@ smaller language code; repeated rows are scored alike; input columns named like
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,18 +28,65 @@ from tieledger.llm.hashing import Lookup, Rolling, runs
 
 #: Longest n-grams first.
 ORDERS = (5, 4, 3, 2, 1)
-_WORD = re.compile(r"[^\W\d_]+")
+#: Characters looked at together; longer texts are read in parts that end between words.
+PART = 1 << 16
+
+
+@cache
+def letters() -> np.ndarray:
+    """For every code point whether it is a letter: category L."""
+    return np.array([unicodedata.category(chr(i))[0] == "L" for i in range(0x110000)])
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def parts_of(text: str) -> Iterator[str]:
+    """The text in parts of about ``PART`` characters, in lower case; no run of letters is cut, however long it is."""
+    at, size = 0, PART
+    while at < len(text):
+        window = text[at : at + size]
+        if at + len(window) < len(text):
+            others = np.flatnonzero(~letters()[codes_of(window)])
+            if not len(others):
+                size *= 2  # all letters so far: one word
+                continue
+            window = window[: int(others[-1]) + 1]
+        yield window.lower()
+        at, size = at + len(window), PART
+
+
+def words_of(text: str) -> list[str]:
+    out = []
+    for part in parts_of(text):
+        starts, ends = runs(letters()[codes_of(part)])
+        out += [part[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return out
 
 
 @dataclass
 class LangModel:
-    """Languages, and for every word or n-gram a row of ``votes``; bounded by the ``max_*`` settings of the fit."""
+    """Languages, and for every word or n-gram a row of votes, sparse over the languages.
+
+    The vote of key k for language l is ``base[group of k, l]``, plus the value that ``more`` has for (k, l) where the key was seen in
+    that language; group 0 has the words, the others n-grams by length.  What is the same for all languages is left out.
+    """
 
     langs: list[str]
     prior: int
     words: dict[str, int]
     grams: dict[str, int]
-    votes: np.ndarray
+    base: np.ndarray
+    begins: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    lang_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    more: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+
+    def votes(self, key: int, group: int) -> np.ndarray:
+        out = self.base[group].astype(float)
+        at = slice(self.begins[key], self.begins[key + 1])
+        out[self.lang_of[at]] += self.more[at]
+        return out
 
 
 def _counts(what: str):
@@ -46,151 +96,153 @@ def _counts(what: str):
             for lang, key, n in zip(rows["lang"], rows["key"], rows["n"], strict=True):
                 held = seen.setdefault(lang, Counter())
                 if what == "words":
-                    held.update(_WORD.findall(key.lower()))
+                    held.update(words_of(key))
                 else:
                     padded = f" {key} "
                     for order in ORDERS:
                         for i in range(len(padded) - order + 1):
                             held[padded[i : i + order]] += n
-        for lang, held in seen.items():
-            items = list(held.items())
-            for i in range(0, len(items), 50_000):
-                part = items[i : i + 50_000]
-                yield pd.DataFrame({"lang": lang, "key": [k for k, _ in part], "n": [n for _, n in part]})
+            if sum(map(len, seen.values())) > 200_000:
+                yield from _frames(seen)
+                seen = {}
+        yield from _frames(seen)
 
     return run
 
 
-def fit(labelled: DataFrame, max_docs_per_lang: int = 2500, max_words: int = 40_000, max_grams: int = 60_000, max_langs: int = 200) -> LangModel:
-    """Fit on rows (text, lang), both not null.
+def _frames(seen: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+    for lang, held in seen.items():
+        items = list(held.items())
+        for i in range(0, len(items), 50_000):
+            part = items[i : i + 50_000]
+            yield pd.DataFrame({"lang": lang, "key": [k for k, _ in part], "n": [n for _, n in part]})
+
+
+def fit(labelled: DataFrame, max_docs_per_lang: int = 2500, max_words: int = 40_000, max_grams: int = 60_000, least_keys: int = 500) -> LangModel:
+    """Fit on rows (text, lang), both not null; every language of the rows is learnt.
 
     The counting is a Spark job over a bounded sample of the labelled rows: about ``max_docs_per_lang`` for each
-    language, chosen by a hash of the text, so that rare languages are there in full.  What reaches the driver is
-    bounded by ``max_words`` and ``max_grams`` for all languages together.
+    language, chosen by a hash of the text, so that rare languages are there in full.  Languages share ``max_words`` and
+    ``max_grams`` keys, but each has ``least_keys`` of either, so what reaches the driver is bounded by them and by the number
+    of languages.
     """
     labelled = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return LangModel([], 0, {}, {}, np.zeros((0, 0), np.float32))
+        return LangModel([], 0, {}, {}, np.zeros((len(ORDERS) + 1, 0)))
     keep = F.create_map(*[F.lit(x) for k in langs for x in (k, int(2**31 * min(1.0, max_docs_per_lang / sizes[k])))])
     sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(2**31)) < keep[F.col("lang")])
     schema = "lang string, key string, n long"
     total = lambda df: df.groupBy("lang", "key").agg(F.sum("n").alias("n"))
     words = total(sample.select("lang", F.col("text").alias("key"), F.lit(1).alias("n")).mapInPandas(_counts("words"), schema)).persist()
-    grams = total(words.mapInPandas(_counts("grams"), schema))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "key")
+    grams = total(words.mapInPandas(_counts("grams"), schema)).withColumn("o", F.length("key"))
 
-    def top(df: DataFrame, most: int, order: Column | None = None) -> list:
-        by = best if order is None else Window.partitionBy("lang", order).orderBy(F.desc("n"), "key")
-        per = most // len(langs) // (1 if order is None else len(ORDERS))
-        keys = df.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per).select("key").distinct()
-        sums = df.groupBy(F.length("key").alias("o"), "lang").agg(F.sum("n").alias("all"))
-        return df.join(keys, "key").collect(), {(r["o"], r["lang"]): r["all"] for r in sums.collect() if r["o"] <= max(ORDERS) or order is None}
+    def top(df: DataFrame, most: int, by: list[str]) -> tuple[list, dict]:
+        per = max(most // len(langs), least_keys) // (len(ORDERS) if len(by) > 1 else 1)
+        order = Window.partitionBy(*by).orderBy(F.desc("n"), "key")
+        keys = df.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per).select("key").distinct()
+        sums = df.groupBy(*by).agg(F.sum("n").alias("all")).collect()
+        return df.join(keys, "key").select("key", "lang", "n").collect(), {(r["o"] if len(by) > 1 else 0, r["lang"]): r["all"] for r in sums}
 
-    (word_rows, word_sums), (gram_rows, gram_sums) = top(words, max_words), top(grams, max_grams, F.length("key"))
+    (word_rows, word_sums), (gram_rows, gram_sums) = top(words, max_words, ["lang"]), top(grams, max_grams, ["lang", "o"])
     words.unpersist()
-    votes: list[np.ndarray] = []
-
-    def table(rows: list, sums: dict, by_order: bool) -> dict[str, int]:
-        counts: dict[str, np.ndarray] = {}
+    number = {k: i for i, k in enumerate(langs)}
+    alls = np.zeros((len(ORDERS) + 1, len(langs)))
+    for (group, lang), n in [*word_sums.items(), *gram_sums.items()]:
+        alls[group, number[lang]] = n
+    ids: list[dict[str, int]] = []
+    begins, lang_of, more = [0], [], []
+    for rows in (word_rows, gram_rows):
+        seen: dict[str, list[tuple[int, int]]] = {}
         for r in rows:
-            counts.setdefault(r["key"], np.zeros(len(langs)))[langs.index(r["lang"])] = r["n"]
-        alls: dict[int, np.ndarray] = {}
-        for (order, lang), n in sums.items():
-            alls.setdefault(order if by_order else 0, np.zeros(len(langs)))[langs.index(lang)] += n
-        ids = {}
-        for key in sorted(counts):
-            share = (counts[key] + 0.5) / (alls[len(key) if by_order else 0] + 1.0)
-            ids[key] = len(votes)
-            votes.append(np.log(share / share.sum()))
-        return ids
-
-    word_ids, gram_ids = table(word_rows, word_sums, False), table(gram_rows, gram_sums, True)
+            seen.setdefault(r["key"], []).append((number[r["lang"]], r["n"]))
+        first = len(begins) - 1
+        ids.append({key: first + i for i, key in enumerate(sorted(seen))})
+        for key in sorted(seen):
+            lang_of += [k for k, _ in sorted(seen[key])]
+            more += [np.log((n + 0.5) / 0.5) for _, n in sorted(seen[key])]
+            begins.append(len(more))
     prior = max(range(len(langs)), key=lambda i: (sizes[langs[i]], -i))
-    return LangModel(langs, prior, word_ids, gram_ids, np.array(votes, np.float32).reshape(-1, len(langs)))
-
-
-def _letters() -> np.ndarray:
-    """For every code point whether it is a letter, as ``_WORD`` has it."""
-    table = np.zeros(0x110000, bool)
-    table[[i for i in range(0x30000) if (c := chr(i)).isalnum() and _WORD.fullmatch(c)]] = True
-    return table
+    return LangModel(langs, prior, *ids, np.log(0.5 / (alls + 1.0)), np.array(begins, np.int64), np.array(lang_of, np.int32), np.array(more, np.float32))
 
 
 class Scorer:
     """Scores texts, many at a time, with arrays over all their letters."""
 
-    #: Letters scored at a time; longer texts are scored in parts, cut between words.
-    PART = 400_000
-
     def __init__(self, model: LangModel):
-        self.model, self.letters = model, _letters()
-        self.words = Lookup(self._hashes(model.words))
-        by_order = {n: [g for g in model.grams if len(g) == n] for n in ORDERS}
-        self.grams = {n: (Lookup(self._hashes(keys)), np.array([model.grams[g] for g in keys], np.int64)) for n, keys in by_order.items() if keys}
+        self.langs, self.prior, self.base = model.langs, model.prior, model.base
+        self.begins, self.lang_of, self.more = model.begins, model.lang_of, model.more
+        self.words = self._table(model.words)
+        self.grams = {n: self._table({g: i for g, i in model.grams.items() if len(g) == n}) for n in ORDERS}
 
     @staticmethod
-    def _hashes(keys) -> np.ndarray:
-        codes = np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), "<u4")
-        ends = np.cumsum([len(k) for k in keys]).astype(np.int64)
-        return Rolling(codes).spans(np.concatenate([[0], ends[:-1]]).astype(np.int64), ends) if len(ends) else np.zeros(0, np.uint64)
+    def _table(ids: dict[str, int]) -> tuple[Lookup, np.ndarray]:
+        ends = np.cumsum([len(k) for k in ids]).astype(np.int64)
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)]
+        return Lookup(Rolling(codes_of("".join(ids))).spans(starts, ends)), np.array(list(ids.values()), np.int64)
 
     def parts(self, texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
         """Numbers of texts and the parts of them that are scored together."""
         of, own, size = [], [], 0
         for i, text in enumerate(texts):
-            while text:
-                cut = len(text) if len(text) <= self.PART else (text.rfind(" ", 0, self.PART) + 1 or self.PART)
+            for part in parts_of(text or ""):
                 of.append(i)
-                own.append(text[:cut].lower())
-                size += cut
-                text = text[cut:]
-                if size >= self.PART:
+                own.append(part)
+                size += len(part)
+                if size >= PART:
                     yield of, own
                     of, own, size = [], [], 0
         if own:
             yield of, own
 
+    def _add(self, sums: np.ndarray, group: int, doc: np.ndarray, key: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the votes of keys, each with its weight, to the sums of their texts."""
+        n, k = sums.shape
+        sums += np.bincount(doc, weight, n)[:, None] * self.base[group]
+        each = self.begins[key + 1] - self.begins[key]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.begins[key], each)
+        cells = np.repeat(doc, each) * k + self.lang_of[at]
+        sums += np.bincount(cells, self.more[at] * np.repeat(weight, each), n * k).reshape(n, k)
+
     def votes(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """For every text the sums of its votes, and its number of words."""
-        sums, n_words = np.zeros((len(texts), len(self.model.langs))), np.zeros(len(texts), np.int64)
+        sums, n_words = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
         for of, own in self.parts(texts):
-            codes = np.frombuffer((" " + " ".join(own) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
-            inside = self.letters[codes]
+            codes = codes_of(" " + " ".join(own) + " ")
+            inside = letters()[codes]
             starts, ends = runs(inside)
             if not len(starts):
                 continue
+            lo, hi = of[0], of[-1] + 1
             text_starts = np.cumsum([1] + [len(t) + 1 for t in own[:-1]])
-            doc = np.asarray(of)[np.searchsorted(text_starts, starts, side="right") - 1]
-            np.add.at(n_words, doc, 1)
+            doc = np.asarray(of)[np.searchsorted(text_starts, starts, side="right") - 1] - lo
+            part = np.zeros((hi - lo, len(self.langs)))
+            n_words[lo:hi] += np.bincount(doc, minlength=hi - lo)
             rolling = Rolling(np.where(inside, codes, 32))
-            at = self.words.find(rolling.spans(starts, ends))
+            lookup, ids = self.words
+            at = lookup.find(rolling.spans(starts, ends))
             known = at >= 0
-            found = [(doc[known], self.model.votes[at[known]])]
+            self._add(part, 0, doc[known], ids[at[known]], np.ones(int(known.sum())))
             left = np.flatnonzero(~known)
             for order in ORDERS:
-                if not len(left) or order not in self.grams:
-                    continue
                 lookup, ids = self.grams[order]
+                if not len(left) or not len(ids):
+                    continue
                 each = np.maximum(0, ends[left] - starts[left] + 3 - order)
                 word = np.repeat(np.arange(len(left)), each)
                 begin = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + starts[left][word] - 1
                 at = lookup.find(rolling.spans(begin, begin + order))
                 hit = at >= 0
-                word, own_votes = word[hit], self.model.votes[ids[at[hit]]]
+                word = word[hit]
                 n = np.bincount(word, minlength=len(left))
-                mean = np.stack([np.bincount(word, own_votes[:, k], len(left)) for k in range(sums.shape[1])], axis=1)
-                done = n > 0
-                found.append((doc[left[done]], mean[done] / n[done, None]))
-                left = left[~done]
-            for to, votes in found:
-                for k in range(sums.shape[1]):
-                    sums[:, k] += np.bincount(to, votes[:, k], len(texts))
+                self._add(part, order, doc[left][word], ids[at[hit]], 1 / n[word])
+                left = left[n == 0]
+            sums[lo:hi] += part
         return sums, n_words
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        langs, prior = self.model.langs, self.model.prior
+        langs, prior = self.langs, self.prior
         if not langs:
             return [("und", 0.0)] * len(texts)
         sums, n_words = self.votes(texts)
@@ -201,11 +253,11 @@ class Scorer:
 
 def identify(df: DataFrame, model: LangModel, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """``df`` with the predicted language of every whole text and its share of the votes, from 0 to 1."""
-    model_of = df.sparkSession.sparkContext.broadcast(model)
+    scorer_of = df.sparkSession.sparkContext.broadcast(Scorer(model))
 
     @F.pandas_udf("struct<lang:string,score:double>")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model_of.value)
+        scorer = scorer_of.value
         for texts in batches:
             yield pd.DataFrame(scorer.score(list(texts)), columns=["lang", "score"])
 

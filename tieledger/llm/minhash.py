@@ -29,12 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieledger.llm.hashing import Rolling, mixed, runs
+from tieledger.llm.hashing import mixed, word_hashes
 from tieledger.operators.components import connected_components
 from tieledger.sources.tables import cut
 
 WORDS, BANDS, ROWS, BITS = 5, 32, 4, 4
 HASHES = BANDS * ROWS
+#: Members that are compared with one copy of a centre; documents and shingles of a block, of which two are compared at a time.
+GROUP, BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1024, 2_000_000
 _SPACES = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -42,8 +44,7 @@ _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of a whole text; A-Z count as a-z."""
-    symbols = np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8)
-    h = Rolling(symbols).spans(*runs(~_SPACES[symbols]))
+    h = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass").lower(), np.uint8), ~_SPACES)
     if not len(h):
         return h
     k = min(words, len(h))
@@ -129,10 +130,12 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
     """Pairs (a, fa, b, fb) of doc_ids with the fingerprints of their sets -> those (a, b) similar on full sets.
 
-    The members of a centre b are dealt into groups by a hash; the centre's text goes to each of them.  A task holds one
-    centre's set at a time.  Where rows share a doc_id, the fingerprint tells whose set is meant.
+    The members of a centre b are dealt by a hash into groups of about ``GROUP``; the centre's text goes to each of them.  A
+    task holds one centre's set at a time.  Where rows share a doc_id, the fingerprint tells whose set is meant.
     """
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(64)))
+    large = pairs.groupBy("b", "fb").agg(F.ceil(F.count("*") / GROUP).alias("groups")).where("groups > 1")
+    salted = pairs.join(large, ["b", "fb"], "left")
+    salted = salted.withColumn("salt", F.when(F.col("groups").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), F.col("groups"))))
     members = salted.select(F.col("a").alias("doc_id"), F.col("fa").alias("fp"), "b", "fb", "salt", F.lit(1).alias("role"))
     centres = salted.select("b", "fb", "salt").distinct()
     centres = centres.select(F.col("b").alias("doc_id"), F.col("fb").alias("fp"), "b", "fb", "salt", F.lit(0).alias("role"))
@@ -220,6 +223,10 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
+def _block(doc: np.ndarray, blocks: int) -> np.ndarray:
+    return (mixed(doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
 def _plausible(percent: int, sure: int, blocks: int):
     """Cells of buckets, sorted -> pairs of a stray and a member that may be similar, packed by blocks of documents."""
     marks = np.uint64(int("1" * (64 // BITS), 16))
@@ -249,18 +256,35 @@ def _plausible(percent: int, sure: int, blocks: int):
                 begin = end
             if found:
                 pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                frame = pd.DataFrame({"x": pairs[0], "y": pairs[1], "bx": pairs[0] % blocks, "by": pairs[1] % blocks})
+                frame = pd.DataFrame({"x": pairs[0], "y": pairs[1], "bx": _block(pairs[0], blocks), "by": _block(pairs[1], blocks)})
                 packed_rows = [(bx, by, g["x"].to_numpy(np.int64).tobytes(), g["y"].to_numpy(np.int64).tobytes()) for (bx, by), g in frame.groupby(["bx", "by"])]
                 yield pd.DataFrame(packed_rows, columns=["bx", "by", "xs", "ys"])
 
     return run
 
 
-def _once(rows: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of two blocks of documents, each once, and the documents on them."""
-    pairs = np.stack([np.concatenate([np.frombuffer(b, np.int64) for b in rows[c]]) for c in ("xs", "ys")])
-    pairs = np.unique(pairs, axis=1)
-    return pd.DataFrame({"bx": rows["bx"].iloc[:1], "by": rows["by"].iloc[:1], "xs": [pairs[0].tobytes()], "ys": [pairs[1].tobytes()], "docs": [np.unique(pairs).tolist()]})
+def _once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All pairs of two blocks of documents, each once, and the documents on them; rows come sorted by blocks."""
+    at, held, more = None, np.zeros((2, 0), np.int64), []
+
+    def merged() -> np.ndarray:
+        return np.unique(np.concatenate([held, *more], axis=1), axis=1)
+
+    def row() -> pd.DataFrame:
+        pairs = merged()
+        return pd.DataFrame({"bx": [at[0]], "by": [at[1]], "xs": [pairs[0].tobytes()], "ys": [pairs[1].tobytes()], "docs": [np.unique(pairs).tolist()]})
+
+    for rows in batches:
+        for bx, by, xs, ys in zip(rows["bx"], rows["by"], rows["xs"], rows["ys"], strict=True):
+            if at != (bx, by):
+                if at is not None:
+                    yield row()
+                at, held, more = (bx, by), np.zeros((2, 0), np.int64), []
+            more.append(np.stack([np.frombuffer(xs, np.int64), np.frombuffer(ys, np.int64)]))
+            if sum(x.shape[1] for x in more) > 500_000:  # what repeats does not pile up
+                held, more = merged(), []
+    if at is not None:
+        yield row()
 
 
 def _exact(percent: int, words: int):
@@ -288,9 +312,13 @@ def _exact(percent: int, words: int):
             for k in row_of.get(int(xs[part[0]]), ()):
                 held = np.zeros(len(known), bool)
                 held[ids[begins[k] : begins[k] + sizes[k]]] = True
-                both = np.add.reduceat(held[ids].astype(np.int64), begins)
-                same = 100 * both >= percent * (sizes + sizes[k] - both)
-                i += [d for d in own for m in row_of.get(d, ()) if same[m]]
+                rows = [m for d in own for m in row_of.get(d, ())]
+                if not rows:
+                    continue
+                theirs = np.concatenate([ids[begins[m] : begins[m] + sizes[m]] for m in rows])
+                both = np.add.reduceat(held[theirs].astype(np.int64), np.cumsum(sizes[rows]) - sizes[rows])
+                same = 100 * both >= percent * (sizes[rows] + sizes[k] - both)
+                i += docs[np.array(rows)[same]].tolist()
                 j += [int(xs[part[0]])] * (len(i) - len(j))
         ends = np.unique(np.array(i + j, np.int64))
         if not len(ends):
@@ -310,12 +338,14 @@ def _exact(percent: int, words: int):
     return run
 
 
-def _strays_confirmed(members: DataFrame, texts: DataFrame, percent: int, words: int, sure: int, block: int = 2048) -> DataFrame:
+def _strays_confirmed(members: DataFrame, texts: DataFrame, percent: int, words: int, sure: int) -> DataFrame:
     """Links of what is not in a bucket's main label with all others of the bucket, tested exactly.
 
-    Pairs are never rows.  Cells of at most about ``block`` by ``block`` members of a bucket make packed lists of plausible
-    pairs; these are brought together by blocks of documents, each block's texts once, and tested there.
+    Pairs are never rows.  Cells of at most about ``BLOCK_DOCS`` members of a bucket squared make packed lists of plausible
+    pairs; these are brought together by blocks of documents, each block's texts once, and tested there.  Documents are dealt
+    into blocks by a hash, as many as keep a block's documents and shingles near their bounds.
     """
+    block = BLOCK_DOCS
     todo = _mixed(members)
     sizes = todo.groupBy("key", "comp").agg(F.count("*").alias("c"))
     main = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.ceil(F.sum("c") / block).cast("int").alias("parts"))
@@ -324,10 +354,12 @@ def _strays_confirmed(members: DataFrame, texts: DataFrame, percent: int, words:
     cols = ["key", "doc", "n", "sig", "comp", "stray"]
     one = marked.where("stray").select(*cols, F.lit(0).alias("role"), F.col("part").alias("i"), F.explode(others).alias("j"))
     two = marked.select(*cols, F.lit(1).alias("role"), F.explode(others).alias("i"), F.col("part").alias("j"))
-    blocks = max(1, -(-texts.count() // block))
+    n_docs, n_shingles = members.select("doc", "n").distinct().agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, -(-n_docs // block), -(-n_shingles // BLOCK_SHINGLES))
     cells = one.unionByName(two).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
     packed_pairs = cells.mapInPandas(_plausible(percent, sure, blocks), "bx long, by long, xs binary, ys binary")
-    pairs = cut(packed_pairs.groupBy("bx", "by").applyInPandas(_once, "bx long, by long, xs binary, ys binary, docs array<long>"))
+    packed_pairs = packed_pairs.repartition("bx", "by").sortWithinPartitions("bx", "by")
+    pairs = cut(packed_pairs.mapInPandas(_once, "bx long, by long, xs binary, ys binary, docs array<long>"))
     wanted = pairs.select(F.col("bx").alias("tx"), F.col("by").alias("ty"), F.explode("docs").alias("doc_id"))
     with_text = wanted.join(texts.select("doc_id", "text"), "doc_id")
     return cut(pairs.drop("docs").groupBy("bx", "by").cogroup(with_text.groupBy("tx", "ty")).applyInPandas(_exact(percent, words), "a long, b long"))

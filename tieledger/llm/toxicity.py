@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tieledger.llm.hashing import Rolling, mixed, runs
+from tieledger.llm.hashing import mixed, word_hashes
 from tieledger.sources.tables import cut
 
 BITS = 20
@@ -31,6 +31,9 @@ class ToxModel:
     bias: float
     ids: np.ndarray
     weights: np.ndarray
+    #: Sums of squared gradients, which set the rates of a next round; of the bias, and by id.
+    bias_n: float = 0.0
+    ns: np.ndarray | None = None
 
 
 #: Bytes that are part of words: ASCII letters and digits, and all bytes of other characters.
@@ -39,22 +42,22 @@ _INSIDE = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
 
 def features(text: str | None) -> np.ndarray:
     """All hashed features of a whole text, repeats included: words, pairs, pairs over one word."""
-    symbols = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
-    h = Rolling(symbols).spans(*runs(_INSIDE[symbols]))
+    h = word_hashes(np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8), _INSIDE)
     with np.errstate(over="ignore"):
         every = np.concatenate([h, mixed(h[:-1] * _PAIR + h[1:]), mixed(h[:-2] * _SKIP + h[2:])])
     return (every >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _train(alpha: float, beta: float, l1: float, l2: float, passes: int, start: ToxModel | None):
-    schema_cols = ["id", "w"]
+    schema_cols = ["id", "w", "n"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         size = (1 << BITS) + 1
         z, n, bias = np.zeros(size), np.zeros(size), size - 1
-        if start is not None:  # z for which the present weights come out at n = 0
-            z[start.ids] = -(start.weights * (beta / alpha + l2) + np.sign(start.weights) * l1)
-            z[bias] = -start.bias * (beta / alpha + l2)
+        if start is not None:  # z for which the present weights come out
+            n[start.ids], n[bias] = start.ns, start.bias_n
+            z[start.ids] = -(start.weights * ((beta + np.sqrt(start.ns)) / alpha + l2) + np.sign(start.weights) * l1)
+            z[bias] = -start.bias * ((beta + np.sqrt(start.bias_n)) / alpha + l2)
         rows = rows.sort_values(["order", "text"], ignore_index=True)
         feats = [np.append(np.unique(features(t)), bias) for t in rows["text"]]
         labels = rows["y"].to_numpy(dtype=float)
@@ -75,7 +78,7 @@ def _train(alpha: float, beta: float, l1: float, l2: float, passes: int, start:
                 z[at] += g - (more - np.sqrt(n[at])) / alpha * w
                 n[at] += g * g
         every = np.append(np.flatnonzero(np.abs(z[:bias]) > l1), bias)
-        return pd.DataFrame({"id": every, "w": weights(every)}, columns=schema_cols)
+        return pd.DataFrame({"id": every, "w": weights(every), "n": n[every]}, columns=schema_cols)
 
     return run
 
@@ -101,12 +104,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 20_000, per_shard: i
         return ToxModel(-100.0, np.zeros(0, np.int64), np.zeros(0))
     model = None
     for _ in range(rounds):
-        parts = sample.groupBy("shard").applyInPandas(_train(alpha, beta, l1, l2, passes, model), "id long, w double")
-        rows = parts.groupBy("id").agg(F.sum("w").alias("w")).collect()
-        rows = sorted((r["id"], r["w"] / used) for r in rows)
-        bias = next((w for i, w in rows if i == 1 << BITS), 0.0)
-        rows = [(i, w) for i, w in rows if i != 1 << BITS and w]
-        model = ToxModel(bias, np.array([i for i, _ in rows], np.int64), np.array([w for _, w in rows]))
+        parts = sample.groupBy("shard").applyInPandas(_train(alpha, beta, l1, l2, passes, model), "id long, w double, n double")
+        rows = parts.groupBy("id").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
+        rows = sorted((r["id"], r["w"] / used, r["n"] / used) for r in rows)
+        bias, bias_n = next(((w, n) for i, w, n in rows if i == 1 << BITS), (0.0, 0.0))
+        rows = [r for r in rows if r[0] != 1 << BITS and r[1]]
+        ids, weights, ns = (np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.int64, float, float)))
+        model = ToxModel(bias, ids, weights, bias_n, ns)
     return model
 
 
