@@ -8,25 +8,35 @@ from pyspark.sql import functions as F
 from tieledger.sources.tables import cut
 
 
-def _with_least(edges: DataFrame, others: Column) -> DataFrame:
-    """Each edge (a, b) with ``m``, the least of a and of the neighbours of a that ``others`` admits."""
-    least = edges.groupBy("a").agg(F.min(F.when(others, F.col("b"))).alias("m0"))
-    least = least.select("a", F.least("a", "m0").alias("m"))
-    return edges.join(least, "a")
+#: Neighbours of a node that one task holds, about; the least number of parts of a node.
+PART, PARTS = 1 << 16, 16
+
+
+def _with_least(edges: DataFrame, others: Column, parts: int) -> DataFrame:
+    """Each edge (a, b) with ``m``, the least of a and of the neighbours of a that ``others`` admits.
+
+    The neighbours of a node are dealt into ``parts``; a part's minimum is brought to the node's and that back to each of its
+    parts, so that no key of a shuffle holds more than a part of a node with very many neighbours.
+    """
+    dealt = edges.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)))
+    own = dealt.groupBy("a", "part").agg(F.min(F.when(others, F.col("b"))).alias("m0"))
+    least = own.groupBy("a").agg(F.min("m0").alias("m0"), F.collect_list("part").alias("held"))  # no more than ``parts``
+    least = least.select("a", F.explode("held").alias("part"), F.least("a", "m0").alias("m"))
+    return dealt.join(least, ["a", "part"]).drop("part")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    stars = _with_least(_both_ways(edges), F.lit(True)).where("b > a")
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
+    stars = _with_least(_both_ways(edges), F.lit(True), parts).where("b > a")
     return stars.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    stars = _with_least(down, F.lit(True))
+    stars = _with_least(down, F.lit(True), parts)
     # the star's centre hangs on its least neighbour, and so do all its smaller neighbours
     own = stars.select("a", F.col("m").alias("b"))
     rest = stars.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -49,7 +59,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        now = cut(_small_star(_large_star(now)))
+        parts = max(PARTS, -(-before[0] // PART))
+        now = cut(_small_star(_large_star(now, parts), parts))
         after = print_of(now)
         if after == before:
             break
