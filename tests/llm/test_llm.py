@@ -491,17 +491,36 @@ def test_token_counts(spark, edge, monkeypatch):
         assert count(text) == r["after"]
 
 
-def test_edits_at_any_place(monkeypatch):
-    monkeypatch.setattr(tokencount, "LEAF", 8)
-    count, draw = TokenIds().count, random.Random(9)
-    bits = ["a", "b", " ", "  ", "\n", "\n\n", "'s", "é", "1", "!", "\t", " ", "\x1c", "word ", " the", "　"]
-    for _ in range(300):
-        text = "".join(draw.choice(bits) for _ in range(draw.randrange(60)))
+@pytest.mark.parametrize("leaf", [4, 8, 40])
+def test_edits_at_any_place(monkeypatch, leaf):
+    """Any cut, whole and broken added tokens, long runs without a firm cut: the tree's count is that of the whole text."""
+    monkeypatch.setattr(tokencount, "LEAF", leaf)
+    ids, draw = TokenIds(), random.Random(9)
+    count = tokencount.Counter(ids)
+    bits = ["a", "b", " ", "  ", "\n", "\n\n", "'s", "'", "é", "1", "22", "!", "...", "\t", "\u3000", "\x1c", "word ", " the", "中文", "的", "e\u0301", "👍", "<|endoftext|>", "<|endof", "text|>", "<", "|", ">", "'ll", "'v", "e"]
+    for turn in range(900):
+        some = draw.sample(bits, draw.randrange(1, 5)) if turn % 2 else bits
+        text = "".join(draw.choice(some) for _ in range(draw.randrange(80)))
         tree = tokencount.Tree.over(text, count)
-        for _ in range(3):
-            text, _n = tree.edit(text, draw.randrange(len(text) + 3), draw.randrange(12), "".join(draw.choice(bits) for _ in range(draw.randrange(5))), count)
+        assert tree.n_tokens == ids.count(text)
+        for _ in range(4):
+            text, _n = tree.edit(text, draw.randrange(len(text) + 3), draw.randrange(12), "".join(draw.choice(some) for _ in range(draw.randrange(5))), count)
             tree = tokencount.Tree.of_row(*tree.row())
-            assert tree.n_tokens == count(text) and tree.n_chars == len(text)
+            assert tree.n_tokens == ids.count(text) and tree.n_chars == len(text)
+
+
+def test_an_edit_encodes_little():
+    """Thousands of characters without white space, and a long text: one edit encodes a few hundred characters."""
+    ids, draw = TokenIds(), random.Random(4)
+    count = tokencount.Counter(ids)
+    texts = ["".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(5000)), "".join(draw.choice("abcdefgh") for _ in range(8000)), "7" * 6000, "ab1.,;" * 2000, " ".join(words(30_000, 1)), "<|endoftext|>" * 500]
+    for text in texts:
+        tree = tokencount.Tree.over(text, count)
+        assert tree.root.height <= 2 * np.log2(tree.root.leaves + 1) + 1
+        for _ in range(20):
+            text, n = tree.edit(text, draw.randrange(len(text)), 3, text[:3], count)
+            assert n <= 6 * tokencount.LEAF and tree.n_tokens == ids.count(text)
+    assert n <= 3 * tokencount.LEAF
 
 
 def test_vocabularies_agree():

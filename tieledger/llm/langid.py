@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tieledger.llm.batches import in_small_batches
 from tieledger.llm.hashing import Lookup, Rolling, runs
 
 #: Longest n-grams first.
@@ -126,7 +127,7 @@ def fit(labelled: DataFrame, max_docs_per_lang: int = 2500, max_words: int = 40_
     ``max_grams`` keys, but each has ``least_keys`` of either, so what reaches the driver is bounded by them and by the number
     of languages.
     """
-    labelled = labelled.select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
+    labelled = in_small_batches(labelled).select("text", "lang").where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
@@ -261,7 +262,8 @@ def identify(df: DataFrame, model: LangModel, text: str = "text", lang_pred: str
         for texts in batches:
             yield pd.DataFrame(scorer.score(list(texts)), columns=["lang", "score"])
 
-    out = df.withColumn("__scored", scored(F.col(f"`{text}`")))
+    # held to be random, so that a filter on the result does not score all texts once more
+    out = in_small_batches(df).withColumn("__scored", scored.asNondeterministic()(F.col(f"`{text}`")))
     return out.withColumn(lang_pred, F.col("__scored.lang")).withColumn(score, F.col("__scored.score")).drop("__scored")
 
 

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tieledger.llm.batches import in_small_batches
 from tieledger.llm.hashing import mixed, word_hashes
 from tieledger.operators.components import connected_components
 from tieledger.sources.tables import cut
@@ -99,7 +100,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield frame.astype({"doc_id": "Int64", "fp": "Int64", "fp2": "Int64"})
 
     schema = "doc_id long, n_shingles long, fp long, fp2 long, sig array<long>, bands array<long>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(run, schema)
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -139,7 +140,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> D
     members = salted.select(F.col("a").alias("doc_id"), F.col("fa").alias("fp"), "b", "fb", "salt", F.lit(1).alias("role"))
     centres = salted.select("b", "fb", "salt").distinct()
     centres = centres.select(F.col("b").alias("doc_id"), F.col("fb").alias("fp"), "b", "fb", "salt", F.lit(0).alias("role"))
-    rows = members.unionByName(centres).join(texts.select("doc_id", "text"), "doc_id")
+    rows = in_small_batches(members).unionByName(centres).join(texts.select("doc_id", "text"), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centre, held = None, None

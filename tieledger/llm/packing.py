@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tieledger.llm.batches import in_small_batches
 from tieledger.llm.tokens import TokenIds
 from tieledger.sources.tables import cut
 
@@ -52,7 +53,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: s
                     out.append((doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES)
+    return in_small_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInPandas(run, PIECES)
 
 
 class _Bins:

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tieledger.llm.batches import in_small_batches
 from tieledger.llm.hashing import mixed, word_hashes
 from tieledger.sources.tables import cut
 
@@ -130,7 +131,8 @@ def score(df: DataFrame, model: ToxModel, text: str = "text", out: str = "score"
                 sums.append(w[np.unique(at[w[at] != 0])].sum())
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(sums, float) + held.bias, -100, 100))))
 
-    return df.withColumn(out, scored(F.col(f"`{text}`")))
+    # held to be random, so that a filter on the result does not score all texts once more
+    return in_small_batches(df).withColumn(out, scored.asNondeterministic()(F.col(f"`{text}`")))
 
 
 def held_out(doc_id: Column) -> Column:
