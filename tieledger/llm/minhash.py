@@ -37,7 +37,7 @@ from tieledger.sources.tables import cut
 WORDS, BANDS, ROWS, BITS = 5, 32, 4, 4
 HASHES = BANDS * ROWS
 #: Members that are compared with one copy of a centre; documents and shingles of a block, of which two are compared at a time.
-GROUP, BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1024, 2_000_000
+GROUP, BLOCK_DOCS, BLOCK_SHINGLES = 128, 1024, 2_000_000
 _SPACES = np.array([b == 0x20 or 0x09 <= b <= 0x0D for b in range(256)])
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
