@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,10 +21,15 @@ def duck():
     return con
 
 
+def plain(x):
+    if x is None or x is pd.NA or x is pd.NaT or isinstance(x, float) and math.isnan(x):
+        return "None"
+    return repr(round(float(x), 6) + 0.0) if isinstance(x, float) else str(x)
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)].convert_dtypes().astype(object)
-    plain = lambda x: None if x is None or x != x or str(x) == "<NA>" else repr(round(float(x), 6) + 0.0) if isinstance(x, float) and not math.isnan(x) else str(x)
-    return sorted([tuple(str(plain(x)) for x in r) for r in frame.itertuples(index=False)])
+    return sorted(tuple(map(plain, r)) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))

@@ -65,8 +65,8 @@ _LOCALS = "^(" + "|".join(W.BOT_LOCAL_PARTS) + ")$"
 _SUBDOMAINS = "^(" + "|".join(W.BOT_SUBDOMAINS) + r")\."
 
 
-def domain_class(domain: Column, local: Column | None = None) -> Column:
-    """struct (class, confidence, evidence) by the first rule that holds."""
+def domain_class(domain: Column, local: Column | None = None, bots: tuple[str, ...] = W.BOT_DOMAINS) -> Column:
+    """struct (class, confidence, evidence) by the first rule that holds; ``bots`` are the domains that are known to be bots'."""
     d, lp = F.lower(F.trim(domain)), F.lower(local if local is not None else F.lit(None).cast("string"))
 
     def out(kind: str, confidence: float, evidence: str) -> Column:
@@ -76,7 +76,7 @@ def domain_class(domain: Column, local: Column | None = None) -> Column:
         F.when(d.isNull() | (d == ""), out("other", 0.0, "empty"))
         .when(lp.rlike(_LOCALS), out("bot", 0.85, "local part"))
         .when(lp.rlike(f"(^|[-_.])({_TOKENS})([-_.]|$)"), out("bot", 0.85, "token of the local part"))
-        .when(d.isin(*W.BOT_DOMAINS), out("bot", 0.95, "bot list"))
+        .when(d.isin(*bots), out("bot", 0.95, "bot list"))
         .when(d.rlike(_SUBDOMAINS), out("bot", 0.9, "bot subdomain"))
         .when(d.isin(*W.PERSONAL_DOMAINS), out("personal", 0.95, "personal list"))
         .when(d.isin(*W.SAAS_DOMAINS), out("saas", 0.9, "saas list"))
@@ -87,9 +87,9 @@ def domain_class(domain: Column, local: Column | None = None) -> Column:
     )
 
 
-def is_bot_email(col: Column) -> Column:
+def is_bot_email(col: Column, bots: tuple[str, ...] = W.BOT_DOMAINS) -> Column:
     local, domain = F.split_part(col, F.lit("@"), F.lit(1)), F.split_part(col, F.lit("@"), F.lit(2))
-    hit = domain.isin(*W.BOT_DOMAINS) | F.lower(local).rlike(_LOCALS) | F.lower(local).rlike(rf"(^|[-_.])({_TOKENS})(\b|[-_.]|$)") | F.lower(domain).rlike(_SUBDOMAINS)
+    hit = domain.isin(*bots) | F.lower(local).rlike(_LOCALS) | F.lower(local).rlike(rf"(^|[-_.])({_TOKENS})(\b|[-_.]|$)") | F.lower(domain).rlike(_SUBDOMAINS)
     return F.coalesce(hit, F.lit(False))
 
 

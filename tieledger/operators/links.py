@@ -51,7 +51,7 @@ def handles(obs: DataFrame) -> DataFrame:
     return obs.where("kind = 'person'").select("user_id", "id", "observed_at", "seq", F.explode(F.array_distinct(F.concat(phones, emails))).alias("handle"))
 
 
-def autolink_persons(obs: DataFrame, links: DataFrame, max_rounds: int = 20) -> DataFrame:
+def autolink_persons(obs: DataFrame, links: DataFrame) -> DataFrame:
     """New links of unlinked person observations that share a handle with a linked one.
 
     The person of the earliest linked observation wins, then the smallest.  Rounds go on until nothing is added, since a
@@ -60,7 +60,7 @@ def autolink_persons(obs: DataFrame, links: DataFrame, max_rounds: int = 20) ->
     every = cut(handles(obs))
     linked = links.select("user_id", F.col("observation_id").alias("id"), "person_id")
     added = None
-    for _ in range(max_rounds):
+    while True:
         owner = every.join(linked, ["user_id", "id"]).groupBy("user_id", "handle").agg(F.min(F.struct("observed_at", "id", "person_id")).alias("first"))
         free = every.join(linked.select("user_id", "id"), ["user_id", "id"], "left_anti")
         new = cut(free.join(owner, ["user_id", "handle"]).groupBy("user_id", "id").agg(F.min("first").alias("first")).select("user_id", "id", F.col("first.person_id").alias("person_id")))

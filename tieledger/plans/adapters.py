@@ -105,6 +105,33 @@ VIEWS = {
         SELECT {_tenant("o_custkey")} AS user_id, 'm' || cast(o_orderkey % 4000 AS string) AS meeting_id, 'Sync ' || o_orderpriority AS title,
                TIMESTAMP '2024-02-19 00:00:00' + (o_orderkey % 300000) * INTERVAL '1' SECOND AS start_at, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'brief ' || cast(o_orderkey AS string) END AS brief_md, o_orderkey AS seq
         FROM {{orders}}""",
+    "lid_map": "SELECT lid, phone AS pn FROM {bridge}",
+    "contacts": f"""
+        SELECT CASE WHEN c_custkey % 4 = 0 THEN cast(c_custkey AS string) || ':2@lid' ELSE {_phone("c_custkey")} || '@s.whatsapp.net' END AS jid,
+               CASE WHEN c_custkey % 4 = 1 THEN {_phone("c_custkey")} END AS phone, CASE WHEN c_custkey % 3 = 1 THEN ' ' WHEN c_custkey % 3 = 2 THEN 'Push Name' || cast(c_custkey AS string) END AS push_name,
+               CASE WHEN c_custkey % 5 = 0 THEN c_name END AS full_name, cast(NULL AS string) AS first_name
+        FROM {{customer}}""",
+    "wa_messages": f"""
+        SELECT CASE WHEN event_type = 'click' THEN {_phone("user_id")} || '@s.whatsapp.net' ELSE 'g' || cast(event_id % 37 AS string) || '@g.us' END AS chat_jid,
+               'm' || cast(event_id AS string) AS msg_id, event_id * 60 AS ts, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS from_me,
+               CASE WHEN event_id % 2 = 0 THEN cast(user_id AS string) || ':1@lid' ELSE {_phone("user_id")} || '@s.whatsapp.net' END AS sender_jid,
+               CASE WHEN event_id % 3 = 0 THEN 'Member Nr' || cast(user_id AS string) WHEN event_id % 3 = 1 THEN ' ' END AS sender_name, 'Club ' || cast(event_id % 37 AS string) AS chat_name, props AS text
+        FROM {{events}} WHERE event_type IN ('click', 'view')""",
+    "mail_people": """
+        SELECT 'th' || cast(o_orderkey AS string) AS thread_id, TIMESTAMP '2024-01-03 00:00:00' + (o_orderkey % 900000) * INTERVAL '1' SECOND AS sent_at, o_orderkey % 6 AS kind,
+               CASE WHEN o_orderkey % 11 = 0 THEN 'no-reply@list' || cast(o_custkey % 5 AS string) || '.test' ELSE 'U.' || cast(o_custkey AS string) || '+x@mail' || cast(o_custkey % 7 AS string) || '.test' END AS from_email,
+               'Sender Nr' || cast(o_custkey AS string) AS from_name, 'u.' || cast((o_custkey * 7) % 1000 AS string) || '@mail1.test' AS to_email
+        FROM {orders}""",
+    "book": f"""
+        SELECT CASE WHEN s_suppkey % 4 = 1 THEN '' ELSE s_name END AS name, '+' || {_phone("s_suppkey")} AS phone, CASE WHEN s_suppkey % 3 <> 0 THEN 'S.' || cast(s_suppkey AS string) || '@Mail1.test' END AS email
+        FROM {{supplier}}""",
+    "attended": f"""
+        SELECT {_tenant("o_custkey")} AS user_id, 'm' || cast(o_orderkey AS string) AS meeting_id, TIMESTAMP '2024-02-19 00:00:00' + (o_orderkey % 300000) * INTERVAL '1' SECOND AS start_at,
+               CASE o_orderkey % 7 WHEN 0 THEN 'Flight to ' || o_orderstatus WHEN 1 THEN 'Birthday' ELSE 'Sync ' || o_orderpriority END AS summary, CASE WHEN o_orderkey % 9 = 0 THEN 'Cancelled' ELSE 'confirmed' END AS status,
+               CASE WHEN o_orderkey % 13 = 0 THEN 'outOfOffice' ELSE 'default' END AS event_type, o_orderkey % 17 = 0 AS all_day,
+               'u' || cast(o_custkey AS string) || '@mail' || cast(o_custkey % 7 AS string) || '.test' AS guest, CASE o_orderkey % 4 WHEN 0 THEN 'ME@self.test' WHEN 1 THEN 'room@resource.calendar.test' WHEN 2 THEN 'no-reply@x.test' ELSE 'Other@mail.test' END AS second,
+               o_orderkey % 12 AS more, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'brief' END AS brief_md, CASE WHEN o_orderkey % 5 <> 0 THEN TIMESTAMP '2024-02-17 12:00:00' + (o_orderkey % 200000) * INTERVAL '1' SECOND END AS generated_at
+        FROM {{orders}}""",
 }
 
 

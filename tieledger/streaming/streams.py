@@ -12,12 +12,18 @@ from tieledger.operators.intake import ingest_observations, ingest_raw_events, p
 from tieledger.operators.links import link_events
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table, or None before its first write."""
+def existing(spark: SparkSession, path: str, batch: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame | None:
+    """A table, or None before its first write; with ``batch``, the partitions ``by`` that the batch has rows for.
+
+    The semi-join is on columns that the table is partitioned by, so other partitions need not be read.
+    """
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
+    return table if batch is None else table.join(batch.select(*by).distinct(), list(by), "left_semi")
 
 
 def _start(stream: DataFrame, each, checkpoint: str, once: bool) -> StreamingQuery:
@@ -29,7 +35,7 @@ def stream_raw_events(stream: DataFrame, table_path: str, checkpoint: str, once:
     """Late and repeated rows never change what is there: each batch adds the keys that the table lacks."""
 
     def each(batch: DataFrame, _: int) -> None:
-        new, _counts = ingest_raw_events(existing(batch.sparkSession, table_path), batch)
+        new, _counts = ingest_raw_events(existing(batch.sparkSession, table_path, batch, ("user_id", "source")), batch)
         new.write.mode("append").partitionBy("user_id", "source").parquet(table_path)
 
     return _start(stream, each, checkpoint, once)
@@ -44,7 +50,7 @@ def stream_observations(stream: DataFrame, table_path: str, links_path: str, che
     """The ledger grows by new keys, and the link events of the new rows are appended."""
 
     def each(batch: DataFrame, _: int) -> None:
-        new, _counts = ingest_observations(existing(batch.sparkSession, table_path), batch)
+        new, _counts = ingest_observations(existing(batch.sparkSession, table_path, batch, ("user_id", "kind")), batch)
         new = new.persist()
         try:
             link_events(new).write.mode("append").parquet(links_path)
