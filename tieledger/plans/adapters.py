@@ -120,7 +120,7 @@ VIEWS = {
     "mail_people": """
         SELECT 'th' || cast(o_orderkey AS string) AS thread_id, TIMESTAMP '2024-01-03 00:00:00' + (o_orderkey % 900000) * INTERVAL '1' SECOND AS sent_at, o_orderkey % 6 AS kind,
                CASE WHEN o_orderkey % 11 = 0 THEN 'no-reply@list' || cast(o_custkey % 5 AS string) || '.test' ELSE 'U.' || cast(o_custkey AS string) || '+x@mail' || cast(o_custkey % 7 AS string) || '.test' END AS from_email,
-               'Sender Nr' || cast(o_custkey AS string) AS from_name, 'u.' || cast((o_custkey * 7) % 1000 AS string) || '@mail1.test' AS to_email
+               CASE WHEN o_custkey % 2 = 0 THEN 'Name' || cast(o_custkey AS string) || ' Push' ELSE 'Sender Nr' || cast(o_custkey AS string) END AS from_name, 'u.' || cast((o_custkey * 7) % 1000 AS string) || '@mail1.test' AS to_email
         FROM {orders}""",
     "book": f"""
         SELECT CASE WHEN s_suppkey % 4 = 1 THEN '' ELSE s_name END AS name, '+' || {_phone("s_suppkey")} AS phone, CASE WHEN s_suppkey % 3 <> 0 THEN 'S.' || cast(s_suppkey AS string) || '@Mail1.test' END AS email
@@ -129,7 +129,7 @@ VIEWS = {
         SELECT {_tenant("o_custkey")} AS user_id, 'm' || cast(o_orderkey AS string) AS meeting_id, TIMESTAMP '2024-02-19 00:00:00' + (o_orderkey % 300000) * INTERVAL '1' SECOND AS start_at,
                CASE o_orderkey % 7 WHEN 0 THEN 'Flight to ' || o_orderstatus WHEN 1 THEN 'Birthday' ELSE 'Sync ' || o_orderpriority END AS summary, CASE WHEN o_orderkey % 9 = 0 THEN 'Cancelled' ELSE 'confirmed' END AS status,
                CASE WHEN o_orderkey % 13 = 0 THEN 'outOfOffice' ELSE 'default' END AS event_type, o_orderkey % 17 = 0 AS all_day,
-               'u' || cast(o_custkey AS string) || '@mail' || cast(o_custkey % 7 AS string) || '.test' AS guest, CASE o_orderkey % 4 WHEN 0 THEN 'ME@self.test' WHEN 1 THEN 'room@resource.calendar.test' WHEN 2 THEN 'no-reply@x.test' ELSE 'Other@mail.test' END AS second,
+               'u' || cast(o_custkey AS string) || '@mail' || cast(o_custkey % 7 AS string) || '.test' AS guest, CASE o_orderkey % 4 WHEN 0 THEN 'ME@self.test' WHEN 1 THEN 'room@resource.calendar.test' WHEN 2 THEN 'no-reply@x.test' ELSE 'Other@post.test' END AS second,
                o_orderkey % 12 AS more, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'brief' END AS brief_md, CASE WHEN o_orderkey % 5 <> 0 THEN TIMESTAMP '2024-02-17 12:00:00' + (o_orderkey % 200000) * INTERVAL '1' SECOND END AS generated_at
         FROM {{orders}}""",
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tieledger.plans import activity_queries, graph_queries, ledger_queries, rule_queries
+from tieledger.plans import activity_queries, graph_queries, identity_queries, ledger_queries, rule_queries, source_queries
 
-_ALL = [*ledger_queries.Q.entries, *graph_queries.Q.entries, *activity_queries.Q.entries, *rule_queries.Q.entries]
+_ALL = [*ledger_queries.Q.entries, *graph_queries.Q.entries, *activity_queries.Q.entries, *rule_queries.Q.entries, *source_queries.Q.entries, *identity_queries.Q.entries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -55,7 +55,7 @@ def check_observation_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     """lines (line_no, value) -> valid rows, rejects (line_no, reason), and a summary row."""
     parsed = lines.where(F.trim("value") != "").select("line_no", F.from_json("value", OBSERVATION).alias("o"), "value")
     payload = F.coalesce(F.to_json(F.from_json(F.get_json_object("value", "$.payload"), "map<string,string>"), {"ignoreNullFields": "false"}), F.lit(None).cast("string"))
-    flat = parsed.select("line_no", "o.*", F.col("o").isNull().alias("broken"), F.get_json_object("value", "$.payload").alias("__payload"), payload.alias("__map"))
+    flat = parsed.select("line_no", "o.*", F.get_json_object("value", "$").isNull().alias("broken"), F.get_json_object("value", "$.payload").alias("__payload"), payload.alias("__map"))
     flat = flat.withColumn("payload", F.when(F.col("__map").isNotNull(), F.col("__payload"))).drop("__payload", "__map")
     valid, rejected = validate_observations(flat.where("NOT broken").drop("broken"))
     rejects = rejected.select("line_no", "reason").unionByName(flat.where("broken").select("line_no", F.lit("json").alias("reason")))
