@@ -14,7 +14,7 @@ from tieledger.sources.tables import cut
 
 def phone_person_map(obs: DataFrame, links: DataFrame) -> DataFrame:
     """Per phone the person of the earliest person observation."""
-    phones = handles(obs).where("handle LIKE 'phone:%'").select("user_id", "id", "observed_at", F.substring("handle", 7, 1000).alias("phone"))
+    phones = handles(obs).where("handle LIKE 'phone:%'").select("user_id", "id", "observed_at", F.substr("handle", F.lit(7)).alias("phone"))
     linked = phones.join(links.select("user_id", "person_id", F.col("observation_id").alias("id")), ["user_id", "id"])
     return linked.groupBy("user_id", "phone").agg(F.min_by("person_id", F.struct("observed_at", "id")).alias("person_id"))
 
@@ -85,17 +85,22 @@ def dm_edges(stats: DataFrame, phone_map: DataFrame, self_ids: DataFrame, as_of)
 def shared_group_edges(members: DataFrame, self_ids: DataFrame, as_of, max_members: int = 30) -> DataFrame:
     """members (user_id, thread_id, person_id, last_at).  Self is put in every thread before the cut to 2..max members.
 
-    The cut comes before the self-join, so a thread makes at most ``max_members ** 2 / 2`` rows.
+    A thread's members are cut to one more than ``max_members`` while they are brought together, so that a row never holds
+    more; pairs are made within the row.
     """
-    when = F.lit(as_of).cast("timestamp")
-    own = members.groupBy("user_id", "thread_id").agg(F.max("last_at").alias("last_at")).join(self_ids, "user_id")
-    every = members.select("user_id", "thread_id", "person_id", "last_at").unionByName(own.select("user_id", "thread_id", F.col("self_id").alias("person_id"), "last_at"))
-    every = every.groupBy("user_id", "thread_id", "person_id").agg(F.max("last_at").alias("last_at"))
-    sizes = every.groupBy("user_id", "thread_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_members)).drop("n")
-    small = every.join(sizes, ["user_id", "thread_id"])
-    a, b = small.withColumnsRenamed({"person_id": "a", "last_at": "la"}), small.withColumnsRenamed({"person_id": "b", "last_at": "lb"})
-    pairs = a.join(b, ["user_id", "thread_id"]).where("a < b").groupBy("user_id", "a", "b")
-    out = pairs.agg(F.array_sort(F.collect_set("thread_id")).alias("group_ids"), F.max(F.greatest("la", "lb")).alias("last_at"))
+    when, by = F.lit(as_of).cast("timestamp"), ["user_id", "thread_id"]
+    once = members.groupBy(*by, "person_id").agg(F.max("last_at").alias("last_at"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("person_id"))
+    rows = once.withColumn("r", rank).where(F.col("r") <= max_members + 1).groupBy(*by).agg(F.collect_list(F.struct("person_id", "last_at")).alias("m"))
+    rows = rows.where(F.size("m") <= max_members).join(self_ids, "user_id", "left")
+    newest = F.array_max(F.transform("m", lambda x: x["last_at"]))
+    me = F.struct(F.col("self_id").alias("person_id"), newest.alias("last_at"))
+    own = F.when(F.col("self_id").isNull(), F.col("m")).otherwise(F.array_append(F.filter("m", lambda x: x["person_id"] != F.col("self_id")), me))
+    rows = rows.select(*by, F.array_sort(own).alias("m")).where(F.size("m").between(2, max_members))
+    pair = lambda x, y: F.struct(x["person_id"].alias("a"), y["person_id"].alias("b"), F.greatest(x["last_at"], y["last_at"]).alias("at"))
+    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: j > i), lambda y: pair(x, y))))
+    each = rows.select(*by, F.explode(pairs).alias("p")).select("user_id", "thread_id", "p.*")
+    out = each.groupBy("user_id", "a", "b").agg(F.array_sort(F.collect_list("thread_id")).alias("group_ids"), F.max("at").alias("last_at"))
     out = out.withColumn("group_count", F.size("group_ids").cast("long"))
     return out.withColumn("type", F.lit("SHARED_GROUP")).withColumn("weight", edge_weight(F.col("group_count"), F.col("last_at"), when))
 
@@ -191,11 +196,12 @@ def connected_core(nodes: DataFrame, edges: DataFrame, self_ids: DataFrame, n: i
 
 def co_presence_edges(memberships: DataFrame, max_members: int = 30) -> DataFrame:
     """memberships (user_id, source, event_id, person_id) -> pairs seen together, with evidence, sources and strength."""
-    once = memberships.select("user_id", "source", "event_id", "person_id").distinct()
-    small = once.groupBy("user_id", "source", "event_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, max_members)).drop("n")
-    kept = once.join(small, ["user_id", "source", "event_id"])
-    a, b = kept.withColumnRenamed("person_id", "a"), kept.withColumnRenamed("person_id", "b")
-    pairs = a.join(b, ["user_id", "source", "event_id"]).where("a < b").groupBy("user_id", "a", "b").agg(F.count("*").alias("evidence"), F.count_distinct("source").alias("sources"))
+    by = ["user_id", "source", "event_id"]
+    once = memberships.select(*by, "person_id").distinct()
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("person_id"))
+    rows = once.withColumn("r", rank).where(F.col("r") <= max_members + 1).groupBy(*by).agg(F.array_sort(F.collect_list("person_id")).alias("m")).where(F.size("m").between(2, max_members))
+    each = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: j > i), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    pairs = rows.select("user_id", "source", F.explode(each).alias("p")).select("user_id", "source", "p.*").groupBy("user_id", "a", "b").agg(F.count("*").alias("evidence"), F.count_distinct("source").alias("sources"))
     return pairs.withColumn("strength", knows_strength(F.col("evidence"), F.col("sources") > 1))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -50,7 +51,7 @@ def evidence_dms(messages: DataFrame) -> DataFrame:
 def evidence_groups(messages: DataFrame, lid_map: DataFrame) -> DataFrame:
     """Per group and sender that is not self; a sender with neither name nor phone goes."""
     rows = messages.where(F.col("chat_jid").endswith("@g.us") & (F.col("from_me") == 0) & F.col("sender_jid").isNotNull())
-    own = rows.groupBy("chat_jid", "sender_jid").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.max_by("sender_name", "ts").alias("sender_name"), F.max("chat_name").alias("chat_name"))
+    own = rows.groupBy("chat_jid", "sender_jid").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.max_by("sender_name", F.when(F.trim("sender_name") != "", F.col("ts"))).alias("sender_name"), F.max("chat_name").alias("chat_name"))
     lid = F.when(F.lower("sender_jid").endswith("@lid"), N.bare_lid(F.col("sender_jid")))
     own = own.withColumn("lid", lid).join(lid_map.select("lid", "pn"), "lid", "left")
     phone = N.normalize_phone(F.when(F.col("lid").isNull(), F.col("sender_jid")).otherwise(F.col("pn")))
@@ -99,7 +100,7 @@ def summarize_buckets(evidence: DataFrame, components: DataFrame) -> DataFrame:
     handles = components.withColumnRenamed("component", "min_node")
 
     def of(kind: str) -> Column:
-        return F.array_sort(F.collect_set(F.when(F.col("node").startswith(f"{kind}:"), F.substring("node", len(kind) + 2, 1000))))
+        return F.array_sort(F.collect_set(F.when(F.col("node").startswith(f"{kind}:"), F.substr("node", F.lit(len(kind) + 2)))))
 
     sets = handles.groupBy("min_node").agg(of("phone").alias("phones"), of("email").alias("emails"), of("lid").alias("lids"))
     seen = placed.groupBy("min_node").agg(
@@ -117,40 +118,62 @@ def _sides(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.where(chat & ~mail), named.where(mail & ~chat)
 
 
-def _block_keys(tokens: str, side: int) -> Column:
-    """Keys under which two names meet: two long names by a pair of tokens, others by a token or its first three letters."""
-    t = F.col(tokens)
-    two = F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.concat_ws(" ", F.lit("two"), x, y))))
-    one = F.concat(t, F.transform(t, lambda x: F.concat(F.lit("^"), F.substring(x, 1, 3))))
+#: Fixed order of letters, the rarer ones of names first; others come before them.
+_RARE = "qxzjwvkfypbgcmdulhtosrnie a"
 
-    # which side is long comes first, so that two long names never meet by one token
-    long_keys = F.concat(two, _prefixed(one, ("chat long:", "mail long:")[side]))
-    short_keys = F.concat(_prefixed(one, "both short:"), _prefixed(one, ("mail long:", "chat long:")[side]))
-    return F.array_distinct(F.when(F.size(t) >= 2, long_keys).otherwise(short_keys))
 
+def _rare_letters(name: Column, share: float) -> Column:
+    """Letters with their number of occurrence, the rarest first, as many that two names with ``share`` of them in common share one."""
+    letters = F.filter(F.split(name, ""), lambda c: c != "")
+    numbered = F.transform(letters, lambda c, i: F.struct(F.instr(F.lit(_RARE), c).alias("rank"), c.alias("c"), F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c)).alias("n")))
+    most = F.greatest(F.lit(1), F.size(letters) - F.ceil(F.size(letters) * share).cast("int") + 1)
+    return F.transform(F.slice(F.array_sort(numbered), 1, most), lambda x: F.concat_ws("#", x["c"], x["n"].cast("string")))
 
-def _prefixed(items: Column, tag: str) -> Column:
-    return F.transform(items, lambda x: F.concat(F.lit(tag), x))
+
+def _token_pairs(t: Column) -> Column:
+    return F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
+
+
+def _letters_in_common(a: Column, b: Column) -> Column:
+    """How many letters two names have in common, each as often as both have it."""
+    counts = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    return reduce(lambda x, y: x + y, [F.least(counts(a, c), counts(b, c)) for c in "abcdefghijklmnopqrstuvwxyz0123456789 "])
 
 
 def cross_channel_candidates(buckets: DataFrame, threshold: float = 0.85, single_token_threshold: float = 0.92, exhaustive: bool = False) -> DataFrame:
-    """buckets (min_node, name, flags) -> chat_node, mail_node, score of the pairs that may merge.
+    """buckets (min_node, name, flags) -> chat_node, mail_node, score of the pairs that may merge; none is missed.
 
-    Names of two tokens each must share two, so meeting by pairs of tokens loses none of them.  One-token names meet by a
-    token or its first three letters; a name that differs there needs ``exhaustive``, which is for tests.  Each pair of names is scored once.
+    Only different names are compared, and each pair of them once.  Names of two tokens each must share two, so they meet by
+    pairs of tokens.  Where one has a single token, the score is 1 if the other has it too; else it is a Jaro-Winkler score of the
+    names' letters.  A score of t needs ``m / la + m / lb >= 5 t - 3`` for m letters in common, so at least ``5 t - 4`` of either
+    name's letters: such names share one of the rarest, and what fails the bound is not scored.  ``exhaustive``, for tests, compares all.
     """
     chat, mail = _sides(buckets)
-    a = chat.select(F.col("min_node").alias("chat_node"), F.col("name").alias("na"), F.col("tokens").alias("ta"))
-    b = mail.select(F.col("min_node").alias("mail_node"), F.col("name").alias("nb"), F.col("tokens").alias("tb"))
+    plain_name = N.normalize_name(F.col("name"))
+    a, b = (df.select(F.col("min_node").alias(f"{kind}_node"), F.col("name").alias(f"n{s}")) for df, kind, s in ((chat, "chat", "a"), (mail, "mail", "b")))
+    names_a, names_b = (df.select(F.col("name").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"), plain_name.alias(f"p{s}")).dropDuplicates([f"n{s}"]) for df, s in ((chat, "a"), (mail, "b")))
     if exhaustive:
-        pairs = a.join(b, F.lit(True))
+        pairs = names_a.join(names_b, F.lit(True))
     else:
-        pairs = a.withColumn("k", F.explode(_block_keys("ta", 0))).join(b.withColumn("k", F.explode(_block_keys("tb", 1))), "k").drop("k").dropDuplicates(["chat_node", "mail_node"])
+        share = 5 * single_token_threshold - 4
+        one = F.least(F.size("ta"), F.size("tb")) < 2
+
+        def met(key: Callable[[str], Column], condition: Column | None = None) -> DataFrame:
+            x, y = names_a.withColumn("k", F.explode(key("a"))), names_b.withColumn("k", F.explode(key("b")))
+            out = x.join(y, "k").drop("k")
+            return out.where(condition) if condition is not None else out
+
+        la, lb = F.length("pa"), F.length("pb")
+        common = _letters_in_common(F.col("pa"), F.col("pb"))
+        near = one & (F.least(la, lb) >= share * F.greatest(la, lb)) & (common / la + common / lb >= 1 + share - 1e-9)
+        # a single token meets the same among several under a key of its own, so that long names do not meet by one token
+        single = lambda s, other: F.when(F.size(f"t{s}") == 1, F.array(F.concat(F.lit(s), F.get(f"t{s}", F.lit(0))))).otherwise(F.transform(f"t{s}", lambda t: F.concat(F.lit(other), t)))
+        both = lambda s: F.array_union(single(s, "b" if s == "a" else "a"), F.when(F.size(f"t{s}") == 1, F.array(F.concat(F.lit("ab"), F.get(f"t{s}", F.lit(0))))).otherwise(F.array().cast("array<string>")))
+        pairs = met(lambda s: _token_pairs(F.col(f"t{s}"))).unionByName(met(both, one)).unionByName(met(lambda s: _rare_letters(F.col(f"p{s}"), share), near)).dropDuplicates(["na", "nb"])
     enough = (F.least(F.size("ta"), F.size("tb")) < 2) | (F.size(F.array_intersect("ta", "tb")) >= 2)
-    pairs = pairs.where(enough)
-    names = pairs.select("na", "nb").distinct().withColumn("score", fuzzy_score(F.col("na"), F.col("nb")))
     cutoff = F.when(F.least(F.size("ta"), F.size("tb")) >= 2, threshold).otherwise(single_token_threshold)
-    return pairs.join(names, ["na", "nb"]).where(F.col("score") >= cutoff).select("chat_node", "mail_node", "score")
+    good = pairs.where(enough).withColumn("score", fuzzy_score(F.col("na"), F.col("nb"))).where(F.col("score") >= cutoff).select("na", "nb", "score")
+    return a.join(good, "na").join(b, "nb").select("chat_node", "mail_node", "score")
 
 
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
@@ -219,7 +242,7 @@ def resolve_observations(handles: DataFrame, lid_map: DataFrame) -> DataFrame:
     own = handles.join(lids, "handle", "left").select("id", F.coalesce("phone", "handle").alias("handle"))
     edges = own.select(F.concat(F.lit("o:"), "id").alias("a"), F.concat(F.lit("h:"), "handle").alias("b"))
     comps = connected_components(edges)
-    rows = comps.groupBy("component").agg(F.array_sort(F.collect_list(F.when(F.col("node").startswith("o:"), F.substring("node", 3, 1000)))).alias("ids"), F.array_sort(F.collect_list(F.when(F.col("node").startswith("h:"), F.substring("node", 3, 1000)))).alias("bridges"))
+    rows = comps.groupBy("component").agg(F.array_sort(F.collect_list(F.when(F.col("node").startswith("o:"), F.substr("node", F.lit(3))))).alias("ids"), F.array_sort(F.collect_list(F.when(F.col("node").startswith("h:"), F.substr("node", F.lit(3))))).alias("bridges"))
     return rows.where(F.size("ids") > 1).select("ids", "bridges", F.lit(1.0).cast("decimal(4,3)").alias("confidence"))
 
 
@@ -256,18 +279,48 @@ def link_participants(interactions: DataFrame, persons: DataFrame, least: float
     return people.join(best.withColumnRenamed("name_a", "name"), "name").select("interaction_id", "name", F.col("x.id_b").alias("person_id"), "x.score")
 
 
-def canonical_names(identities: DataFrame, least: float = 0.9) -> DataFrame:
-    """identities (id, name, handles): groups by shared handle, or by like names with the same first token -> display name."""
-    by_handle = identities.select(F.concat(F.lit("i:"), "id").alias("a"), F.explode("handles").alias("h")).select("a", F.concat(F.lit("h:"), "h").alias("b"))
-    named = identities.where("name IS NOT NULL").select("id", N.normalize_name(F.col("name")).alias("n")).withColumn("first", F.split_part("n", F.lit(" "), F.lit(1)))
-    x, y = (named.select("first", F.col("id").alias(f"id{s}"), F.col("n").alias(f"n{s}")) for s in "xy")
-    pairs = x.join(y, "first").where("idx < idy")
-    scored = pairs.select("nx", "ny").distinct().withColumn("r", name_ratio(F.col("nx"), F.col("ny"))).where(F.col("r") >= least)
-    like = pairs.join(scored, ["nx", "ny"]).select(F.concat(F.lit("i:"), "idx").alias("a"), F.concat(F.lit("i:"), "idy").alias("b"))
-    loops = identities.select(F.concat(F.lit("i:"), "id").alias("a")).withColumn("b", F.col("a"))
-    comps = connected_components(by_handle.unionByName(like).unionByName(loops)).where(F.col("node").startswith("i:"))
-    own = identities.select(F.concat(F.lit("i:"), "id").alias("node"), "id", "name").join(comps, "node")
-    best = own.where("name IS NOT NULL").groupBy("component").agg(F.max_by("name", F.struct(F.size(F.split("name", r"\s+")), F.length("name"), "name")).alias("best"))
+def canonical_names(identities: DataFrame, least: float = 0.88, least_mail: float = 0.8) -> DataFrame:
+    """identities (id, name, handles) -> id, component, display_name.
+
+    Identities are one where they share a handle; where the first words of their names are equal and one name is that word
+    alone (of more than four letters), or ends in an abbreviation of one or two letters of the other's last word, or both have
+    two words and more and their ratio is over ``least``; and where the local part of an e-mail handle (more than four
+    letters) has a ratio over ``least_mail`` to a name without blanks.  The first three are stars around the shared words, so
+    that a common first name makes no pairs; names are compared by ratio once for each different one, and only where
+    they share one of their rarest letters, which names of that ratio always do.
+    """
+    low = F.trim(F.regexp_replace(F.regexp_replace(F.lower("name"), r"^[~\s]+", ""), r"\s+", " "))
+    named = identities.where("name IS NOT NULL").select("id", low.alias("n")).where("n <> ''")
+    named = named.withColumn("w", F.split("n", " ")).withColumns({"first": F.get("w", F.lit(0)), "last": F.get("w", F.size("w") - 1), "words": F.size("w")})
+    owner = identities.select(F.concat(F.lit("i:"), "id").alias("a"), "handles")
+    edges = [owner.select("a", F.explode(F.transform("handles", lambda h: F.concat(F.lit("h:"), F.lower(h)))).alias("b")), owner.select("a", F.col("a").alias("b")), named.select(F.concat(F.lit("i:"), "id").alias("a"), F.concat(F.lit("n:"), "n").alias("b"))]
+    names = cut(named.select("n", "first", "last", "words").distinct())
+    name = F.concat(F.lit("n:"), "n").alias("a")
+    alone = names.where("words = 1 AND length(first) > 4").select("first")
+    edges.append(names.join(alone, "first").select(name, F.concat(F.lit("n:"), "first").alias("b")))
+    # names that an abbreviation of so many words may stand for meet at its first word, letter and number of words
+    short = names.where("words >= 2 AND length(last) <= 2 AND length(first) > 2").select("n", "first", F.substring("last", 1, 1).alias("c"), "words")
+    hubs = short.select("first", "c", F.col("words").alias("k")).distinct()
+    hub = F.concat_ws("|", F.lit("b:"), "first", "c", F.col("k").cast("string")).alias("b")
+    edges.append(short.withColumn("k", F.col("words")).select(name, hub))
+    full = names.where("words >= 2").withColumn("c", F.substring("last", 1, 1)).withColumn("k", F.explode(F.sequence(F.lit(2), F.col("words"))))
+    edges.append(full.join(hubs, ["first", "c", "k"]).select(name, hub))
+    # a ratio over r leaves a name r / (2 - r) of its letters at least in common with the other
+    keyed = names.where("words >= 2 AND length(first) > 2").select("n", "first", F.explode(_rare_letters(F.col("n"), least / (2 - least))).alias("c"))
+    x, y = (keyed.withColumnRenamed("n", f"n{s}") for s in "xy")
+    size = F.least(F.length("nx"), F.length("ny")) >= least / (2 - least) * F.greatest(F.length("nx"), F.length("ny"))
+    pairs = x.join(y, ["first", "c"]).where((F.col("nx") < F.col("ny")) & size).select("nx", "ny").distinct()
+    like = pairs.where(name_ratio(F.col("nx"), F.col("ny")) > least)
+    edges.append(like.select(F.concat(F.lit("n:"), "nx").alias("a"), F.concat(F.lit("n:"), "ny").alias("b")))
+    locals_ = identities.select(F.explode("handles").alias("h")).where("h LIKE '%@%'").select(F.lower("h").alias("h"), F.regexp_replace(F.lower(F.split_part("h", F.lit("@"), F.lit(1))), r"[.\-_\d]", "").alias("m")).where("length(m) > 4").distinct()
+    share = least_mail / (2 - least_mail)
+    m = locals_.select("h", "m", F.explode(_rare_letters(F.col("m"), share)).alias("c"))
+    flat = names.select("n", F.regexp_replace("n", r"[\s.\-_]", "").alias("f")).withColumn("c", F.explode(_rare_letters(F.col("f"), share)))
+    close = m.join(flat, "c").where(F.least(F.length("m"), F.length("f")) >= share * F.greatest(F.length("m"), F.length("f"))).select("h", "m", "n", "f").distinct().where(name_ratio(F.col("m"), F.col("f")) > least_mail)
+    edges.append(close.select(F.concat(F.lit("h:"), "h").alias("a"), F.concat(F.lit("n:"), "n").alias("b")))
+    comps = connected_components(reduce(DataFrame.unionByName, edges)).where(F.col("node").startswith("i:"))
+    own = identities.select(F.concat(F.lit("i:"), "id").alias("node"), "id", low.alias("name")).join(comps, "node")
+    best = own.where("name <> ''").groupBy("component").agg(F.max_by("name", F.struct(F.size(F.split("name", " ")), F.length("name"), "name")).alias("best"))
     return own.join(best, "component", "left").select("id", "component", F.initcap("best").alias("display_name"))
 
 
@@ -278,7 +331,7 @@ def apply_seeds(identities: DataFrame, seeds: DataFrame) -> DataFrame:
     loops = identities.select(F.concat(F.lit("i:"), "id").alias("a")).withColumn("b", F.col("a"))
     comps = connected_components(own.join(asked, "h").select("a", "b").unionByName(loops))
     seed = comps.where(F.col("node").startswith("s:")).groupBy("component").agg(F.min("node").alias("s")).join(seeds.select(F.concat(F.lit("s:"), "seed_id").alias("s"), F.col("name").alias("sn"), F.col("category").alias("sc")), "s")
-    out = identities.join(comps.select(F.substring("node", 3, 1000).alias("id"), "component").where("component IS NOT NULL"), "id").join(seed.drop("s"), "component", "left")
+    out = identities.join(comps.select(F.substr("node", F.lit(3)).alias("id"), "component").where("component IS NOT NULL"), "id").join(seed.drop("s"), "component", "left")
     return out.select("id", "component", F.coalesce("sn", "name").alias("name"), F.coalesce("sc", "category").alias("category"))
 
 

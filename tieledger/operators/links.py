@@ -95,11 +95,12 @@ def wipe_provenance(obs: DataFrame, links: DataFrame, persons: DataFrame, prefix
     from functools import reduce
 
     hit = reduce(lambda a, b: a | b, [F.col("evidence_pointer").startswith(p) for p in prefixes])
-    gone = obs.where(hit).select(F.col("id").alias("observation_id"))
-    left = links.join(gone, "observation_id", "left_anti")
-    had = links.select(F.col("person_id").alias("id")).distinct().join(left.select(F.col("person_id").alias("id")).distinct(), "id", "left_anti")
-    return obs.where(~hit), left, persons.join(had, "id", "left_anti")
+    gone = obs.where(hit).select("user_id", F.col("id").alias("observation_id"))
+    left = links.join(gone, ["user_id", "observation_id"], "left_anti")
+    person = ["user_id", F.col("person_id").alias("id")]
+    had = links.select(*person).distinct().join(left.select(*person).distinct(), ["user_id", "id"], "left_anti")
+    return obs.where(~hit), left, persons.join(had, ["user_id", "id"], "left_anti")
 
 
 def orphan_observations(obs: DataFrame, links: DataFrame) -> DataFrame:
-    return obs.where("kind IN ('person', 'merge')").join(links.select(F.col("observation_id").alias("id")), "id", "left_anti")
+    return obs.where("kind IN ('person', 'merge')").join(links.select("user_id", F.col("observation_id").alias("id")), ["user_id", "id"], "left_anti")

@@ -68,14 +68,16 @@ def _(v):
 
 
 @Q.add("person_messages", """
-SELECT user_id, person_id, ts, head, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, person_id ORDER BY ts DESC, head) AS rank FROM (
- SELECT DISTINCT p.user_id, p.id AS person_id, c.ts, substr(c.text, 1, 40) AS head FROM {chat} c JOIN {persons} p ON 'P' || substr(c.chat_jid, 2) = p.id)) WHERE rank <= 3""")
+SELECT user_id, person_id, ts, text, rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id, person_id ORDER BY ts DESC, text) AS rank FROM (
+ SELECT p.user_id, p.id AS person_id, c.ts, min(c.text) AS text FROM (SELECT turn + conv_id * 100 AS ts, text, CASE WHEN conv_id % 3 = 0 THEN cast(919000000000 + conv_id AS varchar) || '@s.whatsapp.net' WHEN turn % 2 = 0 THEN cast(conv_id AS varchar) || '@lid' ELSE cast(919000000000 + conv_id AS varchar) || '@s.whatsapp.net' END AS jid FROM {conversations}) c
+ JOIN (SELECT user_id, id, cast(919000000000 + cast(substr(id, 2) AS bigint) AS varchar) AS digits FROM {persons}) p ON c.jid = p.digits || '@s.whatsapp.net' OR c.jid = (SELECT max(lid) FROM {lid_map} WHERE pn = p.digits) || '@lid' GROUP BY 1, 2, 3, substr(c.text, 1, 40))) WHERE rank <= 3""")
 def _(v):
-    digits = F.substring("id", 2, 20)
-    own = v("persons").select("user_id", F.col("id").alias("person_id"), F.array(F.concat(F.lit("+"), digits)).alias("phones"))
-    chats = v("chat").select(F.concat(F.substring("chat_jid", 2, 20), F.lit("@s.whatsapp.net")).alias("chat_jid"), "sender_jid", "ts", F.substring("text", 1, 40).alias("text"))
-    lids = v("bridge").select("lid", F.col("phone").alias("pn")).where("lid IS NULL")
-    return activity.person_messages(own, chats, lids, limit=3).select("user_id", "person_id", "ts", F.col("text").alias("head"), F.col("rank").cast("long").alias("rank"))
+    """A third of the chats are direct; in the others senders go by a device id or a phone."""
+    phone = F.concat((F.col("conv_id") + 919000000000).cast("string"), F.lit("@s.whatsapp.net"))
+    direct = F.col("conv_id") % 3 == 0
+    chats = v("conversations").select(F.when(direct, phone).otherwise("club@g.us").alias("chat_jid"), F.when(F.col("turn") % 2 == 0, F.concat(F.col("conv_id").cast("string"), F.lit(":7@lid"))).otherwise(phone).alias("sender_jid"), (F.col("turn") + F.col("conv_id") * 100).alias("ts"), "text")
+    own = v("persons").select("user_id", F.col("id").alias("person_id"), F.array(F.concat(F.lit("+"), (F.expr("substring(id, 2)").cast("long") + 919000000000).cast("string"))).alias("phones"))
+    return activity.person_messages(own, chats, v("lid_map"), limit=3).select("user_id", "person_id", "ts", "text", F.col("rank").cast("long").alias("rank"))
 
 
 @Q.add("message_filter_counts", """
@@ -255,21 +257,3 @@ def _(v):
     said = v("order_obs").join(v("links").withColumnRenamed("observation_id", "id"), ["user_id", "id"]).select("user_id", "person_id", (F.col("observed_at") + F.expr("INTERVAL 27 DAYS")).alias("at"), F.col("id").alias("text"))
     rows = activity.delta_context(v("persons").withColumnRenamed("id", "person_id"), v("snaps"), said)
     return rows.select("user_id", "person_id", F.coalesce(F.size("messages"), F.lit(0)).cast("long").alias("messages"))
-
-
-@Q.add("cross_channel_bridge")
-def _(v):
-    """Customers as chat buckets against some of them, with their names turned round or misspelt, as mail buckets."""
-    flags = ("wa_dm", "wa_contact", "wa_group", "google_contact", "gmail_from", "gmail_to_cc")
-    key = F.col("c_custkey")
-    first, last = F.concat(F.lit("first"), (key % 97).cast("string")), F.concat(F.lit("last"), key.cast("string"))
-
-    def bucket(df, kind, name, on):
-        return df.select(F.concat(F.lit(kind), key.cast("string")).alias("min_node"), name.alias("name"), *[F.lit(f == on).alias(f) for f in flags])
-
-    chat = bucket(v("customer"), "phone:", F.concat_ws(" ", first, last), "wa_dm")
-    turned = F.when(key % 2 == 0, F.concat_ws(" ", last, first, F.lit("jr"))).otherwise(F.concat_ws(" ", first, F.concat(last, F.lit("x"))))
-    mail = bucket(v("customer").where("c_custkey % 3 = 0"), "email:", turned, "gmail_from")
-    return identity.cross_channel_bridge(identity.cross_channel_candidates(chat.unionByName(mail)))
-
-

@@ -31,13 +31,23 @@ _MAILS = """(SELECT l.user_id, l.person_id, count(*) AS message_count, min(o.obs
  WHERE o.kind = 'interaction' AND o.payload->>'$.channel' = 'email' GROUP BY 1, 2)"""
 _MAIL_EDGES = f"""(SELECT m.user_id, least(m.person_id, s.self_id) AS a, greatest(m.person_id, s.self_id) AS b, 'EMAILED' AS type, message_count, {_weight('message_count', 'last_at')} AS weight
  FROM {_MAILS} m JOIN {{self_ids}} s ON s.user_id = m.user_id WHERE m.person_id <> s.self_id)"""
-_EDGES = f"(SELECT user_id, a, b, type, weight FROM {_DM_EDGES} UNION ALL SELECT user_id, a, b, type, weight FROM {_MAIL_EDGES})"
-_GROUPED = """(SELECT m.user_id, m.thread_id, m.person_id, max(m.last_at) AS last_at FROM (
- SELECT user_id, thread_id, person_id, last_at FROM {group_members} UNION ALL
- SELECT g.user_id, g.thread_id, s.self_id, max(g.last_at) FROM {group_members} g JOIN {group_self} s ON s.user_id = g.user_id GROUP BY 1, 2, 3) m GROUP BY 1, 2, 3)"""
-_SHARED = f"""(SELECT x.user_id, x.person_id AS a, y.person_id AS b, count(DISTINCT x.thread_id) AS group_count, max(greatest(x.last_at, y.last_at)) AS last_at
- FROM {_GROUPED} x JOIN {_GROUPED} y ON y.user_id = x.user_id AND y.thread_id = x.thread_id AND x.person_id < y.person_id
- WHERE (x.user_id, x.thread_id) IN (SELECT (user_id, thread_id) FROM {_GROUPED} GROUP BY user_id, thread_id HAVING count(*) BETWEEN 2 AND 30) GROUP BY 1, 2, 3)"""
+_GROUP_ROWS = """(SELECT user_id, thread_id, phone, count(*) AS message_count, max(occurred_at) AS last_at FROM (
+ SELECT r.user_id, r.thread_id, coalesce(r.phone, '+' || b.phone) AS phone, r.occurred_at FROM {events_once} r LEFT JOIN {bridge} b ON b.user_id = r.user_id AND b.lid = split_part(r.jid, '@', 1) AND r.jid LIKE '%@lid'
+ WHERE r.thread_id LIKE '%@g.us') WHERE phone IS NOT NULL GROUP BY 1, 2, 3)"""
+_IN_GROUPS = f"(SELECT g.user_id, g.thread_id, p.person_id, g.last_at FROM {_GROUP_ROWS} g JOIN {_PHONES} p ON p.user_id = g.user_id AND p.phone = g.phone)"
+
+
+def _shared(members: str, me: str) -> str:
+    return f"""(WITH gm AS {members}, gs AS (SELECT user_id, thread_id, person_id, max(last_at) AS last_at FROM (
+  SELECT * FROM gm UNION ALL SELECT g.user_id, g.thread_id, s.self_id, max(g.last_at) FROM gm g JOIN {me} s ON s.user_id = g.user_id GROUP BY 1, 2, 3) GROUP BY 1, 2, 3)
+ SELECT x.user_id, x.person_id AS a, y.person_id AS b, count(DISTINCT x.thread_id) AS group_count, max(greatest(x.last_at, y.last_at)) AS last_at
+ FROM gs x JOIN gs y ON y.user_id = x.user_id AND y.thread_id = x.thread_id AND x.person_id < y.person_id
+ WHERE (x.user_id, x.thread_id) IN (SELECT (user_id, thread_id) FROM gs GROUP BY user_id, thread_id HAVING count(*) BETWEEN 2 AND 30) GROUP BY 1, 2, 3)"""
+
+
+_GROUP_EDGES = f"(SELECT user_id, a, b, 'SHARED_GROUP' AS type, {_weight('group_count', 'last_at')} AS weight FROM {_shared(_IN_GROUPS, '{self_ids}')})"
+_EDGES = f"(SELECT user_id, a, b, type, weight FROM {_DM_EDGES} UNION ALL SELECT user_id, a, b, type, weight FROM {_MAIL_EDGES} UNION ALL SELECT user_id, a, b, type, weight FROM {_GROUP_EDGES})"
+_SHARED = _shared("(SELECT user_id, thread_id, person_id, last_at FROM {group_members})", "{group_self}")
 
 
 def phones(v):
@@ -56,16 +66,26 @@ def mail_edges(v):
     return graph.emailed_edges(graph.email_interactions(v("obs"), v("links")), v("self_ids"), AS_OF)
 
 
+def group_rows(v):
+    """Group contacts by phone, device ids by way of the bridge."""
+    raw = _with_arrays(v)
+    return graph.resolve_group_members(graph.group_thread_phones(raw), graph.group_thread_lids(raw), v("bridge"))[0]
+
+
+def group_edges(v):
+    members = group_rows(v).join(phones(v), ["user_id", "phone"]).select("user_id", "thread_id", "person_id", "last_at")
+    return graph.shared_group_edges(members, v("self_ids"), AS_OF)
+
+
 def all_edges(v):
     cols = ["user_id", "a", "b", "type", "weight"]
-    return dm_edges(v).select(*cols).unionByName(mail_edges(v).select(*cols))
+    return dm_edges(v).select(*cols).unionByName(mail_edges(v).select(*cols)).unionByName(group_edges(v).select(*cols))
 
 
 def nodes(v):
     """Persons with the time of their last contact and their score."""
     made = graph.graph_nodes(_person_cards(v), v("obs"), v("links"))
-    empty = dms(v).limit(0)
-    made = graph.last_interaction(made, dms(v), empty, graph.email_interactions(v("obs"), v("links")), phones(v))
+    made = graph.last_interaction(made, dms(v), group_rows(v), graph.email_interactions(v("obs"), v("links")), phones(v))
     return graph.score_nodes(made, all_edges(v))
 
 
@@ -74,7 +94,7 @@ _NODES = f"""(SELECT n.user_id, n.person_id, n.name, n.category, n.first_seen, n
         min(o.observed_at) AS first_seen, max(o.observed_at) AS last_seen FROM {{obs}} o JOIN {{links}} l ON l.user_id = o.user_id AND l.observation_id = o.id GROUP BY 1, 2
  HAVING count(*) FILTER (o.kind = 'person') > 0) n
  LEFT JOIN (SELECT user_id, person_id, max(seen_at) AS seen_at FROM (SELECT d.user_id, p.person_id, d.last_at AS seen_at FROM {_DMS} d JOIN {_PHONES} p ON p.user_id = d.user_id AND p.phone = d.phone
-            UNION ALL SELECT user_id, person_id, last_at FROM {_MAILS}) GROUP BY 1, 2) t ON t.user_id = n.user_id AND t.person_id = n.person_id
+            UNION ALL SELECT user_id, person_id, last_at FROM {_IN_GROUPS} UNION ALL SELECT user_id, person_id, last_at FROM {_MAILS}) GROUP BY 1, 2) t ON t.user_id = n.user_id AND t.person_id = n.person_id
  LEFT JOIN (SELECT user_id, x, count(*) AS n FROM (SELECT user_id, a AS x FROM {_EDGES} UNION ALL SELECT user_id, b FROM {_EDGES}) GROUP BY 1, 2) e ON e.user_id = n.user_id AND e.x = n.person_id)"""
 
 
@@ -116,9 +136,7 @@ SELECT user_id, thread_id, phone, count(*) AS message_count, epoch_us(max(occurr
  SELECT r.user_id, r.thread_id, coalesce(r.phone, '+' || b.phone) AS phone, r.occurred_at FROM {events_once} r LEFT JOIN {bridge} b ON b.user_id = r.user_id AND b.lid = split_part(r.jid, '@', 1) AND r.jid LIKE '%@lid'
  WHERE r.thread_id LIKE '%@g.us') WHERE phone IS NOT NULL GROUP BY 1, 2, 3""")
 def _(v):
-    raw = _with_arrays(v)
-    rows, _stats = graph.resolve_group_members(graph.group_thread_phones(raw), graph.group_thread_lids(raw), v("bridge"))
-    return rows.select("user_id", "thread_id", "phone", "message_count", us("last_at"))
+    return group_rows(v).select("user_id", "thread_id", "phone", "message_count", us("last_at"))
 
 
 @Q.add("email_interaction_stats", f"SELECT user_id, person_id, message_count, epoch_us(first_at) AS first_at, epoch_us(last_at) AS last_at FROM {_MAILS}")
@@ -160,17 +178,17 @@ def _(v):
     return graph.graph_view(nodes(v), all_edges(v), AS_OF)[2]
 
 
-@Q.add("graph_neighbors", f"SELECT user_id, a AS person_id, b AS neighbor_id, type FROM {_EDGES} WHERE length(a) = 4 UNION ALL SELECT user_id, b, a, type FROM {_EDGES} WHERE length(b) = 4")
+@Q.add("graph_neighbors", f"SELECT user_id, a AS person_id, b AS neighbor_id, type FROM {_EDGES} UNION ALL SELECT user_id, b, a, type FROM {_EDGES}")
 def _(v):
-    asked = v("persons").where("length(id) = 4").select("user_id", F.col("id").alias("person_id"))
-    return graph.neighbors(all_edges(v), asked).select("user_id", "person_id", "neighbor_id", "type")
+    asked = v("persons").select("user_id", F.col("id").alias("person_id"))
+    return graph.neighbors(cut(all_edges(v)), asked).select("user_id", "person_id", "neighbor_id", "type")
 
 
 @Q.add("connected_core", f"""
-SELECT user_id, person_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, person_id) AS r FROM {_NODES} WHERE edge_count > 0) WHERE r <= 20
+SELECT user_id, person_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, person_id) AS r FROM {_NODES} WHERE edge_count > 0) WHERE r <= 200
 UNION SELECT n.user_id, n.person_id FROM {_NODES} n JOIN {{self_ids}} s ON s.user_id = n.user_id AND s.self_id = n.person_id""")
 def _(v):
-    return graph.connected_core(nodes(v), all_edges(v), v("self_ids"), 20)[0].select("user_id", "person_id")
+    return graph.connected_core(nodes(v), all_edges(v), v("self_ids"))[0].select("user_id", "person_id")
 
 
 @Q.add("co_presence", """
@@ -183,25 +201,27 @@ def _(v):
     return graph.co_presence_edges(rows).select("user_id", "a", "b", "evidence", "sources", r6("strength"))
 
 
+_REFERRED = """(SELECT 'P' || cast(c_custkey // d AS varchar) AS x, 'P' || cast(c_custkey AS varchar) AS y FROM {customer} CROSS JOIN (SELECT 3 AS d UNION ALL SELECT 7 AS d) WHERE c_custkey > 0)"""
+
+
 @Q.add("intro_path_hops", f"""
-SELECT e.user_id, e.x AS source, f.y AS target, CASE WHEN e.x = f.y THEN 0 WHEN EXISTS (SELECT 1 FROM both_ways d WHERE d.user_id = e.user_id AND d.x = e.x AND d.y = f.y) THEN 1 ELSE 2 END AS hops
-FROM (SELECT user_id, self_id FROM {{self_ids}}) s JOIN (SELECT DISTINCT user_id, x, y FROM both_ways) e ON e.user_id = s.user_id AND e.y = s.self_id JOIN (SELECT DISTINCT user_id, x, y FROM both_ways) f ON f.user_id = s.user_id AND f.x = s.self_id
-WHERE length(e.x) <= 3""".replace("both_ways", f"(SELECT user_id, a AS x, b AS y FROM {_EDGES} UNION ALL SELECT user_id, b, a FROM {_EDGES})"))
+SELECT 'P0' AS source, 'P' || cast(c_custkey AS varchar) AS target, hops FROM {{customer}} LEFT JOIN (SELECT n, min(h) AS hops FROM (WITH RECURSIVE e AS (SELECT x, y FROM {_REFERRED} UNION SELECT y, x FROM {_REFERRED}),
+ r(n, h) AS (SELECT 'P0', 0 UNION SELECT e.y, h + 1 FROM r JOIN e ON e.x = r.n WHERE h < 4) SELECT n, h FROM r) GROUP BY 1) ON n = 'P' || cast(c_custkey AS varchar)""")
 def _(v):
-    edges = cut(all_edges(v))  # read for pairs and for each hop
-    own = graph.both_ends(edges).join(v("self_ids"), "user_id")
-    near = own.where("y = self_id").select("user_id", F.col("x").alias("source")).where("length(source) <= 3").distinct()
-    pairs = near.join(own.where("x = self_id").select("user_id", F.col("y").alias("target")).distinct(), "user_id")
-    return graph.intro_paths(edges, pairs).select("user_id", "source", "target", "hops")
+    """From the first customer to all others, over who introduced whom; some are farther than four hops."""
+    key = F.col("c_custkey")
+    one = [v("customer").where("c_custkey > 0").select(F.lit("t").alias("user_id"), F.concat(F.lit("P"), F.floor(key / d).cast("string")).alias("a"), F.concat(F.lit("P"), key.cast("string")).alias("b"), F.lit(kind).alias("type"), (key % 5 + 1.0).alias("weight")) for d, kind in ((3, "DM"), (7, "EMAILED"))]
+    pairs = v("customer").select(F.lit("t").alias("user_id"), F.lit("P0").alias("source"), F.concat(F.lit("P"), key.cast("string")).alias("target"))
+    return graph.intro_paths(one[0].unionByName(one[1]), pairs).select("source", "target", "hops")
 
 
 @Q.add("manifest_network", """
 SELECT x.p AS a, y.p AS b, count(*) AS value FROM (SELECT DISTINCT l_suppkey AS g, 'p' || cast(l_partkey AS varchar) AS p FROM {lineitem}) x JOIN (SELECT DISTINCT l_suppkey AS g, 'p' || cast(l_partkey AS varchar) AS p FROM {lineitem}) y ON y.g = x.g AND x.p < y.p
-WHERE x.p IN (SELECT 'p' || cast(l_partkey AS varchar) FROM {lineitem} GROUP BY l_partkey ORDER BY count(*) DESC, 'p' || cast(l_partkey AS varchar) LIMIT 20)
-  AND y.p IN (SELECT 'p' || cast(l_partkey AS varchar) FROM {lineitem} GROUP BY l_partkey ORDER BY count(*) DESC, 'p' || cast(l_partkey AS varchar) LIMIT 20) GROUP BY 1, 2""")
+WHERE x.p IN (SELECT 'p' || cast(l_partkey AS varchar) FROM {lineitem} GROUP BY l_partkey ORDER BY count(*) DESC, 'p' || cast(l_partkey AS varchar) LIMIT 200)
+  AND y.p IN (SELECT 'p' || cast(l_partkey AS varchar) FROM {lineitem} GROUP BY l_partkey ORDER BY count(*) DESC, 'p' || cast(l_partkey AS varchar) LIMIT 200) GROUP BY 1, 2""")
 def _(v):
     rows = v("lineitem").groupBy(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("id")).agg(F.count("*").alias("thread_count"), F.collect_set("l_suppkey").alias("groups"))
-    return graph.manifest_network(rows, 20)
+    return graph.manifest_network(rows)
 
 
 @Q.add("self_resolution", """

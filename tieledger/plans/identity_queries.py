@@ -57,7 +57,7 @@ _LID = "split_part(split_part({j}, '@', 1), ':', 1)"
 _E1 = f"""SELECT * FROM ({_rows("CASE WHEN jid LIKE '%@lid' THEN 'lid:' || " + _LID.replace('{j}', 'jid') + " || coalesce(',phone:' || contact_phone, '') ELSE 'phone:' || contact_phone END", 'wa_contact', 'named', "'wa_contact'")} FROM {_PHONED} WHERE jid NOT LIKE '%@lid' OR named IS NOT NULL OR contact_phone IS NOT NULL)"""
 _E2 = _rows("'phone:+' || split_part(chat_jid, '@', 1)", "wa_dm", first="min(ts) * 1000000", last="max(ts) * 1000000", thread="chat_jid") + " FROM {wa_messages} WHERE chat_jid LIKE '%@s.whatsapp.net' GROUP BY chat_jid"
 _E3 = f"""SELECT * FROM ({_rows("concat_ws(',', 'lid:' || lid, 'phone:+' || phone)", 'wa_group', "nullif(trim(sender_name), '')", "'wa_group_sender'", 'a * 1000000', 'b * 1000000', 'chat_jid', 'chat_name')} FROM (
- SELECT g.*, CASE WHEN lid IS NULL THEN split_part(sender_jid, '@', 1) ELSE m.pn END AS phone FROM (SELECT chat_jid, sender_jid, CASE WHEN sender_jid LIKE '%@lid' THEN {_LID.replace('{j}', 'sender_jid')} END AS lid, min(ts) AS a, max(ts) AS b, arg_max(sender_name, ts) FILTER (sender_name IS NOT NULL) AS sender_name, max(chat_name) AS chat_name
+ SELECT g.*, CASE WHEN lid IS NULL THEN split_part(sender_jid, '@', 1) ELSE m.pn END AS phone FROM (SELECT chat_jid, sender_jid, CASE WHEN sender_jid LIKE '%@lid' THEN {_LID.replace('{j}', 'sender_jid')} END AS lid, min(ts) AS a, max(ts) AS b, arg_max(sender_name, ts) FILTER (trim(sender_name) <> '') AS sender_name, max(chat_name) AS chat_name
   FROM {{wa_messages}} WHERE chat_jid LIKE '%@g.us' AND from_me = 0 GROUP BY 1, 2) g LEFT JOIN (SELECT lid AS l, pn FROM {{lid_map}}) m ON m.l = g.lid) WHERE phone IS NOT NULL OR coalesce(trim(sender_name), '') <> '')"""
 _BOT = f"(regexp_matches(split_part({{e}}, '@', 1), '{_LOCAL}') OR regexp_matches(split_part({{e}}, '@', 1), '{_TOKEN}') OR regexp_matches(split_part({{e}}, '@', 2), '{_SUB}'))"
 _E4 = f"""SELECT * FROM ({_rows("'email:' || email", 'X', 'name', 'via', 'epoch_us(sent_at)', 'epoch_us(sent_at)', "'mail:' || thread_id").replace("'X' AS source", 'via AS source')} FROM (
@@ -126,7 +126,7 @@ def _(v):
 #: Pairs of chat and mail buckets that may merge; then chat buckets in order take the best mail bucket that is free.
 _TOKENS = "list_sort(list_distinct(string_split(trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')), ' ')))"
 _BRIDGE = f"""sd AS (SELECT min_node, name, chat, {_TOKENS} AS t FROM {{bk}} WHERE name IS NOT NULL AND chat <> mail),
-pr AS (SELECT c.min_node AS chat_node, m.min_node AS mail_node, c.name AS na, m.name AS nb, least(len(c.t), len(m.t)) AS short FROM sd c JOIN sd m ON c.chat AND NOT m.chat AND (len(list_intersect(c.t, m.t)) >= 2 OR (least(len(c.t), len(m.t)) < 2 AND len(list_intersect(c.t, m.t)) >= 1))),
+pr AS (SELECT c.min_node AS chat_node, m.min_node AS mail_node, c.name AS na, m.name AS nb, least(len(c.t), len(m.t)) AS short FROM sd c JOIN sd m ON c.chat AND NOT m.chat AND (len(list_intersect(c.t, m.t)) >= 2 OR least(len(c.t), len(m.t)) < 2)),
 {fuzzy_sql('SELECT DISTINCT na, nb FROM pr')},
 cd AS (SELECT chat_node, mail_node, score, dense_rank() OVER (ORDER BY chat_node) AS k FROM pr JOIN scored USING (na, nb) WHERE score >= CASE WHEN short >= 2 THEN 0.85 ELSE 0.92 END),
 gr(k, used, chat_node, mail_node, score) AS (SELECT 0::bigint, cast([] AS varchar[]), NULL::varchar, NULL::varchar, NULL::double
@@ -200,7 +200,79 @@ def _(v):
     return pairs.withColumn("score", fuzzy_score(F.col("na"), F.col("nb")))
 
 
-_PEOPLE = "SELECT 'P' || cast(k AS varchar) AS id, na AS name, k FROM (" + _names_sql("na") + ") WHERE k % 3 = 0 AND k < 90"
+def _twins_sql(alias: str) -> str:
+    """Two customers each with one invented name, with a slip in every second."""
+    w = "chr(97 + cast(c_custkey // 2 % 26 AS int)) || chr(97 + cast(c_custkey // 52 % 26 AS int)) || chr(97 + cast(c_custkey // 1352 % 26 AS int))"
+    return f"SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 1 THEN w || 'an ' || reverse(w) || 'son' WHEN 3 THEN w || 'nan ' || reverse(w) || 'sno' ELSE w || 'ann ' || reverse(w) || 'son' END AS {alias} FROM (SELECT *, {w} AS w FROM {{customer}})"
+
+
+def twins(v, alias: str) -> DataFrame:
+    key = F.col("c_custkey")
+    w = F.concat(*[F.char((97 + F.floor(key / d) % 26).cast("int")) for d in (2, 52, 1352)])
+    form = lambda x, y: F.concat(w, F.lit(x), F.reverse(w), F.lit(y))
+    return v("customer").select(key.alias("k"), F.when(key % 4 == 1, form("an ", "son")).when(key % 4 == 3, form("nan ", "sno")).otherwise(form("ann ", "son")).alias(alias))
+
+
+_SIDES = """SELECT 'phone:' || cast(c_custkey AS varchar) AS min_node, 'First' || cast(c_custkey % 97 AS varchar) || ' Last' || cast(c_custkey AS varchar) AS name, true AS chat, false AS mail FROM {customer}
+UNION ALL SELECT 'email:' || cast(c_custkey AS varchar), CASE WHEN c_custkey % 3 = 0 THEN 'Last' || cast(c_custkey AS varchar) || ' First' || cast(c_custkey % 97 AS varchar) || ' Jr' WHEN c_custkey % 3 = 1 THEN 'First' || cast(c_custkey % 97 AS varchar) || ' Last' || cast(c_custkey - c_custkey % 2 AS varchar) ELSE 'Last' || cast(c_custkey AS varchar) END, false, true FROM {customer}"""
+
+
+def sides(v):
+    key, text = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    first, last = F.concat(F.lit("First"), (key % 97).cast("string")), F.concat(F.lit("Last"), text)
+    turned = F.when(key % 3 == 0, F.concat_ws(" ", last, first, F.lit("Jr"))).when(key % 3 == 1, F.concat_ws(" ", first, F.concat(F.lit("Last"), (key - key % 2).cast("string")))).otherwise(last)
+    flags = lambda on: [F.lit(f == on).alias(f) for f in (*identity.CHAT, *identity.MAIL)]
+    chat = v("customer").select(F.concat(F.lit("phone:"), text).alias("min_node"), F.concat_ws(" ", first, last).alias("name"), *flags("wa_dm"))
+    return chat.unionByName(v("customer").select(F.concat(F.lit("email:"), text).alias("min_node"), turned.alias("name"), *flags("gmail_from")))
+
+
+_HEADS = "list_distinct(list_transform({t}, lambda x: substr(x, 1, 3)))"
+
+
+@Q.add("cross_channel_bridge", recursive(f"bk AS ({_SIDES}), " + _BRIDGE.replace("{bk}", "bk"), "SELECT chat_node, mail_node, score FROM br"))
+def _(v):
+    """All customers as chat buckets against all, with their names turned round, cut or a neighbour's, as mail buckets."""
+    return identity.cross_channel_bridge(identity.cross_channel_candidates(sides(v)))
+
+
+_NAMED = f"SELECT cast(k AS varchar) AS id, na AS name, {_TOKENS.replace('name', 'na')} AS t FROM ({_twins_sql('na')})"
+_MEET = f"(len(list_intersect(x.t, y.t)) > 0 OR len(list_intersect({_HEADS.format(t='x.t')}, {_HEADS.format(t='y.t')})) > 0)"
+
+
+@Q.add("name_candidates", recursive(f"nm AS (SELECT * FROM ({_NAMED})), pr AS (SELECT x.id AS id_a, y.id AS id_b, x.name AS na, y.name AS nb FROM nm x JOIN nm y ON x.id < y.id AND {_MEET}), {fuzzy_sql('SELECT DISTINCT na, nb FROM pr')}",
+    "SELECT id_a, id_b, score, score >= 0.9 OR (score >= 0.7 AND cast(id_a AS int) % 3 = cast(id_b AS int) % 3) AS auto FROM pr JOIN scored USING (na, nb) WHERE score >= 0.6"))
+def _(v):
+    """Names that meet in a token or its first letters; persons of one thread need less likeness."""
+    rows = twins(v, "name").select(F.col("k").cast("string").alias("id"), "name")
+    threads = rows.select("id", (F.col("id").cast("int") % 3).alias("thread_id"))
+    auto, review = identity.name_candidates(rows, threads)
+    return auto.select("id_a", "id_b", "score", F.lit(True).alias("auto")).unionByName(review.select("id_a", "id_b", "score", F.lit(False).alias("auto")))
+
+
+@Q.add("participant_links", recursive(f"""nm AS ({_NAMED}), pe AS (SELECT 'P' || id AS id, name, t FROM nm WHERE cast(id AS int) % 2 = 0), pa AS (SELECT DISTINCT o_custkey // 2 AS k FROM {{orders}}), wn AS (SELECT DISTINCT nm.name, nm.t FROM nm JOIN pa ON nm.id = cast(pa.k AS varchar)),
+ pr AS (SELECT x.name AS na, y.name AS nb, y.id FROM wn x JOIN pe y ON {_MEET}), {fuzzy_sql('SELECT DISTINCT na, nb FROM pr')}, best AS (SELECT na, arg_max(id, (score, id)) AS person_id, max(score) AS score FROM pr JOIN scored USING (na, nb) WHERE score >= 0.85 GROUP BY 1)""",
+    "SELECT o_orderkey AS interaction_id, na AS name, person_id, score FROM {orders} JOIN nm ON nm.id = cast(o_custkey // 2 AS varchar) JOIN best ON best.na = nm.name"))
+def _(v):
+    """The names on orders against persons, one for every second customer."""
+    rows = twins(v, "name")
+    persons = rows.where("k % 2 = 0").select(F.concat(F.lit("P"), F.col("k").cast("string")).alias("id"), "name")
+    on = v("orders").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_custkey") / 2).alias("k")).join(rows, "k").select("id", F.array("name").alias("participants"))
+    return identity.link_participants(on, persons).select("interaction_id", "name", "person_id", "score")
+
+
+_CANON = """SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'Ramon' || w || ' Berrios' || w WHEN 1 THEN '~ Ramon' || w || ' B' WHEN 2 THEN 'Solo' || w WHEN 3 THEN 'Solo' || w || ' Other' || w || ' Third' WHEN 4 THEN 'Lone' || w || ' Wolf' ELSE 'Mail' || w || ' Owner' END AS name, w FROM (
+ SELECT c_custkey, chr(97 + cast(c_custkey // 6 % 26 AS int)) || chr(97 + cast(c_custkey // 156 % 26 AS int)) || chr(97 + cast(c_custkey // 4056 % 26 AS int)) AS w FROM {customer})"""
+
+
+@Q.add("canonical_names", f"""
+SELECT cast(k AS varchar) AS id, CASE k % 6 WHEN 0 THEN 'Ramon' || w || ' Berrios' || w WHEN 1 THEN 'Ramon' || w || ' Berrios' || w WHEN 2 THEN CASE WHEN k + 1 <= (SELECT max(c_custkey) FROM {{customer}}) THEN 'Solo' || w || ' Other' || w || ' Third' ELSE name END WHEN 3 THEN name ELSE name END AS display_name FROM ({_CANON})""")
+def _(v):
+    """Families of six: a name and its abbreviation, a first name alone and in full, two others."""
+    key = F.col("c_custkey")
+    w = F.concat(*[F.char((97 + F.floor(key / d) % 26).cast("int")) for d in (6, 156, 4056)])
+    forms = [F.concat(F.lit("Ramon"), w, F.lit(" Berrios"), w), F.concat(F.lit("~ Ramon"), w, F.lit(" B")), F.concat(F.lit("Solo"), w), F.concat(F.lit("Solo"), w, F.lit(" Other"), w, F.lit(" Third")), F.concat(F.lit("Lone"), w, F.lit(" Wolf")), F.concat(F.lit("Mail"), w, F.lit(" Owner"))]
+    rows = v("customer").select(key.cast("string").alias("id"), F.get(F.array(*forms), (key % 6).cast("int")).alias("name"), F.array(F.concat(F.lit("h"), key.cast("string"))).alias("handles"))
+    return identity.canonical_names(rows).select("id", "display_name")
 
 
 @Q.add("jid_names", """

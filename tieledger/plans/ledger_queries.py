@@ -218,9 +218,16 @@ def _(v):
     return one.unionByName(conflicts.select("user_id", "id", F.lit("conflict").alias("person_id")))
 
 
-@Q.add("autolinked_persons")
+@Q.add("autolinked_persons", f"""
+SELECT user_id, person_id, id AS observation_id FROM (WITH RECURSIVE h AS ({_HANDLES}), own AS (SELECT l.user_id, l.observation_id AS id, l.person_id FROM {{links}} l JOIN {{person_obs}} o ON o.user_id = l.user_id AND o.id = l.observation_id WHERE l.observation_id LIKE 'p%' AND o.payload->>'$.company' IS NOT NULL),
+ r(round, user_id, id, person_id) AS (SELECT 0, user_id, id, person_id FROM own
+  UNION ALL SELECT round, user_id, id, person_id FROM (SELECT q.round + 1 AS round, f.user_id, f.id, arg_min(q.person_id, (q.observed_at, q.id, q.person_id)) AS person_id FROM (SELECT r.round, r.user_id, h.handle, h.observed_at, r.id, r.person_id FROM r JOIN h ON h.user_id = r.user_id AND h.id = r.id WHERE r.round < 12) q
+   JOIN h f ON f.user_id = q.user_id AND f.handle = q.handle WHERE (f.user_id, f.id) NOT IN (SELECT (user_id, id) FROM own) GROUP BY 1, 2, 3))
+ SELECT user_id, id, person_id, round, row_number() OVER (PARTITION BY user_id, id ORDER BY round) AS n FROM r) WHERE n = 1 AND round > 0""")
 def _(v):
-    return links.autolink_persons(v("person_obs"), v("links").where("substr(observation_id, 1, 1) = 'p' AND length(observation_id) % 2 = 0")).select("user_id", "person_id", "observation_id")
+    """Persons of observations that name a company are known; others take theirs by a shared handle, and so on."""
+    known = v("links").join(v("person_obs").where("get_json_object(payload, '$.company') IS NOT NULL").select("user_id", F.col("id").alias("observation_id")), ["user_id", "observation_id"], "left_semi").where("observation_id LIKE 'p%'")
+    return links.autolink_persons(v("person_obs"), known).select("user_id", "person_id", "observation_id")
 
 
 @Q.add("provenance_wipe", """
