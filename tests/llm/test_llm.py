@@ -190,6 +190,9 @@ def test_mix(spark, edge, empty):
         assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) < 60
     mixed = mixing.mix(docs_of(spark, rows))
     assert mixed.columns == docs_of(spark, []).columns and mixed.count() == sum(r[5] for r in one)
+    clashing = docs_of(spark, rows).withColumn("_", F.lit(1)).withColumn("_d", F.lit(2)).withColumn("_s", F.lit(3)).withColumn("_n", F.lit(4)).withColumn("_copies", F.lit(5)).withColumn("size", F.lit(6))
+    again = mixing.mix(clashing)
+    assert again.columns == clashing.columns and again.count() == mixed.count() and again.select("size").distinct().count() == 1
     assert mixing.mixed_report(edge).count() == len(EDGE) and mixing.mixed_report(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
@@ -249,8 +252,10 @@ def brute_vectors(arrays, labels, ids, threshold=0.93):
     return {ids[i]: (links[i], find(ids[i])) for i in range(len(arrays))}
 
 
-def test_near_vectors(spark, monkeypatch):
+@pytest.mark.parametrize("tiles", [256, 3])
+def test_near_vectors(spark, monkeypatch, tiles):
     monkeypatch.setattr(vecdedup, "TILE", 16)
+    monkeypatch.setattr(vecdedup, "TILES", tiles)  # few tiles along one axis: those too full are parted along the next
     draw = np.random.default_rng(5)
     base = draw.normal(size=(12, 20))
     arrays = [list((base[i % 12] + draw.normal(size=20) * 0.25).astype(np.float32)) for i in range(150)]
@@ -534,10 +539,13 @@ def test_wrapped_licences(spark):
     plain = [(i, " ".join(words(60, i))) for i in range(60)]
     model = licences.fit(docs_of(spark, plain))
     rows = [(100 + i, mark.join(WRAPPED[f].split("\n"))) for i, (f, mark) in enumerate(itertools.product(sorted(WRAPPED), ["\n", "\r\n"]))]
+    rows += [(300 + i, f"import os\n# SPDX-License-Identifier: {x}\nx = 1") for i, x in enumerate(["MIT", "Apache-2.0", "GPL-2.0-only", "MPL-2.0"])]
+    rows += [(310, "Distributed under the MIT licence."), (311, "copyright and licence are words of this long line of text about a house by the sea, all rights reserved for the guests of the inn"), (312, " ".join(words(60_000, 5)) + "\n\n" + WRAPPED["MIT"])]
     rows += [(200, "Released under MPL 2.0"), (201, "\n".join(" ".join(words(60, i)) for i in range(40)) + "\n" + WRAPPED["GPL"].replace(" *\n", "") + "\n" + " ".join(words(90, 7)))]
     rows += [(202, "\n".join(" ".join(words(12, i)) + " under the terms of this form or the source of it" for i in range(30)))]
     got = {r["doc_id"]: (r["families"], r["n_notices"]) for r in licences.report(docs_of(spark, rows), model).collect()}
     assert {i: got[100 + i][0] for i in range(10)} == {i: sorted(WRAPPED)[i // 2] for i in range(10)}
+    assert [got[300 + i][0] for i in range(4)] == ["MIT", "Apache-2.0", "GPL", "MPL-2.0"] and got[310] == ("MIT", 1) and got[311] == ("", 0) and got[312][0] == "MIT"
     assert got[200] == ("MPL-2.0", 1) and got[201][0] == "GPL" and got[202] == ("", 0)
 
 

@@ -152,7 +152,9 @@ def mixed_report(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: documents that got no copy are gone, the others stand as often as they were taken."""
     units = rounded_copies(sized_rows(docs), **options).where("copies > 0")
-    units = units.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_copies"))
-    on = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (word_count(F.col("text")) == F.col("_n"))
-    taken = docs.join(units, on).withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns])
+    units = units.select(*[F.col(c).alias(f"__{c}") for c in ("doc_id", "source", "size", "copies")])
+    # the document travels as one column, so that no name of its can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    on = F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
+    taken = rows.join(units, on).select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    return taken.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

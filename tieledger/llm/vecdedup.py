@@ -26,8 +26,8 @@ from tieledger.llm.vectors import sample, unit, usable, usual_length
 from tieledger.operators.components import connected_components
 from tieledger.sources.tables import cut
 
-#: Vectors of a tile; axes of the boxes around tiles; dimensions after which pairs are dropped.
-TILE, BOX, STEPS = 1024, 8, (16, 32)
+#: Vectors of a tile; tiles along one axis; axes of the boxes around tiles; dimensions after which pairs are dropped.
+TILE, TILES, BOX, STEPS = 1024, 256, 8, (16, 32)
 _CLOSE = 1e-5
 
 
@@ -142,15 +142,21 @@ def linked_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """Classes (label, rep, n, embedding) -> (rep, links, root) by pair of tiles, for vectors with links."""
     axes = principal_axes(classes)
     placed = cut(classes.withColumn("dims", F.size("embedding")).withColumn("lead", _placed(axes)))
-    n_tiles = F.ceil(F.col("c") / TILE).cast("int")
-    # tiles along the first axis, by quantiles of each label; a tile that is too full is dealt out by a hash
-    shape = placed.groupBy("label", "dims").agg(F.count("*").alias("c"), F.percentile_approx(F.col("lead")[0], [k / 256 for k in range(1, 256)], 2000).alias("q"))
-    shape = shape.withColumn("q", F.transform(F.sequence(F.lit(1), F.least(n_tiles, F.lit(256))), lambda k: F.element_at("q", F.greatest(F.lit(1), F.least(F.lit(255), (k * 256 / F.least(n_tiles, F.lit(256))).cast("int"))))))
-    tiled = placed.join(shape, ["label", "dims"])
-    tiled = tiled.withColumn("tile", F.size(F.filter(F.slice("q", 1, F.size("q") - 1), lambda x: x < F.col("lead")[0]))).drop("q", "c")
-    full = tiled.groupBy("label", "dims", "tile").agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
-    tiled = tiled.join(full, ["label", "dims", "tile"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-    tiled = tiled.withColumn("block", F.concat_ws("/", F.lpad(F.col("tile").cast("string"), 4, "0"), F.col("part").cast("string")))
+    # tiles by quantiles along the first axis; those still too full along the next, and so on
+    placed, by = placed.withColumn("block", F.lit("")), ["label", "dims", "block"]
+    for axis in range(BOX):
+        n_tiles = F.least(F.ceil(F.col("c") / TILE), F.lit(TILES)).cast("int")
+        at = F.get("lead", F.lit(axis))  # null beyond a short vector's axes
+        shape = cut(placed.groupBy(*by).agg(F.count("*").alias("c"), F.percentile_approx(at, [k / TILES for k in range(1, TILES)], 2000).alias("q")).withColumn("tiles", n_tiles))
+        if (shape.agg(F.max("tiles")).first()[0] or 1) <= 1:
+            break
+        shape = shape.withColumn("q", F.transform(F.sequence(F.lit(1), F.col("tiles")), lambda k: F.element_at("q", F.greatest(F.lit(1), F.least(F.lit(TILES - 1), (k * TILES / F.col("tiles")).cast("int"))))))
+        tile = F.size(F.filter(F.slice("q", 1, F.size("q") - 1), lambda x: x < at))
+        placed = placed.join(shape, by).withColumn("block", F.concat("block", F.lpad(F.coalesce(F.greatest(tile, F.lit(0)), F.lit(0)).cast("string"), 4, "0"), F.lit("/"))).drop("q", "c", "tiles")
+    # what lies at one place on all axes, or a few too many, is dealt out by a hash
+    full = placed.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
+    tiled = placed.join(full, by).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    tiled = tiled.withColumn("block", F.concat("block", F.col("part").cast("string")))
     schema = "label string, dims int, block string, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"
     tiled = tiled.withColumn("label", F.col("label").cast("string")).select("label", "dims", "block", "rep", "n", "lead", "embedding")
     blocks = cut(tiled.groupBy("label", "dims", "block").applyInPandas(_packed, schema))
