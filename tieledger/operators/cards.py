@@ -27,12 +27,12 @@ def fold_person_cards(obs: DataFrame, links: DataFrame, as_of) -> DataFrame:
     """One card per person by one aggregation: each field takes the newest row that sets it.
 
     Rows that do not set a field get no ordering and are ignored by ``max_by``.  A correction of a list clears it; of the
-    items behind the last one the first occurrence of each stays.  Interactions only count and give the newest, so they
-    are aggregated apart and joined by person.
+    items behind the last one the first occurrence of each stays.  The ledger is joined to its links once, payloads are parsed
+    once, and all kinds of rows go through the one aggregation.
     """
-    rows = person_observations(obs.where("kind IN ('person', 'correction', 'interaction')"), links)
-    order = F.struct("observed_at", "ingested_at", "id").alias("ord")
-    identity = rows.where("kind <> 'interaction'").withColumn("p", F.parse_json("payload")).withColumn("ord", order)
+    needs = F.col("kind").isin("person", "correction", "interaction")
+    slim = obs.select("user_id", "id", "observed_at", "ingested_at", "kind", F.when(needs, F.col("payload")).alias("payload"))
+    identity = person_observations(slim, links).withColumn("p", F.try_parse_json("payload")).withColumn("ord", F.struct("observed_at", "ingested_at", "id"))
     text = lambda path: F.variant_get("p", path, "string")
     is_person, field = F.col("kind") == "person", F.when(F.col("kind") == "correction", text("$.field"))
     new_type = _json_type(F.col("p"), "$.new_value")
@@ -60,23 +60,21 @@ def fold_person_cards(obs: DataFrame, links: DataFrame, as_of) -> DataFrame:
         reset = F.max(F.when((field == name) & new_type.startswith("ARRAY"), F.col("ord")))
         return [F.collect_list(tagged).alias(f"__{name}"), reset.alias(f"__{name}_reset")]
 
+    get = lambda k: F.nullif(text(f"$.{k}"), F.lit(""))
+    newest = F.struct(F.coalesce(get("activity_type"), get("channel"), F.lit("interaction")).alias("type"), F.coalesce(get("title"), get("summary")).alias("title"), F.col("observed_at").alias("occurred_at"))
+    is_act = F.col("kind") == "interaction"
     folded = identity.groupBy(*PERSON).agg(
         plain("name", "name"), plain("category", "category"), plain("relationship_to_me", "relationship_to_me"), nullable("company"), nullable("title"),
         nullable("relationship_strength", False), *items("phones"), *items("emails"),
+        F.max("observed_at").alias("updated_at"), F.count_if(is_act).alias("activity_count"), F.max_by(newest, F.when(is_act, F.col("ord"))).alias("last_activity"),
     )
     for name in ("phones", "emails"):
         every = F.array_sort(F.flatten(f"__{name}"))
         kept = _kept(every, f"__{name}_reset")
         folded = folded.withColumn(name, F.array_distinct(F.transform(kept, lambda x: x["v"]))).drop(f"__{name}", f"__{name}_reset")
-    seen = person_observations(obs.select("user_id", "id", "observed_at"), links).groupBy(*PERSON).agg(F.max("observed_at").alias("updated_at"))
-    acts = rows.where("kind = 'interaction'").withColumn("p", payload_map(F.col("payload"))).withColumn("ord", order)
-    get = lambda k: F.nullif(F.element_at("p", F.lit(k)), F.lit(""))
-    newest = F.struct(F.coalesce(get("activity_type"), get("channel"), F.lit("interaction")).alias("type"), F.coalesce(get("title"), get("summary")).alias("title"), F.col("observed_at").alias("occurred_at"))
-    acts = acts.select(*PERSON, "ord", newest.alias("act")).groupBy(*PERSON).agg(F.count("*").alias("activity_count"), F.max_by("act", "ord").alias("last_activity"))
-    out = seen.join(folded, PERSON, "left").join(acts, PERSON, "left")
     ago = F.greatest(F.lit(0), F.floor(days_between(F.lit(as_of).cast("timestamp"), F.col("last_activity.occurred_at")))).cast("long")
     empty = F.array().cast("array<string>")
-    return out.select(
+    return folded.select(
         *PERSON, "name", "company", "title", "category", F.coalesce("relationship_to_me", F.lit("")).alias("relationship_to_me"), "relationship_strength",
         F.coalesce("phones", empty).alias("phones"), F.coalesce("emails", empty).alias("emails"), "updated_at",
         F.coalesce("activity_count", F.lit(0)).cast("long").alias("activity_count"), "last_activity", F.when(F.col("last_activity").isNotNull(), ago).alias("days_ago"),

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,16 +47,35 @@ def _small_star(edges: DataFrame, parts: int) -> DataFrame:
     return own.union(rest).where("a <> b").distinct()
 
 
+def _contracted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The edges of a batch give way to one from each node to the least one that the batch's edges lead to."""
+    for rows in batches:
+        codes, nodes = pd.factorize(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), sort=True)
+        i, j = codes[: len(rows)], codes[len(rows) :]
+        label = np.arange(len(nodes))
+        while True:
+            least = np.minimum(label[i], label[j])
+            new = label.copy()
+            for ends in (i, j, label[i], label[j]):
+                np.minimum.at(new, ends, least)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        away = np.flatnonzero(label != np.arange(len(nodes)))
+        yield pd.DataFrame({"a": nodes[away], "b": nodes[label[away]]})
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: edges (a, b) -> one row (node, component) per node on an edge.
 
     ``component`` is the smallest node of the component.  Rows with a null end and loops are ignored for
     linking; a node that has only loops is its own component; repeated edges count once.  An empty table
-    gives an empty one.  Every round is two pairs of hash aggregation and equi-join and is written to the
+    gives an empty one.  Edges are contracted in batches where they are before anything is shuffled.  Every round is two pairs of hash aggregation and equi-join and is written to the
     shared folder, so that neither the plan nor a lost executor makes a later round recompute a former one.
     """
     whole = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
-    now = cut(whole.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut(whole.where("a <> b").mapInPandas(_contracted, whole.schema).distinct())
     nodes = cut(_both_ways(whole).select(F.col("a").alias("node")).distinct())
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
     before = print_of(now)

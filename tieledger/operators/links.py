@@ -14,16 +14,20 @@ _IDS = "array<string>"
 def link_events(obs: DataFrame) -> DataFrame:
     """obs (user_id, id, kind, payload, seq) -> user_id, person_id, observation_id, op (add, remove), seq, by."""
     p = payload_map(F.col("payload"))
+    event = "array<struct<person_id:string,observation_id:string,op:string>>"
 
-    def one(kinds: list[str], person: str, ids, op: str) -> DataFrame:
-        rows = obs.where(F.col("kind").isin(*kinds)).select("user_id", F.element_at(p, person).alias("person_id"), F.explode(ids).alias("observation_id"), F.lit(op).alias("op"), "seq", F.col("id").alias("by"))
-        return rows.where("person_id IS NOT NULL AND observation_id IS NOT NULL")
+    def each(person: str, ids, op: str):
+        return F.transform(ids, lambda x: F.struct(F.element_at(p, person).alias("person_id"), x.alias("observation_id"), F.lit(op).alias("op"))).cast(event)
 
     merged = F.from_json(F.element_at(p, "merged_observation_ids"), _IDS)
-    adds = one(["merge"], "person_id", F.when(F.size(merged) > 0, F.concat(merged, F.array("id"))), "add")
-    removes = one(["split"], "person_id", F.from_json(F.element_at(p, "split_off_observation_ids"), _IDS), "remove")
-    targets = one(["correction", "interaction", "note"], "target_person_id", F.array("id"), "add")
-    return adds.unionByName(removes).unionByName(targets)
+    # the ledger is read and its payloads are parsed once: a row's events are one array
+    made = (
+        F.when(F.col("kind") == "merge", each("person_id", F.when(F.size(merged) > 0, F.concat(merged, F.array("id"))), "add"))
+        .when(F.col("kind") == "split", each("person_id", F.from_json(F.element_at(p, "split_off_observation_ids"), _IDS), "remove"))
+        .otherwise(each("target_person_id", F.array("id"), "add"))
+    )
+    rows = obs.where("kind IN ('merge', 'split', 'correction', 'interaction', 'note')").select("user_id", F.explode(made).alias("e"), "seq", F.col("id").alias("by"))
+    return rows.select("user_id", "e.person_id", "e.observation_id", "e.op", "seq", "by").where("person_id IS NOT NULL AND observation_id IS NOT NULL")
 
 
 def resolve_links(events: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tieledger.operators import graph
@@ -72,21 +75,30 @@ def group_rows(v):
     return graph.resolve_group_members(graph.group_thread_phones(raw), graph.group_thread_lids(raw), v("bridge"))[0]
 
 
-def group_edges(v):
-    members = group_rows(v).join(phones(v), ["user_id", "phone"]).select("user_id", "thread_id", "person_id", "last_at")
-    return graph.shared_group_edges(members, v("self_ids"), AS_OF)
+class Contacts:
+    """What nodes and edges share, each worked out and written once."""
+
+    def __init__(self, v):
+        self.phones, self.dms, self.groups = cut(phones(v)), cut(dms(v)), cut(group_rows(v))
+        self.mails, self.selves = cut(graph.email_interactions(v("obs"), v("links"))), v("self_ids")
+
+    def edges(self):
+        cols = ["user_id", "a", "b", "type", "weight"]
+        members = self.groups.join(self.phones, ["user_id", "phone"]).select("user_id", "thread_id", "person_id", "last_at")
+        made = [graph.dm_edges(self.dms, self.phones, self.selves, AS_OF), graph.emailed_edges(self.mails, self.selves, AS_OF), graph.shared_group_edges(members, self.selves, AS_OF)]
+        return cut(reduce(DataFrame.unionByName, [x.select(*cols) for x in made]))
 
 
 def all_edges(v):
-    cols = ["user_id", "a", "b", "type", "weight"]
-    return dm_edges(v).select(*cols).unionByName(mail_edges(v).select(*cols)).unionByName(group_edges(v).select(*cols))
+    return Contacts(v).edges()
 
 
-def nodes(v):
+def nodes(v, contacts=None, edges=None):
     """Persons with the time of their last contact and their score."""
+    c = contacts or Contacts(v)
     made = graph.graph_nodes(_person_cards(v), v("obs"), v("links"))
-    made = graph.last_interaction(made, dms(v), group_rows(v), graph.email_interactions(v("obs"), v("links")), phones(v))
-    return graph.score_nodes(made, all_edges(v))
+    made = graph.last_interaction(made, c.dms, c.groups, c.mails, c.phones)
+    return graph.score_nodes(made, edges if edges is not None else c.edges())
 
 
 _NODES = f"""(SELECT n.user_id, n.person_id, n.name, n.category, n.first_seen, n.last_seen, coalesce(t.seen_at, n.last_seen) AS last_interaction_at, coalesce(e.n, 0) AS edge_count, 2 * ln(1 + coalesce(e.n, 0)) AS score FROM (
@@ -169,26 +181,31 @@ SELECT 'nodes_written' AS what, (SELECT count(*) FROM {{persons}} WHERE length(i
 UNION ALL SELECT 'edges_written', (SELECT count(*) FROM {_EDGES} WHERE length(a) % 2 = 0 AND length(b) % 2 = 0) UNION ALL SELECT 'edges_pruned', (SELECT count(*) FROM {_EDGES} WHERE length(a) % 2 = 1 OR length(b) % 2 = 1)""")
 def _(v):
     old = v("persons").withColumnRenamed("id", "person_id")
-    return graph.merge_graph(old, all_edges(v), old.where("length(person_id) % 2 = 0"), all_edges(v))[2]
+    edges = all_edges(v)
+    return graph.merge_graph(old, edges, old.where("length(person_id) % 2 = 0"), edges)[2]
 
 
 @Q.add("graph_totals", f"""
 SELECT user_id, count(*) AS persons, count(*) FILTER (score > 2 AND epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(last_interaction_at) > 14 * 86400000000) AS going_cold FROM {_NODES} GROUP BY 1""")
 def _(v):
-    return graph.graph_view(nodes(v), all_edges(v), AS_OF)[2]
+    c = Contacts(v)
+    edges = c.edges()
+    return graph.graph_view(nodes(v, c, edges), edges, AS_OF)[2]
 
 
 @Q.add("graph_neighbors", f"SELECT user_id, a AS person_id, b AS neighbor_id, type FROM {_EDGES} UNION ALL SELECT user_id, b, a, type FROM {_EDGES}")
 def _(v):
     asked = v("persons").select("user_id", F.col("id").alias("person_id"))
-    return graph.neighbors(cut(all_edges(v)), asked).select("user_id", "person_id", "neighbor_id", "type")
+    return graph.neighbors(all_edges(v), asked).select("user_id", "person_id", "neighbor_id", "type")
 
 
 @Q.add("connected_core", f"""
 SELECT user_id, person_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, person_id) AS r FROM {_NODES} WHERE edge_count > 0) WHERE r <= 200
 UNION SELECT n.user_id, n.person_id FROM {_NODES} n JOIN {{self_ids}} s ON s.user_id = n.user_id AND s.self_id = n.person_id""")
 def _(v):
-    return graph.connected_core(nodes(v), all_edges(v), v("self_ids"))[0].select("user_id", "person_id")
+    c = Contacts(v)
+    edges = c.edges()
+    return graph.connected_core(nodes(v, c, edges), edges, v("self_ids"))[0].select("user_id", "person_id")
 
 
 @Q.add("co_presence", """
