@@ -126,6 +126,29 @@ def test_blocked_bridge_agrees_with_exhaustive(spark):
     assert len({r["mail_node"] for r in pairs}) == len(pairs) == len({r["chat_node"] for r in pairs})
 
 
+def test_one_token_names_that_begin_unlike(spark):
+    """No pair over the cutoff is missed, whatever the first letters."""
+    draw, letters = random.Random(8), "abcdeorst"
+    base = ["katherine", "catherine", "joanna", "johanna", "mohammed", "muhammed", "jonathan", "jonatan", "yonathan", "anna stone", "stone"] + ["".join(draw.choice(letters) for _ in range(draw.randrange(5, 12))) for _ in range(30)]
+    slips = [w[1:] if k % 3 == 0 else draw.choice(letters) + w[1:] if k % 3 == 1 else w[: len(w) // 2] + draw.choice(letters) + w[len(w) // 2 :] for k, w in enumerate(base)]
+    rows = [(f"phone:{i}", n, True, False) for i, n in enumerate(base)] + [(f"email:{i}", n, False, True) for i, n in enumerate(slips + base[:11])]
+    df = spark.createDataFrame(rows, "min_node string, name string, wa_dm boolean, gmail_from boolean")
+    df = df.withColumns({c: F.lit(False) for c in ("wa_contact", "wa_group", "google_contact", "gmail_to_cc")})
+    a, b = (sorted(tuple(r) for r in identity.cross_channel_candidates(df, exhaustive=e).select("chat_node", "mail_node", "score").collect()) for e in (False, True))
+    assert a == b and len(a) > 20
+
+
+def test_canonical_names(spark):
+    rows = [
+        ("1", "Ramon Berrios", ["h1"]), ("2", "Ramon B", ["h2"]), ("3", "Suhas", ["h3"]), ("4", "Suhas Sumukh", ["h4"]), ("5", "~ Deepak Sai Pendyala", ["h5"]), ("6", "Deepak Sai Pendyla", ["h6"]),
+        ("7", "Olga Maria Winter", ["h7"]), ("8", None, ["olga.maria.winter@x.test"]), ("9", "Ann", ["h9"]), ("10", "Ann Lee", ["h10"]), ("11", "Other Name", ["h10"]), ("12", "Ramon Xu", ["h12"]),
+    ]
+    got = {r["id"]: (r["component"], r["display_name"]) for r in identity.canonical_names(spark.createDataFrame(rows, "id string, name string, handles array<string>")).collect()}
+    same = lambda a, b: got[a][0] == got[b][0]
+    assert same("1", "2") and same("3", "4") and same("5", "6") and same("7", "8") and same("10", "11")
+    assert not same("9", "10") and not same("12", "1") and got["2"][1] == "Ramon Berrios" and got["8"][1] == "Olga Maria Winter"
+
+
 def test_group_cut_counts_self(spark):
     rows = [("t", "g", f"P{i}", 0) for i in range(30)] + [("t", "h", "P0", 0), ("t", "h", "P1", 0)]
     members = spark.createDataFrame(rows, "user_id string, thread_id string, person_id string, s long").withColumn("last_at", F.timestamp_seconds("s"))

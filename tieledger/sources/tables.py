@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
 
-    Only where the session names none (local tests) a temporary folder is made and kept for the session.
+    Only where the session names none and its master is local (tests) a temporary folder is made and kept for the session.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = _own.setdefault(id(spark.sparkContext), tempfile.mkdtemp(prefix="spark-tieledger-", dir="/tmp"))
     return where.rstrip("/")
 
