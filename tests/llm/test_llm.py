@@ -8,6 +8,7 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -336,6 +337,16 @@ def test_similarity_estimate():
         assert (agree - 1 / 16) / (1 - 1 / 16) == pytest.approx(share, abs=0.15)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_all_pairs_in_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name]).df()
+    got = queries.queries()[name](spark, SF).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.astype(object).to_numpy().tolist())) == sorted(map(tuple, want.astype(object).to_numpy().tolist()))
+
+
 # toxicity
 
 

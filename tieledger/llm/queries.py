@@ -89,5 +89,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Ends of both: links (x, y) of rows (id) -> the smallest id that links lead to.
+_COMPONENTS = "both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links), reach(x, y) AS (SELECT id, id FROM rows_ UNION SELECT reach.x, b.y FROM reach JOIN both_ways b ON b.x = reach.y), least AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY 1)"
+
+_NEAR_VECTORS = f"""WITH RECURSIVE rows_ AS (SELECT vec_id AS id, label, list_transform(embedding, lambda e: cast(e AS double)) AS v FROM embeddings),
+ok AS (SELECT * FROM rows_ WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_sum(list_transform(v, lambda e: e * e)) > 0),
+links AS (SELECT a.id AS x, b.id AS y FROM ok a JOIN ok b ON b.label = a.label AND a.id < b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93), {_COMPONENTS}
+SELECT r.id AS vec_id, (SELECT count(*) FROM links l WHERE l.x = r.id OR l.y = r.id) AS n_links, component_id, component_id = r.id AS kept FROM rows_ r JOIN least USING (id)"""
+
+_NEAR_DOCUMENTS = f"""WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+rows_ AS (SELECT id, list_distinct(list_transform(range(1, greatest(2, len(w) - 3)), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS s FROM words WHERE len(w) > 0 UNION ALL SELECT id, [] FROM words WHERE len(w) = 0),
+sets AS (SELECT min(id) AS id, hash(list_sort(s)) AS h, any_value(s) AS s, len(any_value(s)) AS n FROM rows_ WHERE len(s) > 0 GROUP BY 2),
+each AS (SELECT id, n, unnest(s) AS g FROM sets), pairs AS (SELECT a.id AS x, b.id AS y, count(*) AS both_, any_value(a.n) AS na, any_value(b.n) AS nb FROM each a JOIN each b ON b.g = a.g AND a.id < b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs WHERE 100 * both_ >= 75 * (na + nb - both_) UNION SELECT k.id, r.id FROM rows_ r JOIN sets k ON k.h = hash(list_sort(r.s)) WHERE len(r.s) > 0 AND r.id <> k.id), {_COMPONENTS}
+SELECT id AS doc_id, len(s) AS n_shingles, component_id, component_id = id AS kept FROM rows_ JOIN least USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The two whose whole result SQL can give by comparing all pairs."""
+    return {"op8_near_vectors": _NEAR_VECTORS, "op9_near_documents": _NEAR_DOCUMENTS}
