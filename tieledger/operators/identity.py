@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tieledger.functions import normalize as N
-from tieledger.functions.names import fuzzy_score, name_ratio
+from tieledger.functions.names import fuzzy_score
 from tieledger.operators.components import connected_components
+from tieledger.operators.similarity import like_texts, met, similar_names, similar_pairs
 from tieledger.sources.tables import cut
 
 #: Where a name comes from, best first.
@@ -118,82 +119,94 @@ def _sides(b: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named.where(chat & ~mail), named.where(mail & ~chat)
 
 
-#: Fixed order of letters, the rarer ones of names first; others come before them.
-_RARE = "qxzjwvkfypbgcmdulhtosrnie a"
-
-
-def _rare_letters(name: Column, share: float) -> Column:
-    """Letters with their number of occurrence, the rarest first, as many that two names with ``share`` of them in common share one."""
-    letters = F.filter(F.split(name, ""), lambda c: c != "")
-    numbered = F.transform(letters, lambda c, i: F.struct(F.instr(F.lit(_RARE), c).alias("rank"), c.alias("c"), F.size(F.filter(F.slice(letters, 1, i + 1), lambda d: d == c)).alias("n")))
-    most = F.greatest(F.lit(1), F.size(letters) - F.ceil(F.size(letters) * share).cast("int") + 1)
-    return F.transform(F.slice(F.array_sort(numbered), 1, most), lambda x: F.concat_ws("#", x["c"], x["n"].cast("string")))
-
-
 def _token_pairs(t: Column) -> Column:
     return F.flatten(F.transform(t, lambda x: F.transform(F.filter(t, lambda y: y > x), lambda y: F.concat_ws(" ", x, y))))
 
 
-def _letters_in_common(a: Column, b: Column) -> Column:
-    """How many letters two names have in common, each as often as both have it."""
-    counts = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
-    return reduce(lambda x, y: x + y, [F.least(counts(a, c), counts(b, c)) for c in "abcdefghijklmnopqrstuvwxyz0123456789 "])
-
-
 def cross_channel_candidates(buckets: DataFrame, threshold: float = 0.85, single_token_threshold: float = 0.92, exhaustive: bool = False) -> DataFrame:
     """buckets (min_node, name, flags) -> chat_node, mail_node, score of the pairs that may merge; none is missed.
 
     Only different names are compared, and each pair of them once.  Names of two tokens each must share two, so they meet by
-    pairs of tokens.  Where one has a single token, the score is 1 if the other has it too; else it is a Jaro-Winkler score of the
-    names' letters.  A score of t needs ``m / la + m / lb >= 5 t - 3`` for m letters in common, so at least ``5 t - 4`` of either
-    name's letters: such names share one of the rarest, and what fails the bound is not scored.  ``exhaustive``, for tests, compares all.
+    pairs of tokens.  Where one has a single token, names meet as ``similarity.similar_pairs`` has it.  ``exhaustive``, for tests, compares all.
     """
     chat, mail = _sides(buckets)
-    plain_name = N.normalize_name(F.col("name"))
     a, b = (df.select(F.col("min_node").alias(f"{kind}_node"), F.col("name").alias(f"n{s}")) for df, kind, s in ((chat, "chat", "a"), (mail, "mail", "b")))
-    names_a, names_b = (df.select(F.col("name").alias(f"n{s}"), F.col("tokens").alias(f"t{s}"), plain_name.alias(f"p{s}")).dropDuplicates([f"n{s}"]) for df, s in ((chat, "a"), (mail, "b")))
+    names_a, names_b = (cut(df.select("name", F.array_distinct("tokens").alias("t")).dropDuplicates(["name"])) for df in (chat, mail))
     if exhaustive:
-        pairs = names_a.join(names_b, F.lit(True))
+        pairs = names_a.select(F.col("name").alias("na")).join(names_b.select(F.col("name").alias("nb")), F.lit(True))
     else:
-        share = 5 * single_token_threshold - 4
-        one = F.least(F.size("ta"), F.size("tb")) < 2
-
-        def met(key: Callable[[str], Column], condition: Column | None = None) -> DataFrame:
-            x, y = names_a.withColumn("k", F.explode(key("a"))), names_b.withColumn("k", F.explode(key("b")))
-            out = x.join(y, "k").drop("k")
-            return out.where(condition) if condition is not None else out
-
-        la, lb = F.length("pa"), F.length("pb")
-        common = _letters_in_common(F.col("pa"), F.col("pb"))
-        near = one & (F.least(la, lb) >= share * F.greatest(la, lb)) & (common / la + common / lb >= 1 + share - 1e-9)
-        # a single token meets the same among several under a key of its own, so that long names do not meet by one token
-        single = lambda s, other: F.when(F.size(f"t{s}") == 1, F.array(F.concat(F.lit(s), F.get(f"t{s}", F.lit(0))))).otherwise(F.transform(f"t{s}", lambda t: F.concat(F.lit(other), t)))
-        both = lambda s: F.array_union(single(s, "b" if s == "a" else "a"), F.when(F.size(f"t{s}") == 1, F.array(F.concat(F.lit("ab"), F.get(f"t{s}", F.lit(0))))).otherwise(F.array().cast("array<string>")))
-        pairs = met(lambda s: _token_pairs(F.col(f"t{s}"))).unionByName(met(both, one)).unionByName(met(lambda s: _rare_letters(F.col(f"p{s}"), share), near)).dropDuplicates(["na", "nb"])
-    enough = (F.least(F.size("ta"), F.size("tb")) < 2) | (F.size(F.array_intersect("ta", "tb")) >= 2)
-    cutoff = F.when(F.least(F.size("ta"), F.size("tb")) >= 2, threshold).otherwise(single_token_threshold)
-    good = pairs.where(enough).withColumn("score", fuzzy_score(F.col("na"), F.col("nb"))).where(F.col("score") >= cutoff).select("na", "nb", "score")
+        several = lambda df: df.where(F.size("t") >= 2)
+        single = lambda df: df.where(F.size("t") < 2)
+        by_two = lambda df: several(df).select(F.col("name").alias("__name"), F.explode(_token_pairs(F.col("t"))).alias("k"))
+        pairs = met(by_two(names_a), by_two(names_b), ["k"])
+        pairs = pairs.union(similar_pairs(single(names_a), names_b, single_token_threshold)).union(similar_pairs(several(names_a), single(names_b), single_token_threshold)).distinct()
+    ta, tb = (F.array_distinct(N.name_tokens(F.col(c))) for c in ("na", "nb"))
+    pairs = pairs.withColumns({"fewer": F.least(F.size(ta), F.size(tb)), "common": F.size(F.array_intersect(ta, tb))}).where("fewer < 2 OR common >= 2")
+    cutoff = F.when(F.col("fewer") >= 2, threshold).otherwise(single_token_threshold)
+    good = pairs.withColumn("score", fuzzy_score(F.col("na"), F.col("nb"))).where(F.col("score") >= cutoff).select("na", "nb", "score")
     return a.join(good, "na").join(b, "nb").select("chat_node", "mail_node", "score")
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    used, out = set(), []
-    for chat, group in rows.sort_values(["chat_node", "score", "mail_node"], ascending=[True, False, True]).groupby("chat_node", sort=False):
-        best = next((r for r in group.itertuples(index=False) if r.mail_node not in used), None)
-        if best is not None:
-            used.add(best.mail_node)
-            out.append((chat, best.mail_node, best.score))
-    return pd.DataFrame(out, columns=["chat_node", "mail_node", "score"])
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of one task, sorted by chat bucket and falling score."""
+    used: set[str] = set()
+    done = None
+    for rows in batches:
+        out = []
+        for r in rows.itertuples(index=False):
+            if r.chat_node != done and r.mail_node not in used:
+                used.add(r.mail_node)
+                done = r.chat_node
+                out.append(r)
+        yield pd.DataFrame(out, columns=rows.columns)
+
 
+_BRIDGED = "chat_node string, mail_node string, score double"
 
-def cross_channel_bridge(candidates: DataFrame) -> DataFrame:
-    """Chat buckets in order of their node take the best mail bucket still free.
 
-    Only buckets of one component of the candidate graph compete, so components are settled in parallel.
+def cross_channel_bridge(candidates: DataFrame, at_once: int = 500_000) -> DataFrame:
+    """Chat buckets in order of their node take the best mail bucket still free, of equal scores the lesser node.
+
+    Settled by rounds: where a chat bucket's best free mail bucket has no earlier chat bucket that wants it at all, that pair
+    stands, whatever the others do; both leave, and so do their other candidates.  What is left, once it is no more than ``at_once`` pairs, goes
+    in order through one task.  Should the rounds hardly settle anything, as along a chain of dependent buckets, the first
+    ``at_once`` pairs in order do so, then the next, each with the used mail buckets gone; so every task is bounded.
     """
-    comps = connected_components(candidates.select(F.col("chat_node").alias("a"), F.col("mail_node").alias("b")))
-    rows = candidates.join(comps.withColumnRenamed("node", "chat_node"), "chat_node")
-    return rows.groupBy("component").applyInPandas(_greedy, "chat_node string, mail_node string, score double")
+    left = cut(candidates.groupBy("chat_node", "mail_node").agg(F.max("score").alias("score")))
+    settled: list[DataFrame] = []
+    n = left.count()
+    while n > at_once:
+        best = left.groupBy("chat_node").agg(F.min_by("mail_node", F.struct(-F.col("score"), F.col("mail_node"))).alias("mail_node"))
+        first = left.groupBy("mail_node").agg(F.min("chat_node").alias("chat_node"))
+        sure = cut(best.join(first, ["chat_node", "mail_node"]).join(left, ["chat_node", "mail_node"]).select("chat_node", "mail_node", "score"))
+        settled.append(sure)
+        left = cut(left.join(sure.select("chat_node"), "chat_node", "left_anti").join(sure.select("mail_node"), "mail_node", "left_anti").select("chat_node", "mail_node", "score"))
+        before, n = n, left.count()
+        if n > at_once and n > 0.9 * before:
+            # whole chat buckets, so that no later pair belongs to them; one alone may have more pairs
+            sizes = left.groupBy("chat_node").agg(F.count("*").alias("n"))
+            edge = _first_of_order(sizes, "chat_node", "n", at_once)
+            head = cut(_in_one_task(left.where(F.col("chat_node") <= edge)))
+            settled.append(head)
+            left = cut(left.where(F.col("chat_node") > edge).join(head.select("mail_node"), "mail_node", "left_anti").select("chat_node", "mail_node", "score"))
+            n = left.count()
+    return reduce(DataFrame.unionByName, settled, _in_one_task(left))
+
+
+def _in_one_task(rows: DataFrame) -> DataFrame:
+    return rows.coalesce(1).sortWithinPartitions("chat_node", F.desc("score"), "mail_node").select("chat_node", "mail_node", "score").mapInPandas(_greedy, _BRIDGED)
+
+
+def _first_of_order(sizes: DataFrame, key: str, n: str, most: int) -> str:
+    """The greatest key up to which the sum of ``n``, in order of keys, is at most ``most``; the least key at least."""
+    ranges = cut(sizes.repartitionByRange(64, key).withColumn("part", F.spark_partition_id()))
+    total, at = 0, None
+    for r in ranges.groupBy("part").agg(F.sum(n).alias("n"), F.max(key).alias("last")).orderBy("last").collect():  # 64 rows
+        if total + r["n"] > most:
+            own = ranges.where(F.col("part") == r["part"]).orderBy(key).select(key, F.sum(n).over(Window.orderBy(key)).alias("sum")).where(F.col("sum") <= most - total)
+            return own.agg(F.max(key)).first()[0] or at or sizes.agg(F.min(key)).first()[0]
+        total, at = total + r["n"], r["last"]
+    return at
 
 
 def drop_self(buckets: DataFrame, emails: list[str], phones: list[str], names: list[str]) -> DataFrame:
@@ -246,37 +259,47 @@ def resolve_observations(handles: DataFrame, lid_map: DataFrame) -> DataFrame:
     return rows.where(F.size("ids") > 1).select("ids", "bridges", F.lit(1.0).cast("decimal(4,3)").alias("confidence"))
 
 
-def _blocked(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of (id, name) rows whose names share a token or the first three letters of one."""
-    def keyed(df: DataFrame, s: str) -> DataFrame:
-        t = N.name_tokens(F.col("name"))
-        k = F.explode(F.array_distinct(F.concat(t, F.transform(t, lambda x: F.concat(F.lit("^"), F.substring(x, 1, 3))))))
-        return df.select(F.col("id").alias(f"id_{s}"), F.col("name").alias(f"name_{s}"), k.alias("k"))
-
-    return keyed(a, "a").join(keyed(b, "b"), "k").select("id_a", "name_a", "id_b", "name_b").distinct()
-
-
-def _scored(pairs: DataFrame) -> DataFrame:
-    names = pairs.select("name_a", "name_b").distinct().withColumn("score", fuzzy_score(F.col("name_a"), F.col("name_b")))
-    return pairs.join(names, ["name_a", "name_b"])
+def name_candidates(unresolved: DataFrame, threads: DataFrame, review: float = 0.6) -> tuple[DataFrame, DataFrame]:
+    """unresolved (id, name), threads (id, thread_id) -> automatic merges, and pairs to review from a score of ``review`` on.
 
-
-def name_candidates(unresolved: DataFrame, threads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """unresolved (id, name), threads (id, thread_id) -> automatic merges, and pairs to review."""
-    pairs = _scored(_blocked(unresolved, unresolved).where("id_a < id_b"))
-    a, b = threads.select(F.col("id").alias("id_a"), "thread_id"), threads.select(F.col("id").alias("id_b"), "thread_id")
-    shared = pairs.where("score >= 0.7").join(a, "id_a").join(b, ["id_b", "thread_id"]).select("id_a", "id_b", F.lit(True).alias("shared")).distinct()
-    marked = pairs.where("score >= 0.6").join(shared, ["id_a", "id_b"], "left")
+    Of all pairs, those with a score of 0.9 merge, and those of one thread from 0.7 on.  The score of two names is that of the lesser one
+    against the greater.  From a ``review`` of 0.75 on, few other pairs are looked at (``similarity.similar_names``) and pairs of one
+    thread are scored besides; below, as in the rule this follows, the answer is a good part of all pairs of different names.
+    """
+    own = unresolved.select("id", "name")
+    members = threads.select("id", "thread_id").distinct()
+    scored = similar_names(own, own, review)
+    a, b = (own.select(F.col("id").alias(f"i{s}"), F.col("name").alias(f"n{s}")) for s in "ab")
+
+    def by_id(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(a, "na").join(b, "nb").where((F.col("na") < F.col("nb")) | (F.col("ia") < F.col("ib"))).where("ia <> ib")
+        return rows.select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"), F.when(F.col("ia") < F.col("ib"), F.col("na")).otherwise(F.col("nb")).alias("name_a"), F.when(F.col("ia") < F.col("ib"), F.col("nb")).otherwise(F.col("na")).alias("name_b"), "score")
+
+    pairs = by_id(scored)
+    x, y = (members.select(F.col("id").alias(f"id_{s}"), "thread_id") for s in "ab")
+    if review > 0.7:
+        named = members.join(own, "id").where("name IS NOT NULL")
+        left, right = (named.select("thread_id", F.struct("id", "name").alias("__name")) for _ in "ab")
+        close = met(left, right, ["thread_id"], F.col("na.id") < F.col("nb.id")).distinct()
+        lesser, greater = F.least("na.name", "nb.name"), F.greatest("na.name", "nb.name")
+        close = close.select(F.col("na.id").alias("id_a"), F.col("nb.id").alias("id_b"), F.col("na.name").alias("name_a"), F.col("nb.name").alias("name_b"), fuzzy_score(lesser, greater).alias("score"))
+        near = cut(close.where("score >= 0.7"))
+        pairs = pairs.unionByName(near).distinct()
+        shared = near.select("id_a", "id_b", F.lit(True).alias("shared"))
+    else:
+        pairs = cut(pairs)
+        shared = pairs.where("score >= 0.7").join(x, "id_a").join(y, ["id_b", "thread_id"]).select("id_a", "id_b", F.lit(True).alias("shared")).distinct()
+    marked = pairs.join(shared, ["id_a", "id_b"], "left")
     auto = (F.col("score") >= 0.9) | (F.coalesce("shared", F.lit(False)) & (F.col("score") >= 0.7))
     return marked.where(auto), marked.where(~auto)
 
 
 def link_participants(interactions: DataFrame, persons: DataFrame, least: float = 0.85) -> DataFrame:
-    """interactions (id, participants), persons (id, name): the best person of each participant's name."""
+    """interactions (id, participants), persons (id, name): of all persons the best for each participant's name, from ``least`` on."""
     people = interactions.select(F.col("id").alias("interaction_id"), F.explode("participants").alias("name"))
-    names = people.select(F.col("name").alias("id"), "name").distinct()
-    best = _scored(_blocked(names, persons)).where(F.col("score") >= least).groupBy("name_a").agg(F.max(F.struct("score", "id_b")).alias("x"))
-    return people.join(best.withColumnRenamed("name_a", "name"), "name").select("interaction_id", "name", F.col("x.id_b").alias("person_id"), "x.score")
+    pairs = similar_names(people, persons, least)
+    best = pairs.join(persons.select(F.col("id").alias("id_b"), F.col("name").alias("nb")), "nb").groupBy("na").agg(F.max(F.struct("score", "id_b")).alias("x"))
+    return people.join(best.withColumnRenamed("na", "name"), "name").select("interaction_id", "name", F.col("x.id_b").alias("person_id"), "x.score")
 
 
 def canonical_names(identities: DataFrame, least: float = 0.88, least_mail: float = 0.8) -> DataFrame:
@@ -287,7 +310,7 @@ def canonical_names(identities: DataFrame, least: float = 0.88, least_mail: floa
     two words and more and their ratio is over ``least``; and where the local part of an e-mail handle (more than four
     letters) has a ratio over ``least_mail`` to a name without blanks.  The first three are stars around the shared words, so
     that a common first name makes no pairs; names are compared by ratio once for each different one, and only where
-    they share one of their rarest letters, which names of that ratio always do.
+    they share as many letters as that ratio needs (``similarity.like_texts``).
     """
     low = F.trim(F.regexp_replace(F.regexp_replace(F.lower("name"), r"^[~\s]+", ""), r"\s+", " "))
     named = identities.where("name IS NOT NULL").select("id", low.alias("n")).where("n <> ''")
@@ -305,18 +328,11 @@ def canonical_names(identities: DataFrame, least: float = 0.88, least_mail: floa
     edges.append(short.withColumn("k", F.col("words")).select(name, hub))
     full = names.where("words >= 2").withColumn("c", F.substring("last", 1, 1)).withColumn("k", F.explode(F.sequence(F.lit(2), F.col("words"))))
     edges.append(full.join(hubs, ["first", "c", "k"]).select(name, hub))
-    # a ratio over r leaves a name r / (2 - r) of its letters at least in common with the other
-    keyed = names.where("words >= 2 AND length(first) > 2").select("n", "first", F.explode(_rare_letters(F.col("n"), least / (2 - least))).alias("c"))
-    x, y = (keyed.withColumnRenamed("n", f"n{s}") for s in "xy")
-    size = F.least(F.length("nx"), F.length("ny")) >= least / (2 - least) * F.greatest(F.length("nx"), F.length("ny"))
-    pairs = x.join(y, ["first", "c"]).where((F.col("nx") < F.col("ny")) & size).select("nx", "ny").distinct()
-    like = pairs.where(name_ratio(F.col("nx"), F.col("ny")) > least)
-    edges.append(like.select(F.concat(F.lit("n:"), "nx").alias("a"), F.concat(F.lit("n:"), "ny").alias("b")))
-    locals_ = identities.select(F.explode("handles").alias("h")).where("h LIKE '%@%'").select(F.lower("h").alias("h"), F.regexp_replace(F.lower(F.split_part("h", F.lit("@"), F.lit(1))), r"[.\-_\d]", "").alias("m")).where("length(m) > 4").distinct()
-    share = least_mail / (2 - least_mail)
-    m = locals_.select("h", "m", F.explode(_rare_letters(F.col("m"), share)).alias("c"))
-    flat = names.select("n", F.regexp_replace("n", r"[\s.\-_]", "").alias("f")).withColumn("c", F.explode(_rare_letters(F.col("f"), share)))
-    close = m.join(flat, "c").where(F.least(F.length("m"), F.length("f")) >= share * F.greatest(F.length("m"), F.length("f"))).select("h", "m", "n", "f").distinct().where(name_ratio(F.col("m"), F.col("f")) > least_mail)
+    long = names.where("words >= 2 AND length(first) > 2").select(F.col("n").alias("name"), "first")
+    edges.append(like_texts(long, long, least, ["first"]).select(F.concat(F.lit("n:"), "na").alias("a"), F.concat(F.lit("n:"), "nb").alias("b")))
+    locals_ = identities.select(F.explode("handles").alias("h")).where("h LIKE '%@%'").select(F.lower("h").alias("h"), F.regexp_replace(F.lower(F.split_part("h", F.lit("@"), F.lit(1))), r"[.\-_\d]", "").alias("na")).where("length(na) > 4").distinct()
+    flat = names.select("n", F.regexp_replace("n", r"[\s.\-_]", "").alias("nb"))
+    close = like_texts(locals_.select(F.col("na").alias("name")), flat.select(F.col("nb").alias("name")), least_mail).join(locals_, "na").join(flat, "nb")
     edges.append(close.select(F.concat(F.lit("h:"), "h").alias("a"), F.concat(F.lit("n:"), "n").alias("b")))
     comps = connected_components(reduce(DataFrame.unionByName, edges)).where(F.col("node").startswith("i:"))
     own = identities.select(F.concat(F.lit("i:"), "id").alias("node"), "id", low.alias("name")).join(comps, "node")
