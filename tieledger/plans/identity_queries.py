@@ -200,19 +200,6 @@ def _(v):
     return pairs.withColumn("score", fuzzy_score(F.col("na"), F.col("nb")))
 
 
-def _twins_sql(alias: str) -> str:
-    """Two customers each with one invented name, with a slip in every second."""
-    w = "chr(97 + cast(c_custkey // 2 % 26 AS int)) || chr(97 + cast(c_custkey // 52 % 26 AS int)) || chr(97 + cast(c_custkey // 1352 % 26 AS int))"
-    return f"SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 1 THEN w || 'an ' || reverse(w) || 'son' WHEN 3 THEN w || 'nan ' || reverse(w) || 'sno' ELSE w || 'ann ' || reverse(w) || 'son' END AS {alias} FROM (SELECT *, {w} AS w FROM {{customer}})"
-
-
-def twins(v, alias: str) -> DataFrame:
-    key = F.col("c_custkey")
-    w = F.concat(*[F.char((97 + F.floor(key / d) % 26).cast("int")) for d in (2, 52, 1352)])
-    form = lambda x, y: F.concat(w, F.lit(x), F.reverse(w), F.lit(y))
-    return v("customer").select(key.alias("k"), F.when(key % 4 == 1, form("an ", "son")).when(key % 4 == 3, form("nan ", "sno")).otherwise(form("ann ", "son")).alias(alias))
-
-
 _SIDES = """SELECT 'phone:' || cast(c_custkey AS varchar) AS min_node, 'First' || cast(c_custkey % 97 AS varchar) || ' Last' || cast(c_custkey AS varchar) AS name, true AS chat, false AS mail FROM {customer}
 UNION ALL SELECT 'email:' || cast(c_custkey AS varchar), CASE WHEN c_custkey % 3 = 0 THEN 'Last' || cast(c_custkey AS varchar) || ' First' || cast(c_custkey % 97 AS varchar) || ' Jr' WHEN c_custkey % 3 = 1 THEN 'First' || cast(c_custkey % 97 AS varchar) || ' Last' || cast(c_custkey - c_custkey % 2 AS varchar) ELSE 'Last' || cast(c_custkey AS varchar) END, false, true FROM {customer}"""
 
@@ -226,38 +213,47 @@ def sides(v):
     return chat.unionByName(v("customer").select(F.concat(F.lit("email:"), text).alias("min_node"), turned.alias("name"), *flags("gmail_from")))
 
 
-_HEADS = "list_distinct(list_transform({t}, lambda x: substr(x, 1, 3)))"
-
-
 @Q.add("cross_channel_bridge", recursive(f"bk AS ({_SIDES}), " + _BRIDGE.replace("{bk}", "bk"), "SELECT chat_node, mail_node, score FROM br"))
 def _(v):
     """All customers as chat buckets against all, with their names turned round, cut or a neighbour's, as mail buckets."""
     return identity.cross_channel_bridge(identity.cross_channel_candidates(sides(v)))
 
 
-_NAMED = f"SELECT cast(k AS varchar) AS id, na AS name, {_TOKENS.replace('name', 'na')} AS t FROM ({_twins_sql('na')})"
-_MEET = f"(len(list_intersect(x.t, y.t)) > 0 OR len(list_intersect({_HEADS.format(t='x.t')}, {_HEADS.format(t='y.t')})) > 0)"
+#: A name from the first words of each document; of every third, from one.
+_NAMED = f"""SELECT * FROM (SELECT cast(doc_id AS varchar) AS id, doc_id % 97 AS thread, CASE WHEN doc_id % 3 = 0 THEN split_part(text, ' ', 1) ELSE split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) END AS name FROM {{documents}}) WHERE len(list_filter({_TOKENS}, lambda t: t <> '')) > 0"""
 
 
-@Q.add("name_candidates", recursive(f"nm AS (SELECT * FROM ({_NAMED})), pr AS (SELECT x.id AS id_a, y.id AS id_b, x.name AS na, y.name AS nb FROM nm x JOIN nm y ON x.id < y.id AND {_MEET}), {fuzzy_sql('SELECT DISTINCT na, nb FROM pr')}",
-    "SELECT id_a, id_b, score, score >= 0.9 OR (score >= 0.7 AND cast(id_a AS int) % 3 = cast(id_b AS int) % 3) AS auto FROM pr JOIN scored USING (na, nb) WHERE score >= 0.6"))
+def titled(v) -> DataFrame:
+    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    name = F.when(F.col("doc_id") % 3 == 0, word(1)).otherwise(F.concat_ws(" ", word(1), word(2)))
+    return v("documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 97).alias("thread_id"), name.alias("name"))
+
+
+#: All pairs of documents, with the score of their names.
+_ALL_PAIRS = f"nm AS ({_NAMED}), pr AS (SELECT x.id AS id_a, y.id AS id_b, x.thread = y.thread AS shared, least(x.name, y.name) AS na, greatest(x.name, y.name) AS nb FROM nm x JOIN nm y ON x.id < y.id), {fuzzy_sql('SELECT DISTINCT na, nb FROM pr')}"
+
+
+@Q.add("name_candidates", recursive(_ALL_PAIRS, "SELECT id_a, id_b, score, score >= 0.9 OR (score >= 0.7 AND shared) AS auto FROM pr JOIN scored USING (na, nb) WHERE score >= 0.6"))
 def _(v):
-    """Names that meet in a token or its first letters; persons of one thread need less likeness."""
-    rows = twins(v, "name").select(F.col("k").cast("string").alias("id"), "name")
-    threads = rows.select("id", (F.col("id").cast("int") % 3).alias("thread_id"))
-    auto, review = identity.name_candidates(rows, threads)
+    """All pairs from the score for review on; persons of one thread need less likeness to merge."""
+    auto, review = identity.name_candidates(titled(v).select("id", "name"), titled(v))
     return auto.select("id_a", "id_b", "score", F.lit(True).alias("auto")).unionByName(review.select("id_a", "id_b", "score", F.lit(False).alias("auto")))
 
 
-@Q.add("participant_links", recursive(f"""nm AS ({_NAMED}), pe AS (SELECT 'P' || id AS id, name, t FROM nm WHERE cast(id AS int) % 2 = 0), pa AS (SELECT DISTINCT o_custkey // 2 AS k FROM {{orders}}), wn AS (SELECT DISTINCT nm.name, nm.t FROM nm JOIN pa ON nm.id = cast(pa.k AS varchar)),
- pr AS (SELECT x.name AS na, y.name AS nb, y.id FROM wn x JOIN pe y ON {_MEET}), {fuzzy_sql('SELECT DISTINCT na, nb FROM pr')}, best AS (SELECT na, arg_max(id, (score, id)) AS person_id, max(score) AS score FROM pr JOIN scored USING (na, nb) WHERE score >= 0.85 GROUP BY 1)""",
-    "SELECT o_orderkey AS interaction_id, na AS name, person_id, score FROM {orders} JOIN nm ON nm.id = cast(o_custkey // 2 AS varchar) JOIN best ON best.na = nm.name"))
+@Q.add("name_merges", recursive(_ALL_PAIRS, "SELECT id_a, id_b, score FROM pr JOIN scored USING (na, nb) WHERE score >= 0.9 OR (score >= 0.7 AND shared)"))
+def _(v):
+    """What merges by itself, without a look at most pairs."""
+    return identity.name_candidates(titled(v).select("id", "name"), titled(v), 0.9)[0].select("id_a", "id_b", "score")
+
+
+@Q.add("participant_links", recursive(f"""nm AS ({_NAMED}), pe AS (SELECT 'P' || id AS id, name FROM nm WHERE cast(id AS int) % 2 = 0), pa AS (SELECT DISTINCT name FROM nm WHERE cast(id AS int) % 2 = 1),
+ pr AS (SELECT x.name AS na, y.name AS nb, y.id FROM pa x, pe y), {fuzzy_sql('SELECT DISTINCT na, nb FROM pr')}, best AS (SELECT na, arg_max(id, (score, id)) AS person_id, max(score) AS score FROM pr JOIN scored USING (na, nb) WHERE score >= 0.85 GROUP BY 1)""",
+    "SELECT id AS interaction_id, na AS name, person_id, score FROM nm JOIN best ON best.na = nm.name WHERE cast(id AS int) % 2 = 1"))
 def _(v):
-    """The names on orders against persons, one for every second customer."""
-    rows = twins(v, "name")
-    persons = rows.where("k % 2 = 0").select(F.concat(F.lit("P"), F.col("k").cast("string")).alias("id"), "name")
-    on = v("orders").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_custkey") / 2).alias("k")).join(rows, "k").select("id", F.array("name").alias("participants"))
-    return identity.link_participants(on, persons).select("interaction_id", "name", "person_id", "score")
+    """The names on odd documents against persons from the even ones."""
+    rows = titled(v)
+    persons = rows.where("cast(id AS long) % 2 = 0").select(F.concat(F.lit("P"), "id").alias("id"), "name")
+    return identity.link_participants(rows.where("cast(id AS long) % 2 = 1").select("id", F.array("name").alias("participants")), persons).select("interaction_id", "name", "person_id", "score")
 
 
 _CANON = """SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN 'Ramon' || w || ' Berrios' || w WHEN 1 THEN '~ Ramon' || w || ' B' WHEN 2 THEN 'Solo' || w WHEN 3 THEN 'Solo' || w || ' Other' || w || ' Third' WHEN 4 THEN 'Lone' || w || ' Wolf' ELSE 'Mail' || w || ' Owner' END AS name, w FROM (
