@@ -36,6 +36,8 @@ BETWEEN = PIECE_ENDS | bytes_in(0x20, 0x09)
 LEAST_COUNT, LEAST_PERCENT, TOP = 10, 50, 2000
 #: Words whose stripes a task builds at a time; counters of the table of hashed words; entries of a slice, about.
 WORDS, COUNTERS, SLICE = 1 << 20, 1 << 16, 1 << 18
+#: Parts of a language that are ranked before the whole.
+PARTS = 32
 
 STRIPES = "lang string, first string, slice int, nexts string, counts binary"
 GRAMS = "lang string, w1 string, w2 string, w3 string, n long, longest long"
@@ -284,7 +286,12 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     cuts = three.join(heads, ["lang", "w1", "w2"]).join(tails, ["lang", "w2", "w3"]).join(first, ["lang", "w1"]).join(third, ["lang", "w3"])
     both = F.least(*[F.struct(score(l, r).alias("score"), F.lit(k).alias("k"), F.col(l).alias("l"), F.col(r).alias("r")) for k, l, r in ((1, "f1", "f23"), (2, "f12", "f3"))])
     scored = pairs.unionByName(cuts.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", both.alias("x")))
-    scored = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("x.score"), F.desc("a"), "phrase")).cast("long"))
-    ranked = scored.where(F.col("rank") <= top) if top else scored
+    def ranked(rows: DataFrame, *within: Column) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *within).orderBy(F.desc("x.score"), F.desc("a"), "phrase")).cast("long"))
+
+    if top:  # of each part of a language no more than it can give, so that the last window holds few rows
+        scored = ranked(scored, F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).where(F.col("rank") <= top)
+    ranks = ranked(scored)
+    ranks = ranks.where(F.col("rank") <= top) if top else ranks
     sizes = one.groupBy("lang").agg(F.sum("f").alias("n"))
-    return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "x.l", "x.r", "n", "x.score")
+    return ranks.join(sizes, "lang").select("lang", "rank", "phrase", "a", "x.l", "x.r", "n", "x.score")
