@@ -364,7 +364,10 @@ def _(v):
     raw = v("raw").withColumn("ingested_at", F.col("occurred_at"))
     marks = raw.where("user_id = 't1'").groupBy("user_id").agg((F.min("occurred_at") + F.expr("INTERVAL 60 DAYS")).alias("last_tick_at"))
     marks = marks.unionByName(raw.where("user_id = 't2'").groupBy("user_id").agg((F.max("occurred_at") + F.expr("INTERVAL 1 DAY")).alias("last_tick_at")))
-    return streams.observer_tick(raw, marks, AS_OF)[1].select("user_id", us("last_tick_at"))
+    to, stream = _folder(raw), _stream(raw, ["seq % 3 = 0", "seq % 3 = 1", "seq % 3 = 2"])
+    for _ in range(2):  # the second run finds nothing new
+        streams.stream_ticks(stream, f"{to}/marks", f"{to}/state", AS_OF, marks)
+    return streams.watermarks(raw.sparkSession, f"{to}/marks").select("user_id", us("last_tick_at"))
 
 
 @Q.add("streamed_interactions", """

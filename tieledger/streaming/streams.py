@@ -1,44 +1,108 @@
-"""Incremental intake with Structured Streaming.  Every sink is idempotent, so a batch that is run again changes nothing."""
+"""Incremental intake with Structured Streaming.
+
+Which keys are there is state of the stream, looked up by key in a state store; no batch reads the table.  A batch writes to partitions that
+carry its number, so a batch that is run again replaces its own rows and changes nothing else.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tieledger.operators.activity import delta_context, persons_active_since, tick_tenants
-from tieledger.operators.intake import ingest_observations, ingest_raw_events, project_interactions
+from tieledger.operators.intake import project_interactions, with_dedup_key
 from tieledger.operators.links import link_events
+from tieledger.sources.versions import Versions
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def existing(spark: SparkSession, path: str, batch: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame | None:
-    """A table, or None before its first write; with ``batch``, the partitions ``by`` that the batch has rows for.
 
-    The semi-join is on columns that the table is partitioned by, so other partitions need not be read.
-    """
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or None before its first write."""
     try:
-        table = spark.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    return table if batch is None else table.join(batch.select(*by).distinct(), list(by), "left_semi")
 
 
-def _start(stream: DataFrame, each, checkpoint: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+class _FirstOfKey(StatefulProcessor):
+    """Lets a key's first row through: of its first batch the one of least ``seq``."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", T.StructType([T.StructField("seq", T.LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = min(rows, key=lambda r: (r["seq"] is None, r["seq"]))
+        if not self.seen.exists():
+            self.seen.update((first["seq"],))
+            yield first
+
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.seen.update((initialState["seq"],))
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_key(stream: DataFrame, key: list[str], known: DataFrame | None = None) -> DataFrame:
+    """The stream without rows whose key came before, in this stream or in ``known`` (key, seq).
+
+    The state has one small value a key, in RocksDB, whose files go to the checkpoint; ``known`` is read once, by the first batch of a
+    checkpoint.  Needs the state store provider that ``_start`` sets.
+    """
+    seeds = None if known is None else known.select(*key, "seq").groupBy(*key)
+    return stream.groupBy(*key).transformWithState(_FirstOfKey(), stream.schema, "Append", "None", seeds)
+
+
+def _start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, once: bool, mode: str = "append") -> StreamingQuery:
+    conf = stream.sparkSession.conf
+    before = conf.get(_PROVIDER)
+    conf.set(_PROVIDER, _ROCKS)  # a query keeps what is set when it starts
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(each)
+        return (writer.trigger(availableNow=True) if once else writer).start()
+    finally:
+        conf.set(_PROVIDER, before)
+
+
+def _load(checkpoint: str, number: int) -> str:
+    """The name of a batch's rows: of its checkpoint and number."""
+    return f"{_loads(checkpoint)}{number:09d}"
+
+
+def _loads(checkpoint: str) -> str:
+    return f"{hashlib.sha1(checkpoint.encode()).hexdigest()[:12]}-"
 
-def stream_raw_events(stream: DataFrame, table_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Late and repeated rows never change what is there: each batch adds the keys that the table lacks."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        new, _counts = ingest_raw_events(existing(batch.sparkSession, table_path, batch, ("user_id", "source")), batch)
-        new.write.mode("append").partitionBy("user_id", "source").parquet(table_path)
+def _known(stream: DataFrame, path: str, checkpoint: str) -> DataFrame | None:
+    """What a table holds from others than this checkpoint: a first batch that failed may have left rows of its own."""
+    table = existing(stream.sparkSession, path)
+    return table if table is None else table.where(~F.col("load").startswith(_loads(checkpoint)))
 
-    return _start(stream, each, checkpoint, once)
+
+def _write(rows: DataFrame, path: str, load: str, by: list[str]) -> None:
+    """Rows of a load, in place of those that a former try of it left."""
+    parts = rows.withColumn("load", F.lit(load)).repartition(*by)
+    parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "load").parquet(path)
+
+
+def stream_raw_events(stream: DataFrame, table_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Late and repeated rows never change what is there: each batch adds the keys that no batch had, at ``user_id / source / load``.
+
+    Under a new checkpoint the keys of the table are the first state.
+    """
+    key = ["user_id", "source", "source_event_id"]
+    rows = first_of_key(stream, key, _known(stream, table_path, checkpoint))
+    return _start(rows, lambda batch, n: _write(batch, table_path, _load(checkpoint, n), ["user_id", "source"]), checkpoint, once)
 
 
 def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -47,18 +111,18 @@ def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def stream_observations(stream: DataFrame, table_path: str, links_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """The ledger grows by new keys, and the link events of the new rows are appended."""
+    """The ledger grows by new keys, and so do the link events of the new rows; both are written under the batch's load."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        new, _counts = ingest_observations(existing(batch.sparkSession, table_path, batch, ("user_id", "kind")), batch)
-        new = new.persist()
+    def each(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         try:
-            link_events(new).write.mode("append").parquet(links_path)
-            new.write.mode("append").partitionBy("user_id", "kind").parquet(table_path)
+            _write(batch, table_path, _load(checkpoint, number), ["user_id", "kind"])
+            _write(link_events(batch), links_path, _load(checkpoint, number), ["user_id"])
         finally:
-            new.unpersist()
+            batch.unpersist()
 
-    return _start(stream, each, checkpoint, once)
+    rows = first_of_key(with_dedup_key(stream), ["user_id", "dedup_key"], _known(stream, table_path, checkpoint))
+    return _start(rows, each, checkpoint, once)
 
 
 def observer_tick(raw: DataFrame, watermarks: DataFrame, as_of) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +132,50 @@ def observer_tick(raw: DataFrame, watermarks: DataFrame, as_of) -> tuple[DataFra
     return due, moved
 
 
+def _moved(marks: DataFrame | None, seen: DataFrame | None) -> DataFrame:
+    """Watermarks (user_id, seen_at, last_tick_at, since) after rows were seen (user_id, seen_at); nothing ticks."""
+    parts = []
+    if marks is not None:
+        parts.append(marks.select("user_id", "seen_at", "last_tick_at"))
+    if seen is not None:
+        parts.append(seen.select("user_id", "seen_at", F.lit(None).cast("timestamp").alias("last_tick_at")))
+    every = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return every.groupBy("user_id").agg(F.max("seen_at").alias("seen_at"), F.max("last_tick_at").alias("last_tick_at")).withColumn("since", F.lit(None).cast("timestamp"))
+
+
+def stream_ticks(stream: DataFrame, path: str, checkpoint: str, as_of, known: DataFrame | None = None) -> DataFrame:
+    """One run of the tick over what was ingested since the last: (user_id, since, last_tick_at) of tenants that are due, each once.
+
+    The stream (user_id, ingested_at) gives only rows that no run had.  Of a tenant the newest time seen and the last tick are kept at ``path``; a batch
+    commits them under its number, and the run's ticks are part of the version that moves the watermarks, so a run that fails
+    is either not there or whole.  A tenant is due if it was seen after its last tick; one without a tick is due at once.  ``known`` (user_id, last_tick_at): the
+    watermarks to begin with.
+    """
+    spark, versions = stream.sparkSession, Versions(stream.sparkSession, path)
+    if known is not None and versions.latest() is None:
+        versions.commit({"marks": known.select("user_id", F.lit(None).cast("timestamp").alias("seen_at"), "last_tick_at", F.lit(None).cast("timestamp").alias("since"))}, "known")
+
+    def each(batch: DataFrame, number: int) -> None:
+        seen = batch.groupBy("user_id").agg(F.max("ingested_at").alias("seen_at"))
+        versions.commit({"marks": _moved(versions.read("marks"), seen)}, _load(checkpoint, number))
+
+    _start(stream.select("user_id", "ingested_at"), each, checkpoint, True).awaitTermination()
+    marks = versions.read("marks")
+    if marks is None:
+        return spark.createDataFrame([], "user_id string, since timestamp, last_tick_at timestamp")
+    now = F.lit(as_of).cast("timestamp")
+    due = (F.col("seen_at") > F.coalesce("last_tick_at", F.timestamp_seconds(F.lit(0)))) & (F.coalesce("last_tick_at", F.timestamp_seconds(F.lit(0))) < now)
+    ticked = marks.select("user_id", "seen_at", F.when(due, now).otherwise(F.col("last_tick_at")).alias("last_tick_at"), F.when(due, F.coalesce("last_tick_at", F.timestamp_seconds(F.lit(0)))).alias("since"))
+    done = versions.commit({"marks": ticked}, f"tick-{as_of}")
+    return versions.read("marks", done).where("since IS NOT NULL").select("user_id", "since", "last_tick_at")
+
+
+def watermarks(spark: SparkSession, path: str) -> DataFrame | None:
+    """(user_id, last_tick_at) of all tenants that ticked."""
+    marks = Versions(spark, path).read("marks")
+    return marks and marks.where("last_tick_at IS NOT NULL").select("user_id", "last_tick_at")
+
+
 def stream_interactions(stream: DataFrame, table_path: str, links_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """New raw events become interaction observations; the pointer is the key, so running again adds none."""
     rows = project_interactions(stream).withColumns({"seq": F.unix_micros("observed_at"), "ingested_at": F.col("observed_at"), "id": F.sha2("evidence_pointer", 256)})
@@ -86,8 +194,7 @@ def stream_thread_stats(stream: DataFrame, table_path: str, checkpoint: str, onc
     def each(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{table_path}/batch={number}")
 
-    writer = thread_stats(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return _start(thread_stats(stream), each, checkpoint, once, "update")
 
 
 def daily_delta(obs: DataFrame, links: DataFrame, snaps: DataFrame, messages: DataFrame, as_of) -> DataFrame:
