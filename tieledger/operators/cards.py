@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tieledger.functions.names import similar_text
 from tieledger.functions.scoring import days_between
 from tieledger.operators.intake import payload_map
+from tieledger.sources.tables import cut
+from tieledger.sources.versions import Versions
 
 PERSON = ["user_id", "person_id"]
 
@@ -23,26 +25,32 @@ def _json_type(payload: Column, path: str) -> Column:
     return F.schema_of_variant(F.variant_get(payload, path, "variant"))
 
 
-def fold_person_cards(obs: DataFrame, links: DataFrame, as_of) -> DataFrame:
-    """One card per person by one aggregation: each field takes the newest row that sets it.
+#: Fields of a card that hold one value, and lists.
+_FIELDS, _LISTS = ("name", "category", "relationship_to_me", "company", "title", "relationship_strength"), ("phones", "emails")
 
-    Rows that do not set a field get no ordering and are ignored by ``max_by``.  A correction of a list clears it; of the
-    items behind the last one the first occurrence of each stays.  The ledger is joined to its links once, payloads are parsed
-    once, and all kinds of rows go through the one aggregation.
+
+def fold_states(rows: DataFrame) -> DataFrame:
+    """Observations with their person -> one mergeable state per person.
+
+    A field is a register: its value with the order of the row that set it last.  A list has the order of its last reset and the
+    items at or behind it, each with its order and place.  ``merge_states`` of the states of any split of the rows, in
+    any order, is the state of all of them.
     """
     needs = F.col("kind").isin("person", "correction", "interaction")
-    slim = obs.select("user_id", "id", "observed_at", "ingested_at", "kind", F.when(needs, F.col("payload")).alias("payload"))
-    identity = person_observations(slim, links).withColumn("p", F.try_parse_json("payload")).withColumn("ord", F.struct("observed_at", "ingested_at", "id"))
+    slim = rows.select(*PERSON, "id", "observed_at", "ingested_at", "kind", F.try_parse_json(F.when(needs, F.col("payload"))).alias("p")).withColumn("ord", F.struct("observed_at", "ingested_at", "id"))
     text = lambda path: F.variant_get("p", path, "string")
     is_person, field = F.col("kind") == "person", F.when(F.col("kind") == "correction", text("$.field"))
     new_type = _json_type(F.col("p"), "$.new_value")
     new_text = F.when(new_type == "STRING", text("$.new_value"))
 
-    def plain(name: str, key: str) -> Column:
+    def register(sets: Column, value: Column, name: str) -> Column:
+        return F.max(F.when(sets, F.struct("ord", value.alias("v")))).alias(name)
+
+    def plain(name: str) -> Column:
         """Set by a non-empty string of a person row, or any string of a correction."""
-        own = F.when(_json_type(F.col("p"), f"$.{key}") == "STRING", text(f"$.{key}"))
+        own = F.when(_json_type(F.col("p"), f"$.{name}") == "STRING", text(f"$.{name}"))
         sets = (is_person & (F.coalesce(own, F.lit("")) != "")) | ((field == name) & (new_type == "STRING"))
-        return F.max_by(F.when(is_person, own).otherwise(new_text), F.when(sets, F.col("ord"))).alias(name)
+        return register(sets, F.when(is_person, own).otherwise(new_text), name)
 
     def nullable(name: str, from_person: bool = True) -> Column:
         """Set by a key that is there, as a string or null; empty counts as null."""
@@ -52,38 +60,92 @@ def fold_person_cards(obs: DataFrame, links: DataFrame, as_of) -> DataFrame:
         if from_person:
             sets = sets | (is_person & kind.isin("STRING", "VOID"))
             value = F.when(is_person, F.when(kind == "STRING", text(f"$.{name}"))).otherwise(new_text)
-        return F.max_by(F.nullif(value, F.lit("")), F.when(sets, F.col("ord"))).alias(name)
+        return register(sets, F.nullif(value, F.lit("")), name)
 
     def items(name: str) -> list[Column]:
         mine = F.when(is_person, F.from_json(text(f"$.{name}"), "array<string>")).when((field == name) & new_type.startswith("ARRAY"), F.from_json(text("$.new_value"), "array<string>"))
         tagged = F.transform(mine, lambda v, i: F.struct(F.col("ord").alias("ord"), i.alias("pos"), v.alias("v")))
         reset = F.max(F.when((field == name) & new_type.startswith("ARRAY"), F.col("ord")))
-        return [F.collect_list(tagged).alias(f"__{name}"), reset.alias(f"__{name}_reset")]
+        return [F.flatten(F.collect_list(tagged)).alias(name), reset.alias(f"{name}_reset")]
 
     get = lambda k: F.nullif(text(f"$.{k}"), F.lit(""))
     newest = F.struct(F.coalesce(get("activity_type"), get("channel"), F.lit("interaction")).alias("type"), F.coalesce(get("title"), get("summary")).alias("title"), F.col("observed_at").alias("occurred_at"))
     is_act = F.col("kind") == "interaction"
-    folded = identity.groupBy(*PERSON).agg(
-        plain("name", "name"), plain("category", "category"), plain("relationship_to_me", "relationship_to_me"), nullable("company"), nullable("title"),
-        nullable("relationship_strength", False), *items("phones"), *items("emails"),
-        F.max("observed_at").alias("updated_at"), F.count_if(is_act).alias("activity_count"), F.max_by(newest, F.when(is_act, F.col("ord"))).alias("last_activity"),
-    )
-    for name in ("phones", "emails"):
-        every = F.array_sort(F.flatten(f"__{name}"))
-        kept = _kept(every, f"__{name}_reset")
-        folded = folded.withColumn(name, F.array_distinct(F.transform(kept, lambda x: x["v"]))).drop(f"__{name}", f"__{name}_reset")
-    ago = F.greatest(F.lit(0), F.floor(days_between(F.lit(as_of).cast("timestamp"), F.col("last_activity.occurred_at")))).cast("long")
+    return _behind_reset(slim.groupBy(*PERSON).agg(
+        plain("name"), plain("category"), plain("relationship_to_me"), nullable("company"), nullable("title"), nullable("relationship_strength", False), *items("phones"), *items("emails"),
+        F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("updated_at"), F.count_if(is_act).alias("activity_count"), F.count_if(is_person).alias("person_rows"), register(is_act, newest, "last_activity"),
+    ))
+
+
+def _behind_reset(states: DataFrame) -> DataFrame:
+    """States without the items that a reset cleared."""
+    def kept(name: str) -> Column:
+        reset = F.col(f"{name}_reset")
+        return F.array_sort(F.filter(name, lambda x: reset.isNull() | (x["ord"] >= reset)))
+
+    return states.withColumns({name: kept(name) for name in _LISTS})
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """States of the same persons, of different rows each, as one."""
+    every = states[0]
+    for more in states[1:]:
+        every = every.unionByName(more)
+    return _behind_reset(every.groupBy(*PERSON).agg(
+        *[F.max(c).alias(c) for c in (*_FIELDS, "last_activity", *[f"{name}_reset" for name in _LISTS], "updated_at")],
+        *[F.flatten(F.collect_list(name)).alias(name) for name in _LISTS], F.min("first_seen").alias("first_seen"),
+        *[F.sum(c).alias(c) for c in ("activity_count", "person_rows")],
+    ))
+
+
+def finish_cards(states: DataFrame, as_of) -> DataFrame:
+    """The cards that states stand for."""
+    last = F.col("last_activity.v")
+    ago = F.greatest(F.lit(0), F.floor(days_between(F.lit(as_of).cast("timestamp"), last["occurred_at"]))).cast("long")
     empty = F.array().cast("array<string>")
-    return folded.select(
-        *PERSON, "name", "company", "title", "category", F.coalesce("relationship_to_me", F.lit("")).alias("relationship_to_me"), "relationship_strength",
-        F.coalesce("phones", empty).alias("phones"), F.coalesce("emails", empty).alias("emails"), "updated_at",
-        F.coalesce("activity_count", F.lit(0)).cast("long").alias("activity_count"), "last_activity", F.when(F.col("last_activity").isNotNull(), ago).alias("days_ago"),
+    lists = [F.coalesce(F.array_distinct(F.transform(name, lambda x: x["v"])), empty).alias(name) for name in _LISTS]
+    value = lambda c: F.col(f"{c}.v").alias(c)
+    return states.select(
+        *PERSON, value("name"), value("company"), value("title"), value("category"), F.coalesce("relationship_to_me.v", F.lit("")).alias("relationship_to_me"), value("relationship_strength"), *lists, "first_seen", "updated_at",
+        F.coalesce("activity_count", F.lit(0)).cast("long").alias("activity_count"), last.alias("last_activity"), F.when(last.isNotNull(), ago).alias("days_ago"), "person_rows",
     )
 
 
-def _kept(items: Column, reset: str) -> Column:
-    """Items at or behind the last reset."""
-    return F.filter(items, lambda x: F.col(reset).isNull() | (x["ord"] >= F.col(reset)))
+def fold_person_cards(obs: DataFrame, links: DataFrame, as_of) -> DataFrame:
+    """One card per person by one aggregation: each field takes the newest row that sets it.
+
+    Rows that do not set a field get no ordering and are left out.  A correction of a list clears it; of the
+    items behind the last one the first occurrence of each stays.  The ledger is joined to its links once, payloads are parsed
+    once, and all kinds of rows go through the one aggregation.
+    """
+    needs = F.col("kind").isin("person", "correction", "interaction")
+    slim = obs.select("user_id", "id", "observed_at", "ingested_at", "kind", F.when(needs, F.col("payload")).alias("payload"))
+    return finish_cards(fold_states(person_observations(slim, links)), as_of)
+
+
+def advance_cards(versions: Versions, obs: DataFrame, links: DataFrame, token: str | None = None, again: DataFrame | None = None, ledger: DataFrame | None = None, all_links: DataFrame | None = None) -> DataFrame:
+    """Adds new rows to stored states -> all states.
+
+    ``obs`` and ``links`` are what is new: links of pairs that were not linked before, and the observations they name, old ones among them.
+    Where a link went, a state cannot give its rows back: ``again`` (user_id, person_id) names such persons, whose
+    states are folded anew from ``ledger`` and ``all_links``.  Only states of persons with new rows are merged; the others are copied without a
+    shuffle.  A call that is repeated with its token changes nothing.
+    """
+    before = versions.latest()
+    if token is not None and before is not None and before.token == token:
+        return versions.read("states", before)
+    new = fold_states(person_observations(obs, links))
+    old = versions.read("states", before)
+    if again is not None:
+        again = again.select(*PERSON).distinct()
+        anew = fold_states(person_observations(ledger, all_links.join(again, PERSON, "left_semi")))
+        new = new.join(again, PERSON, "left_anti").unionByName(anew)
+        old = old if old is None else old.join(again, PERSON, "left_anti")
+    if old is not None:
+        new = cut(new)
+        touched = new.select(*PERSON)
+        new = old.join(touched, PERSON, "left_anti").unionByName(merge_states(old.join(touched, PERSON, "left_semi"), new))
+    return versions.read("states", versions.commit({"states": new}, token))
 
 
 def card_rows(obs: DataFrame, links: DataFrame, tail: int = 50) -> DataFrame:

@@ -92,3 +92,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("connected components did not settle")
     to = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.join(to, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def extend_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, component) as ``connected_components`` gives them, and further edges (a, b) -> the labels of both together.
+
+    Edges are drawn between the labels of their ends, so that the graph to settle is as large as what is new.  Labels whose
+    component hangs on no new edge are copied.  Edges cannot be taken away: then components are worked out from the start.
+    """
+    new = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL").distinct())
+    ends = new.select(F.col("a").alias("node")).union(new.select("b")).distinct()
+    known = cut(ends.join(labels, "node", "left"))
+    of = lambda s: known.select(F.col("node").alias(s), F.coalesce("component", "node").alias(f"c{s}"))
+    drawn = new.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    moved = cut(connected_components(drawn).select(F.col("node").alias("component"), F.col("component").alias("new")))
+    kept = labels.join(moved, "component", "left").select("node", F.coalesce("new", "component").alias("component"))
+    added = known.where("component IS NULL").select("node", F.col("node").alias("component")).join(moved, "component").select("node", F.col("new").alias("component"))
+    return kept.unionByName(added)

@@ -55,10 +55,9 @@ def resolve_group_members(phones: DataFrame, lids: DataFrame, bridge: DataFrame)
     return rows.groupBy("user_id", "thread_id", "phone").agg(F.sum("message_count").alias("message_count"), F.max("last_at").alias("last_at")), stats
 
 
-def graph_nodes(cards: DataFrame, obs: DataFrame, links: DataFrame) -> DataFrame:
-    seen = person_observations(obs.select("user_id", "id", "observed_at"), links).groupBy(*PERSON).agg(F.min("observed_at").alias("first_seen"), F.max("observed_at").alias("last_seen"))
-    out = cards.join(seen, PERSON, "left")
-    return out.select(*PERSON, "name", "category", "company", "title", "relationship_to_me", F.size("phones").alias("phone_count"), F.size("emails").alias("email_count"), "first_seen", "last_seen")
+def graph_nodes(cards: DataFrame) -> DataFrame:
+    """One node per card; a card knows the first and last time of all its rows."""
+    return cards.select(*PERSON, "name", "category", "company", "title", "relationship_to_me", F.size("phones").alias("phone_count"), F.size("emails").alias("email_count"), "first_seen", F.col("updated_at").alias("last_seen"))
 
 
 def last_interaction(nodes: DataFrame, dms: DataFrame, groups: DataFrame, mails: DataFrame, phone_map: DataFrame) -> DataFrame:

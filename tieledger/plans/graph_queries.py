@@ -7,11 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tieledger.operators import graph
+from tieledger.operators import cards, graph
 from tieledger.operators.components import connected_components
 from tieledger.operators.links import handles
 from tieledger.plans.adapters import AS_OF
-from tieledger.plans.ledger_queries import _person_cards
 from tieledger.plans.registry import Registry, r6, us
 from tieledger.sources.tables import cut
 
@@ -96,7 +95,9 @@ def all_edges(v):
 def nodes(v, contacts=None, edges=None):
     """Persons with the time of their last contact and their score."""
     c = contacts or Contacts(v)
-    made = graph.graph_nodes(_person_cards(v), v("obs"), v("links"))
+    # fields come from person rows alone, times from all
+    rows = v("obs").withColumns({"kind": F.when(F.col("kind") == "person", "person").otherwise("seen")})
+    made = graph.graph_nodes(cards.fold_person_cards(rows, v("links"), AS_OF).where("person_rows > 0"))
     made = graph.last_interaction(made, c.dms, c.groups, c.mails, c.phones)
     return graph.score_nodes(made, edges if edges is not None else c.edges())
 

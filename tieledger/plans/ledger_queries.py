@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tieledger.operators import cards, intake, links
 from tieledger.plans.adapters import AS_OF
 from tieledger.plans.registry import Registry, joined, us
+from tieledger.sources.tables import shared_dir
+from tieledger.sources.versions import Versions
 
 Q = Registry()
 
@@ -62,6 +66,16 @@ def _(v):
     return folded(v).select("user_id", "person_id", "name", "company", "category", "relationship_to_me", joined("phones"), joined("emails"), us("updated_at"), "activity_count", F.col("last_activity.type").alias("last_type"), F.col("last_activity.title").alias("last_title"), "days_ago")
 
 
+@Q.add("card_fold_by_days", _FOLD.replace("FROM obs o JOIN links l", "FROM {obs} o JOIN {links} l"))
+def _(v):
+    """Stored states, to which every batch adds only its own rows."""
+    obs, links = v("obs"), v("links")
+    versions = Versions(obs.sparkSession, f"{shared_dir(obs.sparkSession)}/cards-{uuid.uuid4().hex}")
+    for k in range(3):
+        states = cards.advance_cards(versions, obs.where(f"pmod(xxhash64(id), 3) = {k}"), links.where(f"pmod(xxhash64(observation_id), 3) = {k}"), f"day {k}")
+    return cards.finish_cards(states, AS_OF).select("user_id", "person_id", "name", "company", "category", "relationship_to_me", joined("phones"), joined("emails"), us("updated_at"), "activity_count", F.col("last_activity.type").alias("last_type"), F.col("last_activity.title").alias("last_title"), "days_ago")
+
+
 @Q.add("raw_event_ingest", """
 SELECT user_id, source, source_event_id, body FROM (SELECT *, row_number() OVER (PARTITION BY user_id, source, source_event_id ORDER BY seq) AS n FROM {raw}) WHERE n = 1
 AND (user_id, source, source_event_id) NOT IN (SELECT (user_id, source, source_event_id) FROM {raw} WHERE seq % 3 = 0 AND seq < 1000000000)""")

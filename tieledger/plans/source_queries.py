@@ -138,7 +138,7 @@ def _(v):
     writers.write_graph(nodes, nodes, to)
     anew = nodes.where("user_id = 't1' AND length(person_id) % 2 = 0").withColumn("person_id", F.concat(F.lit("Z"), "person_id"))
     writers.write_graph(anew, anew, to)
-    return nodes.sparkSession.read.parquet(f"{to}/nodes").select("user_id", "person_id")
+    return writers.read_graph(nodes.sparkSession, to)[0].select("user_id", "person_id")
 
 
 # projections into the ledger
