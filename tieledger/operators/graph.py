@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,27 +161,58 @@ def neighbors(edges: DataFrame, ids: DataFrame, types: list[str] | None = None)
     return own.join(asked, ["user_id", "x"]).select("user_id", F.col("x").alias("person_id"), F.col("y").alias("neighbor_id"), "type", "weight")
 
 
+#: Neighbours of a node that meet in one key of a join, about.
+NEIGHBORS = 1 << 16
+
+
+def _onward(front: DataFrame, step: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Rows of ``front`` with each step from where they stand; the steps of a hub are dealt into parts, and what stands there goes to all of them."""
+    front = front.join(hubs, ["user_id", "at"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0))))).drop("parts")
+    return front.join(step, ["user_id", "at", "part"]).drop("part")
+
+
+def _frontier(starts: DataFrame, step: DataFrame, hubs: DataFrame, hops: int, back: bool) -> list[DataFrame]:
+    """starts (user_id, end) -> for 0 to ``hops`` hops the nodes (user_id, end, at) first reached then, with the smallest path between, in reading order."""
+    key = ["user_id", "end"]
+    levels = [starts.select(*key, F.col("end").alias("at"), F.array("end").alias("path"), F.array().cast("array<string>").alias("types"), F.lit(0.0).alias("weight"))]
+    for _ in range(hops):
+        rows = _onward(levels[-1], step, hubs)
+        both = (F.concat(F.array("next"), "path"), F.concat(F.array("t"), "types")) if back else (F.concat("path", F.array("next")), F.concat("types", F.array("t")))
+        rows = rows.select(*key, F.col("next").alias("at"), F.struct(both[0].alias("path"), both[1].alias("types"), (F.col("weight") + F.col("w")).alias("weight")).alias("m"))
+        for level in levels:
+            rows = rows.join(level.select(*key, "at"), [*key, "at"], "left_anti")
+        levels.append(cut(rows.groupBy(*key, "at").agg(F.min("m").alias("m")).select(*key, "at", "m.path", "m.types", "m.weight")))
+    return levels
+
+
 def intro_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
     """pairs (user_id, source, target) -> hops, path, edge types and weights of the shortest path, at most ``max_hops``.
 
-    Of equal paths the smallest node list wins, of parallel edges the heaviest.  Level by level from each distinct source, so
-    that pairs with one source share its frontier; a node is visited once for each source, and the last level keeps targets only.
+    Of equal paths the smallest node list wins, of parallel edges the heaviest.  Levels go out from the different sources and from the different
+    targets, half the hops each, and pairs with one end share its levels.  A pair is settled by the least sum of levels at which
+    the two sides hold a common node.  Of such nodes the one whose path is smallest counts: for a given node and number
+    of hops on either side, the smallest path is the smallest one to it with the smallest one from it.
     """
-    best = both_ends(edges).groupBy("user_id", "x", "y").agg(F.max(F.struct("weight", "type")).alias("e")).select("user_id", "x", "y", "e.weight", "e.type")
-    step = cut(best.withColumnsRenamed({"x": "at", "y": "next", "weight": "w", "type": "t"}))
-    asked, key = pairs.select("user_id", "source", "target").distinct(), ["user_id", "source"]
-    front = asked.select(*key).distinct().withColumns({"at": F.col("source"), "path": F.array("source"), "types": F.array().cast("array<string>"), "weight": F.lit(0.0)})
-    cols = [*key, "at", "path", "types", "weight"]
-    found = front.select(*cols)
-    for hop in range(max_hops):
-        onward = front.join(step, ["user_id", "at"]).select(*key, F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"), F.concat("types", F.array("t")).alias("types"), (F.col("weight") + F.col("w")).alias("weight"))
-        if hop == max_hops - 1:
-            onward = onward.join(asked.withColumnRenamed("target", "at"), [*key, "at"], "left_semi")
-        onward = onward.join(found.select(*key, "at"), [*key, "at"], "left_anti").groupBy(*key, "at").agg(F.min(F.struct("path", "types", "weight")).alias("m"))
-        front = cut(onward.select(*key, "at", "m.path", "m.types", "m.weight"))
-        found = found.unionByName(front)
-    paths = found.withColumnRenamed("at", "target")
-    return asked.join(paths, [*key, "target"], "left").withColumn("hops", F.when(F.col("path").isNotNull(), F.size("path") - 1))
+    best = both_ends(edges).groupBy("user_id", "x", "y").agg(F.max(F.struct("weight", "type")).alias("e"))
+    degree = best.groupBy("user_id", F.col("x").alias("at")).agg(F.ceil(F.count("*") / NEIGHBORS).cast("int").alias("parts"))
+    hubs = cut(degree.where("parts > 1"))
+    step = best.select("user_id", F.col("x").alias("at"), F.col("y").alias("next"), F.col("e.weight").alias("w"), F.col("e.type").alias("t")).join(hubs, ["user_id", "at"], "left")
+    step = cut(step.withColumn("part", F.pmod(F.xxhash64("next"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"))
+    asked = cut(pairs.select("user_id", "source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
+    ends = lambda c: asked.select("user_id", F.col(c).alias("end")).distinct()
+    out, back = _frontier(ends("source"), step, hubs, (max_hops + 1) // 2, False), _frontier(ends("target"), step, hubs, max_hops // 2, True)
+    left, found = asked, []
+    for hops in range(max_hops + 1):
+        near, far = out[(hops + 1) // 2], back[hops // 2]
+        near = near.select("user_id", F.col("end").alias("source"), "at", *[F.col(c).alias(f"{c}1") for c in ("path", "types", "weight")])
+        far = far.select("user_id", F.col("end").alias("target"), "at", *[F.col(c).alias(f"{c}2") for c in ("path", "types", "weight")])
+        met_ = left.join(near, ["user_id", "source"]).join(far, ["user_id", "target", "at"])
+        whole = F.struct(F.concat("path1", F.slice("path2", F.lit(2), F.greatest(F.size("path2") - 1, F.lit(0)))).alias("path"), F.concat("types1", "types2").alias("types"), (F.col("weight1") + F.col("weight2")).alias("weight"))
+        done = cut(met_.groupBy("user_id", "source", "target").agg(F.min(whole).alias("m")).select("user_id", "source", "target", "m.path", "m.types", "m.weight"))
+        found.append(done)
+        left = left.join(done, ["user_id", "source", "target"], "left_anti")
+    paths = reduce(DataFrame.unionByName, found)
+    return pairs.select("user_id", "source", "target").distinct().join(paths, ["user_id", "source", "target"], "left").withColumn("hops", F.when(F.col("path").isNotNull(), F.size("path") - 1))
 
 
 def connected_core(nodes: DataFrame, edges: DataFrame, self_ids: DataFrame, n: int = 200) -> tuple[DataFrame, DataFrame]:

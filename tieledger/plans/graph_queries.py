@@ -233,6 +233,34 @@ def _(v):
     return graph.intro_paths(one[0].unionByName(one[1]), pairs).select("source", "target", "hops")
 
 
+def _introductions(v) -> DataFrame:
+    key = F.col("c_custkey")
+    one = [v("customer").where("c_custkey > 0").select(F.lit("t").alias("user_id"), F.concat(F.lit("P"), F.floor(key / d).cast("string")).alias("a"), F.concat(F.lit("P"), key.cast("string")).alias("b"), F.lit(kind).alias("type"), (key % 5 + 1.0).alias("weight")) for d, kind in ((3, "DM"), (7, "EMAILED"))]
+    return one[0].unionByName(one[1])
+
+
+def _level(n: int) -> str:
+    """Nodes first reached from each source after n hops, with the smallest path."""
+    new = f"SELECT l.s, e.y AS n, min({{'path': list_append(l.path, e.y), 'types': list_append(l.types, e.type), 'weight': l.weight + e.weight}}) AS m FROM l{n - 1} l JOIN best e ON e.x = l.n GROUP BY 1, 2"
+    before = " UNION ALL ".join(f"SELECT s, n FROM l{k}" for k in range(n))
+    return f"l{n} AS (SELECT s, n, m.path AS path, m.types AS types, m.weight AS weight FROM ({new}) WHERE (s, n) NOT IN ({before}))"
+
+
+@Q.add("intro_paths", f"""WITH each AS (SELECT 'P' || cast(c_custkey // 3 AS varchar) AS a, 'P' || cast(c_custkey AS varchar) AS b, 'DM' AS type, c_custkey % 5 + 1.0::double AS weight FROM {{customer}} WHERE c_custkey > 0
+ UNION ALL SELECT 'P' || cast(c_custkey // 7 AS varchar), 'P' || cast(c_custkey AS varchar), 'EMAILED', c_custkey % 5 + 1.0::double FROM {{customer}} WHERE c_custkey > 0),
+best AS (SELECT x, y, e.type AS type, e.weight AS weight FROM (SELECT x, y, max({{'weight': weight, 'type': type}}) AS e FROM (SELECT a AS x, b AS y, type, weight FROM each UNION ALL SELECT b, a, type, weight FROM each) GROUP BY 1, 2)),
+l0 AS (SELECT 'P' || cast(c_custkey AS varchar) AS s, s AS n, [s] AS path, cast([] AS varchar[]) AS types, 0.0::double AS weight FROM {{customer}}), {", ".join(map(_level, range(1, 5)))},
+reached AS ({" UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(5))}), asked AS (SELECT 'P' || cast(c_custkey AS varchar) AS source, 'P' || cast(c_custkey * 7 % (SELECT count(*) FROM {{customer}}) AS varchar) AS target FROM {{customer}})
+SELECT source, target, len(path) - 1 AS hops, array_to_string(path, ',') AS path, array_to_string(types, ',') AS types, weight FROM asked LEFT JOIN reached ON s = source AND n = target""")
+def _(v):
+    """Each customer asks for a way to another: shortest, then by the smallest path, over the heaviest of parallel ties."""
+    c = v("customer")
+    n = c.count()
+    pairs = c.select(F.lit("t").alias("user_id"), F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("source"), F.concat(F.lit("P"), (F.col("c_custkey") * 7 % n).cast("string")).alias("target"))
+    found = graph.intro_paths(_introductions(v), pairs)
+    return found.select("source", "target", "hops", F.array_join("path", ",").alias("path"), F.array_join("types", ",").alias("types"), "weight")
+
+
 @Q.add("manifest_network", """
 SELECT x.p AS a, y.p AS b, count(*) AS value FROM (SELECT DISTINCT l_suppkey AS g, 'p' || cast(l_partkey AS varchar) AS p FROM {lineitem}) x JOIN (SELECT DISTINCT l_suppkey AS g, 'p' || cast(l_partkey AS varchar) AS p FROM {lineitem}) y ON y.g = x.g AND x.p < y.p
 WHERE x.p IN (SELECT 'p' || cast(l_partkey AS varchar) FROM {lineitem} GROUP BY l_partkey ORDER BY count(*) DESC, 'p' || cast(l_partkey AS varchar) LIMIT 200)
