@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tieledger.operators import cards
+from tieledger.operators import cards, graph
 from tieledger.operators.components import connected_components, extend_components
-from tieledger.sources import writers
+from tieledger.operators.numbering import numbered
+from tieledger.sources import readers, writers
 from tieledger.sources.versions import Versions
 
 AS_OF = "2024-03-01"
@@ -101,3 +102,94 @@ def test_graph_is_swapped_whole(spark, tmp_path, monkeypatch):
         assert writers.Versions(spark, path).read("tenants").select("version").distinct().count() <= 4
     writers.write_graph(nodes("f", 9), edges("f", 9).limit(0), path)
     assert not any(a.startswith("f") for a, _ in seen()[1]) and {"f90", "f91"} <= seen()[0]
+
+
+def test_numbers_within_a_large_tenant(spark):
+    draw = random.Random(9)
+    rows = [("big", draw.randrange(10**6), draw.randrange(5)) for _ in range(3000)] + [(t, k, 1) for t in ("a", "z", None) for k in range(3)]
+    df = spark.createDataFrame(rows, "user_id string, k long, n int")
+    for order, sort in (([F.col("k"), F.col("n")], lambda r: (r[1], r[2])), ([F.desc("k"), F.desc("n")], lambda r: (-r[1], -r[2]))):
+        got = {(r["user_id"], r["place"]): (r["k"], r["n"], r["before"]) for r in numbered(df, ["user_id"], order, "n", parts=7).collect()}
+        want = {}
+        for t in {r[0] for r in rows}:
+            total = 0
+            for place, (_, k, n) in enumerate(sorted((r for r in rows if r[0] == t), key=sort), 1):
+                want[t, place] = (k, n, total)
+                total += n
+        assert got == want
+    plan = numbered(df, ["user_id"], [F.col("k")], parts=7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "partitionBy" not in plan and not any("Window [row_number" in x and "__part" not in x for x in plan.splitlines())
+    assert numbered(df.limit(0), ["user_id"], [F.col("k")]).count() == 0
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    lengths = random.Random(2)
+    lines = ["" if k % 50 == 0 else f"{k} " + "x" * lengths.randrange(200) + ("\r" if k % 7 == 0 else "") for k in range(1, 5001)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n", newline="")
+    (tmp_path / "b.txt").write_text("only\nsecond", newline="")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        got = readers.read_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+        rows = {(r["file"][-5:], r["line_no"]): r["value"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert rows == {("a.txt", k): v.removesuffix("\r") for k, v in enumerate(lines, 1)} | {("b.txt", 1): "only", ("b.txt", 2): "second"}
+
+
+def test_prefixes(spark, tmp_path):
+    draw = random.Random(12)
+    people = [(f"t{draw.randrange(3)}", f"p{k}", " ".join("".join(draw.choice("abc") for _ in range(draw.randrange(1, 6))).title() for _ in range(2))) for k in range(300)] + [("t0", "q", "Straße Ähre"), ("t0", "n", None)]
+    df = spark.createDataFrame(people, "user_id string, person_id string, name string")
+    asked = [(t, q) for t in ("t0", "t1", "none") for q in ("a", "ab", " ABC", "bca", "c a", "zz", "", "äh", "straß")]
+    got = {}
+    for r in cards.match_by_prefix(df, spark.createDataFrame(asked, "user_id string, query string")).collect():
+        got.setdefault((r["user_id"], r["query"]), []).append((r["rank"], r["name"], r["person_id"]))
+    cards.write_name_index(df, str(tmp_path / "index"), files=6)
+    for t, q in asked:
+        low = q.strip().lower()
+        hits = sorted((n, p) for u, p, n in people if low and n and u == t and any(x.startswith(low) for x in [n.lower(), *n.lower().split()]))[:8]
+        assert [x[1:] for x in sorted(got.get((t, low), []))] == hits
+        if low:
+            assert [(r["name"], r["person_id"]) for r in cards.indexed_prefix(spark, str(tmp_path / "index"), t, q).collect()] == hits
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")  # else the plan is shown cut
+    plan = cards.indexed_prefix(spark, str(tmp_path / "index"), "t0", "ab")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(token,ab)" in plan and "LessThan(token,ac)" in plan and "EqualTo(user_id,t0)" in plan
+
+
+def test_paths_from_both_ends(spark, monkeypatch):
+    """Against all shortest paths, with hubs dealt into parts."""
+    monkeypatch.setattr(graph, "NEIGHBORS", 3)
+    draw = random.Random(7)
+    edges = sorted({(f"n{draw.randrange(40):02d}", f"n{draw.randrange(40):02d}", draw.choice(["DM", "EMAILED"])) for _ in range(60)} | {("hub", f"n{k:02d}", "DM") for k in range(0, 40, 4)})
+    edges = [("t", a, b, kind, float(draw.randrange(1, 5))) for a, b, kind in edges if a != b]
+    best = {}
+    for _, a, b, kind, w in edges:
+        for x, y in ((a, b), (b, a)):
+            best[x, y] = max(best.get((x, y), (0.0, "")), (w, kind))
+    nodes = sorted({x for x, _ in best} | {"alone"})
+    pairs = [(draw.choice(nodes), draw.choice(nodes)) for _ in range(150)] + [("alone", "hub"), ("hub", "hub")]
+    want = {}
+    for s, t in pairs:
+        level = {s: (s,)}
+        seen = {s}
+        for _ in range(5):
+            if t in level:
+                break
+            onward = {}
+            for path in level.values():
+                for (x, y) in best:
+                    if x == path[-1] and y not in seen:
+                        onward[y] = min(onward.get(y, path + (y,)), path + (y,))
+            level, seen = onward, seen | set(onward)
+        path = level.get(t)
+        if path and len(path) <= 5:
+            steps = [best[e] for e in zip(path, path[1:])]
+            want[s, t] = (list(path), [k for _, k in steps], sum(w for w, _ in steps))
+        else:
+            want[s, t] = (None, None, None)
+    made = spark.createDataFrame(edges, "user_id string, a string, b string, type string, weight double")
+    asked = spark.createDataFrame([("t", *p) for p in pairs], "user_id string, source string, target string")
+    got = {(r["source"], r["target"]): (r["path"], r["types"], r["weight"]) for r in graph.intro_paths(made, asked).collect()}
+    assert got == want and {len(p[0]) for p in want.values() if p[0]} >= {1, 2, 3, 4, 5}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tieledger.functions import normalize as N
 from tieledger.operators.cards import PERSON, person_observations
+from tieledger.operators.numbering import numbered
 
 
 def _limit(n: int, most: int) -> int:
@@ -130,8 +131,8 @@ def enrichment_context(cards: DataFrame, messages: DataFrame, batch: int = 30) -
     real = ~name.contains("@") & ~name.rlike(r"^\+?[\d\s().-]+$") & (name != "")
     asked = cards.where((F.coalesce("category", F.lit("other")) == "other") & (F.size(F.concat("phones", "emails")) > 0) & real)
     said = messages.where("rank <= 30").groupBy(*PERSON).agg(F.array_sort(F.collect_list(F.struct("ts", F.substring("text", 1, 200).alias("text")))).alias("messages"))
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("person_id"))
-    return asked.join(said, PERSON, "left").withColumn("batch", F.floor((rank - 1) / batch).cast("long"))
+    placed = numbered(asked, ["user_id"], [F.col("person_id")])
+    return placed.join(said, PERSON, "left").withColumn("batch", F.floor((F.col("place") - 1) / batch).cast("long")).drop("place")
 
 
 def delta_context(active: DataFrame, snaps: DataFrame, messages: DataFrame, limit: int = 30) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tieledger.functions.names import similar_text
@@ -200,15 +200,44 @@ def search_persons(cards: DataFrame, phone: str | None = None, email: str | None
     return cards.where(hit).orderBy(F.asc_nulls_last("name"), "person_id").limit(max(1, min(50, limit)))
 
 
-def match_by_prefix(cards: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
-    """queries (user_id, query): cards whose name or a token of it begins with the query; the first by name."""
+def name_tokens_of(cards: DataFrame) -> DataFrame:
+    """(user_id, token, person_id, name): whole names and their words, in lower case."""
     low = F.lower("name")
-    tokens = cards.where("name IS NOT NULL").select("user_id", "person_id", "name", F.explode(F.array_distinct(F.concat(F.array(low), F.split(low, r"\s+")))).alias("token"))
-    asked = queries.select("user_id", F.lower(F.trim("query")).alias("query")).where("query <> ''").distinct()
-    # a shared first letter makes it an equi-join
-    hits = tokens.withColumn("c", F.substring("token", 1, 1)).join(asked.withColumn("c", F.substring("query", 1, 1)), ["user_id", "c"]).where(F.startswith("token", "query"))
+    return cards.where("name IS NOT NULL").select("user_id", F.explode(F.array_distinct(F.concat(F.array(low), F.split(low, r"\s+")))).alias("token"), "person_id", "name").where("token <> ''")
+
+
+def match_by_prefix(cards: DataFrame, queries: DataFrame, limit: int = 8) -> DataFrame:
+    """queries (user_id, query): cards whose name or a token of it begins with the query; the first by name.
+
+    Tokens meet queries by as many first letters as the query has, for each length of a query there is, so keys are whole queries.
+    Those that are asked for are cut to the first ``limit`` where they are, before any are brought together.
+    """
+    asked = cut(queries.select("user_id", F.lower(F.trim("query")).alias("query")).where("query <> ''").distinct())
+    lengths = sorted(r[0] for r in asked.select(F.length("query")).distinct().collect())  # as many as there are lengths of a typed query
+    if not lengths:
+        lengths = [1]
+    heads = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("token")), lambda n: F.substr("token", F.lit(1), n))
+    hits = name_tokens_of(cards).select("user_id", F.explode(heads).alias("query"), "person_id", "name").join(asked, ["user_id", "query"], "left_semi").distinct()
     rank = F.row_number().over(Window.partitionBy("user_id", "query").orderBy("name", "person_id"))
-    return hits.select("user_id", "query", "person_id", "name").distinct().withColumn("rank", rank).where(F.col("rank") <= limit)
+    return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def write_name_index(cards: DataFrame, path: str, files: int | None = None) -> None:
+    """The tokens of names in ranges of (tenant, token), sorted, so that the statistics of files and of their parts tell where a prefix is."""
+    tokens = name_tokens_of(cards)
+    ranged = tokens.repartitionByRange(files, "user_id", "token") if files else tokens.repartitionByRange("user_id", "token")
+    ranged.sortWithinPartitions("user_id", "token").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(path)
+
+
+def indexed_prefix(spark: SparkSession, path: str, user_id: str, prefix: str, limit: int = 8) -> DataFrame:
+    """One query of ``match_by_prefix`` from the index: a range of it, which is pushed down to the scan."""
+    low = prefix.strip().lower()
+    if not low:
+        raise ValueError("an empty prefix")
+    rows = spark.read.parquet(path).where((F.col("user_id") == user_id) & (F.col("token") >= low) & F.startswith("token", F.lit(low)))
+    after = low[:-1] + chr(ord(low[-1]) + 1) if ord(low[-1]) < 0xD7FF else None
+    rows = rows.where(F.col("token") < after) if after else rows
+    return rows.select("user_id", "person_id", "name").distinct().orderBy("name", "person_id").limit(limit)
 
 
 def persons_by_email(cards: DataFrame, emails: DataFrame) -> DataFrame:

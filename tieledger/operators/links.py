@@ -33,12 +33,13 @@ def link_events(obs: DataFrame) -> DataFrame:
 def resolve_links(events: DataFrame) -> DataFrame:
     """A pair is linked if its last event adds it; ``linked_by`` is the first one to do so after the last removal.
 
-    Two aggregations instead of a sorted window: adds behind the pair's last removal are what counts.
+    One aggregation per pair, with its last removal and its additions, which are as many as events name that pair; events are read once.
     """
-    key = ["user_id", "person_id", "observation_id"]
-    gone = events.where("op = 'remove'").groupBy(*key).agg(F.max("seq").alias("gone"))
-    left = events.where("op = 'add'").join(gone, key, "left").where("gone IS NULL OR seq > gone")
-    return left.groupBy(*key).agg(F.min_by("by", "seq").alias("linked_by_observation_id"), F.min("seq").alias("linked_seq"))
+    added = F.collect_list(F.when(F.col("op") == "add", F.struct("seq", "by")))
+    pairs = events.groupBy("user_id", "person_id", "observation_id").agg(added.alias("adds"), F.max(F.when(F.col("op") == "remove", F.col("seq"))).alias("gone"))
+    first = F.array_min(F.filter("adds", lambda a: F.col("gone").isNull() | (a["seq"] > F.col("gone"))))
+    left = pairs.select("user_id", "person_id", "observation_id", first.alias("first")).where("first IS NOT NULL")
+    return left.select("user_id", "person_id", "observation_id", F.col("first.by").alias("linked_by_observation_id"), F.col("first.seq").alias("linked_seq"))
 
 
 def materialize_persons(obs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tieledger.functions.normalize import safety_drop_reason
 from tieledger.functions.scoring import days_between
 from tieledger.operators.cards import PERSON, person_observations
 from tieledger.operators.intake import payload_map
+from tieledger.operators.numbering import numbered
 
 
 def _category(obs: DataFrame, links: DataFrame) -> DataFrame:
@@ -104,8 +105,8 @@ def dedup_interactions(df: DataFrame) -> DataFrame:
 
 
 def chunk(df: DataFrame, order: str, size: int = 30) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(order))
-    return df.withColumn("chunk", F.floor((rank - 1) / size).cast("long"))
+    """Numbers of chunks of a tenant's rows in order."""
+    return numbered(df, ["user_id"], [F.col(order)]).withColumn("chunk", F.floor((F.col("place") - 1) / size).cast("long")).drop("place")
 
 
 def collapse_recurring(events: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def thread_interactions(messages: DataFrame) -> DataFrame:
 def thread_concentration(raw: DataFrame) -> DataFrame:
     """Fewest threads that hold 50 % and 80 % of a tenant's rows, and the share of threads with one row."""
     threads = raw.where("thread_id IS NOT NULL").groupBy("user_id", "thread_id").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("user_id").orderBy(F.desc("n"), "thread_id")
-    run = threads.withColumn("before", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("total", F.sum("n").over(Window.partitionBy("user_id")))
+    totals = threads.groupBy("user_id").agg(F.sum("n").alias("total"))
+    run = numbered(threads, ["user_id"], [F.desc("n"), F.col("thread_id")], "n").join(totals, "user_id")
     need: Column = lambda share: F.count_if(F.col("before") < share * F.col("total"))
     return run.groupBy("user_id").agg(need(0.5).alias("threads_50"), need(0.8).alias("threads_80"), (F.count_if(F.col("n") == 1) / F.count("*")).alias("single_share"))

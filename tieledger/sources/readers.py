@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tieledger.operators.intake import validate_observations
@@ -64,7 +64,20 @@ def check_observation_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     return valid, rejects, summary
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): lines of text files with their place in their file, from 1; files are read split.
+
+    Rows of a split are numbered as they are read.  One row for each split, with its first number and its count, is enough to know how many
+    lines come before it, so the lines themselves are not moved.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r$", "").alias("value"))
+    splits = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("rows"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begins = splits.select("file", "block", "first", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(begins, ["file", "block"]).select("file", (F.col("n") - F.col("first") + F.col("before") + 1).alias("line_no"), "value")
+
+
 def read_observations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A line's number is its place in its file, which is read unsplit."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "value"))
-    return check_observation_lines(whole.select((F.col("n") + 1).alias("line_no"), "value"))
+    """A line's number is its place in its file."""
+    return check_observation_lines(read_lines(spark, path).select("line_no", "value"))
