@@ -109,7 +109,7 @@ _COMPONENTS = "both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links
 
 _NEAR_VECTORS = f"""WITH RECURSIVE rows_ AS (SELECT vec_id AS id, label, list_transform(embedding, lambda e: cast(e AS double)) AS v FROM embeddings),
 ok AS (SELECT * FROM rows_ WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND list_sum(list_transform(v, lambda e: e * e)) > 0),
-links AS (SELECT a.id AS x, b.id AS y FROM ok a JOIN ok b ON b.label = a.label AND a.id < b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93), {_COMPONENTS}
+links AS (SELECT DISTINCT a.id AS x, b.id AS y FROM ok a JOIN ok b ON b.label = a.label AND a.id < b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93), {_COMPONENTS}
 SELECT r.id AS vec_id, (SELECT count(*) FROM links l WHERE l.x = r.id OR l.y = r.id) AS n_links, component_id, component_id = r.id AS kept FROM rows_ r JOIN least USING (id)"""
 
 _NEAR_DOCUMENTS = f"""WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -12,7 +12,7 @@ A pair of tiles returns, for each vector with links, how many it has and the roo
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows with a null label or vec_id, link
 with nothing (0 links, their own component, kept); vectors of unlike length never link; rows that share a vec_id are one
-node; an empty table gives an empty one; other columns are not looked at.
+node, linked with the other vec_ids that any of them is linked with, each counted once; an empty table gives an empty one; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ def principal_axes(df: DataFrame, most_floats: int = 4_000_000) -> np.ndarray:
     """Columns are the axes by falling variance, from at most about ``most_floats`` numbers of the usual length."""
     dims = usual_length(df)
     x = sample(df, dims, max(2, most_floats // max(1, dims)))
-    if not len(x):
-        return np.zeros((dims, dims))
+    if len(x) < 2:
+        return np.eye(dims)
     _, axes = np.linalg.eigh(np.cov(x, rowvar=False).reshape(dims, dims))
     return axes[:, ::-1].copy()
 
@@ -101,16 +101,21 @@ def _compare(axes: np.ndarray, threshold: float):
         tiles = []
         for r in rows.itertuples(index=False):
             ids, counts = np.frombuffer(r.ids, np.int64), np.frombuffer(r.counts, np.int64)
-            tiles.append((ids, counts, np.frombuffer(r.vectors, np.float64).reshape(len(ids), -1)))
+            tiles.append((ids, counts, np.frombuffer(r.vectors, np.float64).reshape(len(ids), -1), np.frombuffer(r.shared, bool)))
         one, two = tiles[0], tiles[1] if len(tiles) > 1 else None
         i, j = links_between(one[2], two and two[2], axes, threshold)
         shift = len(one[0]) if two else 0
         ids = np.concatenate([one[0], two[0]]) if two else one[0]
         counts = np.concatenate([one[1], two[1]]) if two else one[1]
+        shared = np.concatenate([one[3], two[3]]) if two else one[3]
         j = j + shift
         links = np.bincount(i, counts[j], len(ids)) + np.bincount(j, counts[i], len(ids))
         linked = np.flatnonzero(links > 0)
-        return pd.DataFrame({"rep": ids[linked], "links": links[linked].astype(np.int64), "root": ids[_roots(len(ids), i, j)[linked]]})
+        sums = pd.DataFrame({"rep": ids[linked], "links": links[linked].astype(np.int64), "root": ids[_roots(len(ids), i, j)[linked]], "other": pd.array([pd.NA] * len(linked), "Int64")})
+        odd = np.flatnonzero(shared[i] | shared[j])  # few: pairs in which a vec_id has several vectors
+        a, b = ids[np.concatenate([i[odd], j[odd]])], ids[np.concatenate([j[odd], i[odd]])]
+        pairs = pd.DataFrame({"rep": a, "links": np.zeros(len(a), np.int64), "root": a, "other": pd.array(b, "Int64")})
+        return pd.concat([sums, pairs], ignore_index=True)
 
     return run
 
@@ -133,13 +138,16 @@ def _packed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "label": [first["label"]], "dims": [first["dims"]], "block": [first["block"]], "lo": [lead.min(axis=0).tolist()], "hi": [lead.max(axis=0).tolist()],
-            "ids": [rows["rep"].to_numpy(np.int64).tobytes()], "counts": [rows["n"].to_numpy(np.int64).tobytes()], "vectors": [vectors.tobytes()],
+            "ids": [rows["rep"].to_numpy(np.int64).tobytes()], "counts": [rows["n"].to_numpy(np.int64).tobytes()], "shared": [rows["shared"].to_numpy(bool).tobytes()], "vectors": [vectors.tobytes()],
         }
     )
 
 
 def linked_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """Classes (label, rep, n, embedding) -> (rep, links, root) by pair of tiles, for vectors with links."""
+    """Classes (label, rep, n, shared, embedding) -> (rep, links, root) by pair of tiles, for classes with links.
+
+    Besides, both ways, (rep, other) for linked classes of which one is ``shared``.
+    """
     axes = principal_axes(classes)
     placed = cut(classes.withColumn("dims", F.size("embedding")).withColumn("lead", _placed(axes)))
     # tiles by quantiles along the first axis; those still too full along the next, and so on
@@ -157,8 +165,8 @@ def linked_classes(classes: DataFrame, threshold: float) -> DataFrame:
     full = placed.groupBy(*by).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts"))
     tiled = placed.join(full, by).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
     tiled = tiled.withColumn("block", F.concat("block", F.col("part").cast("string")))
-    schema = "label string, dims int, block string, lo array<double>, hi array<double>, ids binary, counts binary, vectors binary"
-    tiled = tiled.withColumn("label", F.col("label").cast("string")).select("label", "dims", "block", "rep", "n", "lead", "embedding")
+    schema = "label string, dims int, block string, lo array<double>, hi array<double>, ids binary, counts binary, shared binary, vectors binary"
+    tiled = tiled.withColumn("label", F.col("label").cast("string")).select("label", "dims", "block", "rep", "n", "shared", "lead", "embedding")
     blocks = cut(tiled.groupBy("label", "dims", "block").applyInPandas(_packed, schema))
     boxes = blocks.select("label", "dims", "block", "lo", "hi")
     a, b = boxes.alias("a"), boxes.alias("b")
@@ -167,8 +175,8 @@ def linked_classes(classes: DataFrame, threshold: float) -> DataFrame:
     near = (F.col("a.label") == F.col("b.label")) & (F.col("a.dims") == F.col("b.dims")) & (F.col("a.block") <= F.col("b.block")) & (apart <= 2 - 2 * threshold + 1e-6)
     pairs = a.join(b, near).select("a.label", "a.dims", F.col("a.block").alias("one"), F.col("b.block").alias("two"))
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
-    rows = sides.join(blocks.select("label", "dims", "block", "ids", "counts", "vectors"), ["label", "dims", "block"])
-    return rows.groupBy("label", "dims", "one", "two").applyInPandas(_compare(axes, threshold), "rep long, links long, root long")
+    rows = sides.join(blocks.select("label", "dims", "block", "ids", "counts", "shared", "vectors"), ["label", "dims", "block"])
+    return rows.groupBy("label", "dims", "one", "two").applyInPandas(_compare(axes, threshold), "rep long, links long, root long, other long")
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -176,16 +184,44 @@ def near_vectors(df: DataFrame, threshold: float = 0.93) -> DataFrame:
     ok = usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     both = [F.when(ok, F.xxhash64("label", "embedding")).alias("h"), F.when(ok, F.xxhash64(F.lit(1), "embedding", "label")).alias("h2")]
     rows = cut(df.select(F.col("vec_id").cast("long"), "label", F.when(ok, F.col("embedding")).alias("embedding"), *both))
-    classes = rows.where("h IS NOT NULL").groupBy("h", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding"), F.first("label").alias("label"))
-    classes = cut(classes)
-    found = cut(linked_classes(classes.select("label", "rep", "n", "embedding"), threshold))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    counted = classes.select("h", "h2", "rep", "n").join(links, "rep", "left")
-    counted = counted.select("h", "h2", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    rows = rows.select("vec_id", "h", "h2").join(counted, ["h", "h2"], "left")
-    rows = cut(rows.select("vec_id", "rep", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).where("a <> b")
-    edges = edges.unionByName(rows.where("vec_id <> rep").select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
+    # classes of equal vectors, by the different vec_ids that have them; numbers are firm once written
+    members = rows.where("h IS NOT NULL").select("vec_id", "h", "h2").distinct()
+    counts = members.groupBy("h", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    first = rows.where("h IS NOT NULL").groupBy("h", "h2").agg(F.first("embedding").alias("embedding"), F.first("label").alias("label"))
+    classes = cut(first.join(counts, ["h", "h2"]).withColumn("rep", F.monotonically_increasing_id()))
+    members = cut(members.join(classes.select("h", "h2", "rep"), ["h", "h2"]).select("vec_id", "rep"))
+    several = members.groupBy("vec_id").agg(F.count("*").alias("c")).where("c > 1").select("vec_id")
+    several = cut(members.join(several, "vec_id", "left_semi"))  # (vec_id, rep) of ids with more than one vector
+    flagged = classes.join(several.select("rep").distinct().withColumn("shared", F.lit(True)), "rep", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    found = cut(linked_classes(flagged.select("label", "rep", "n", "shared", "embedding"), threshold))
+    sums = found.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
+    counted = classes.select("rep", "n").join(sums, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    links = members.join(counted, "rep").select("vec_id", "rep", "n_links")
+    if not several.isEmpty():
+        links = _each_id_once(links, members, classes, several, found.where("other IS NOT NULL").select("rep", "other").distinct())
+    links = links.groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
+    rows = cut(rows.select("vec_id").join(links, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    least = classes.select("rep", "least")
+    edges = found.where("rep <> root").select("rep", "root").join(least.withColumnRenamed("least", "a"), "rep").join(least.select(F.col("rep").alias("root"), F.col("least").alias("b")), "root").select("a", "b")
+    edges = edges.unionByName(members.join(least, "rep").select(F.col("vec_id").alias("a"), F.col("least").alias("b"))).where("a <> b")
     comps = connected_components(edges).withColumnRenamed("node", "vec_id")
     out = rows.join(comps, "vec_id", "left").select("vec_id", "n_links", F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _each_id_once(links: DataFrame, members: DataFrame, classes: DataFrame, several: DataFrame, near: DataFrame) -> DataFrame:
+    """``links`` (vec_id, rep, n_links) counts the ids of all classes at hand; an id of several of them is to count once, and nobody for itself.
+
+    ``several``: (vec_id, rep) of such ids; ``near``: (rep, other) of linked classes of which one holds such an id.
+    """
+    of = several.select(F.col("vec_id").alias("d"), F.col("rep").alias("other"))
+    reach = near.unionByName(several.select("rep", F.col("rep").alias("other")).distinct())
+    # how often an id comes too much among a class and those linked with it
+    twice = reach.join(of, "other").groupBy("rep", "d").agg((F.count("*") - 1).alias("more")).where("more > 0").groupBy("rep").agg(F.sum("more").alias("more"))
+    plain = links.join(several.select("vec_id").distinct(), "vec_id", "left_anti").join(twice, "rep", "left").select("vec_id", "rep", (F.col("n_links") - F.coalesce("more", F.lit(0))).alias("n_links"))
+    # such an id itself: all classes that any of its own is linked with
+    own = several.join(reach, "rep").select("vec_id", "other").distinct()
+    total = own.join(classes.select(F.col("rep").alias("other"), "n"), "other").groupBy("vec_id").agg(F.sum("n").alias("n"))
+    again = own.join(of, "other").groupBy("vec_id", "d").agg((F.count("*") - 1).alias("more")).groupBy("vec_id").agg(F.sum("more").alias("more"))
+    odd = total.join(again, "vec_id").select("vec_id", F.lit(None).cast("long").alias("rep"), (F.col("n") - F.col("more") - 1).alias("n_links"))
+    return plain.unionByName(odd)
