@@ -72,6 +72,7 @@ CUES = {
 AGAINST = r"(?:isbn|issn|version|v|no|nr|number|id|page|order|invoice|doi|year|\$|€)\W{0,3}$"
 #: Phrases that examples are put behind.
 FOR_PHRASES = {"email": ["E-mail: ", "write to ", "contact "], "ip": ["IP: ", "server ", "address "], "card": ["card ", "Visa: ", "credit card "], "phone": ["Tel.: ", "call ", "phone "]}
+NEUTRAL_PHRASES = ["size ", "see ", "in ", "about ", "and ", "of ", "were "]
 AGAINST_PHRASES = ["order ", "invoice no. ", "ISBN ", "version ", "id: ", "page "]
 
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -337,12 +338,14 @@ def _planted(docs: DataFrame, kind: str) -> DataFrame:
 
     place = 1 + F.pmod(F.xxhash64(text, F.lit(5)), F.greatest(F.length(text), F.lit(1))).cast("int")
     before, after = F.substring(text, F.greatest(place - 40, F.lit(1)), F.least(place, F.lit(40))), F.substring(text, place, F.lit(40))
-    tail = F.lit("")  # what follows the value at once
+    tail, weak = F.lit(""), F.lit(False)  # what follows the value at once; whether the value is one only by what stands before it
+    bare_value = None  # what looks like a value and is none, where nothing speaks for it; else the value itself where it is weak
     if kind == "email":
         name, host, top = F.concat(word(1), one_of(2, "", ".", "_"), one_of(3, "", "7", "x", digits(1, 2))), word(4), one_of(5, "com", "org", "net", "de", "co.uk", "example.com")
         at, dot = one_of(6, " (at) ", "(at)", "[at]", " [at] ", " {at} ", " at "), one_of(7, ".", " (dot) ", "[dot]", " [dot] ")
         dot = F.when(at == " at ", F.lit(" dot ")).otherwise(dot)
         true = one_of(8, F.concat(name, at, host, F.regexp_replace(F.concat(F.lit("."), top), F.lit(r"\."), dot)), F.concat(name, F.lit(" @ "), host, F.lit("."), top), F.concat(name, F.lit(" @ "), host, F.lit(" . "), F.lit("com")), F.concat(name, at, host, F.regexp_replace(F.concat(F.lit("."), top), F.lit(r"\."), dot)))
+        weak = true.contains(" at ")
         false = one_of(9, F.concat(name, F.lit("@"), host, F.lit(". "), F.initcap(word(10))), F.concat(name, F.lit(" @ "), host, F.lit(" . "), F.initcap(word(10))), F.concat(name, F.lit(" @ "), host, F.lit(". "), F.initcap(word(10))))
         invalid = F.lit(True)
     elif kind == "ip":
@@ -350,6 +353,10 @@ def _planted(docs: DataFrame, kind: str) -> DataFrame:
         sep = one_of(6, " . ", "[.]", "(.)", " (dot) ", " dot ", "[dot]")
         true = F.concat_ws("|", *parts)
         true = F.replace(true, F.lit("|"), sep)
+        # short numbers apart may be a build or a ratio as well
+        weak = sep.isin(" . ", " dot ") & (F.length(F.regexp_replace(true, "[^0-9]", "")) < 10)
+        small = F.concat_ws("|", one_of(15, (1 + drawn(16, 150)).cast("string"), (1 + drawn(16, 30)).cast("string")), *[drawn(k, 40).cast("string") for k in (17, 18, 19)])
+        bare_value = F.replace(small, F.lit("|"), one_of(28, " . ", " dot "))
         wrong = F.replace(F.concat_ws("|", parts[0], (256 + drawn(7, 700)).cast("string"), *parts[2:]), F.lit("|"), sep)
         listed = F.replace(F.concat_ws("|", *[drawn(k, 30).cast("string") for k in range(11, 15)]), F.lit("|"), one_of(8, ". ", " ."))
         false, invalid = F.when(drawn(9, 2) == 0, wrong).otherwise(listed), F.lit(True)
@@ -372,11 +379,17 @@ def _planted(docs: DataFrame, kind: str) -> DataFrame:
         tail = F.when(swallowed, F.concat(F.lit(" "), F.concat_ws(".", *[(100 + drawn(k, 155)).cast("string") for k in range(11, 15)]))).otherwise(F.lit(""))
         true = F.when(swallowed, plus).otherwise(forms)
         false, invalid = F.concat(digits(7, 2), sep, digits(8, 3), sep, digits(9, 3)), drawn(6, 4) == 0
+        # groups of figures that anything may be: sizes, years, places, parts
+        loose = one_of(26, F.concat_ws(" ", digits(9, 3), digits(10, 3), digits(11, 4)), F.concat_ws(" ", *[(1900 + drawn(k, 200)).cast("string") for k in range(31, 35)]), F.concat_ws(" ", *[digits(k, 4) for k in range(12, 16)]), F.concat_ws("-", digits(16, 2), digits(17, 3), digits(18, 4)), F.concat(area, sep, first, sep, last))
+        bare_value, weak = loose, ~swallowed & ~true.rlike(r"^00|\(")
     y = drawn(20, 2) == 0
-    # a negative either fails its check, or stands behind a word that says what it is instead
-    plain = ~y & ~invalid
-    value = F.when(y | plain, true).otherwise(false)
-    phrase = F.when(plain, one_of(21, *AGAINST_PHRASES)).when(drawn(22, 2) == 0, one_of(23, *FOR_PHRASES[kind])).otherwise(F.lit(""))
+    # a negative fails its check, stands behind a word that says what it is instead, or has nothing that speaks for it
+    bare = ~y & (weak if bare_value is None else drawn(25, 2) == 0)
+    plain = ~y & ~bare & ~invalid
+    value = F.when(bare, true if bare_value is None else bare_value).when(y | plain, true).otherwise(false)
+    tail = F.when(bare, F.lit("")).otherwise(tail)
+    spoken = weak & y | (drawn(22, 2) == 0)
+    phrase = F.when(bare, one_of(27, "", *NEUTRAL_PHRASES)).when(plain, one_of(21, *AGAINST_PHRASES)).when(spoken, one_of(23, *FOR_PHRASES[kind])).otherwise(F.lit(""))
     made = docs.select(before.alias("before"), phrase.alias("phrase"), value.alias("value"), F.when(plain & (tail != ""), F.lit("")).otherwise(tail).alias("tail"), after.alias("after"), y.cast("int").alias("y"), drawn(24, 5).alias("part"))
     head = F.concat("before", F.lit(" "), "phrase")
     return made.select(F.concat(head, "value", "tail", F.lit(" "), "after").alias("t"), F.length(head).alias("at"), (F.length(head) + F.length("value")).alias("till"), "y", "part")
