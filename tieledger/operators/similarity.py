@@ -4,8 +4,8 @@ A Jaro score of t needs c letters in common, each as often as both names have it
 of t needs ``c >= t (la + lb) / 2``.  So names of given lengths must share so many letters.  Letters are put in the order of their
 frequency in the names at hand, the rarest first, every occurrence of a letter being one of its own.  If c of la letters are
 in common, the two names share k letters among the first ``la - c + k`` of either: all sets of k of those are keys.  A key also
-holds both bands of length, which fix c and k, and for Jaro-Winkler scores the four first letters where the bonus for them is
-needed.  Names with a token in common may score by how much of a name the common tokens are, or with those put
+holds both bands of length, which fix c and k, and for Jaro-Winkler scores the first letters, none to four, whose bonus lowers what c has to be.
+Names with a token in common may score by how much of a name the common tokens are, or with those put
 first; they meet by token.
 
 Keys with many names on both sides are dealt into blocks, each pair of blocks a key of its own.  Every pair of different names
