@@ -38,8 +38,7 @@ def column_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words_of(texts: pa.Array, between: np.ndarray) -> tuple[Words, np.ndarray]:
     """The words of texts, parted by the bytes in ``between``, and the bytes of all texts with a zero byte behind each.
 
-    ``between`` must hold byte 0; a zero byte within a text parts words only if it is in the table, so texts' own are kept
-    apart from the added ones by place.
+    The added bytes are known by their place, so a zero byte within a text parts words only if it is in the table.
     """
     data, ends = column_bytes(texts)
     lengths = np.diff(ends)
