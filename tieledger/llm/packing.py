@@ -4,11 +4,12 @@
    the first piece, so that all others fill a sequence alone.
 2. The shorter pieces are dealt into pools of a few thousand by a hash of their row number.  Every pool is packed by
    several islands.  An island keeps a few solutions; crossover takes whole well-filled bins of one parent into the
-   other, empties the bins that hold any of their documents, and puts the displaced ones back by best fit, longest
-   first.  Between epochs every island sends its best solution to the next one of its ring, through a shuffle.
-3. The best solution of a pool wins.  What its poorly filled bins hold goes to a next round of pools, sixteen to one,
-   so that the loss at a pool's edge does not add up; the last round is one pool of such leftovers for each sixteen
-   until none is left to join.
+   other and empties the bins that hold any of their documents, and a few of the poorest.  One or two displaced documents
+   replace one or two of a bin where that fills it better; the others go back by best fit, longest first.  An island rests
+   at the least possible number of bins, or when some crossovers in a row saved none.  Between epochs every island
+   sends its best solution to the next one of its ring, through a shuffle.
+3. The best solution of a pool wins.  What its poorly filled bins hold is dealt into pools of a next round, so that the
+   loss at a pool's edge does not add up, until one pool is left or a round saves nothing worth its work.
 
 Only lengths and row numbers travel through the genetic part, never texts.
 
@@ -31,8 +32,11 @@ from tieledger.llm.batches import in_small_batches
 from tieledger.llm.tokens import TokenIds
 from tieledger.sources.tables import cut
 
-#: Pieces of a pool, islands that pack it, epochs between migrations, solutions of an island, crossovers of an epoch.
-POOL, ISLANDS, EPOCHS, SOLUTIONS, CROSSOVERS = 4096, 3, 2, 3, 4
+#: Pieces of a pool, islands that pack it, epochs between migrations, solutions of an island, crossovers of an epoch, and those in a row that may save no bin.
+POOL, ISLANDS, EPOCHS, SOLUTIONS, CROSSOVERS, IDLE = 4096, 3, 2, 3, 10, 3
+#: Bins a crossover brings in and empties, passes of replacement, pieces of a bin up to which pairs of them are swapped,
+#: sums that are looked at for one swap: those are bounds of the search, none of them of what is packed.
+INJECTED, EMPTIED, PASSES, WIDE, LOOKS = 24, 40, 4, 12, 40
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -111,25 +115,72 @@ def _groups(labels: np.ndarray) -> list[list[int]]:
     return [g.tolist() for g in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)]
 
 
-def crossover(lengths: np.ndarray, capacity: int, mother: np.ndarray, father: np.ndarray, draw: np.random.Generator, loosen: float = 0.05) -> np.ndarray:
-    """Some of the father's well-filled bins enter the mother whole; what they and a few poor bins displace is best-fitted."""
+def replace(lengths: np.ndarray, capacity: int, groups: list[list[int]], loose: list[int]) -> tuple[list[list[int]], list[int]]:
+    """Swaps one or two displaced pieces against one or two of a bin wherever that fills the bin better.
+
+    Every swap leaves less length displaced, so passes end; what comes out of a bin is offered to the others in the next
+    pass.  Pairs are looked up by their sum, the largest that still fits first.
+    """
+    size = lengths.tolist()
+    groups = [list(g) for g in groups]
+    room = [capacity - sum(size[i] for i in g) for g in groups]
+    for _ in range(PASSES):
+        own = np.array(loose, np.int64)
+        if not len(own):
+            break
+        one, two = np.triu_indices(len(own))  # a piece with itself stands for the piece alone
+        sums = np.where(one == two, lengths[own[one]], lengths[own[one]] + lengths[own[two]])
+        order = np.argsort(sums, kind="stable")
+        one, two, sums = own[one[order]].tolist(), own[two[order]].tolist(), sums[order].tolist()
+        free, freed = set(loose), []
+        for g in sorted((g for g, r in enumerate(room) if r), key=lambda g: (room[g], g)):
+            items, best, gain = groups[g], None, 0
+            outs = [(), *((i,) for i in items), *((i, j) for k, i in enumerate(items) for j in items[k + 1 :])]
+            for out in outs if len(items) <= WIDE else outs[: 1 + len(items)]:
+                gone = sum(size[i] for i in out)
+                k = top = bisect.bisect_right(sums, gone + room[g]) - 1
+                while k >= 0 and sums[k] > gone + gain and top - k < LOOKS and not (one[k] in free and two[k] in free):
+                    k -= 1
+                if k >= 0 and sums[k] > gone + gain and top - k < LOOKS:
+                    best, gain = (out, {one[k], two[k]}), sums[k] - gone
+                    if gain == room[g]:
+                        break
+            if best:
+                out, new = best
+                groups[g] = [i for i in items if i not in out] + sorted(new)
+                room[g] -= gain
+                free -= new
+                freed += out
+        if len(free) == len(loose):
+            break
+        loose = sorted(free) + freed
+    return groups, loose
+
+
+def crossover(lengths: np.ndarray, capacity: int, mother: np.ndarray, father: np.ndarray, draw: np.random.Generator) -> np.ndarray:
+    """Some of the father's well-filled bins enter the mother whole.
+
+    Her bins that hold any of their pieces are emptied, and so are a few of her poorest (the mutation).  The displaced
+    pieces replace others where that fills a bin better; what is left is best-fitted.
+    """
     theirs = _groups(father)
     fill = np.bincount(father, lengths)
     well = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    taken = [theirs[b] for b in draw.permutation(well)[: max(1, len(well) // 3)]]
+    taken = [theirs[b] for b in draw.permutation(well)[: max(1, min(len(well) // 3, INJECTED))]]
     inside = np.zeros(len(lengths), bool)
     for items in taken:
         inside[items] = True
     own = _groups(mother)
-    own_fill = np.bincount(mother, lengths)
-    poor = set(np.flatnonzero((own_fill < capacity) & (draw.random(len(own)) < loosen)).tolist()) | {int(own_fill.argmin())}
+    by_fill = np.argsort(np.bincount(mother, lengths) + draw.random(len(own)), kind="stable")
+    poor = set(by_fill[: min(EMPTIED, max(1, len(own) // 8))].tolist())
     kept, displaced = [], []
     for b, items in enumerate(own):
         if b in poor or inside[items].any():
             displaced += [i for i in items if not inside[i]]
         else:
             kept.append(items)
-    child = _from_groups(lengths, capacity, kept + taken)
+    kept, displaced = replace(lengths, capacity, kept + taken, displaced)
+    child = _from_groups(lengths, capacity, kept)
     child.best_fit(displaced)
     return child.labels()
 
@@ -155,12 +206,15 @@ def _evolve(capacity: int, seed: int, epoch: int):
                 if not held:
                     held = [_first(lengths, capacity, draw, k + island == 0) for k in range(SOLUTIONS)]
                 held.sort(key=lambda s: fitness(lengths, s, capacity))
+                now, idle = fitness(lengths, held[0], capacity)[0], 0
                 for _ in range(CROSSOVERS):
-                    if len(held) < 2 or fitness(lengths, held[0], capacity)[0] <= least:
+                    if len(held) < 2 or now <= least or idle == IDLE:
                         break
                     a, b = draw.choice(len(held), 2, replace=False)
                     held = [*held, crossover(lengths, capacity, held[min(a, b)], held[max(a, b)], draw)]
                     held = sorted(held, key=lambda s: fitness(lengths, s, capacity))[:SOLUTIONS]
+                    before, now = now, fitness(lengths, held[0], capacity)[0]
+                    idle = 0 if now < before else idle + 1
                 n, full = fitness(lengths, held[0], capacity)
                 out.append((pool, island, [s.tolist() for s in held], n, full))
             yield pd.DataFrame(out, columns=["pool", "island", "solutions", "n", "full"])
@@ -210,11 +264,15 @@ def _placed(capacity: int):
 _PLACED = "item long, length long, pool long, bin long, offset long, fill long"
 
 
-def assign(items: DataFrame, capacity: int = 2048, seed: int = 11, well_filled: float = 0.97, join: int = 16) -> DataFrame:
-    """(item, length) -> (item, round, pool, bin, offset) so that no bin holds more than ``capacity``."""
-    done = None
+def assign(items: DataFrame, capacity: int = 2048, seed: int = 11, well_filled: float = 0.97, gain: float = 0.001) -> DataFrame:
+    """(item, length) -> (item, round, pool, bin, offset) so that no bin holds more than ``capacity``.
+
+    What is left after a round is packed again in pools of its own.  That goes on until one pool holds it, or dealing it
+    anew saves less than ``gain`` of its bins; of the last two ways to pack it the one of fewer bins counts.
+    """
+    done, held, held_bins, rounds = None, None, 0, 0
     n = items.count()
-    rounds = 0
+    names = ["item", "round", "pool", "bin", "offset"]
     while n:
         n_pools = max(1, -(-n // POOL))
         dealt = items.withColumn("pool", F.pmod(F.xxhash64("item", F.lit(seed + rounds)), F.lit(n_pools)))
@@ -222,20 +280,17 @@ def assign(items: DataFrame, capacity: int = 2048, seed: int = 11, well_filled:
         pools = cut(pools.select("pool", F.col("x.item").alias("items"), F.col("x.length").alias("lengths")))
         packed = pack_pools(pools.select("pool", "lengths"), capacity, seed + rounds)
         packed = pools.join(packed.select("pool", "labels"), "pool")
-        placed = cut(packed.select("pool", "items", "lengths", "labels").mapInPandas(_placed(capacity), _PLACED))
-        again = (F.col("fill") < int(well_filled * capacity)) & F.lit(n_pools > 1)
-        settled = placed.where(~again).select("item", F.lit(rounds).alias("round"), "pool", "bin", "offset")
-        done = settled if done is None else done.unionByName(settled)
-        items = placed.where(again).select("item", "length")
-        left = items.count()
-        if not left:
-            break
-        # poorly filled bins are few; should they not be, the next round takes them as they are
-        if left > n * 3 // 4 or rounds >= 6:
-            rest = placed.where(again).select("item", F.lit(rounds).alias("round"), "pool", "bin", "offset")
-            done = done.unionByName(rest)
+        placed = cut(packed.select("pool", "items", "lengths", "labels").mapInPandas(_placed(capacity), _PLACED)).withColumn("round", F.lit(rounds))
+        poor = F.col("fill") < int(well_filled * capacity)
+        opens = F.when(F.col("offset") == 0, 1)
+        bins, n, poor_bins = placed.agg(F.count(opens), F.count(F.when(poor, 1)), F.count(F.when(poor, opens))).first()
+        last = n_pools == 1 or (held is not None and bins > held_bins * (1 - gain))
+        settled = held if held is not None and bins > held_bins else placed if last else placed.where(~poor)
+        done = settled.select(names) if done is None else done.unionByName(settled.select(names))
+        if last:
             break
-        n, rounds = left, rounds + 1
+        held, held_bins = placed.where(poor), poor_bins
+        items, rounds = held.select("item", "length"), rounds + 1
     return done
 
 
@@ -252,7 +307,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str
     placed = assign(short.select("item", "length"), capacity, seed)
     if placed is None:
         return alone
-    # a round's pools hold 4096 pieces on average, never 2**20
-    number = (F.col("round").cast("long") * F.lit(2**56)) + F.col("pool") * F.lit(2**20) + F.col("bin")
+    # a round's pools hold 4096 pieces on average, never 2**20, and are fewer than 2**32
+    number = (F.col("round").cast("long") * F.lit(2**52)) + F.col("pool") * F.lit(2**20) + F.col("bin")
     joined = short.join(placed.withColumn("sequence_id", number), "item").select(*names)
     return alone.unionByName(joined)
