@@ -36,7 +36,9 @@ LEAF = 256
 #: Unicode's White_Space, as the pre-tokenizer's \s has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _FIRM = regex.compile(rf"{regex.escape(ADDED)}|(?s:.)(?={regex.escape(ADDED)})|[^{SPACE}](?=[{SPACE}])|\p{{L}}(?=[^{SPACE}\p{{L}}])|\p{{N}}(?=[^{SPACE}\p{{N}}])|[^{SPACE}\p{{L}}\p{{N}}'](?=[\p{{L}}\p{{N}}])|'(?=\p{{N}})")
-_SAME = regex.compile(rf"[{SPACE}]{{2}}|\p{{L}}{{2}}|\p{{N}}{{2}}|[^{SPACE}\p{{L}}\p{{N}}'][^{SPACE}\p{{L}}\p{{N}}']")
+_SAME = regex.compile(rf"[{SPACE}]{{2}}|\p{{L}}{{2}}|\p{{N}}{{2}}|[^{SPACE}\p{{L}}\p{{N}}]{{2}}")
+# an apostrophe that a letter follows may begin a contraction once nothing stands before it
+_SIGNS = regex.compile(rf"[^{SPACE}\p{{L}}\p{{N}}]{{2}}(?<!'(?=\p{{L}}))")
 
 TREE = "struct<n_chars:int,n_tokens:int,leaf_chars:array<int>,leaf_tokens:array<int>,leaf_first:array<int>,leaf_last:array<int>,node_left:array<int>,node_chars:array<int>,node_tokens:array<int>>"
 
@@ -132,7 +134,8 @@ class Counter:
 
     def may_part(self, text: str, at: int, left: int, right: int) -> bool:
         """Whether a place inside a piece of a text is a cut, its tokens beside it being these."""
-        return bool(_SAME.match(text, at - 1)) and "'" not in text[max(0, at - 3) : at + 3] and not inside_added(text, at) and self.parted(left, right)
+        same = _SIGNS.match(text, at - 1) or (_SAME.match(text, at - 1) and "'" not in text[max(0, at - 3) : at + 3])
+        return bool(same) and not inside_added(text, at) and self.parted(left, right)
 
     def leaves(self, text: str) -> list[Node]:
         """The leaves of a text that is a whole one, or stands between cuts."""
@@ -149,21 +152,17 @@ class Counter:
     def long(self, text: str) -> list[Node]:
         """The leaves of a long stretch without a firm cut, parted between tokens."""
         self.chars += len(text)
-        ids, found, begin, at, size = self.encode(text), [], 0, 0, 0
-        data = b""
-        for i, token in enumerate(ids):
-            data += self.encoding.decode_single_token_bytes(token)
+        ids, found, begin, at, size, chars = self.encode(text), [], 0, 0, 0, 0
+        parts = [self.encoding.decode_single_token_bytes(token) for token in ids]
+        for i, token in enumerate(ids[:-1]):
+            chars += sum(b & 0xC0 != 0x80 for b in parts[i])
             size += 1
-            try:
-                chars = len(data.decode("utf-8"))
-            except UnicodeDecodeError:  # within a character
-                continue
             end = at + chars
-            if chars >= LEAF and len(text) - end >= LEAF // 4 and i + 1 < len(ids) and self.may_part(text, end, token, ids[i + 1]):
+            whole = parts[i + 1][0] & 0xC0 != 0x80  # the next token begins a character
+            if whole and chars >= LEAF and len(text) - end >= LEAF // 4 and self.may_part(text, end, token, ids[i + 1]):
                 found.append(Node(chars, size, first=ids[begin], last=token))
-                begin, at, size, data = i + 1, end, 0, b""
-        if size:
-            found.append(Node(len(text) - at, size, first=ids[begin], last=ids[-1]))
+                begin, at, size, chars = i + 1, end, 0, 0
+        found.append(Node(len(text) - at, size + 1, first=ids[begin], last=ids[-1]))
         return found
 
 
