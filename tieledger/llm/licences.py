@@ -9,9 +9,10 @@ Everything that touches the corpus runs on DataFrame functions.
 * Features are distinct word unigrams, bigrams and trigrams that occur in the templates.  A logistic regression for each
   family, with L1, is fitted to templates, to templates with words lost, swapped or added, and to candidates of a bounded
   sample of the corpus that resemble no template.  The sparse weights become a map in the plan.
-* A candidate whose best family stays below a threshold is ``unknown``.  The threshold is calibrated on paragraphs that training has
-  not seen: at most 1 % of those without a notice lie over it, and it is from 0.3 to 0.9.  Relatives, such as two families of nearly one text, are told
-  apart by the templates.
+* A candidate whose best family stays below a threshold is ``unknown``.  The threshold is calibrated on what training has
+  not seen: at most 1 % of the paragraphs without a notice lie over it, and it best parts kept-out notices from those of
+  families that were kept out whole.
+* In a line of identifiers joined by OR or AND each is judged for itself.
 * A family is confirmed if the unit holds half of the word bigrams of one of its templates, or if half of the unit's own are
   in a template and one of those has the family's name.  The best of the confirmed families is predicted; without one the unit
   is ``unknown``.  A family that only windows show counts once a block.
@@ -28,11 +29,23 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Short notices by family, as they are commonly written above or below a text.
 TEMPLATES = {
+    "AGPL": [
+        "SPDX-License-Identifier: AGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation.",
+        "Released under the AGPL v3 license.",
+    ],
+    "Apache-1.1": [
+        "SPDX-License-Identifier: Apache-1.1",
+        "Licensed under the Apache License, Version 1.1.",
+        "The Apache Software License, Version 1.1.",
+    ],
     "Apache-2.0": [
         "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0.",
@@ -44,10 +57,13 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Released under the BSD 3-Clause License.",
+        "BSD 2-Clause License",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ],
     "CC-BY": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
+        "CC BY 4.0",
         "Text is available under the Creative Commons Attribution License.",
     ],
     "CC-BY-NC": [
@@ -55,6 +71,19 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Available under CC BY-NC, no commercial use.",
     ],
+    "CC-BY-NC-ND": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
+    "CC-BY-NC-SA": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "CC-BY-ND": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Text is available under the Creative Commons Attribution-NoDerivatives License.",
+    ],
     "CC-BY-SA": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -66,22 +95,49 @@ TEMPLATES = {
         "Released under CC0 1.0 Universal, public domain dedication.",
         "This work is dedicated to the public domain under CC0.",
     ],
+    "EPL": [
+        "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License.",
+        "Eclipse Public License 2.0",
+    ],
+    "EUPL": [
+        "SPDX-License-Identifier: EUPL-1.2",
+        "Licensed under the European Union Public Licence (EUPL), version 1.2.",
+        "Licensed under the EUPL.",
+    ],
+    "GFDL": [
+        "SPDX-License-Identifier: GFDL-1.3",
+        "Licensed under the GNU Free Documentation License, version 1.3.",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License.",
+    ],
     "GPL": [
         "SPDX-License-Identifier: GPL-3.0",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Released under the GPL v2 license.",
+        "GNU General Public License, version 3",
+        "SPDX-License-Identifier: GPL-2.0",
+        "GPL v3",
+    ],
+    "ISC": [
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
     ],
     "LGPL": [
         "SPDX-License-Identifier: LGPL-2.1",
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "Licensed under the LGPL.",
+        "GNU Lesser General Public License v2.1",
         "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
     ],
     "MIT": [
         "SPDX-License-Identifier: MIT",
         "Released under the MIT License.",
+        "The MIT License (MIT)",
+        "MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
         "Licensed under the MIT license. See the LICENSE file for details.",
     ],
@@ -105,7 +161,7 @@ ANCHORS = ("licen", "copyright", "rights reserved", "redistribut", "public domai
 #: confirms only with one of them; one with fewer than SHORT whose family has none, by the lesser share of the two.
 CONFIRMS, NAMED, SHORT = 0.5, 8, 5
 #: Words of which a short notice has one, by family.
-NAMES = {"Apache-2.0": ["apache"], "BSD": ["bsd"], "CC0": ["cc0"], "GPL": ["gpl"], "LGPL": ["lesser", "lgpl"], "MIT": ["mit"], "MPL-2.0": ["mozilla", "mpl"]}
+NAMES = {"AGPL": ["affero", "agpl"], "Apache-1.1": ["apache"], "Apache-2.0": ["apache"], "BSD": ["bsd"], "CC0": ["cc0"], "EPL": ["eclipse", "epl"], "EUPL": ["eupl"], "GFDL": ["gfdl"], "GPL": ["gpl"], "ISC": ["isc"], "LGPL": ["lesser", "lgpl"], "MIT": ["mit"], "MPL-2.0": ["mozilla", "mpl"]}
 #: Parts of the templates that are kept out in turn.
 FOLDS = 3
 #: Share of unseen paragraphs without a notice that may lie over the threshold.
@@ -178,6 +234,9 @@ def _gated(words: Column) -> Column:
     return F.arrays_overlap(words, F.array(*map(F.lit, GATE)))
 
 
+#: An identifier of a licence, and several of them joined.
+_ID = r"(?:MIT|ISC|[A-Za-z]+[0-9]?(?:-[A-Za-z]+)*-[0-9][A-Za-z0-9.+-]*)"
+_JOINED = rf"{_ID}(?: WITH [A-Za-z0-9.+-]+)?\)?(?: +(?:OR|AND) +\(?{_ID}(?: WITH [A-Za-z0-9.+-]+)?\)?)+"
 _UNITS = "array<struct<no:int,line:int,w:array<string>,p:string>>"
 
 
@@ -186,7 +245,17 @@ def _lines(block: Column) -> Column:
 
 
 def _line_units(block: Column, no: Column) -> Column:
-    each = F.transform(_lines(block), lambda x, i: F.struct(no.alias("no"), i.alias("line"), _words(x).alias("w"), x.alias("p")))
+    """One unit a line; where identifiers are joined by OR or AND, one for each of them."""
+
+    def unit(text: Column, i: Column) -> Column:
+        return F.struct(no.alias("no"), i.alias("line"), _words(text).alias("w"), text.alias("p"))
+
+    def of_line(x: Column, i: Column) -> Column:
+        named = F.regexp_extract_all(F.regexp_replace(F.regexp_extract(x, _JOINED, 0), " WITH [A-Za-z0-9.+-]+", ""), F.lit(_ID), F.lit(0))
+        each = F.transform(named, lambda y: unit(F.concat(F.lit("SPDX-License-Identifier: "), y), i))
+        return F.when(x.rlike(_JOINED), each).otherwise(F.array(unit(x, i)))
+
+    each = F.flatten(F.transform(_lines(block), of_line))
     return F.filter(each, lambda x: _holds_anchor(x["p"]) | _gated(x["w"])).cast(_UNITS)
 
 
@@ -249,32 +318,46 @@ def _variants(text: str, draw: random.Random, noise: list[str], n: int) -> list[
     return out
 
 
-def _regress(rows: list[tuple[list[int], int]], n_features: int, k: int, turns: int = 30, rate: float = 0.3, l1: float = 0.0005) -> tuple[float, list[float]]:
-    """Logistic regression of family k against the rest, by stochastic steps with per-coordinate rates and soft thresholds."""
-    w, seen, bias, bias_seen = [0.0] * n_features, [1.0] * n_features, -2.0, 1.0
-    order, draw = list(range(len(rows))), random.Random(k)
+def _regress(rows: list[tuple[list[int], int]], n_features: int, n_families: int, turns: int = 30, rate: float = 0.3, l1: float = 0.0005) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regressions of each family against the rest, by stochastic steps with per-coordinate rates and soft thresholds."""
+    w, seen = np.zeros((n_features, n_families)), np.ones((n_features, n_families))
+    bias, bias_seen = np.full(n_families, -2.0), np.ones(n_families)
+    feats, own = [np.array(x, np.int64) for x, _ in rows], np.arange(n_families)
+    order, draw = list(range(len(rows))), random.Random(n_families)
     for _ in range(turns):
         draw.shuffle(order)
         for i in order:
-            feats, y = rows[i]
-            m = bias + sum(w[f] for f in feats)
-            g = 1 / (1 + math.exp(-max(-60.0, min(60.0, m)))) - (y == k)
-            if abs(g) < 1e-4:
+            x, y = feats[i], rows[i][1]
+            at = w[x]
+            g = 1 / (1 + np.exp(-np.clip(bias + at.sum(0), -60.0, 60.0))) - (own == y)
+            moves = np.abs(g) >= 1e-4
+            if not moves.any():
                 continue
+            g *= moves
             bias_seen += g * g
-            bias -= rate * g / math.sqrt(bias_seen)
-            for f in feats:
-                seen[f] += g * g
-                x = w[f] - rate * g / math.sqrt(seen[f])
-                w[f] = math.copysign(max(0.0, abs(x) - l1), x)
+            bias -= rate * g / np.sqrt(bias_seen)
+            seen[x] += g * g
+            new = at - rate * g / np.sqrt(seen[x])
+            w[x] = np.where(moves, np.sign(new) * np.maximum(0.0, np.abs(new) - l1), at)
     return bias, w
 
 
+def _threshold(hits: list[float], alarms: list[float], relatives: list[float]) -> float:
+    """The score that best parts notices from those of unlisted families, among those that few plain paragraphs reach."""
+
+    def over(scores: list[float], t: float) -> float:
+        return sum(s >= t for s in scores) / max(1, len(scores))
+
+    least = sorted(alarms, reverse=True)[int(FALSE_ALARMS * len(alarms))] + 1e-9 if alarms else 0.0
+    steps = [t / 100 for t in range(5, 100) if t / 100 >= least]
+    return max(steps, key=lambda t: (over(hits, t) - over(relatives, t), t), default=0.99)
+
+
 def fit(docs: DataFrame, max_docs: int = 4000, max_negatives: int = 600, max_stretches: int = 200, seed: int = 3) -> LicenceModel:
     """Fit to the templates, and to candidates without resemblance from about ``max_docs`` documents chosen by a hash.
 
-    The threshold comes from paragraphs that training has not seen: in turn, a third of the templates with all their variants and a third
-    of the paragraphs without a notice are kept out, and the latter judged by a model of the rest.
+    The threshold comes from what training has not seen: in turn, a third of the templates with all their variants and of the paragraphs
+    without a notice, and then a third of the families, are kept out and judged by a model of the rest.
     """
     draw = random.Random(seed)
     texts = docs.select("text").where("text IS NOT NULL")
@@ -314,23 +397,27 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_negatives: int = 600, max_str
     ids = {g: i for i, g in enumerate(vocabulary)}
     coded = [(sorted(ids[g] for g in grams_of(words_of(p)) if g in ids), y, fold) for p, y, fold in rows]
 
-    def trained(used: list, turns: int) -> tuple[list[float], list[list[float]]]:
-        fitted = [_regress([(x, y) for x, y, _ in used], len(ids), k, turns) for k in range(len(FAMILIES))]
-        return [b for b, _ in fitted], [w for _, w in fitted]
+    def trained(used: list, turns: int) -> tuple[np.ndarray, np.ndarray]:
+        return _regress([(x, y) for x, y, _ in used], len(ids), len(FAMILIES), turns)
+
+    bias, w = trained(coded, 30)
+    weights = {g: w[i].tolist() for g, i in ids.items() if np.abs(w[i]).max() > 1e-3}
+    model = LicenceModel(bias.tolist(), weights, 0.5)
+    hits, alarms, relatives = [], [], []
+
+    def best_of(bias: np.ndarray, w: np.ndarray, feats: list[int], listed: np.ndarray) -> float:
+        return float(1 / (1 + np.exp(-np.clip((bias + w[feats].sum(0))[listed].max(), -60.0, 60.0))))
 
-    bias, columns = trained(coded, 30)
-    weights = {g: [w[i] for w in columns] for g, i in ids.items() if any(abs(w[i]) > 1e-3 for w in columns)}
-    model = LicenceModel(bias, weights, 0.5)
-    alarms: list[float] = []
     for fold in range(FOLDS):
-        bias, columns = trained([r for r in coded if r[2] != fold], 6)
-        for feats, y, _ in (r for r in coded if r[2] == fold):
-            s = [1 / (1 + math.exp(-max(-60.0, min(60.0, b + sum(w[i] for i in feats))))) for b, w in zip(bias, columns, strict=True)]
-            best = max(range(len(s)), key=s.__getitem__)
-            if y < 0:
-                alarms.append(s[best])
-    alarms.sort(reverse=True)
-    model.threshold = min(0.9, max(0.3, alarms[int(FALSE_ALARMS * len(alarms))] + 1e-9 if alarms else 0.5))
+        bias, w = trained([r for r in coded if r[2] != fold], 6)
+        for feats, y, of in coded:
+            if of == fold:
+                (alarms if y < 0 else hits).append(best_of(bias, w, feats, np.ones(len(FAMILIES), bool)))
+        # families that the model has not seen stand for those that nobody listed
+        listed = np.arange(len(FAMILIES)) % FOLDS != fold
+        bias, w = trained([r for r in coded if r[1] < 0 or listed[r[1]]], 6)
+        relatives += [best_of(bias, w, feats, listed) for feats, y, _ in coded if y >= 0 and not listed[y]]
+    model.threshold = _threshold(hits, alarms, relatives)
     return model
 
 
