@@ -34,6 +34,8 @@ from tieledger.sources.tables import cut
 
 #: Pieces of a pool, islands that pack it, epochs between migrations, solutions of an island, crossovers of an epoch, and those in a row that may save no bin.
 POOL, ISLANDS, EPOCHS, SOLUTIONS, CROSSOVERS, IDLE = 4096, 3, 2, 3, 10, 3
+#: Islands of a task.
+PER_TASK = 8
 #: Bins a crossover brings in and empties, passes of replacement, pieces of a bin up to which pairs of them are swapped,
 #: sums that are looked at for one swap: those are bounds of the search, none of them of what is packed.
 INJECTED, EMPTIED, PASSES, WIDE, LOOKS = 24, 40, 4, 12, 40
@@ -225,12 +227,13 @@ def _evolve(capacity: int, seed: int, epoch: int):
 _SOLVED = "pool long, island int, solutions array<array<int>>, n int, full double"
 
 
-def pack_pools(pools: DataFrame, capacity: int, seed: int) -> DataFrame:
+def pack_pools(pools: DataFrame, capacity: int, seed: int, tasks: int = 1) -> DataFrame:
     """(pool, lengths array) -> (pool, lengths, labels): the bin of every piece, by islands with elite migration.
 
-    Lengths are split off and joined by pool, so that an epoch's shuffle carries solutions only.
+    Lengths are split off and joined by pool, so that an epoch's shuffle carries solutions only.  Islands are small rows of
+    much work: they go to a stated number of tasks, which are not drawn together by their bytes.
     """
-    islands = pools.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).repartition("pool", "island")
+    islands = pools.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).repartition(tasks, "pool", "island")
     now = islands.withColumn("solutions", F.lit(None).cast("array<array<int>>"))
     for epoch in range(EPOCHS):
         solved = now.select("pool", "island", "lengths", "solutions").mapInPandas(_evolve(capacity, seed, epoch), _SOLVED)
@@ -238,7 +241,7 @@ def pack_pools(pools: DataFrame, capacity: int, seed: int) -> DataFrame:
         if epoch < EPOCHS - 1:  # the best one travels to the next island of the ring
             guests = solved.select("pool", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("solutions", 1, 1).alias("guests"))
             both = solved.join(guests, ["pool", "island"]).select("pool", "island", F.concat("guests", "solutions").alias("solutions"))
-            now = islands.join(both, ["pool", "island"])
+            now = islands.join(both, ["pool", "island"]).repartition(tasks, "pool", "island")
     best = solved.groupBy("pool").agg(F.min_by(F.struct(F.element_at("solutions", 1).alias("s")), F.struct("n", "full", "island")).alias("best"))
     return pools.join(best.select("pool", F.col("best.s").alias("labels")), "pool")
 
@@ -278,7 +281,7 @@ def assign(items: DataFrame, capacity: int = 2048, seed: int = 11, well_filled:
         dealt = items.withColumn("pool", F.pmod(F.xxhash64("item", F.lit(seed + rounds)), F.lit(n_pools)))
         pools = dealt.groupBy("pool").agg(F.array_sort(F.collect_list(F.struct("item", "length"))).alias("x"))
         pools = cut(pools.select("pool", F.col("x.item").alias("items"), F.col("x.length").alias("lengths")))
-        packed = pack_pools(pools.select("pool", "lengths"), capacity, seed + rounds)
+        packed = pack_pools(pools.select("pool", "lengths"), capacity, seed + rounds, -(-n_pools * ISLANDS // PER_TASK))
         packed = pools.join(packed.select("pool", "labels"), "pool")
         placed = cut(packed.select("pool", "items", "lengths", "labels").mapInPandas(_placed(capacity), _PLACED)).withColumn("round", F.lit(rounds))
         poor = F.col("fill") < int(well_filled * capacity)
