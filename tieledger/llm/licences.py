@@ -10,8 +10,7 @@ Everything that touches the corpus runs on DataFrame functions.
   family, with L1, is fitted to templates, to templates with words lost, swapped or added, and to candidates of a bounded
   sample of the corpus that resemble no template.  The sparse weights become a map in the plan.
 * A candidate whose best family stays below a threshold is ``unknown``.  The threshold is calibrated on what training has
-  not seen: at most 1 % of the paragraphs without a notice lie over it, and it best parts kept-out notices from those of
-  families that were kept out whole.
+  not seen: it best parts kept-out notices from plain paragraphs and from notices of families that were kept out whole.
 * In a line of identifiers joined by OR or AND each is judged for itself.
 * A family is confirmed if the unit holds half of the word bigrams of one of its templates, or if half of the unit's own are
   in a template and one of those has the family's name.  The best of the confirmed families is predicted; without one the unit
@@ -164,8 +163,6 @@ CONFIRMS, NAMED, SHORT = 0.5, 8, 5
 NAMES = {"AGPL": ["affero", "agpl"], "Apache-1.1": ["apache"], "Apache-2.0": ["apache"], "BSD": ["bsd"], "CC0": ["cc0"], "EPL": ["eclipse", "epl"], "EUPL": ["eupl"], "GFDL": ["gfdl"], "GPL": ["gpl"], "ISC": ["isc"], "LGPL": ["lesser", "lgpl"], "MIT": ["mit"], "MPL-2.0": ["mozilla", "mpl"]}
 #: Parts of the templates that are kept out in turn.
 FOLDS = 3
-#: Share of unseen paragraphs without a notice that may lie over the threshold.
-FALSE_ALARMS = 0.01
 #: Words of a window.  Half a window of running words of any template is more than half of its bigrams.
 WINDOW = 40
 #: Words of the templates that are common elsewhere, and gate words only at need.
@@ -343,14 +340,12 @@ def _regress(rows: list[tuple[list[int], int]], n_features: int, n_families: int
 
 
 def _threshold(hits: list[float], alarms: list[float], relatives: list[float]) -> float:
-    """The score that best parts notices from those of unlisted families, among those that few plain paragraphs reach."""
+    """The score that best parts kept-out notices from plain paragraphs and from notices of unlisted families, a share of each weighing alike."""
 
     def over(scores: list[float], t: float) -> float:
         return sum(s >= t for s in scores) / max(1, len(scores))
 
-    least = sorted(alarms, reverse=True)[int(FALSE_ALARMS * len(alarms))] + 1e-9 if alarms else 0.0
-    steps = [t / 100 for t in range(5, 100) if t / 100 >= least]
-    return max(steps, key=lambda t: (over(hits, t) - over(relatives, t), t), default=0.99)
+    return max((t / 100 for t in range(5, 100)), key=lambda t: (over(hits, t) - over(alarms, t) - over(relatives, t), t))
 
 
 def fit(docs: DataFrame, max_docs: int = 4000, max_negatives: int = 600, max_stretches: int = 200, seed: int = 3) -> LicenceModel:
