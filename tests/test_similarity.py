@@ -108,3 +108,20 @@ def test_a_long_chain_of_buckets(spark):
     edges = rows.selectExpr("c AS chat_node", "concat('m', lpad(greatest(id - 1, 0), 6, '0')) AS mail_node", "0.99D AS score").union(rows.selectExpr("c", "concat('m', lpad(id, 6, '0'))", "0.9D"))
     got = identity.cross_channel_bridge(edges, at_once=60_000)
     assert got.where("substr(chat_node, 2) = substr(mail_node, 2)").count() == n == got.count()
+
+
+def test_no_keys_for_what_the_other_side_lacks(spark, monkeypatch):
+    """Names whose lengths and first letters cannot meet have no keys, and a side without names gives the other none."""
+    made, written = [], similarity.cut
+
+    def counted(df):
+        out = written(df)
+        if "k" in out.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(similarity, "cut", counted)
+    short, long = named(spark, [f"last{k}" for k in range(100, 180)]), named(spark, [f"first{k % 97} last{k}" for k in range(1000, 1080)])
+    assert similarity.similar_names(short, long, 0.92).count() == 0
+    assert similarity.similar_names(short.limit(0), long, 0.92).count() == 0
+    assert made == [0, 0, 0, 0]
