@@ -4,6 +4,7 @@ import pytest
 
 from tieledger.operators import identity
 from tieledger.plans import catalog
+from tieledger.sources import readers
 from tieledger.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -28,3 +29,14 @@ def test_streams_keep_keys_without_python_for_each_key(spark, tmp_path):
         operators = [o["operatorName"] for o in query.lastProgress["stateOperators"]]
         assert operators == ["stateStoreSave"]  # transformWithState calls Python for each key
     assert sorted(r["body"] for r in spark.read.parquet(str(tmp_path / "raw")).collect()) == ["first", "new", "no order"]
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """What is made of the lines is read from the rows as parsed: it stays when the files are gone."""
+    good = '{"user_id":"t","observed_at":"2024-01-01T00:00:00Z","observer":"i","kind":"note","evidence_pointer":"p","confidence":0.5,"reasoning":"r","payload":{"target_person_id":"P","content":"c"}}'
+    (tmp_path / "lines.txt").write_text("\n".join([good, "{half", good.replace("note", "rumour"), ""]))
+    valid, rejects, summary = readers.read_observations(spark, str(tmp_path))
+    (tmp_path / "lines.txt").unlink()
+    assert [r["line_no"] for r in valid.collect()] == [1]
+    assert sorted(tuple(r) for r in rejects.collect()) == [(2, "json"), (3, "kind")]
+    assert tuple(summary.first()) == (3, 1, 2)

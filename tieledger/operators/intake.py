@@ -44,8 +44,8 @@ def payload_map(payload: Column) -> Column:
     return F.from_json(payload, "map<string,string>")
 
 
-def validate_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Envelope rules, then those of the kind's payload."""
+def observation_reason() -> Column:
+    """The first rule that a row breaks, or null: envelope rules, then those of the kind's payload."""
     p = payload_map(F.col("payload"))
     text = lambda key: F.coalesce(F.element_at(p, key), F.lit(""))
     needs = {
@@ -58,7 +58,7 @@ def validate_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     }
     missing = reduce(lambda a, b: a | b, [(F.col("kind") == k) & reduce(lambda x, y: x | y, [text(c) == "" for c in cs]) for k, cs in needs.items()])
     ids = F.when(F.col("kind") == "merge", text("merged_observation_ids")).when(F.col("kind") == "split", text("split_off_observation_ids"))
-    reason = (
+    return (
         F.when(F.coalesce(F.col("observer"), F.lit("")) == "", "observer")
         .when(F.col("kind").isNull() | ~F.col("kind").isin(*KINDS), "kind")
         .when(F.col("confidence").isNull() | ~F.col("confidence").between(0, 1), "confidence")
@@ -70,7 +70,11 @@ def validate_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when((F.col("kind") == "correction") & ~text("field").isin(*FIELDS), "field")
         .when(ids.isin("", "[]"), "ids")
     )
-    return _split(df, reason)
+
+
+def validate_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid rows; rejected rows with the first reason."""
+    return _split(df, observation_reason())
 
 
 def messages_to_raw_events(df: DataFrame) -> DataFrame:
