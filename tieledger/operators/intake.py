@@ -44,9 +44,12 @@ def payload_map(payload: Column) -> Column:
     return F.from_json(payload, "map<string,string>")
 
 
-def observation_reason() -> Column:
-    """The first rule that a row breaks, or null: envelope rules, then those of the kind's payload."""
-    p = payload_map(F.col("payload"))
+def with_observation_reason(df: DataFrame) -> DataFrame:
+    """With ``reason``, the first rule that a row breaks, or null: envelope rules, then those of the kind's payload.
+
+    The payload is parsed once, as a column that all rules look into.
+    """
+    p = F.col("__payload_map")
     text = lambda key: F.coalesce(F.element_at(p, key), F.lit(""))
     needs = {
         "interaction": ("channel", "summary"),
@@ -58,7 +61,7 @@ def observation_reason() -> Column:
     }
     missing = reduce(lambda a, b: a | b, [(F.col("kind") == k) & reduce(lambda x, y: x | y, [text(c) == "" for c in cs]) for k, cs in needs.items()])
     ids = F.when(F.col("kind") == "merge", text("merged_observation_ids")).when(F.col("kind") == "split", text("split_off_observation_ids"))
-    return (
+    reason = (
         F.when(F.coalesce(F.col("observer"), F.lit("")) == "", "observer")
         .when(F.col("kind").isNull() | ~F.col("kind").isin(*KINDS), "kind")
         .when(F.col("confidence").isNull() | ~F.col("confidence").between(0, 1), "confidence")
@@ -70,11 +73,13 @@ def observation_reason() -> Column:
         .when((F.col("kind") == "correction") & ~text("field").isin(*FIELDS), "field")
         .when(ids.isin("", "[]"), "ids")
     )
+    return df.withColumn("__payload_map", payload_map(F.col("payload"))).withColumn("reason", reason).drop("__payload_map")
 
 
 def validate_observations(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Valid rows; rejected rows with the first reason."""
-    return _split(df, observation_reason())
+    marked = with_observation_reason(df)
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
 
 
 def messages_to_raw_events(df: DataFrame) -> DataFrame:

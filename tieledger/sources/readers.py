@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tieledger.operators.intake import observation_reason
+from tieledger.operators.intake import with_observation_reason
 from tieledger.sources.tables import cut
 
 MAIL = "id string, threadId string, internalDate string, labelIds array<string>, payload struct<headers:array<struct<name:string,value:string>>>"
@@ -59,7 +59,8 @@ def check_observation_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     flat = parsed.select("line_no", "o.*", F.get_json_object("value", "$").isNull().alias("broken"), F.get_json_object("value", "$.payload").alias("__payload"), payload.alias("__map"))
     flat = flat.withColumn("payload", F.when(F.col("__map").isNotNull(), F.col("__payload"))).drop("__payload", "__map")
     # lines are read and parsed once; valid rows, rejects and the summary are made from what is written here
-    marked = cut(flat.withColumn("reason", F.when(F.col("broken"), "json").otherwise(observation_reason())).drop("broken"))
+    marked = with_observation_reason(flat)
+    marked = cut(marked.withColumn("reason", F.when(F.col("broken"), "json").otherwise(F.col("reason"))).drop("broken"))
     valid, rejects = marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL").select("line_no", "reason")
     summary = marked.agg(F.count("*").alias("total_lines"), F.count_if(F.col("reason").isNull()).alias("would_insert_count"), F.count("reason").alias("would_fail"))
     return valid, rejects, summary
