@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -197,38 +198,76 @@ def bigrams_of(text: str) -> set[str]:
 
 def gate_words() -> list[str]:
     """Few words such that any half of the bigrams of any template has one, and the names of families."""
-    left = [([g.split() for g in sorted(bigrams_of(t))], math.ceil(CONFIRMS * len(bigrams_of(t))) - 1) for f in FAMILIES for t in TEMPLATES[f]]
+    texts = [t for f in FAMILIES for t in TEMPLATES[f]]
+    left = [[set(g.split()) for g in bigrams_of(t)] for t in texts]
+    most = [math.ceil(CONFIRMS * len(pairs)) - 1 for pairs in left]
     usable = sorted({w for f in FAMILIES for t in TEMPLATES[f] for w in words_of(t)})
     chosen = sorted({w for ws in NAMES.values() for w in ws})
 
-    def missing(words: list[str]) -> int:
-        return sum(max(0, sum(not set(g) & set(words) for g in pairs) - most) for pairs, most in left)
-
-    while now := missing(chosen):
+    left = [[g for g in pairs if not g & set(chosen)] for pairs in left]
+    while now := sum(max(0, len(pairs) - m) for pairs, m in zip(left, most, strict=True)):
+        gain = dict.fromkeys(usable, 0)
+        for pairs, m in zip(left, most, strict=True):
+            for w in set().union(*pairs):
+                over = len(pairs) - m
+                gain[w] += max(0, over) - max(0, over - sum(w in g for g in pairs))
         # a common one only where no other helps
-        chosen.append(min(usable, key=lambda w: (missing([*chosen, w]) >= now, w in COMMON, missing([*chosen, w]), w)))
+        chosen.append(min(usable, key=lambda w: (not gain[w], w in COMMON, now - gain[w], w)))
+        left = [[g for g in pairs if chosen[-1] not in g] for pairs in left]
     return sorted(chosen)
 
 
 GATE = gate_words()
 
 
-def _holds_anchor(text: Column) -> Column:
-    low = F.lower(text)
+def gate_pairs() -> list[str]:
+    """Bigrams such that any half of those of any template has one, and those with the name of a family; of common words at need only."""
+    chosen = set()
+    for f in FAMILIES:
+        for t in TEMPLATES[f]:
+            own = sorted(bigrams_of(t), key=lambda g: (-sum(w in COMMON for w in g.split()), g))
+            chosen.update(own[math.ceil(CONFIRMS * len(own)) - 1 :])
+            chosen.update(g for g in own if set(g.split()) & set(NAMES.get(f, ())))
+    return sorted(chosen)
+
+
+PAIRS = gate_pairs()
+#: All bigrams of templates.
+LISTED_PAIRS = sorted({g for f in FAMILIES for t in TEMPLATES[f] for g in bigrams_of(t)})
+
+
+def _strings(values: list[str]) -> Column:
+    """A constant array, handed over as one text; words and n-grams hold no line feed."""
+    return F.split(F.lit("\n".join(values)), "\n")
+
+
+def _numbers(values: list[float]) -> Column:
+    return F.split(F.lit(" ".join(map(repr, map(float, values)))), " ").cast("array<double>")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _anchored(low: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in ANCHORS])
 
 
+def _holds_anchor(text: Column) -> Column:
+    return _once(F.lower(text), _anchored)
+
+
 def _may_hold(text: Column) -> Column:
     """Whether a text can have a candidate: an anchor or a gate word, of which only short ones need their bounds here."""
-    low = F.lower(text)
     long = [w for w in GATE if len(w) > 4 and not any(a in w for a in ANCHORS)]
     short = [w for w in GATE if len(w) <= 4 and not any(a in w for a in ANCHORS)]
     bounded = r"(?<![\p{L}\p{N}])(?:" + "|".join(short) + r")(?![\p{L}\p{N}])"
-    return reduce(lambda a, b: a | b, [_holds_anchor(text), *[F.contains(low, F.lit(w)) for w in long], low.rlike(bounded)])
+    return _once(F.lower(text), lambda low: reduce(lambda a, b: a | b, [_anchored(low), *[F.contains(low, F.lit(w)) for w in long], low.rlike(bounded)]))
 
 
 def _gated(words: Column) -> Column:
-    return F.arrays_overlap(words, F.array(*map(F.lit, GATE)))
+    return F.arrays_overlap(words, _strings(GATE))
 
 
 #: An identifier of a licence, and several of them joined.
@@ -259,7 +298,8 @@ def _line_units(block: Column, no: Column) -> Column:
 def _window_units(block: Column, no: Column, lines: Column) -> Column:
     """Windows over the words of a block; none where its only line is one window, which is judged as a line.
 
-    A line that holds a notice by itself is left out, so that it is not read again as a relative of its family.
+    A line that holds a notice by itself is left out, so that it is not read again as a relative of its family.  Only confirmed
+    windows count, so those are left out that have no bigram without which none is confirmed.
     """
     def settled(i: Column) -> Column:
         return F.exists(lines, lambda y: (y["paragraph"] == no) & (y["line"] == i) & y["confirmed"] & (y["similarity"] >= CONFIRMS))
@@ -269,10 +309,10 @@ def _window_units(block: Column, no: Column, lines: Column) -> Column:
     def cut(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
         each = F.transform(starts, lambda i: F.struct(no.alias("no"), F.lit(None).cast("int").alias("line"), F.slice(w, i, WINDOW).alias("w"), F.lit("").alias("p")))
-        return F.filter(each, lambda x: _gated(x["w"]))
+        return F.filter(each, lambda x: _gated(x["w"]) & F.arrays_overlap(_grams(x["w"], 2), _strings(PAIRS)))
 
-    needed = (F.size(_lines(block)) > 1) | (F.size(words) > WINDOW)
-    return F.when(needed, F.element_at(F.transform(F.array(words), cut), 1)).otherwise(F.array().cast(_UNITS)).cast(_UNITS)
+    several = F.size(_lines(block)) > 1
+    return _once(words, lambda w: F.when(several | (F.size(w) > WINDOW), cut(w)).otherwise(F.array().cast(_UNITS))).cast(_UNITS)
 
 
 def _units(text: Column, of) -> Column:
@@ -416,38 +456,36 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_negatives: int = 600, max_str
     return model
 
 
-def _literal_map(values: dict[str, Column]) -> Column:
-    return F.create_map(*[x for k in sorted(values) for x in (F.lit(k), values[k])])
-
-
 def _judged(words: Column, model: LicenceModel) -> Column:
     """struct (k, score, similarity, sure) of the words of one unit: the best of the families that are confirmed, or else of all."""
-    weights = _literal_map({g: F.array(*map(F.lit, map(float, w))) for g, w in model.weights.items()})
-    own = F.concat(_grams(words, 1), _grams(words, 2), _grams(words, 3))
-    own = F.array_intersect(own, F.array(*map(F.lit, sorted(model.weights))))
-    bias = F.array(*map(F.lit, map(float, model.bias)))
-    sums = F.aggregate(own, bias, lambda s, g: F.zip_with(s, F.element_at(weights, g), lambda a, b: a + b))
-
-    def likeness(pairs: Column) -> Column:
+    grams, many = sorted(model.weights), len(FAMILIES)
+    listed, weights = _strings(grams), _numbers([x for g in grams for x in model.weights[g]])
+    own = F.array_intersect(F.concat(_grams(words, 1), _grams(words, 2), _grams(words, 3)), listed)
+    of = lambda g: F.slice(weights, (F.array_position(listed, g).cast("int") - 1) * many + 1, many)
+    sums = F.aggregate(own, _numbers(model.bias), lambda s, g: F.zip_with(s, of(g), lambda a, b: a + b))
+
+    def likeness(pairs: Column, n: Column) -> Column:
+        """Of the unit's ``n`` bigrams those that are listed, against each family."""
         out = []
         for f in FAMILIES:
             each, own = [], [F.lit(0.0)]
             for t in TEMPLATES[f]:
                 grams = sorted(bigrams_of(t))
-                shared = F.size(F.array_intersect(pairs, F.array(*map(F.lit, grams))))
+                shared = F.size(F.array_intersect(_strings(grams), pairs))  # the second array is hashed
                 named = [g for g in grams if set(g.split()) & set(NAMES.get(f, ()))]
                 like = shared / F.lit(float(max(1, len(grams))))
                 if named and len(grams) < NAMED:
-                    like = F.when(F.arrays_overlap(pairs, F.array(*map(F.lit, named))), like).otherwise(0.0)
+                    like = F.when(F.arrays_overlap(pairs, _strings(named)), like).otherwise(0.0)
                 elif not named and len(grams) < SHORT:
-                    like = F.least(like, shared / F.greatest(F.size(pairs), F.lit(1)))
+                    like = F.least(like, shared / F.greatest(n, F.lit(1)))
                 each.append(like)
                 if named:
-                    own.append(F.when(F.arrays_overlap(pairs, F.array(*map(F.lit, named))), shared / F.greatest(F.size(pairs), F.lit(1))).otherwise(0.0))
+                    own.append(F.when(F.arrays_overlap(pairs, _strings(named)), shared / F.greatest(n, F.lit(1))).otherwise(0.0))
             out.append(F.struct(F.greatest(*each).alias("like"), F.greatest(F.lit(0.0), *own).alias("own")))
-        return F.array(*out)
+        none = F.array(*[F.struct(F.lit(0.0).alias("like"), F.lit(0.0).alias("own"))] * len(out))
+        return F.when(F.size(pairs) > 0, F.array(*out)).otherwise(none)
 
-    like = F.element_at(F.transform(F.array(_grams(words, 2)), likeness), 1)
+    like = _once(_grams(words, 2), lambda pairs: _once(F.array_intersect(pairs, _strings(LISTED_PAIRS)), lambda own: likeness(own, F.size(pairs))))
 
     def family(x: Column, y: Column) -> Column:
         score = 1 / (1 + F.exp(-x))
@@ -466,7 +504,7 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
 
     There is one for every candidate line, and one without a line for each family that only windows of a paragraph show.
     """
-    names = F.array(*map(F.lit, FAMILIES))
+    names = _strings(FAMILIES)
 
     def finished(x: Column) -> Column:
         j = _judged(x["w"], model)
