@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from tieledger.functions import normalize
 from tieledger.operators import identity
+from tieledger.plans import catalog, identity_queries
+
+SF = "/root/testdata/sf0.001"
 
 
 def counted(spark):
@@ -27,3 +30,13 @@ def test_equal_headers_are_parsed_once(spark, monkeypatch):
     got = identity.evidence_mail(mail, ["me@acme.test"]).groupBy("nodes", "name", "source").count().collect()
     assert sorted((r["nodes"][0], r["name"] or "", r["source"], r["count"]) for r in got) == [("email:ann@acme.test", "Ann Poe", "gmail_from", 20), ("email:bob@acme.test", "", "gmail_to_cc", 40), ("email:eve@acme.test", "Eve", "gmail_to_cc", 20)]
     assert rows.value <= 10
+
+
+def test_buckets_read_their_evidence_once(spark, monkeypatch):
+    rows, same = counted(spark)
+    made = identity_queries.EVIDENCE[0]
+    monkeypatch.setattr(identity_queries, "EVIDENCE", (lambda v: made(v).withColumn("name", same("name")),))
+    for name in ("bucket_summary", "bucket_profile"):
+        before = rows.value
+        assert catalog.queries()[name](spark, SF).count() > 0
+        assert 0 < rows.value - before <= spark.read.parquet(f"{SF}/customer.parquet").count()

@@ -14,6 +14,7 @@ from tieledger.functions.names import fuzzy_score, name_ratio
 from tieledger.operators import graph, identity, metrics
 from tieledger.plans.registry import Registry, joined, r6, us
 from tieledger.plans.source_queries import _AUTO, _LOCAL, _PHONED, _SUB, _TOKEN  # noqa: F401
+from tieledger.sources.tables import cut
 
 Q = Registry()
 
@@ -121,6 +122,12 @@ def all_evidence(v) -> DataFrame:
     return reduce(DataFrame.unionByName, evidence(v))
 
 
+def buckets(v) -> DataFrame:
+    """All evidence as one row per component; evidence and components are read several times, so both are written."""
+    rows = cut(all_evidence(v))
+    return identity.summarize_buckets(rows, cut(identity.node_components(rows)))
+
+
 def bucket_columns(b: DataFrame) -> DataFrame:
     flags = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.col(c), F.lit(c)) for c in (*identity.CHAT, *identity.MAIL)]))), ",")
     return b.select("min_node", joined("phones"), joined("emails"), joined("lids"), joined("groups"), us("first_seen"), us("last_seen"), "thread_count", flags.alias("sources"), "name")
@@ -128,8 +135,7 @@ def bucket_columns(b: DataFrame) -> DataFrame:
 
 @Q.add("bucket_summary", recursive(_GRAPH.replace("{more}", "") + ", " + _BUCKETS.replace("{cm}", "cm"), "SELECT min_node, phones, emails, lids, groups, first_seen, last_seen, thread_count, sources, name FROM bk"))
 def _(v):
-    rows = all_evidence(v)
-    return bucket_columns(identity.summarize_buckets(rows, identity.node_components(rows)))
+    return bucket_columns(buckets(v))
 
 
 #: Pairs of chat and mail buckets that may merge; then chat buckets in order take the best mail bucket that is free.
@@ -338,5 +344,4 @@ def _(v):
 SELECT concat_ws('+', CASE WHEN list_contains(s, 'wa_dm') THEN 'wa_dm' END, CASE WHEN list_contains(s, 'wa_contact') THEN 'wa_contact' END, CASE WHEN list_contains(s, 'wa_group') THEN 'wa_group' END, CASE WHEN list_contains(s, 'google_contact') THEN 'google_contact' END, CASE WHEN list_contains(s, 'gmail_from') THEN 'gmail_from' END, CASE WHEN list_contains(s, 'gmail_to_cc') THEN 'gmail_to_cc' END) AS sources,
  count(*) AS humans, round(quantile_cont(size, 0.5), 6) AS p50, round(quantile_cont(size, 0.95), 6) AS p95, max(size) AS largest FROM (SELECT coalesce(string_split(sources, ','), []) AS s, n AS size FROM bk JOIN (SELECT component, count(*) AS n FROM cm GROUP BY 1) z ON z.component = bk.min_node) GROUP BY 1"""))
 def _(v):
-    rows = all_evidence(v)
-    return metrics.bucket_profile(identity.summarize_buckets(rows, identity.node_components(rows))).select("sources", "humans", r6("p50"), r6("p95"), F.col("largest").cast("long").alias("largest"))
+    return metrics.bucket_profile(buckets(v)).select("sources", "humans", r6("p50"), r6("p95"), F.col("largest").cast("long").alias("largest"))
