@@ -172,26 +172,45 @@ def _onward(front: DataFrame, step: DataFrame, hubs: DataFrame) -> DataFrame:
 
 
 def _frontier(starts: DataFrame, step: DataFrame, hubs: DataFrame, hops: int, back: bool) -> list[DataFrame]:
-    """starts (user_id, end) -> for 0 to ``hops`` hops the nodes (user_id, end, at) first reached then, with the smallest path between, in reading order."""
+    """starts (user_id, end) -> for 0 to ``hops`` hops the nodes (user_id, end, at) first reached then, with the smallest path between, in reading order.
+
+    Of a path only what lies between ``end`` and ``at`` is carried along.
+    """
     key = ["user_id", "end"]
-    levels = [starts.select(*key, F.col("end").alias("at"), F.array("end").alias("path"), F.array().cast("array<string>").alias("types"), F.lit(0.0).alias("weight"))]
-    for _ in range(hops):
+    none = F.array().cast("array<string>")
+    levels = [starts.select(*key, F.col("end").alias("at"), none.alias("inner"), none.alias("types"), F.lit(0.0).alias("weight"))]
+    for hop in range(hops):
         rows = _onward(levels[-1], step, hubs)
-        both = (F.concat(F.array("next"), "path"), F.concat(F.array("t"), "types")) if back else (F.concat("path", F.array("next")), F.concat("types", F.array("t")))
-        rows = rows.select(*key, F.col("next").alias("at"), F.struct(both[0].alias("path"), both[1].alias("types"), (F.col("weight") + F.col("w")).alias("weight")).alias("m"))
+        passed = F.array("at") if hop else none
+        both = (F.concat(passed, "inner"), F.concat(F.array("t"), "types")) if back else (F.concat("inner", passed), F.concat("types", F.array("t")))
+        rows = rows.select(*key, F.col("next").alias("at"), F.struct(both[0].alias("inner"), both[1].alias("types"), (F.col("weight") + F.col("w")).alias("weight")).alias("m"))
         for level in levels:
             rows = rows.join(level.select(*key, "at"), [*key, "at"], "left_anti")
-        levels.append(cut(rows.groupBy(*key, "at").agg(F.min("m").alias("m")).select(*key, "at", "m.path", "m.types", "m.weight")))
+        levels.append(cut(rows.groupBy(*key, "at").agg(F.min("m").alias("m")).select(*key, "at", "m.inner", "m.types", "m.weight")))
     return levels
 
 
+#: So many times more ends on one side, and all hops are gone from the other.
+FEWER = 4096
+
+
+def _sides(n_sources: int, n_targets: int, max_hops: int) -> tuple[int, int]:
+    """Hops to go from the sources and from the targets: half each, but all from a side with far fewer ends."""
+    if n_sources * FEWER <= n_targets:
+        return max_hops, 0
+    if n_targets * FEWER <= n_sources:
+        return 0, max_hops
+    return (max_hops + 1) // 2, max_hops // 2
+
+
 def intro_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
     """pairs (user_id, source, target) -> hops, path, edge types and weights of the shortest path, at most ``max_hops``.
 
     Of equal paths the smallest node list wins, of parallel edges the heaviest.  Levels go out from the different sources and from the different
-    targets, half the hops each, and pairs with one end share its levels.  A pair is settled by the least sum of levels at which
+    targets, half the hops each (all from one side where it has far fewer ends), and pairs with one end share its levels.  A pair is settled by the least sum of levels at which
     the two sides hold a common node.  Of such nodes the one whose path is smallest counts: for a given node and number
-    of hops on either side, the smallest path is the smallest one to it with the smallest one from it.
+    of hops on either side, the smallest path is the smallest one to it with the smallest one from it.  A level of the sources meets those of the targets
+    that follow on it at once.
     """
     best = both_ends(edges).groupBy("user_id", "x", "y").agg(F.max(F.struct("weight", "type")).alias("e"))
     degree = best.groupBy("user_id", F.col("x").alias("at")).agg(F.ceil(F.count("*") / NEIGHBORS).cast("int").alias("parts"))
@@ -200,14 +219,23 @@ def intro_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFr
     step = cut(step.withColumn("part", F.pmod(F.xxhash64("next"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts"))
     asked = cut(pairs.select("user_id", "source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
     ends = lambda c: asked.select("user_id", F.col(c).alias("end")).distinct()
-    out, back = _frontier(ends("source"), step, hubs, (max_hops + 1) // 2, False), _frontier(ends("target"), step, hubs, max_hops // 2, True)
-    left, found = asked, []
+    forth, from_there = _sides(ends("source").count(), ends("target").count(), max_hops)
+    out, back = _frontier(ends("source"), step, hubs, forth, False), _frontier(ends("target"), step, hubs, from_there, True)
+    # levels that meet at once: of all that go on from one side, or one of the sources' with those of the targets' that follow on it
+    meetings: dict[int, list[int]] = {}
     for hops in range(max_hops + 1):
-        near, far = out[(hops + 1) // 2], back[hops // 2]
-        near = near.select("user_id", F.col("end").alias("source"), "at", *[F.col(c).alias(f"{c}1") for c in ("path", "types", "weight")])
-        far = far.select("user_id", F.col("end").alias("target"), "at", *[F.col(c).alias(f"{c}2") for c in ("path", "types", "weight")])
+        i = min(forth, max(hops - from_there, (hops + 1) // 2))
+        meetings.setdefault(i, []).append(hops - i)
+    groups = [(list(meetings), [0])] if from_there == 0 else [([i], js) for i, js in meetings.items()]
+    left, found = asked, []
+    for near_levels, far_levels in groups:
+        side = lambda levels, ks, end, n, k: reduce(DataFrame.unionByName, [levels[x].select("user_id", F.col("end").alias(end), "at", *[F.col(c).alias(f"{c}{n}") for c in ("inner", "types", "weight")], F.lit(x).alias(k)) for x in ks])
+        near, far = side(out, near_levels, "source", 1, "i"), side(back, far_levels, "target", 2, "j")
         met_ = left.join(near, ["user_id", "source"]).join(far, ["user_id", "target", "at"])
-        whole = F.struct(F.concat("path1", F.slice("path2", F.lit(2), F.greatest(F.size("path2") - 1, F.lit(0)))).alias("path"), F.concat("types1", "types2").alias("types"), (F.col("weight1") + F.col("weight2")).alias("weight"))
+        none = F.array().cast("array<string>")
+        between = F.when((F.col("i") > 0) & (F.col("j") > 0), F.array("at")).otherwise(none)
+        last = F.when(F.col("i") + F.col("j") > 0, F.array("target")).otherwise(none)
+        whole = F.struct((F.col("i") + F.col("j")).alias("hops"), F.concat(F.array("source"), "inner1", between, "inner2", last).alias("path"), F.concat("types1", "types2").alias("types"), (F.col("weight1") + F.col("weight2")).alias("weight"))
         done = cut(met_.groupBy("user_id", "source", "target").agg(F.min(whole).alias("m")).select("user_id", "source", "target", "m.path", "m.types", "m.weight"))
         found.append(done)
         left = left.join(done, ["user_id", "source", "target"], "left_anti")
