@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tieledger.functions import normalize
 from tieledger.operators import identity
+from tieledger.operators.components import connected_components
 from tieledger.plans import catalog, identity_queries
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +41,10 @@ def test_buckets_read_their_evidence_once(spark, monkeypatch):
         before = rows.value
         assert catalog.queries()[name](spark, SF).count() > 0
         assert 0 < rows.value - before <= spark.read.parquet(f"{SF}/customer.parquet").count()
+
+
+def test_edges_of_components_are_made_once(spark):
+    rows, same = counted(spark)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i % 7}") for i in range(50)], "a string, b string").withColumn("a", same("a"))
+    assert connected_components(edges).select("component").distinct().count() == 7
+    assert rows.value == 50

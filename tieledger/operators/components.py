@@ -74,7 +74,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     gives an empty one.  Edges are contracted in batches where they are before anything is shuffled.  Every round is two pairs of hash aggregation and equi-join and is written to the
     shared folder, so that neither the plan nor a lost executor makes a later round recompute a former one.
     """
-    whole = edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL")
+    whole = cut(edges.select("a", "b").where("a IS NOT NULL AND b IS NOT NULL"))  # read twice
     now = cut(whole.where("a <> b").mapInPandas(_contracted, whole.schema).distinct())
     nodes = cut(_both_ways(whole).select(F.col("a").alias("node")).distinct())
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
