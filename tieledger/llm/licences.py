@@ -22,6 +22,7 @@ an empty corpus the model is fitted to templates alone; other columns are not lo
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import re
@@ -187,9 +188,29 @@ def _words(paragraph: Column) -> Column:
 
 
 def _grams(words: Column, n: int) -> Column:
-    """Distinct word n-grams of an array of words."""
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " ")))
+    """Distinct word n-grams of an array of words; the words behind each are laid beside it, so the work grows with their number."""
+    def from_(i: int) -> Column:
+        return F.slice(words, i + 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+
+    out = from_(0)
+    for i in range(1, n):
+        out = F.zip_with(out, from_(i), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(out)
+
+
+def _places(words: Column) -> Column:
+    """Where in an array of words there are words of templates, which are few in most texts."""
+    known = F.array_intersect(words, _strings(TEMPLATE_WORDS))
+    every = F.sequence(F.lit(0), F.size(words) - 1)
+    return _once(known, lambda k: F.filter(every, lambda i: F.array_contains(k, F.get(words, i))))
+
+
+def _grams_at(words: Column, places: Column, n: int) -> Column:
+    """The n-grams that begin there; all that occur in templates are among them."""
+    def gram(i: Column) -> Column:
+        return reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.get(words, i + k) for k in range(n)])
+
+    return F.array_compact(F.transform(places, gram))
 
 
 def bigrams_of(text: str) -> set[str]:
@@ -232,7 +253,8 @@ def gate_pairs() -> list[str]:
 
 
 PAIRS = gate_pairs()
-#: All bigrams of templates.
+#: All words of templates, and all bigrams.
+TEMPLATE_WORDS = sorted({w for f in FAMILIES for t in TEMPLATES[f] for w in words_of(t)})
 LISTED_PAIRS = sorted({g for f in FAMILIES for t in TEMPLATES[f] for g in bigrams_of(t)})
 
 
@@ -245,6 +267,11 @@ def _numbers(values: list[float]) -> Column:
     return F.split(F.lit(" ".join(map(repr, map(float, values)))), " ").cast("array<double>")
 
 
+def _rows_of_numbers(rows: list[list[float]]) -> Column:
+    """A constant array of arrays, of which one is taken without a copy of the others."""
+    return F.from_json(F.lit(json.dumps([[float(x) for x in row] for row in rows])), "array<array<double>>")
+
+
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is worked out once, however often it is named."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -263,7 +290,8 @@ def _may_hold(text: Column) -> Column:
     long = [w for w in GATE if len(w) > 4 and not any(a in w for a in ANCHORS)]
     short = [w for w in GATE if len(w) <= 4 and not any(a in w for a in ANCHORS)]
     bounded = r"(?<![\p{L}\p{N}])(?:" + "|".join(short) + r")(?![\p{L}\p{N}])"
-    return _once(F.lower(text), lambda low: reduce(lambda a, b: a | b, [_anchored(low), *[F.contains(low, F.lit(w)) for w in long], low.rlike(bounded)]))
+    # one of the short words is what most texts with any have, so it is looked for first
+    return _once(F.lower(text), lambda low: reduce(lambda a, b: a | b, [low.rlike(bounded), _anchored(low), *[F.contains(low, F.lit(w)) for w in long]]))
 
 
 def _gated(words: Column) -> Column:
@@ -289,10 +317,11 @@ def _line_units(block: Column, no: Column) -> Column:
     def of_line(x: Column, i: Column) -> Column:
         named = F.regexp_extract_all(F.regexp_replace(F.regexp_extract(x, _JOINED, 0), " WITH [A-Za-z0-9.+-]+", ""), F.lit(_ID), F.lit(0))
         each = F.transform(named, lambda y: unit(F.concat(F.lit("SPDX-License-Identifier: "), y), i))
-        return F.when(x.rlike(_JOINED), each).otherwise(F.array(unit(x, i)))
+        joined = (F.contains(x, F.lit(" OR ")) | F.contains(x, F.lit(" AND "))) & x.rlike(_JOINED)
+        return F.when(joined, each).otherwise(F.array(unit(x, i)))
 
     each = F.flatten(F.transform(_lines(block), of_line))
-    return F.filter(each, lambda x: _holds_anchor(x["p"]) | _gated(x["w"])).cast(_UNITS)
+    return F.filter(each, lambda x: _gated(x["w"]) | _holds_anchor(x["p"])).cast(_UNITS)
 
 
 def _window_units(block: Column, no: Column, lines: Column) -> Column:
@@ -306,19 +335,33 @@ def _window_units(block: Column, no: Column, lines: Column) -> Column:
 
     words = F.flatten(F.transform(_lines(block), lambda x, i: F.when(settled(i), F.array(F.lit("\n"))).otherwise(_words(x))))
 
+    def paired(w: Column) -> Column:
+        """Whether there is such a bigram at all; of a block without, no window is cut."""
+        return F.arrays_overlap(_grams_at(w, _places(w), 2), _strings(PAIRS))
+
     def cut(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - WINDOW // 2, F.lit(1)), F.lit(WINDOW // 2))
         each = F.transform(starts, lambda i: F.struct(no.alias("no"), F.lit(None).cast("int").alias("line"), F.slice(w, i, WINDOW).alias("w"), F.lit("").alias("p")))
         return F.filter(each, lambda x: _gated(x["w"]) & F.arrays_overlap(_grams(x["w"], 2), _strings(PAIRS)))
 
     several = F.size(_lines(block)) > 1
-    return _once(words, lambda w: F.when(several | (F.size(w) > WINDOW), cut(w)).otherwise(F.array().cast(_UNITS))).cast(_UNITS)
+    return _once(words, lambda w: F.when((several | (F.size(w) > WINDOW)) & paired(w), cut(w)).otherwise(F.array().cast(_UNITS))).cast(_UNITS)
+
+
+def _blocks(text: Column) -> Column:
+    """Blocks that may have a candidate, each with its number among all; none for most texts."""
+    lettered = F.filter(F.split(text, _BLANK), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    numbered = F.transform(lettered, lambda x, i: F.struct(i.alias("no"), x.alias("text")))
+    return F.filter(numbered, lambda x: _may_hold(x["text"]))
+
+
+def _units_of(blocks: Column, of) -> Column:
+    """Array of struct (number of the block, of the line or null, words, text)."""
+    return F.flatten(F.transform(blocks, lambda x: of(x["text"], x["no"]))).cast(_UNITS)
 
 
 def _units(text: Column, of) -> Column:
-    """Array of struct (number of the block, of the line or null, words, text); empty for most texts."""
-    blocks = F.filter(F.split(text, _BLANK), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    return F.when(_may_hold(text), F.flatten(F.transform(blocks, lambda x, i: F.when(_may_hold(x), of(x, i)).otherwise(F.array().cast(_UNITS))))).otherwise(F.array().cast(_UNITS))
+    return _units_of(_blocks(text), of)
 
 
 def candidate_paragraphs(text: Column) -> Column:
@@ -458,14 +501,18 @@ def fit(docs: DataFrame, max_docs: int = 4000, max_negatives: int = 600, max_str
 
 def _judged(words: Column, model: LicenceModel) -> Column:
     """struct (k, score, similarity, sure) of the words of one unit: the best of the families that are confirmed, or else of all."""
-    grams, many = sorted(model.weights), len(FAMILIES)
-    listed, weights = _strings(grams), _numbers([x for g in grams for x in model.weights[g]])
-    own = F.array_intersect(F.concat(_grams(words, 1), _grams(words, 2), _grams(words, 3)), listed)
-    of = lambda g: F.slice(weights, (F.array_position(listed, g).cast("int") - 1) * many + 1, many)
+    grams = sorted(model.weights)
+    listed, weights = _strings(grams), _rows_of_numbers([model.weights[g] for g in grams])
+    own = _once(_places(words), lambda at: F.array_intersect(F.concat(*[_grams_at(words, at, n) for n in (1, 2, 3)]), listed))
+    of = lambda g: F.get(weights, F.array_position(listed, g).cast("int") - 1)
     sums = F.aggregate(own, _numbers(model.bias), lambda s, g: F.zip_with(s, of(g), lambda a, b: a + b))
 
-    def likeness(pairs: Column, n: Column) -> Column:
-        """Of the unit's ``n`` bigrams those that are listed, against each family."""
+    def likeness(pairs: Column) -> Column:
+        """Those of the unit's bigrams that are listed, against each family; how many it has in all counts only then."""
+        none = F.array(*[F.struct(F.lit(0.0).alias("like"), F.lit(0.0).alias("own"))] * len(FAMILIES))
+        return F.when(F.size(pairs) > 0, _once(F.size(_grams(words, 2)), lambda n: F.array(*against(pairs, n)))).otherwise(none)
+
+    def against(pairs: Column, n: Column) -> list[Column]:
         out = []
         for f in FAMILIES:
             each, own = [], [F.lit(0.0)]
@@ -482,10 +529,9 @@ def _judged(words: Column, model: LicenceModel) -> Column:
                 if named:
                     own.append(F.when(F.arrays_overlap(pairs, _strings(named)), shared / F.greatest(n, F.lit(1))).otherwise(0.0))
             out.append(F.struct(F.greatest(*each).alias("like"), F.greatest(F.lit(0.0), *own).alias("own")))
-        none = F.array(*[F.struct(F.lit(0.0).alias("like"), F.lit(0.0).alias("own"))] * len(out))
-        return F.when(F.size(pairs) > 0, F.array(*out)).otherwise(none)
+        return out
 
-    like = _once(_grams(words, 2), lambda pairs: _once(F.array_intersect(pairs, _strings(LISTED_PAIRS)), lambda own: likeness(own, F.size(pairs))))
+    like = _once(F.array_intersect(_grams_at(words, _places(words), 2), _strings(LISTED_PAIRS)), likeness)
 
     def family(x: Column, y: Column) -> Column:
         score = 1 / (1 + F.exp(-x))
@@ -516,7 +562,9 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
         return F.struct(x["no"].alias("paragraph"), x["line"].alias("line"), family.alias("family"), j["score"].alias("score"), j["similarity"].alias("similarity"), j["sure"].alias("confirmed"))
 
     own = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    out = docs.withColumn("__lines", F.transform(candidate_paragraphs(own), finished).cast(_LISTED)).withColumn("__wide", F.transform(_units(own, lambda x, i: _window_units(x, i, F.col("__lines"))), finished).cast(_LISTED))
+    # lines and windows are both cut from the blocks, which are found once
+    out = docs.withColumn("__blocks", _blocks(own)).withColumn("__lines", F.transform(_units_of(F.col("__blocks"), _line_units), finished).cast(_LISTED))
+    out = out.withColumn("__wide", F.transform(_units_of(F.col("__blocks"), lambda x, i: _window_units(x, i, F.col("__lines"))), finished).cast(_LISTED))
 
     def known(x: Column, others: Column) -> Column:
         return F.exists(others, lambda y: (y["paragraph"] == x["paragraph"]) & (y["family"] == x["family"]))
@@ -524,7 +572,7 @@ def scan(docs: DataFrame, model: LicenceModel, text: str = "text") -> DataFrame:
     def add(a: Column, x: Column) -> Column:
         return F.when(x["confirmed"] & ~known(x, a), F.concat(a, F.array(x))).otherwise(a).cast(_LISTED)
 
-    return out.withColumn("licences", F.aggregate("__wide", F.col("__lines"), add)).drop("__lines", "__wide")
+    return out.withColumn("licences", F.aggregate("__wide", F.col("__lines"), add)).drop("__blocks", "__lines", "__wide")
 
 
 def report(docs: DataFrame, model: LicenceModel) -> DataFrame:
