@@ -87,7 +87,8 @@ def shared_group_edges(members: DataFrame, self_ids: DataFrame, as_of, max_membe
     """members (user_id, thread_id, person_id, last_at).  Self is put in every thread before the cut to 2..max members.
 
     A thread's members are cut to one more than ``max_members`` while they are brought together, so that a row never holds
-    more; pairs are made within the row.
+    more.  What travels is one row for each member of a thread, with those that follow on it: all threads of two persons meet where the
+    first of them is, and are counted there.  Self, who is in every thread, comes last and so has no such row.
     """
     when, by = F.lit(as_of).cast("timestamp"), ["user_id", "thread_id"]
     once = members.groupBy(*by, "person_id").agg(F.max("last_at").alias("last_at"))
@@ -96,13 +97,17 @@ def shared_group_edges(members: DataFrame, self_ids: DataFrame, as_of, max_membe
     rows = rows.where(F.size("m") <= max_members).join(self_ids, "user_id", "left")
     newest = F.array_max(F.transform("m", lambda x: x["last_at"]))
     me = F.struct(F.col("self_id").alias("person_id"), newest.alias("last_at"))
-    own = F.when(F.col("self_id").isNull(), F.col("m")).otherwise(F.array_append(F.filter("m", lambda x: x["person_id"] != F.col("self_id")), me))
-    rows = rows.select(*by, F.array_sort(own).alias("m")).where(F.size("m").between(2, max_members))
-    pair = lambda x, y: F.struct(x["person_id"].alias("a"), y["person_id"].alias("b"), F.greatest(x["last_at"], y["last_at"]).alias("at"))
-    pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.filter("m", lambda y, j: j > i), lambda y: pair(x, y))))
-    each = rows.select(*by, F.explode(pairs).alias("p")).select("user_id", "thread_id", "p.*")
-    out = each.groupBy("user_id", "a", "b").agg(F.array_sort(F.collect_list("thread_id")).alias("group_ids"), F.max("at").alias("last_at"))
-    out = out.withColumn("group_count", F.size("group_ids").cast("long"))
+    own = F.when(F.col("self_id").isNull(), F.array_sort("m")).otherwise(F.array_append(F.array_sort(F.filter("m", lambda x: x["person_id"] != F.col("self_id"))), me))
+    rows = rows.select(*by, own.alias("m")).where(F.size("m").between(2, max_members))
+    after = lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(y["person_id"].alias("other"), F.greatest(x["last_at"], y["last_at"]).alias("at")))
+    firsts = F.transform("m", lambda x, i: F.struct(x["person_id"].alias("first"), after(x, i).alias("others")))
+    dealt = rows.select(*by, F.explode(firsts).alias("f")).select(*by, "f.first", "f.others").where(F.size("others") > 0).repartition("user_id", "first")
+    each = dealt.select(*by, "first", F.explode("others").alias("o")).select(*by, "first", "o.other", "o.at")
+    # counted apart from the list, which is then made only where it is asked for
+    out = each.groupBy("user_id", "first", "other").agg(F.array_sort(F.collect_list("thread_id")).alias("group_ids"), F.max("at").alias("last_at"), F.count("thread_id").alias("group_count"))
+    turned = F.col("other") < F.col("first")
+    ends = [F.when(turned, F.col(y)).otherwise(F.col(x)).alias(n) for n, x, y in (("a", "first", "other"), ("b", "other", "first"))]
+    out = out.select("user_id", *ends, "group_ids", "last_at", "group_count")
     return out.withColumn("type", F.lit("SHARED_GROUP")).withColumn("weight", edge_weight(F.col("group_count"), F.col("last_at"), when))
 
 
