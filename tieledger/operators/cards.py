@@ -98,6 +98,19 @@ def merge_states(*states: DataFrame) -> DataFrame:
     ))
 
 
+def _joined_states(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``merge_states`` of two, each with one state a person at most: they lie beside each other, so nothing is aggregated."""
+    x, y = old.alias("x"), new.alias("y")
+    both = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in PERSON], "full")
+    two = lambda c: (F.col(f"x.{c}"), F.col(f"y.{c}"))
+    none = lambda name: F.array().cast(old.schema[name].dataType)
+    most = [F.greatest(*two(c)).alias(c) for c in (*_FIELDS, "last_activity", *[f"{name}_reset" for name in _LISTS], "updated_at")]
+    lists = [F.concat(*[F.coalesce(c, none(name)) for c in two(name)]).alias(name) for name in _LISTS]
+    sums = [F.coalesce(F.col(f"x.{c}") + F.col(f"y.{c}"), *two(c)).alias(c) for c in ("activity_count", "person_rows")]
+    keys = [F.coalesce(*two(c)).alias(c) for c in PERSON]
+    return _behind_reset(both.select(*keys, *most, *lists, F.least(*two("first_seen")).alias("first_seen"), *sums)).select(*old.columns)
+
+
 def finish_cards(states: DataFrame, as_of) -> DataFrame:
     """The cards that states stand for."""
     last = F.col("last_activity.v")
@@ -128,8 +141,8 @@ def advance_cards(versions: Versions, obs: DataFrame, links: DataFrame, token: s
 
     ``obs`` and ``links`` are what is new: links of pairs that were not linked before, and the observations they name, old ones among them.
     Where a link went, a state cannot give its rows back: ``again`` (user_id, person_id) names such persons, whose
-    states are folded anew from ``ledger`` and ``all_links``.  Only states of persons with new rows are merged; the others are copied without a
-    shuffle.  A call that is repeated with its token changes nothing.
+    states are folded anew from ``ledger`` and ``all_links``.  Old and new states meet in one join by person, each made and read once.
+    A call that is repeated with its token changes nothing.
     """
     before = versions.latest()
     if token is not None and before is not None and before.token == token:
@@ -142,9 +155,7 @@ def advance_cards(versions: Versions, obs: DataFrame, links: DataFrame, token: s
         new = new.join(again, PERSON, "left_anti").unionByName(anew)
         old = old if old is None else old.join(again, PERSON, "left_anti")
     if old is not None:
-        new = cut(new)
-        touched = new.select(*PERSON)
-        new = old.join(touched, PERSON, "left_anti").unionByName(merge_states(old.join(touched, PERSON, "left_semi"), new))
+        new = _joined_states(old, new)
     return versions.read("states", versions.commit({"states": new}, token))
 
 
