@@ -60,3 +60,23 @@ def test_persons_of_blocks(spark, monkeypatch, review):
     auto, rest = identity.name_candidates(spark.createDataFrame(people, "id string, name string"), spark.createDataFrame(threads, "id string, thread_id string"), review)
     got = [(*r, True) for r in auto.collect()] + [(*r, False) for r in rest.collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_best_of_all_persons(spark, monkeypatch):
+    """One row for each name and block leaves the blocks, though many persons bear like names; of equal scores the greatest id counts."""
+    monkeypatch.setattr(similarity, "NAMES", 8)
+    draw = random.Random(9)
+    base = [invented(draw) for _ in range(20)] + ["katherine"]
+    persons = [(f"P{i}", draw.choice([*base, "Catherine", "catherine", None, "!"])) for i in range(80)]
+    names = [*base, "Katherine", None, ""]
+    made, paired = [], similarity._block_pairs
+    monkeypatch.setattr(similarity, "_block_pairs", lambda a, b: made.append(paired(a, b).cache()) or made[-1])
+    rows = spark.createDataFrame([(str(k), [n]) for k, n in enumerate(names)], "id string, participants array<string>")
+    got = {(r["interaction_id"], r["name"], r["person_id"], r["score"]) for r in identity.link_participants(rows, spark.createDataFrame(persons, "id string, name string"), 0.85).collect()}
+    want = set()
+    for k, n in enumerate(names):
+        score, best = max(((plain.fuzzy(n, p), i) for i, p in persons if n and p), default=(0, ""))
+        if score >= 0.85:
+            want.add((str(k), n, best, score))
+    assert got == want
+    assert made[0].count() > 2 and made[0].mapInArrow(similarity._best_of_blocks(0.85), "name string, score double, id string").groupBy("name").count().agg({"count": "max"}).first()[0] <= made[0].select("kb").distinct().count()

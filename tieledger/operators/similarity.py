@@ -324,6 +324,31 @@ def _entries(df: DataFrame, *more: Column) -> DataFrame:
     return cut(rows.withColumn("p", exact_normal_name(F.col("name"))).where("p <> ''"))
 
 
+def _best_of_blocks(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, ma, mb in zip(*batch.columns, strict=True):
+                names, ids = pa.array(_field(ma, "name")), _field(mb, "id")
+                rank = np.empty(len(ids), np.int64)
+                rank[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+                of_rank = pa.array(sorted(ids))
+                for i, j, score in scores_of_blocks(_field(ma, "p"), _field(mb, "p"), least):
+                    order = np.lexsort((rank[j], score, i))
+                    last = order[np.append(np.diff(i[order]) != 0, True)] if len(order) else order
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i[last])), pa.array(score[last]), of_rank.take(pa.array(rank[j[last]]))], names=["name", "score", "id"])
+
+    return best
+
+
+def best_names(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """a (name), b (id, name) -> (name, score, id): for each name of a the id with the best score, from ``least`` on, of equal ones the greatest.
+
+    Of equal names in b only the greatest id can be the best, and of a block only the best one of each name leaves it.
+    """
+    found = _block_pairs(_entries(a), _entries(b, F.max("id").alias("id"))).mapInArrow(_best_of_blocks(least), "name string, score double, id string")
+    return found.groupBy("name").agg(F.max(F.struct("score", "id")).alias("x")).select("name", "x.score", "x.id")
+
+
 def _grouped(persons: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, list[dict]]:
     """Where the persons of each name start, how many they are, and all of them in a row."""
     size = np.array([len(x) for x in persons], np.int64)
