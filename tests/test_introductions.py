@@ -43,3 +43,18 @@ def test_levels_carry_only_what_lies_between(spark):
     for back in (False, True):
         levels = graph._frontier(spark.createDataFrame([("t", "a")], "user_id string, end string"), step, hubs, 2, back)
         assert [[tuple(r) for r in level.collect()] for level in levels] == [[("t", "a", "a", [], [], 0.0)], [("t", "a", "b", [], ["DM"], 1.0)], [("t", "a", "c", ["b"], ["DM", "DM"], 2.0)]]
+
+
+@pytest.mark.parametrize("one_side, first", [("source", "target"), ("target", "source")])
+def test_pairs_meet_their_own_ends_first(spark, monkeypatch, one_side, first):
+    """Where one side goes all hops, pairs are joined to the other's ends before the nodes that were reached: one row for a pair, not one for each node."""
+    met, cut = [], graph.cut
+    monkeypatch.setattr(graph, "FEWER", 4)
+    monkeypatch.setattr(graph, "cut", lambda df: (met.append(df) if {"path", "source"} <= set(df.columns) else None) or cut(df))
+    edges = [("t", "n0", f"n{i}", "DM", 1.0) for i in range(1, 9)]
+    pairs = [("t", "n0", f"n{i}") if one_side == "source" else ("t", f"n{i}", "n0") for i in range(1, 9)]
+    got = graph.intro_paths(spark.createDataFrame(edges, "user_id string, a string, b string, type string, weight double"), spark.createDataFrame(pairs, "user_id string, source string, target string")).collect()
+    assert [r["hops"] for r in got] == [1] * 8
+    (settled,) = [df._jdf.queryExecution().analyzed().toString() for df in met]
+    inner = [line for line in settled.splitlines() if "Join Inner" in line][1]
+    assert f"{first}#" in inner and "at#" not in inner

@@ -236,7 +236,11 @@ def intro_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 4) -> DataFr
     for near_levels, far_levels in groups:
         side = lambda levels, ks, end, n, k: reduce(DataFrame.unionByName, [levels[x].select("user_id", F.col("end").alias(end), "at", *[F.col(c).alias(f"{c}{n}") for c in ("inner", "types", "weight")], F.lit(x).alias(k)) for x in ks])
         near, far = side(out, near_levels, "source", 1, "i"), side(back, far_levels, "target", 2, "j")
-        met_ = left.join(near, ["user_id", "source"]).join(far, ["user_id", "target", "at"])
+        # a side that has gone no hop has one row for each of its ends, so it comes first: pairs with the other side's nodes would be as many as both multiplied
+        if from_there == 0:
+            met_ = left.join(far, ["user_id", "target"]).join(near, ["user_id", "source", "at"])
+        else:
+            met_ = left.join(near, ["user_id", "source"]).join(far, ["user_id", "target", "at"])
         none = F.array().cast("array<string>")
         between = F.when((F.col("i") > 0) & (F.col("j") > 0), F.array("at")).otherwise(none)
         last = F.when(F.col("i") + F.col("j") > 0, F.array("target")).otherwise(none)
