@@ -80,3 +80,25 @@ def test_best_of_all_persons(spark, monkeypatch):
             want.add((str(k), n, best, score))
     assert got == want
     assert made[0].count() > 2 and made[0].mapInArrow(similarity._best_of_blocks(0.85), "name string, score double, id string").groupBy("name").count().agg({"count": "max"}).first()[0] <= made[0].select("kb").distinct().count()
+
+
+def test_lengths_rule_out_what_bands_do_not(spark):
+    """Names of 13 and of 15 letters are of one band; ten letters are enough for the first, never for the second."""
+    short = [f"last{a}{b}{c}{d}{e}{f}" for a, b, c, d, e, f in itertools.islice(itertools.permutations("102389"), 200)]
+    long = [f"first{a} last{b}{c}{d}{e}" for a, b, c, d, e in itertools.islice(itertools.permutations("02398"), 100)] + [f"first{k} last{n}" for k in range(10) for n in range(10, 15)]
+    a, b = (spark.createDataFrame([(n,) for n in own], "name string") for own in (long, short))
+    found = similarity.similar_pairs(a, b, 0.92).collect()
+    assert not [r for r in found if len(r["na"]) == 15]
+    near = ["first1 last10", "flast102389xx", "last102389"]
+    got = similarity.similar_names(spark.createDataFrame([(n,) for n in [*long, *near]], "name string"), b, 0.92).collect()
+    assert {tuple(r) for r in got} == {(x, y, s) for x in [*long, *near] for y in short if (s := plain.fuzzy(x, y)) >= 0.92}
+
+
+def test_tokens_are_taken_from_names_not_from_pairs(spark, monkeypatch):
+    taken, real = [], identity.N.name_tokens
+    monkeypatch.setattr(identity.N, "name_tokens", lambda c: taken.append(c) or real(c))
+    rows = [("phone:1", "Ann Stone", True, False), ("phone:2", "Bert", True, False), ("email:1", "Stone Ann", False, True), ("email:2", "bert", False, True), ("email:3", "Ann Rivers", False, True)]
+    df = spark.createDataFrame(rows, "min_node string, name string, wa_dm boolean, gmail_from boolean").selectExpr("*", *[f"false AS {c}" for c in ("wa_contact", "wa_group", "google_contact", "gmail_to_cc")])
+    got = {(r["chat_node"], r["mail_node"], r["score"]) for r in identity.cross_channel_candidates(df).collect()}
+    assert got == {("phone:1", "email:1", 1.0), ("phone:2", "email:2", 1.0)}
+    assert {str(c) for c in taken} == {"Column<'name'>"}  # not na, nb

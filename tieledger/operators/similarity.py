@@ -63,7 +63,7 @@ class Rule(NamedTuple):
     """Two strings of equal heads must have ``need`` letters in common, for lengths of at least a and b; a string has up to about ``sets`` keys a band."""
 
     head: int  # first letters that are part of the key
-    need: Callable[[int, int], float]
+    need: Callable  # of two numbers, or of two columns
     sets: int
 
 
@@ -71,7 +71,7 @@ def jaro_winkler_rules(score: float) -> list[Rule]:
     """One rule for each number of first letters in common: the more there are, the less the rest must have."""
     def rule(bonus: int, sets: int) -> Rule:
         jaro = (score - 0.1 * bonus) / (1 - 0.1 * bonus)
-        return Rule(bonus, lambda a, b: max(0.0, (3 * jaro - 1) * a * b / (a + b)), sets)
+        return Rule(bonus, lambda a, b: (3 * jaro - 1) * a * b / (a + b), sets)
 
     return [rule(bonus, sets) for bonus, sets in enumerate(MOST_SETS)]
 
@@ -91,7 +91,7 @@ class Signatures:
         """(letters in common, letters of a set) of names of the two ranges of lengths; None if they can never meet."""
         key = (rule, low, high, other_low, other_high)
         if key not in self.plans:
-            need = math.ceil(self.rules[rule].need(low, other_low) - 1e-9)
+            need = math.ceil(max(0.0, self.rules[rule].need(low, other_low)) - 1e-9)
             rest = max(high, other_high) - need
             sizes = range(1, min(need, MOST_LETTERS) + 1)
             size = max([k for k in sizes if math.comb(rest + k, k) <= self.rules[rule].sets], default=min(need, 1)) if rest >= 0 else 0
@@ -243,14 +243,17 @@ def _by_letters(a: DataFrame, b: DataFrame, texts: Callable[[DataFrame], Column]
         mine = F.get(F.filter(own, lambda g: g["band"] == F.col("band")), F.lit(0))
         # a text that is alone in its band does not meet that band
         met_by = F.filter(other, lambda g: (g["band"] != F.col("band")) | (g["rows"] > 1)) if one else F.col(other)
-        rows = rows.select("__name", *heads, "t", "i", "head", "band", mine.alias("mine"), met_by.alias("g"), (F.least("gx_rows", "gy_rows") <= FEW).alias("few"))
-        few = rows.where("few").select("__name", *heads, F.xxhash64(F.lit("few"), "i", "head").alias("k"))
+        rows = rows.select("__name", *heads, "t", "i", "n", "head", "band", mine.alias("mine"), met_by.alias("g"), (F.least("gx_rows", "gy_rows") <= FEW).alias("few"))
+        few = rows.where("few").select("__name", *heads, "i", "n", F.xxhash64(F.lit("few"), "i", "head").alias("k"))
         sets = _signatures(rules, rank, side)("t", "i", "band", "mine.low", "mine.high", "g.band", "g.low", "g.high")
-        many = rows.where(~F.col("few") & (F.size("g") > 0)).select("__name", *heads, F.explode(sets).alias("k"))
+        many = rows.where(~F.col("few") & (F.size("g") > 0)).select("__name", *heads, "i", "n", F.explode(sets).alias("k"))
         return cut(few.union(many).distinct())
 
     left = keyed(ruled_x, "gx", "gy", "both" if one else "a")
-    return met(left, left if one else keyed(ruled_y, "gy", "gx", "b"), [*heads, "k"])
+    right = left if one else keyed(ruled_y, "gy", "gx", "b")
+    # a key knows bands of length; the lengths themselves may rule a pair out
+    need = reduce(lambda found, r: found.when(F.col("i") == r[0], r[1].need(F.col("na_n"), F.col("nb_n"))), enumerate(rules()), F)
+    return met(left.withColumnRenamed("n", "na_n"), right.withColumnRenamed("n", "nb_n"), [*heads, "i", "k"], need <= F.least("na_n", "nb_n") + 1e-9)
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
